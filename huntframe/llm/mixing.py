@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huntframe.llm.store import written
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Fixed, not taken from the cluster's settings: reruns agree on any cluster.
 CELL_ROWS, MOST_CELLS = 500, 65536
 SEED = 20240
+#: A table of sources is broadcast up to this many rows, of some 100 bytes each.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -95,29 +99,34 @@ def _copies(sized: DataFrame, seed: int) -> DataFrame:
     # A key without nulls, so that one hash partitioning serves the window and the joins.
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     sized = sized.withColumn("key", key)
-    slim = sized.select("key", "source", "doc_id", "size")
-    sources = source_targets(
-        slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ).withColumn("key", key)
     n_cells = F.least(F.lit(MOST_CELLS), F.ceil(F.col("n_docs") / F.lit(CELL_ROWS))).cast("long")
-    sources = sources.withColumn("n_cells", n_cells).withColumn(
-        "offset", _random(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0)
+    sources = written(
+        source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")))
+        .withColumn("key", key)
+        .withColumn("n_cells", n_cells)
+        .withColumn("offset", _random(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0))
+        .drop("source", "n_docs"),
+        "mix-sources",
     )
+    few = sources.count() <= BROADCAST_SOURCES
     spread = _random(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    per_source = sources.select("key", "n_cells")
+
+    def with_source(df: DataFrame, *columns: str) -> DataFrame:
+        """A broadcast only of a table whose rows were counted; else a join that Spark splits where it is skewed."""
+        right = sources.select("key", *columns)
+        return df.join(F.broadcast(right) if few else right.hint("merge"), "key")
 
     def in_cells(df: DataFrame) -> DataFrame:
-        return df.join(per_source, "key").withColumn("cell", F.pmod(spread, F.col("n_cells"))).drop("n_cells")
+        return with_source(df, "n_cells").withColumn("cell", F.pmod(spread, F.col("n_cells"))).drop("n_cells")
 
-    cells = in_cells(slim).groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = in_cells(sized.select("key", "doc_id")).groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        cells.withColumn("start", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-        .join(sources.drop("source", "n_cells", "n_docs"), "key")
-        .select("key", "cell", "start", "source_size", "target", "copies_each", "offset")
-    )
+    cells = with_source(
+        cells.withColumn("start", F.coalesce(F.sum("n").over(so_far), F.lit(0))), "source_size", "target", "copies_each", "offset"
+    ).drop("n")
     inside = Window.partitionBy("key", "cell").orderBy("size", F.col("doc_id").asc_nulls_last())
-    ranked = in_cells(sized).drop("source").withColumn("rank", F.row_number().over(inside) - 1)
+    dealt = in_cells(sized).drop("source").repartition(F.col("key"), F.col("cell"))
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1)
     at = F.col("start") + F.col("rank")
     return ranked.join(cells, ["key", "cell"]).withColumn(
         "copies",
