@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import exact_dedup, mixing
+from huntframe.llm import bpe, exact_dedup, mixing, simhash
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +63,28 @@ FROM k
 """
 
 
+def vocabulary() -> str:
+    """Where this machine keeps the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mixing": op6_source_mixing,
+        "op9_bpe": op9_bpe,
+        "op10_simhash": op10_simhash,
     }
 
 
