@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from huntframe.llm import bpe, exact_dedup, fingerprints, mixing, simhash, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, chain)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 takes 5 bits a letter: each 5 hexadecimal digits are 4 letters.
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((('0x' || substr(p.h, CAST(5 * i + 1 AS BIGINT), 5))::BIGINT >> s) & 31 AS BIGINT) + 1, 1) FOR s IN [15, 10, 5, 0]], '') FOR i IN range(8)], '')
+         AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM p JOIN w ON p.h = w.h
+"""
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -88,6 +111,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_warc": op2_warc,
+        "op4_fingerprints": op4_fingerprints,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mixing": op6_source_mixing,
         "op9_bpe": op9_bpe,
@@ -97,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": OP2_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op6_source_mixing": OP6_SQL,
     }
