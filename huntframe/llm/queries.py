@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, exact_dedup, fingerprints, mixing, simhash, toxicity, warc
+from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, mixing, simhash, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ FROM p JOIN w ON p.h = w.h
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -92,6 +96,10 @@ FROM k
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def vocabulary() -> str:
     """Where this machine keeps the public byte-level BPE vocabulary."""
     import public_tokenizers
@@ -112,9 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
+        "op3_html_text": op3_html_text,
         "op4_fingerprints": op4_fingerprints,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mixing": op6_source_mixing,
+        "op7_licenses": op7_licenses,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
     }
