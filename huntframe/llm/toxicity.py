@@ -18,7 +18,6 @@ them and moves nothing but probabilities.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from huntframe.llm.store import written
+
 #: Seed words of the categories that come before ``toxic``, in the order of the chain.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
@@ -90,73 +91,103 @@ class Chain:
         return out
 
 
-def fit_chain(sets: list[set[str]], labels: dict[str, np.ndarray], max_features: int = MAX_FEATURES, folds: int = FOLDS) -> Chain:
-    """Fit the chain on feature sets and one 0/1 array a category, in the order of ``labels``."""
+def fit_chain(x: np.ndarray, features: list[str], labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """Fit the chain on a 0/1 matrix and one 0/1 array a category, in the order of ``labels``."""
     names = list(labels)
-    toxic = labels[names[-1]]
-    pos, neg = Counter(), Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        (pos if y else neg).update(s)
-    n_pos, n_neg = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-
-    def gain(f: str) -> float:
-        """How much more often, in logarithms, times how often."""
-        p, q = pos[f] / n_pos, neg[f] / n_neg
-        return abs(np.log((pos[f] + 0.5) / (n_pos + 1)) - np.log((neg[f] + 0.5) / (n_neg + 1))) * (p + q)
-
-    ranked = sorted((f for f in set(pos) | set(neg) if pos[f] + neg[f] >= 3), key=lambda f: (-gain(f), f))
-    chosen = ranked[: min(max_features, max(40, len(sets) // 8))]  # few rows can't tell many features apart
-    place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(sets), len(chosen)), np.float32)
-    for row, s in enumerate(sets):
-        x[row, [place[f] for f in s if f in place]] = 1
-    fold = np.arange(len(sets)) % folds
-    outside = np.zeros((len(sets), 0), np.float32)
+    fold = np.arange(len(x)) % folds
+    seen = x.astype(np.float32)
     weights = []
     for name in names:
         y = labels[name].astype(np.float32)
-        seen = np.hstack([x, outside])
         weights.append(fit_linear(seen, y))
         if name == names[-1]:
             break
-        held = np.zeros((len(sets), 1), np.float32)
+        held = np.zeros((len(x), 1), np.float32)
         for k in range(folds):
             w = fit_linear(seen[fold != k], y[fold != k])
             held[fold == k, 0] = _sigmoid(np.hstack([seen[fold == k], np.ones((int((fold == k).sum()), 1))]) @ w)
-        outside = np.hstack([outside, held])
-    return Chain(names, chosen, weights)
+        seen = np.hstack([seen, held])
+    return Chain(names, features, weights)
+
 
+def chosen_features(sample: DataFrame, max_features: int) -> list[str]:
+    """The features that differ most between toxic and other documents of the sample.
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, max_labelled: int = MAX_LABELLED) -> Chain:
+    Counted where the texts are; only the chosen ones come to the driver.  Few rows can't tell
+    many features apart, so there is one for 8 rows at most (and 40 at least).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for f in features_of(text):
+                    seen.setdefault(f, [0, 0])[toxic] += 1
+            if len(seen) > 200_000:
+                yield _counts(seen)
+                seen = {}
+        yield _counts(seen)
+
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    n_pos, n_neg = max(1, toxic or 0), max(1, rows - (toxic or 0))
+    counts = sample.mapInArrow(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # How much more often, in logarithms, times how often.
+    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    gain = F.abs(odds) * (F.col("pos") / n_pos + F.col("neg") / n_neg)
+    best = counts.where("pos + neg >= 3").orderBy(gain.desc(), "feature").limit(min(max_features, max(40, rows // 8)))
+    return [r.feature for r in best.select("feature").collect()]
+
+
+def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    neg, pos = zip(*seen.values(), strict=True) if seen else ((), ())
+    return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(neg, pa.int64()), pa.array(pos, pa.int64())], ["feature", "neg", "pos"])
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: dict[str, tuple[str, ...]] = CATEGORIES,
+    max_labelled: int = MAX_LABELLED,
+    max_features: int = MAX_FEATURES,
+) -> Chain:
     """Fit on the labelled documents.  Null flags and ids are left out, of repeated labels the largest counts."""
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [" ".join(sorted(set(WORD.findall((t or "").lower())))) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.string())], ["doc_id", "toxic", "words"])
-
     # The ids are at most ``max_labelled``: small enough to broadcast, so no text is shuffled.
-    rows = (
+    sample = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(known), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .mapInArrow(sets, "doc_id long, toxic int, words string")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("words", "ascending")])
+        .select("doc_id", "toxic", "text"),
+        "labelled",
     )
-    words = [set(w.split(" ")) - {""} for w in rows["words"].to_pylist()]
-    toxic = np.array(rows["toxic"].to_pylist(), np.int64)
-    flags = {c: toxic * np.array([bool(s & set(seeds)) for s in words], np.int64) for c, seeds in categories.items()}
-    full = [s | {w[:n] + "*" for w in s for n in STEMS if len(w) > n} for s in words]
-    return fit_chain(full, flags | {"toxic": toxic})
+    features = chosen_features(sample, max_features)
+    seeds = list(categories.values())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: i for i, f in enumerate(features)}
+        for batch in batches:
+            sets = [features_of(t) for t in batch.column(2).to_pylist()]
+            hits = [sorted(place[f] for f in s if f in place) for s in sets]
+            seeded = [[int(bool(s & set(words))) for words in seeds] for s in sets]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(seeded, pa.list_(pa.int32()))],
+                ["doc_id", "toxic", "hits", "seeded"],
+            )
+
+    rows = sample.mapInArrow(encode, "doc_id long, toxic int, hits array<int>, seeded array<int>").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "hits", "toxic", "seeded")), strict=True))
+    x = np.zeros((len(rows), len(features)), np.float32)
+    for i, (_, hits, _, _) in enumerate(rows):
+        x[i, hits] = 1
+    toxic = np.array([r[2] for r in rows], np.int64)
+    flags = {c: toxic * np.array([r[3][k] for r in rows], np.int64) for k, c in enumerate(categories)}
+    return fit_chain(x, features, flags | {"toxic": toxic})
 
 
 class Scorer:
