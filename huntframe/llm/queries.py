@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, mixing, simhash, toxicity, warc
+from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,37 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_score.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    by = [F.col("by_order")[k].alias(f"n_by_{k}") for k in range(lm_score.ORDER + 1)]
+    return scores.select("doc_id", "n_words", "log_score", *by)
+
+
+OP8_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS c, unnest(range(1, len(words) + 1)) AS i, len(words) AS n FROM t),
+g AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM p),
+k AS (
+  SELECT doc_id, i, n, count(*) OVER () - n AS c0,
+         count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS c1,
+         CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) ELSE 0 END AS c2,
+         CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) ELSE 0 END AS c3
+  FROM g),
+h AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS p2,
+             CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS k FROM k),
+s AS (
+  SELECT doc_id, count(*) AS n_words,
+         round(avg(ln(CASE k WHEN 3 THEN c3::DOUBLE / p2 WHEN 2 THEN c2::DOUBLE / p1 WHEN 1 THEN c1::DOUBLE / greatest(c0, 1)
+                             ELSE 1::DOUBLE / greatest(c0, 1) END) + (least(i, 3) - k) * ln({lm_score.ALPHA}::DOUBLE)), 6) AS log_score,
+         count(*) FILTER (k = 0) AS n_by_0, count(*) FILTER (k = 1) AS n_by_1, count(*) FILTER (k = 2) AS n_by_2, count(*) FILTER (k = 3) AS n_by_3
+  FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, log_score,
+       coalesce(n_by_0, 0) AS n_by_0, coalesce(n_by_1, 0) AS n_by_1, coalesce(n_by_2, 0) AS n_by_2, coalesce(n_by_3, 0) AS n_by_3
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
 def vocabulary() -> str:
     """Where this machine keeps the public byte-level BPE vocabulary."""
     import public_tokenizers
@@ -125,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_source_mixing": op6_source_mixing,
         "op7_licenses": op7_licenses,
+        "op8_lm_score": op8_lm_score,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
     }
@@ -135,4 +167,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": OP2_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op6_source_mixing": OP6_SQL,
+        "op8_lm_score": OP8_SQL,
     }
