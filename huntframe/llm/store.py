@@ -26,9 +26,12 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage durably."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage durably.
+
+    Zstandard, since most of these tables are read once or twice and hold digests and texts.
+    """
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
