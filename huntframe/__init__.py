@@ -1 +1 @@
-"""huntframe: security-log and traffic analytics as Spark jobs."""
+"""huntframe: security-log and traffic detection as Spark jobs."""
