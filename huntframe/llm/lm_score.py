@@ -22,7 +22,6 @@ frequent n-gram is one entry a block, however often it occurs.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -34,12 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.llm.store import written
+from huntframe.llm.store import let_go, written
 
 ORDER, ALPHA = 3, 0.4
-BLOCK_CHARS, RANGE_WORDS = 8_000_000, 400_000
-#: Of g distinct n-grams a share of g / 2^56 meets another with its hash.
-BITS = 56
+BLOCK_CHARS, RANGE_WORDS = 16_000_000, 400_000
+#: Of g distinct n-grams of one order a share of g / 2^54 meets another with its hash.
+BITS = 54
 BLOCK = "block long, words long, ids array<long>, sizes array<int>, texts binary, asks boolean"
 
 
@@ -51,7 +50,7 @@ def _blocks(asks: bool):
         held = 0
 
         def row() -> pa.RecordBatch:
-            data = zstandard.compress(b"\n".join(texts), 3)
+            data = zstandard.compress(b"\n".join(texts), 6)
             values = [uuid4().int >> 65, sum(sizes), list(ids), list(sizes), data, asks]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], [f.split(" ")[0] for f in BLOCK.split(", ")])
@@ -86,27 +85,33 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def exploded(data: bytes, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order n: (positions at which an n-gram ends, its hash), positions counted through the block."""
-    text = zstandard.decompress(data)
+def exploded(data: bytes, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order n: (positions at which an n-gram ends, its key), positions counted through the block.
+
+    A key is the hash with the order above it, so the keys of an order stand together.
+    """
     n = int(sizes.sum())
     if not n:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in range(order)]
-    whole = pa.array([text.replace(b"\n", b" ").strip().decode("utf-8")], pa.large_string())
+        yield from ((np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in range(order))
+        return
+    whole = pa.array([zstandard.decompress(data).replace(b"\n", b" ").strip().decode("utf-8")], pa.large_string())
     words = pc.split_pattern(whole, " ").values
     words = words.filter(pc.not_equal(words, "")).dictionary_encode()
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
     h = hashes[words.indices.to_numpy()]
+    del whole, words, hashes
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    shift = np.uint64(64 - BITS)
-    at = np.arange(n)
-    out = [(at, h >> shift)]
     ends = h
-    for k in range(1, order):
-        ends = np.concatenate([np.zeros(1, np.uint64), _mix(ends[:-1], h[1:])])
+    for k in range(order):
+        if k:
+            ends = np.concatenate([np.zeros(1, np.uint64), _mix(ends[:-1], h[1:])])
         at = np.flatnonzero(place >= k)
-        out.append((at, ends[at] >> shift))
-    return out
+        yield at, (ends[at] >> np.uint64(64 - BITS)) | np.uint64(k << BITS)
+
+
+def width_of(order: int, ranges: int) -> int:
+    """Keys in one range."""
+    return (order << BITS) // ranges + 1
 
 
 def packed(keys: np.ndarray, start: int) -> bytes:
@@ -125,28 +130,33 @@ def unpacked(data: bytes, start: int) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """A byte for each count under 255; the others follow in eight bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """Their number, a byte for each count under 255, and eight bytes for each of the others."""
+    return len(counts).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _entries(data: bytes) -> int:
+    return int.from_bytes(data[:4], "little")
 
 
 def unpacked_counts(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u8", offset=n)
+    out = np.frombuffer(data, np.uint8, n, offset=4).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=4 + n)
     return out
 
 
 def _asked(order: int, ranges: int):
     """Blocks to rows (part, block, keys, counts, asks): what each range of hashes gets from a block."""
-    width = (1 << BITS) // ranges + 1
+    width = width_of(order, ranges)
+    borders = np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 grams = exploded(row["texts"], np.array(row["sizes"], np.int64), order)
-                keys, counts = np.unique(np.concatenate([h for _, h in grams]), return_counts=True)
+                keys, counts = map(np.concatenate, zip(*(np.unique(h, return_counts=True) for _, h in grams), strict=True))
                 if not len(keys):
                     continue
-                cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
+                cuts = np.searchsorted(keys, borders)
                 full = np.flatnonzero(np.diff(cuts))
                 for some in np.array_split(full, max(1, len(full) // 256)):
                     parts = [(int(p), slice(cuts[p], cuts[p + 1])) for p in some]
@@ -164,9 +174,9 @@ def _asked(order: int, ranges: int):
     return run
 
 
-def _answered(ranges: int, own: bool):
-    """One range of the count tables: adds the counts up and joins them to each block's hashes."""
-    width = (1 << BITS) // ranges + 1
+def _answered(order: int, ranges: int, own: bool):
+    """One range of the count tables: adds the counts up and joins them to each block's keys."""
+    width = width_of(order, ranges)
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
@@ -208,36 +218,47 @@ def backed_off(counts: list[np.ndarray], place: np.ndarray, alpha: float, words:
     return np.log(share) + (np.minimum(place + 1, len(counts)) - order) * np.log(alpha), order
 
 
+def _counted(at: np.ndarray, keys: np.ndarray, doc: np.ndarray, totals: np.ndarray, own: bool, n: int) -> np.ndarray:
+    """Per position the total of its n-gram, less what its own document has of it.
+
+    One stable sort by key puts an n-gram's positions, document after document, into one run.
+    """
+    out = np.zeros(n, np.int64)
+    if not len(at):
+        return out
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    starts = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])
+    found = totals[np.cumsum(starts) - 1]
+    if own:
+        doc = doc[at]
+        runs = np.flatnonzero(starts | np.concatenate([np.ones(1, bool), doc[1:] != doc[:-1]]))
+        lengths = np.diff(runs, append=len(at))
+        found = found - np.repeat(lengths, lengths)
+    out[at] = found
+    return out
+
+
 def _scored(order: int, alpha: float, total: int, own: bool):
     ranges = ranges_of(total)
-    width = (1 << BITS) // ranges + 1
+    borders = np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width_of(order, ranges))
     names = ["doc_id", "n_words", "log_score", "by_order"]
 
     def run(replies: pa.Table, texts: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
+        answers = dict(zip(replies["part"].to_pylist(), replies["totals"], strict=True))
         for row in texts.to_pylist():
             sizes = np.array(row["sizes"], np.int64)
             n = int(sizes.sum())
             doc = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            grams = exploded(row["texts"], sizes, order)
-            keys = np.unique(np.concatenate([h for _, h in grams]))
-            cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
-            totals = np.zeros(len(keys), np.int64)
-            for part, data in zip(replies["part"].to_pylist(), replies["totals"], strict=True):
-                totals[cuts[part] : cuts[part + 1]] = unpacked_counts(data.as_py(), int(cuts[part + 1] - cuts[part]))
-            counts = []
-            for at, h in grams:
-                found = np.searchsorted(keys, h)
-                c = np.zeros(n, np.int64)
-                c[at] = totals[found]
-                if own:
-                    _, same, times = np.unique(found * len(sizes) + doc[at], return_inverse=True, return_counts=True)
-                    c[at] -= times[same]
-                counts.append(c)
+            counts, left = [], np.zeros(0, np.int64)
+            for at, keys in exploded(row["texts"], sizes, order):
+                totals, left = _totals(np.unique(keys), borders, answers, left)
+                counts.append(_counted(at, keys, doc, totals, own, n))
             logs, by = backed_off(counts, place, alpha, total - (sizes[doc] if own else np.zeros(n, np.int64)))
             sums = np.bincount(doc, logs, len(sizes))
-            hits = np.stack([np.bincount(doc[by == k], minlength=len(sizes)) for k in range(order + 1)], axis=1)
+            hits = np.bincount(doc * (order + 1) + by, minlength=len(sizes) * (order + 1)).reshape(-1, order + 1)
             mean = [round(s / m, 6) if m else None for s, m in zip(sums.tolist(), sizes.tolist(), strict=True)]
             columns = [pa.array(row["ids"], pa.int64()), pa.array(sizes), pa.array(mean, pa.float64()), pa.array(hits.tolist(), pa.list_(pa.int64()))]
             out.append(pa.record_batch(columns, names))
@@ -247,6 +268,22 @@ def _scored(order: int, alpha: float, total: int, own: bool):
     return run
 
 
+def _totals(keys: np.ndarray, borders: np.ndarray, answers: dict[int, pa.Scalar], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of ascending keys from the answers of their ranges.
+
+    A range may hold the last keys of one order and the first of the next: what one order
+    leaves of its last range is returned for the next.
+    """
+    parts = np.unique(np.searchsorted(borders, keys, "right") - 1)
+    out = [left]
+    for p in parts.tolist():
+        if p in answers:
+            data = answers.pop(p).as_py()
+            out.append(unpacked_counts(data, _entries(data)))
+    found = np.concatenate(out)
+    return found[: len(keys)], found[len(keys) :]
+
+
 def ranges_of(words: int) -> int:
     """Ranges of hashes, and so partitions of the count tables, for a corpus of so many words."""
     return words // RANGE_WORDS + 1
@@ -270,11 +307,10 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     total = made.where("asks" if own else "NOT asks").agg(F.sum("words")).first()[0] or 0
     ranges = ranges_of(total)
     asked = made.select("block", "sizes", "texts", "asks").mapInArrow(_asked(order, ranges), "part int, block long, keys binary, counts binary, asks boolean")
-    answers = written(asked.groupBy("part").applyInArrow(_answered(ranges, own), "block long, part int, totals binary"), "lm-answers")
-    # The n-grams' shuffle files are as large as the text: let Spark's cleaner have them now.
+    answers = written(asked.groupBy("part").applyInArrow(_answered(order, ranges, own), "block long, part int, totals binary"), "lm-answers")
+    # The n-grams' shuffle files are larger than the text: let Spark's cleaner have them now.
     del asked
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     texts = made.where("asks").select("block", "ids", "sizes", "texts")
     return (
         answers.groupBy("block")
