@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What stands between words.
+GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Postings a template has at most, and the share of them that must agree.
 POSTINGS, AGREE = 6, 0.6
 
@@ -81,7 +82,7 @@ def words_of(text: Column) -> Column:
     plain = F.coalesce(text.cast("string"), F.lit(""))
     for letter in ("K", "İ"):
         plain = F.replace(plain, F.lit(letter), F.lit("é"))
-    return F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(plain), GAP, -1), "")
 
 
 def _at(phrase: list[str], words: list[str]) -> int:
