@@ -7,8 +7,8 @@ trust an earlier one more than it will be able to.
 
 The labels hold one flag, so a category's training labels are that flag and a seed word of
 the category in the text (``CATEGORIES``, a parameter); the last category, ``toxic``, is the
-flag itself, and the features that decide it are learned: the words, and their first 3 to 6
-letters, that tell labelled documents apart, in any language.
+flag itself, and the features that decide it are learned: the words, and their first 3 to 7
+letters (once, or shared by several words), that tell labelled documents apart, in any language.
 
 Training reads at most ``max_labelled`` labelled documents, those with the smallest hash of
 the id; that bounds what the driver holds.  Scoring runs over whole texts where Spark has
@@ -18,14 +18,14 @@ them and moves nothing but probabilities.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 from huntframe.llm.store import written
 
@@ -36,20 +36,25 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 }
 MAX_LABELLED, MAX_FEATURES, FOLDS = 8000, 1200, 3
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7)
+#: A beginning that this many different words of a text share is a feature of its own.
+REPEATS = (1, 2, 3)
+#: Texts that a worker scores together, and words whose features it remembers.
+ROWS, WORDS_KEPT = 256, 200_000
 
 
 def features_of(text: str | None) -> set[str]:
-    """The distinct words of a whole text in lower case, and their beginnings (ending in ``*``)."""
+    """The distinct words of a whole text in lower case, and their beginnings with how many share them (``begin*2``)."""
     words = set(WORD.findall((text or "").lower()))
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+    begun = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return words | {f"{b}*{k}" for b, n in begun.items() for k in REPEATS if n >= k}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 150) -> np.ndarray:
     """Logistic regression by accelerated gradient descent; the last weight is the bias.
 
     With one class only, or no rows, the model is that class's smoothed rate.
@@ -114,7 +119,7 @@ def chosen_features(sample: DataFrame, max_features: int) -> list[str]:
     """The features that differ most between toxic and other documents of the sample.
 
     Counted where the texts are; only the chosen ones come to the driver.  Few rows can't tell
-    many features apart, so there is one for 8 rows at most (and 40 at least).
+    many features apart, so there is one for 8 rows at most (and 200 at least).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,7 @@ def chosen_features(sample: DataFrame, max_features: int) -> list[str]:
     # How much more often, in logarithms, times how often.
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     gain = F.abs(odds) * (F.col("pos") / n_pos + F.col("neg") / n_neg)
-    best = counts.where("pos + neg >= 3").orderBy(gain.desc(), "feature").limit(min(max_features, max(40, rows // 8)))
+    best = counts.where("pos + neg >= 3").orderBy(gain.desc(), "feature").limit(min(max_features, max(200, rows // 8)))
     return [r.feature for r in best.select("feature").collect()]
 
 
@@ -191,65 +196,76 @@ def train(
 
 
 class Scorer:
-    """Scores whole texts; remembers which features a word has."""
+    """Scores whole texts; remembers which features a word has a part in."""
 
     def __init__(self, chain: Chain):
         self.chain = chain
-        self.place = {f: i for i, f in enumerate(chain.features)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, w: str) -> tuple[int, ...]:
-        hits = [self.place.get(w), *(self.place.get(w[:n] + "*") for n in STEMS if len(w) > n)]
-        if len(self.known) > 500_000:
+        self.words = {f: i for i, f in enumerate(chain.features) if "*" not in f}
+        self.begun: dict[str, list[tuple[int, int]]] = {}  # of each beginning, how many words need to share it for which feature
+        for i, f in enumerate(chain.features):
+            if "*" in f:
+                begin, _, k = f.partition("*")
+                self.begun.setdefault(begin, []).append((int(k), i))
+        self.known: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+    def _word(self, w: str) -> tuple[int, tuple[str, ...]]:
+        if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        self.known[w] = found = tuple(h for h in hits if h is not None)
+        found = self.words.get(w, -1), tuple(w[:n] for n in STEMS if len(w) > n and w[:n] in self.begun)
+        self.known[w] = found
         return found
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, text: str | None) -> list[int]:
+        """The places of the chain's features that a text has."""
+        out: list[int] = []
+        begun: Counter[str] = Counter()
+        known = self.known
+        for w in set(WORD.findall((text or "").lower())):
+            own, begins = known.get(w) or self._word(w)
+            if own >= 0:
+                out.append(own)
+            for b in begins:
+                begun[b] += 1
+        out += [i for b, n in begun.items() for k, i in self.begun[b] if n >= k]
+        return out
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """A row of probabilities for each text; only a few texts at a time become Python strings."""
         out = [np.zeros((0, len(self.chain.names)))]
-        for at in range(0, len(texts), 1000):
-            part = texts[at : at + 1000]
-            x = np.zeros((len(part), len(self.chain.features)))
+        for at in range(0, len(texts), ROWS):
+            part = texts.slice(at, ROWS)
+            x = np.zeros((len(part), len(self.chain.features)), np.float32)
             for row, t in enumerate(part):
-                for w in set(WORD.findall((t or "").lower())):
-                    found = self.known.get(w)
-                    if found is None:
-                        found = self._word(w)
-                    if found:
-                        x[row, list(found)] = 1
+                x[row, self.features(t.as_py())] = 1
             out.append(self.chain.predict(x))
         return np.vstack(out)
 
 
-def probabilities(chain: Chain, text: Column) -> Column:
-    """The chain's probabilities of each category, an array of doubles."""
-    made: list[Scorer] = []
-
-    @pandas_udf("array<double>")
-    def score(texts):
-        import pandas as pd
-
-        if not made:
-            made.append(Scorer(chain))
-        return pd.Series(list(made[0](list(texts))))
-
-    return score(text.cast("string"))
-
-
 def scored(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """``doc_id``, ``p_<category>`` for each category of the chain, and ``rejected``; a row for each row.
 
     A null or wordless text has the probabilities of a text without any feature.  An empty
     table gives an empty result; without labels nothing is rejected.
     """
-    p = docs.select(F.col("doc_id").cast("long").alias("doc_id"), probabilities(chain, F.col("text")).alias("p"))
-    return p.select(
-        "doc_id",
-        *[F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(chain.names)],
-        (F.col("p")[len(chain.names) - 1] >= threshold).alias("rejected"),
-    )
+    names = [f"p_{c}" for c in chain.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(chain)
+        for batch in batches:
+            p = score(batch.column(1))
+            yield pa.record_batch([batch.column(0), *map(pa.array, p.T), pa.array(p[:, -1] >= threshold)], ["doc_id", *names, "rejected"])
+
+    fields = ", ".join(["doc_id long", *[f"{n} double" for n in names], "rejected boolean"])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, fields)
 
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The rows that the chain does not reject, with their columns as they were."""
-    return docs.where(probabilities(chain, F.col("text"))[len(chain.names) - 1] < threshold)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(chain)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(place).cast(pa.string()))[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
