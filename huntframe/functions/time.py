@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def parsed(ts: Column, assume_tz: str = "UTC") -> Column:
@@ -59,26 +58,27 @@ def bucket_seconds(spec: str) -> int:
     return int(m[1]) * SECONDS[m[2]]
 
 
-def _month(name: Column) -> Column:
-    pairs = [x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))]
-    return F.try_element_at(F.create_map(*pairs), name)
+_CLOCK = "((?:[01]\\d|2[0-3]):[0-5]\\d:[0-5]\\d)"
+
+
+def _day(text: Column, form: str) -> Column:
+    """A date as ``yyyy-MM-dd``; null if there is no such day."""
+    return F.date_format(F.try_to_timestamp(text, F.lit(form)), "yyyy-MM-dd")
 
 
 def access_time(text: Column) -> Column:
     """``10/Oct/2025:13:55:36 +0800`` as ISO text that keeps its offset; null for anything else."""
-    rx = "^\\[?(\\d{1,2})/(\\w{3})/(\\d{4}):(\\d{2}:\\d{2}:\\d{2})\\s*(?:([+-]\\d{2})(\\d{2}))?\\]?$"
+    rx = "^\\[?(\\d{1,2}/\\w{3}/\\d{4}):" + _CLOCK + "\\s*(?:([+-]\\d{2})(\\d{2}))?\\]?$"
     part = lambda k: F.regexp_extract(F.trim(text), rx, k)
-    iso = F.concat(part(3), F.lit("-"), _month(part(2)), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4))
-    zone = F.when(part(5) != "", F.concat(part(5), F.lit(":"), part(6))).otherwise("")
-    return F.when(F.trim(text).rlike(rx) & iso.try_cast("timestamp_ntz").isNotNull(), F.concat(iso, zone))
+    zone = F.when(part(3) != "", F.concat(part(3), F.lit(":"), part(4))).otherwise("")
+    return F.concat(_day(part(1), "d/MMM/yyyy"), F.lit("T"), part(2), zone)
 
 
 def syslog_time(text: Column, year: int) -> Column:
     """``Oct  1 13:55:36`` as ISO text; the year isn't in the log, so it must be given."""
-    rx = "^(\\w{3})\\s+(\\d{1,2})\\s+(\\d{2}:\\d{2}:\\d{2})$"
+    rx = "^(\\w{3})\\s+(\\d{1,2})\\s+" + _CLOCK + "$"
     part = lambda k: F.regexp_extract(F.trim(text), rx, k)
-    iso = F.concat(F.lit(f"{year:04d}-"), _month(part(1)), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("T"), part(3))
-    return F.when(F.trim(text).rlike(rx) & iso.try_cast("timestamp_ntz").isNotNull(), iso)
+    return F.concat(_day(F.concat(part(1), F.lit(" "), part(2), F.lit(f" {year:04d}")), "MMM d yyyy"), F.lit("T"), part(3))
 
 
 def epoch_time(text: Column) -> Column:

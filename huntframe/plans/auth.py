@@ -1 +1,150 @@
+"""Queries on log-in logs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from huntframe.operators import recipes
+from huntframe.operators.windows import DAY, HOUR
+from huntframe.plans.base import AUTH, DUCK_TIME, SPARK_TIME, auth, query, queue_sql, table
+from huntframe.rules import auth as rules
+from huntframe.sources import logs
+
+#: Events are sparse, so windows are days and thresholds small.
+WINDOW, ROWS, FEW, GRACE = DAY, 3, 2, 12 * HOUR
+
+_A = AUTH.sql("a")
+_FAIL, _OK = "starts_with(msg, 'ssh-fail')", "starts_with(msg, 'ssh-success')"
+_BURST = f"""m AS (SELECT src_ip, us AS brute_us, line_no AS brute_line, n FROM (SELECT *, {queue_sql('src_ip', WINDOW)} AS n FROM a WHERE {_FAIL})
+  WHERE n >= {ROWS} QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY us, line_no) = 1)"""
+
+
+@query("auth_brute_force", f"WITH {_A}, {_BURST} SELECT src_ip, brute_line AS line_no, n FROM m")
+def auth_brute_force(spark, sf):
+    return rules.brute_force(auth(spark, sf), WINDOW, ROWS).select("src_ip", "line_no", "n")
+
+
+_AFTER = f"""WITH {_A}, {_BURST},
+s AS (SELECT a.*, m.brute_us, m.brute_line FROM a LEFT JOIN m ON a.src_ip = m.src_ip WHERE {_OK}),
+hard AS (SELECT line_no, brute_us FROM s WHERE (us, line_no) > (brute_us, brute_line) AND us - brute_us <= {GRACE}),
+soft AS (SELECT line_no, CAST(NULL AS BIGINT) AS brute_us FROM s WHERE (brute_us IS NULL OR (us, line_no) < (brute_us, brute_line))
+  AND (SELECT count(*) FROM a f WHERE starts_with(f.msg, 'ssh-fail') AND f.src_ip = s.src_ip AND f.us BETWEEN s.us - {WINDOW} AND s.us AND f.line_no < s.line_no) >= {FEW})
+SELECT * FROM hard UNION ALL SELECT * FROM soft"""
+
+
+@query("auth_success_after_failures", _AFTER)
+def auth_success_after_failures(spark, sf):
+    return rules.success_after_failures(auth(spark, sf), WINDOW, ROWS, FEW, GRACE).select("line_no", "brute_us")
+
+
+_FIRST = f"""SELECT line_no, regexp_extract(src_ip, '^(.*)\\.[0-9]+$', 1) || '.0/24' AS subnet FROM a WHERE {_OK} AND "user" = 'root'
+QUALIFY row_number() OVER (PARTITION BY subnet ORDER BY us, line_no) = 1"""
+
+
+@query("auth_new_root_subnet", f"WITH {_A}, f AS ({_FIRST}) SELECT line_no, subnet FROM f WHERE line_no > (SELECT min(line_no) FROM f)")
+def auth_new_root_subnet(spark, sf):
+    from huntframe.functions.net import subnet24
+
+    return rules.new_root_subnets(auth(spark, sf), subnet24(F.col("src_ip"))).select("line_no", "subnet")
+
+
+@query("auth_first_login", f"""WITH {_A} SELECT "user", min(line_no) AS line_no FROM a WHERE {_OK} GROUP BY "user" """)
+def auth_first_login(spark, sf):
+    return rules.first_logins(auth(spark, sf)).select("user", "line_no")
+
+
+@query(
+    "auth_deleted_user_return",
+    f"""WITH {_A}, d AS (SELECT regexp_extract(msg, 'delete user (\\S+)', 1) AS gone, min(line_no) AS gone_line FROM a WHERE starts_with(msg, 'userdel') GROUP BY gone)
+    SELECT "user", line_no FROM a JOIN d ON a."user" = d.gone WHERE {_OK} AND line_no > gone_line""",
+)
+def auth_deleted_user_return(spark, sf):
+    return rules.deleted_users_back(auth(spark, sf)).select("user", "line_no")
+
+
+@query(
+    "auth_sudo_burst",
+    f"""WITH {_A} SELECT "user" AS actor, line_no, n FROM (SELECT *, {queue_sql('"user"', WINDOW)} AS n FROM a WHERE contains(msg, 'COMMAND='))
+    WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY us, line_no) = 1""",
+)
+def auth_sudo_burst(spark, sf):
+    return rules.sudo_bursts(auth(spark, sf), WINDOW, 5).select("actor", "line_no", "n")
+
+
+@query("auth_new_account", f"WITH {_A} SELECT line_no, '{{\"new_user\":\"' || regexp_extract(msg, 'name=(\\w+)', 1) || '\"}}' AS extra FROM a WHERE starts_with(msg, 'useradd')")
+def auth_new_account(spark, sf):
+    return rules.new_accounts(auth(spark, sf)).select("line_no", "extra")
+
+
+@query(
+    "auth_pubkey_antijoin",
+    f"""WITH {_A} SELECT line_no, "user" FROM a WHERE msg = 'ssh-success publickey' AND NOT EXISTS (SELECT 1 FROM nation WHERE concat('u', n_nationkey) = a."user")""",
+)
+def auth_pubkey_antijoin(spark, sf):
+    known = table(spark, sf, "nation").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("user"))
+    return rules.keys_without_baseline(auth(spark, sf), known).select("line_no", "user")
+
+
+_LINE = """concat({syslog}, ' host ', CASE event_type WHEN 'error' THEN concat('sshd[', event_id, ']: Failed password for invalid user u', user_id, ' from 10.1.2.', user_id % 250, ' port 22 ssh2')
+ WHEN 'purchase' THEN concat('sshd[', event_id, ']: Accepted publickey for u', user_id, ' from 10.1.2.', user_id % 250, ' port 22 ssh2')
+ WHEN 'click' THEN concat('sudo: alice : TTY=pts/0 ; COMMAND=/bin/ls ', event_id)
+ WHEN 'signup' THEN concat('useradd[9]: new user: name=n', event_id) ELSE concat('cron[1]: job by bob from 10.9.9.9 ', event_id) END)"""
+
+
+def _lines(times: dict[str, str]) -> str:
+    return _LINE.replace("{syslog}", times["syslog"])
+
+
+@query(
+    "auth_parse",
+    f"""SELECT event_id AS line_no, {DUCK_TIME['iso']} AS ts,
+    CASE event_type WHEN 'error' THEN 'ssh-fail password' WHEN 'purchase' THEN 'ssh-success publickey' WHEN 'click' THEN concat('sudo: alice : TTY=pts/0 ; COMMAND=/bin/ls ', event_id)
+      WHEN 'signup' THEN concat('useradd[9]: new user: name=n', event_id) ELSE concat('cron[1]: job by bob from 10.9.9.9 ', event_id) END AS msg,
+    CASE WHEN event_type IN ('error', 'purchase') THEN concat('u', user_id) WHEN event_type = 'click' THEN 'alice'
+      WHEN event_type = 'signup' THEN 'name=n' || event_id ELSE 'bob' END AS "user",
+    CASE WHEN event_type IN ('error', 'purchase') THEN concat('10.1.2.', user_id % 250) WHEN event_type IN ('click', 'signup') THEN NULL ELSE '10.9.9.9' END AS src_ip
+    FROM events""".replace("WHEN event_type = 'signup' THEN 'name=n' || event_id ELSE", "WHEN event_type = 'signup' THEN NULL ELSE"),
+)
+def auth_parse(spark, sf):
+    rows = table(spark, sf, "events").select(F.lit("auth.log").alias("src_file"), F.col("event_id").alias("line_no"), F.expr(_lines(SPARK_TIME)).alias("value"), F.lit("linux-auth").alias("log_type"))
+    return logs.parse_lines(rows, 2024).select("line_no", "ts", "msg", "user", "src_ip")
+
+
+@query(
+    "syslog_parse",
+    f"""SELECT event_id AS line_no, {DUCK_TIME['iso']} AS ts, substr(l, 22) AS msg, nullif(regexp_extract(l, '\\b(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\b', 1), '') AS src_ip
+    FROM (SELECT *, {_lines(DUCK_TIME)} AS l FROM events)""",
+)
+def syslog_parse(spark, sf):
+    rows = table(spark, sf, "events").select(F.lit("syslog").alias("src_file"), F.col("event_id").alias("line_no"), F.expr(_lines(SPARK_TIME)).alias("value"), F.lit("syslog").alias("log_type"))
+    return logs.parse_lines(rows, 2024).select("line_no", "ts", "msg", "src_ip")
+
+
+@query(
+    "auth_success_after_many",
+    f"""WITH {_A} SELECT line_no, fails FROM (SELECT *, CAST(sum(CASE WHEN {_FAIL} THEN 1 ELSE 0 END) OVER (PARTITION BY src_ip ORDER BY us, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fails FROM a)
+    WHERE {_OK} AND fails >= 5""",
+)
+def auth_success_after_many(spark, sf):
+    return recipes.success_after_many(auth(spark, sf)).select("line_no", "fails")
+
+
+@query("auth_spray_minutes", f"""WITH {_A} SELECT strftime(make_timestamp(us), '%Y-%m-%d %H:%M') AS minute, count(DISTINCT "user") AS users FROM a WHERE {_FAIL} GROUP BY minute""")
+def auth_spray_minutes(spark, sf):
+    return recipes.sprayed_minutes(auth(spark, sf))
+
+
+@query("auth_commands_outside", f"WITH {_A} SELECT line_no, '/bin/ls' AS command FROM a WHERE contains(msg, 'COMMAND=')")
+def auth_commands_outside(spark, sf):
+    return recipes.commands_outside(auth(spark, sf), "^/usr/").select("line_no", "command")
+
+
+@query(
+    "auth_sessions",
+    f"""WITH {_A}, o AS (SELECT "user", us, CASE WHEN msg = 'cron: session opened' THEN 1 ELSE 0 END AS opened FROM a WHERE msg = 'cron: session opened' OR {_OK}),
+    p AS (SELECT *, lag(opened) OVER (PARTITION BY "user" ORDER BY us) AS was, lag(us) OVER (PARTITION BY "user" ORDER BY us) AS opened_us FROM o)
+    SELECT "user", opened_us, us AS closed_us, round((us - opened_us) / 1e6, 3) AS seconds FROM p WHERE opened = 0 AND was = 1""",
+)
+def auth_sessions(spark, sf):
+    log = auth(spark, sf).withColumn("msg", F.when(F.col("msg").startswith("ssh-success"), F.lit("session closed")).otherwise(F.col("msg")))
+    return recipes.sessions(log).withColumn("seconds", F.round("seconds", 3))

@@ -130,7 +130,7 @@ AUTH = Rendered(
         "user": "CASE WHEN user_id % 5 = 0 THEN 'root' ELSE concat('u', user_id % 40) END",
         "msg": """CASE event_type WHEN 'error' THEN 'ssh-fail password' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'ssh-success publickey' ELSE 'ssh-success password' END
             WHEN 'signup' THEN concat('useradd[1]: new user: name=n', event_id % 50, ', UID=1') WHEN 'click' THEN 'sudo: u : TTY=pts/0 ; COMMAND=/bin/ls'
-            ELSE CASE WHEN event_id % 10 = 0 THEN concat('userdel[2]: delete user u', event_id % 40) ELSE 'cron: session opened' END END""",
+            ELSE CASE WHEN event_id % 10 = 0 THEN concat('userdel[2]: delete user u', (event_id + 1) % 40) ELSE 'cron: session opened' END END""",
     },
     {"ts": "{iso}"},
 )

@@ -131,23 +131,23 @@ def auth_record(line: Column, year: int) -> Column:
     that rules on public keys can see it.  The actor of ``sudo`` becomes the user.
     """
 
-    def ssh(rx: str, result: str) -> Column:
-        msg = F.concat(F.lit(f"{result} "), _group(line, rx, 2))
-        return _record(ts=syslog_time(_group(line, rx, 1), year), log_type=F.lit("linux-auth"), src_ip=_group(line, rx, 4), user=_group(line, rx, 3), msg=msg)
-
+    failed, accepted = line.rlike(SSH_FAILED), line.rlike(SSH_ACCEPTED)
     body, process = _group(line, SYSLOG_LINE, 4), _group(line, SYSLOG_LINE, 3)
     empty = lambda c: F.nullif(c, F.lit(""))
+
+    def either(k: int, other: Column) -> Column:
+        return F.when(failed, _group(line, SSH_FAILED, k)).when(accepted, _group(line, SSH_ACCEPTED, k)).otherwise(other)
+
     actor = F.when(process.startswith("sudo"), empty(_group(body, SUDO_ACTOR, 1)))
-    other = _record(
-        ts=syslog_time(_group(line, SYSLOG_LINE, 1), year), log_type=F.lit("linux-auth"),
-        src_ip=empty(_group(body, r"\bfrom\s+([\d\.:a-fA-F]+)", 1)),
-        user=F.coalesce(actor, empty(_group(body, r"\b(?:user|by)\s+(\S+)", 1))), msg=F.concat(process, F.lit(": "), body),
-    )
-    return (
-        F.when(line.rlike(SSH_FAILED), ssh(SSH_FAILED, "ssh-fail"))
-        .when(line.rlike(SSH_ACCEPTED), ssh(SSH_ACCEPTED, "ssh-success"))
-        .when(line.rlike(SYSLOG_LINE), other)
+    msg = F.when(failed, F.concat(F.lit("ssh-fail "), _group(line, SSH_FAILED, 2))).when(accepted, F.concat(F.lit("ssh-success "), _group(line, SSH_ACCEPTED, 2)))
+    record = _record(
+        ts=syslog_time(_group(line, _STAMP, 1), year),
+        log_type=F.lit("linux-auth"),
+        src_ip=either(4, empty(_group(body, r"\bfrom\s+([\d\.:a-fA-F]+)", 1))),
+        user=either(3, F.coalesce(actor, empty(_group(body, r"\b(?:user|by)\s+(\S+)", 1)))),
+        msg=msg.otherwise(F.concat(process, F.lit(": "), body)),
     )
+    return F.when(failed | accepted | line.rlike(SYSLOG_LINE), record)
 
 
 def syslog_record(line: Column, year: int) -> Column:
