@@ -13,6 +13,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)`` with ``value`` computed once, however often ``made`` uses it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def truncated(text: Column, n: int, ellipsis: str = "") -> Column:
     """The first ``n`` characters, with ``ellipsis`` where something was cut; null stays null."""
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, n), F.lit(ellipsis)))
@@ -77,9 +82,12 @@ def kept(text: Column, inside: str) -> Column:
 
 def digit_ratio(name: Column) -> Column:
     """Digits among the letters and digits of a name's longest label; 1 without letters, 0 for no name."""
-    label = longest_label(name)
-    digits, letters = kept(label, "\\p{Nd}"), kept(label, "\\p{L}")
-    return F.when(F.length(label) == 0, F.lit(0.0)).when(letters == 0, F.lit(1.0)).otherwise(digits / (letters + digits))
+
+    def ratio(label: Column) -> Column:
+        digits, letters = kept(label, "\\p{Nd}"), kept(label, "\\p{L}")
+        return F.when(F.length(label) == 0, F.lit(0.0)).when(letters == 0, F.lit(1.0)).otherwise(digits / (letters + digits))
+
+    return bound(longest_label(name), ratio)
 
 
 def alphabet_ratio(label: Column, inside: str) -> Column:
@@ -105,15 +113,16 @@ def numeric_or_address(text: Column) -> Column:
 
 def entropy(label: Column) -> Column:
     """Shannon entropy of the characters in bits; for short strings (labels), inside the JVM."""
-    chars = F.filter(F.split(blank(label), ""), lambda c: c != "")
-    n = F.size(chars)
 
-    def part(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def bits(chars: Column) -> Column:
+        def part(c: Column) -> Column:
+            p = F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+            return -p * F.log2(p)
 
-    total = F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.abs(total))
+        total = F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, x: a + x)
+        return F.when(F.size(chars) == 0, F.lit(0.0)).otherwise(F.abs(total))
+
+    return bound(F.array_remove(F.split(blank(label), ""), ""), bits)
 
 
 @pandas_udf(DoubleType())
@@ -131,6 +140,9 @@ def text_entropy(texts: pd.Series) -> pd.Series:
 
 def rewritten(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
     """Every match of ``pattern`` replaced by ``replace(match)``; what ``regexp_replace`` can't say."""
-    pieces = F.split(text, pattern, -1)
-    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replace), F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def rebuilt(t: Column) -> Column:
+        found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), replace), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return bound(text, rebuilt)

@@ -47,20 +47,16 @@ def _lit(i: dict) -> Column:
 
 
 def _table(spark: SparkSession, rows: list[tuple], keys: str) -> DataFrame:
-    """A table of (keys..., ordinal, type, value, confidence, tag)."""
-    return spark.createDataFrame(rows, f"{keys}, ordinal int, type string, value string, confidence string, tag string")
+    """A table of the keys and the indicator in one column ``__ioc``, so that no name clashes with a record's."""
+    rows_table = spark.createDataFrame(rows, f"{keys}, ordinal int, type string, value string, confidence string, tag string")
+    names = [k.split(" ")[0] for k in keys.split(", ")]
+    return rows_table.select(*names, F.struct("ordinal", *FIELDS).alias("__ioc"))
 
 
 def _values(i: dict) -> tuple:
     return (i["ordinal"], *[i.get(f) for f in FIELDS])
 
 
-def _found(df: DataFrame, name: str) -> DataFrame:
-    """Packs the joined indicator into one column."""
-    packed = F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", *FIELDS))
-    return df.withColumn(name, packed).drop("ordinal", *FIELDS)
-
-
 def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip", name: str = "ip_ioc") -> DataFrame:
     """Adds the indicator of an address: exact, else the first block of the list that holds it.
 
@@ -82,7 +78,7 @@ def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip"
     out = records
     if exact:
         table = _table(spark, [(v, *_values(i)) for v, i in exact.items()], "__value string")
-        out = _found(out.join(table, out[column] == table["__value"], "left").drop("__value"), "__exact")
+        out = out.join(table, out[column] == table["__value"], "left").drop("__value").withColumnRenamed("__ioc", "__exact")
     else:
         out = out.withColumn("__exact", F.lit(None).cast(IOC))
     if not blocks:
@@ -95,7 +91,7 @@ def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip"
     asked = records.select(F.col(column).alias("__ip")).where(number.isNotNull()).distinct()
     asked = asked.select("__ip", F.explode(probes).alias("__probe"))
     held = asked.join(table, (F.col("__probe.__length") == table["__length"]) & (F.col("__probe.__block") == table["__block"]))
-    first = held.groupBy("__ip").agg(F.min(F.struct("ordinal", *FIELDS)).alias("__in"))
+    first = held.groupBy("__ip").agg(F.min("__ioc").alias("__in"))
     out = out.join(first, out[column] == first["__ip"], "left")
     return out.withColumn(name, F.coalesce("__exact", "__in")).drop("__exact", "__in", "__ip")
 
@@ -115,8 +111,7 @@ def match_domains(records: DataFrame, iocs: list[dict], host: Column, name: str
     table = _table(spark, rows, "__suffix string, __wild boolean")
     held = asked.join(table, "__suffix").where((F.col("__at") > 0) == F.col("__wild"))
     # Exact before wild, then the order of the list.
-    best = held.groupBy("__h").agg(F.min(F.struct("__wild", "ordinal", *FIELDS)).alias("__in"))
-    best = best.select("__h", F.struct(*[F.col(f"__in.{f}").alias(f) for f in ("ordinal", *FIELDS)]).alias(name))
+    best = held.groupBy("__h").agg(F.min(F.struct("__wild", "__ioc")).alias("__in")).select("__h", F.col("__in.__ioc").alias(name))
     return records.join(best, F.col("__host") == F.col("__h"), "left").drop("__host", "__h")
 
 
@@ -127,7 +122,8 @@ def match_values(records: DataFrame, iocs: list[dict], kinds: Sequence[str], val
         return records.withColumn(name, F.lit(None).cast(IOC))
     unique = {i["value"].lower(): i for i in mine}
     table = _table(records.sparkSession, [(v, *_values(i)) for v, i in unique.items()], "__value string")
-    return _found(records.withColumn("__key", F.lower(value)).join(table, F.col("__key") == F.col("__value"), "left").drop("__key", "__value"), name)
+    joined = records.withColumn("__key", F.lower(value)).join(table, F.col("__key") == F.col("__value"), "left")
+    return joined.drop("__key", "__value").withColumnRenamed("__ioc", name)
 
 
 def _pattern(i: dict) -> str:
