@@ -66,7 +66,8 @@ def bursts(stream: DataFrame, key: str, window_us: int, at_least: int, late: str
         state.update((times if not reported else [], reported))
         if times and not reported:
             state.setTimeoutTimestamp(max(times[-1] // 1000 + window_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["key", "ts", "n"])
+        if found:
+            yield pd.DataFrame(found, columns=["key", "ts", "n"])
 
     timed = stream.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), ts, F.unix_micros(ts).alias("us"))
     return timed.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(step, BURST, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
