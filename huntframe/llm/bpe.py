@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: The vocabulary's word pattern (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered by one Python worker; beyond it, it starts afresh.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 NEVER = 1 << 40
 
 
@@ -200,12 +200,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters, a longer text by itself."""
+def _slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters, a longer text by itself; the others stay in Arrow meanwhile."""
     part: list[str] = []
     size = 0
     for t in texts:
-        part.append(t or "")
+        part.append(t.as_py() or "")
         size += len(part[-1])
         if size >= most:
             yield part
@@ -225,11 +225,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text"
         tool = codec(path)
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for part in _slices(batch.column(1)):
                 ids = tool.encode_batch(part)
                 out = [batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 yield pa.record_batch([*out, pa.array([tool.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
                 at += len(part)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).cast("string")).mapInArrow(
         run, "doc_id long, ids binary, n_tokens long, decoded string"
@@ -243,7 +244,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         tool = codec(path)
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for part in _slices(batch.column(1)):
                 ids = tool.encode_batch(part)
                 yield pa.record_batch(
                     [
@@ -255,6 +256,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
                 at += len(part)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -40,7 +40,7 @@ STEMS = (3, 4, 5, 6, 7)
 #: A beginning that this many different words of a text share is a feature of its own.
 REPEATS = (1, 2, 3)
 #: Texts that a worker scores together, and words whose features it remembers.
-ROWS, WORDS_KEPT = 256, 200_000
+ROWS, WORDS_KEPT = 256, 100_000
 
 
 def features_of(text: str | None) -> set[str]:
@@ -254,6 +254,7 @@ def scored(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             p = score(batch.column(1))
             yield pa.record_batch([batch.column(0), *map(pa.array, p.T), pa.array(p[:, -1] >= threshold)], ["doc_id", *names, "rejected"])
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(["doc_id long", *[f"{n} double" for n in names], "rejected boolean"])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, fields)
@@ -267,5 +268,6 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
         score = Scorer(chain)
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(place).cast(pa.string()))[:, -1] < threshold))
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return docs.mapInArrow(run, docs.schema)
