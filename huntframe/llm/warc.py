@@ -58,7 +58,8 @@ def url_key(url: Column) -> Column:
     authority = F.regexp_extract(plain, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)", 1)
     host = F.regexp_replace(F.lower(F.regexp_replace(authority, "^.*@", "")), "^www[0-9]*\\.|:(?:80|443)?$", "")
     rest = F.regexp_replace(plain, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), F.lower(rest))
+    name, port = F.regexp_replace(host, ":[0-9]*$", ""), F.regexp_extract(host, ":[0-9]+$", 0)
+    return F.concat(F.array_join(F.reverse(F.split(name, "\\.")), ","), port, F.lit(")"), F.lower(rest))
 
 
 def record(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
