@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from huntframe.functions.text import blank, has_any
 from huntframe.operators.findings import level_rank, raised
-from huntframe.operators.windows import HOUR, MINUTE, trailing
+from huntframe.operators.windows import HOUR, MINUTE, after_first, first_rows, trailing
 
 # Fixed values.
 FLOORS = ((9, "P0"), (7, "P1"), (5, "P2"))
@@ -119,6 +119,25 @@ def known_bad(found: DataFrame, history: DataFrame) -> DataFrame:
     return found.join(mine, "src_ip", "left").withColumn("raised", F.when(due, F.lit("P2")).otherwise(F.col("severity"))).drop("__known")
 
 
+def tool_then_sensitive(log: DataFrame, tool: Column, sensitive: Column, ties: Sequence[str]) -> DataFrame:
+    """Sensitive paths that answered 200 to an address that had used a tool before: they are P1."""
+    marks = first_rows(log.where(tool & (blank(F.col("src_ip")) != "")), ["src_ip"], "us", ties).select("src_ip", F.col("us").alias("tool_us"), *ties)
+    return after_first(log.where(sensitive & (F.col("status") == 200)), marks, ["src_ip"], "us", ties, "tool_us", 1 << 62)
+
+
+def silent_scanners(log: DataFrame, until_us: Column, quiet_us: int = 24 * HOUR) -> DataFrame:
+    """Addresses that only got client errors and were quiet for the last ``quiet_us``: they go down to P3."""
+    out = log.groupBy("src_ip").agg(F.min("status").alias("least"), F.max("status").alias("most"), F.max("us").alias("last_us"))
+    return out.where(F.col("least").between(400, 499) & F.col("most").between(400, 499) & (until_us - F.col("last_us") >= quiet_us))
+
+
+def off_hours_sources(found: DataFrame, ties: Sequence[str], first: int = 22, last: int = 6) -> DataFrame:
+    """A user's first finding from each address, if it is at night: it goes up one level."""
+    firsts = first_rows(found, ["user", "src_ip"], "us", ties)
+    hour = F.hour(F.timestamp_micros("us"))
+    return firsts.where((hour >= first) | (hour < last)).withColumn("raised", raised(F.col("severity")))
+
+
 def by_source(found: DataFrame) -> DataFrame:
     """Per address: different rules, and the worst level raised by one for 3 rules and to P0 for 5."""
     pairs = found.groupBy("src_ip", "rule_id").agg(F.min("severity").alias("severity"))

@@ -183,6 +183,39 @@ def fixed_size(posts: DataFrame, keys: Sequence[str], size: str = "size", entrop
     return sizes.where((F.col("n") >= at_least) & (F.col("least") == F.col("most")) & (F.col("entropy") > over))
 
 
+def callbacks(flows: DataFrame, ports: Sequence[int] = CALLBACK_PORTS) -> DataFrame:
+    """PLB-CE-013: connections to outside at ports of callback servers."""
+    return flows.where(F.col("dst_port").isin(*ports) & ~is_internal(F.col("dst_ip")))
+
+
+def long_heartbeats(flows: DataFrame, usual: Sequence[int], seconds: float = 3600.0) -> DataFrame:
+    """PLB-LM-012: pairs of hosts with long connections at unusual ports."""
+    odd = flows.where(~F.col("dst_port").isin(*usual) & (F.col("duration_s") >= seconds))
+    return odd.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count(F.lit(1)).alias("flows"), F.sum("duration_s").alias("seconds"))
+
+
+def wmi_children(events: DataFrame, parent: Column, child: Column, shells: Sequence[str] = ("cmd.exe", "powershell.exe")) -> DataFrame:
+    """PLB-LM-004: shells started by the WMI host."""
+    return events.where((F.col("event_id") == 4688) & (parent == "wmiprvse.exe") & child.isin(*shells))
+
+
+def odd_tickets(events: DataFrame, service: Column) -> DataFrame:
+    """PLB-LM-014: service tickets for the ticket-granting account."""
+    return events.where((F.col("event_id") == 4769) & (F.lower(service) == "krbtgt"))
+
+
+def catalog_reads(log: DataFrame, text: Column, business: DataFrame) -> DataFrame:
+    """PLB-SQ-014: reads of the database's own tables by accounts that aren't in ``business`` (column ``user``)."""
+    reads = log.where(text.rlike(r"(?i)information_schema\.|mysql\.user"))
+    return reads.join(business.select("user").distinct(), "user", "left_anti")
+
+
+def slow_exfiltration(flows: DataFrame, at_least: int, seconds: float = 1800.0) -> DataFrame:
+    """Sources whose long flows together sent at least so many bytes, with none of them large."""
+    long = flows.where(F.col("duration_s") >= seconds)
+    return long.groupBy("src_ip").agg(F.sum("bytes_a2b").alias("sent"), F.max("bytes_a2b").alias("largest")).where((F.col("sent") >= at_least) & (F.col("largest") < at_least / 10))
+
+
 def new_places(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """PLB-LM-009, 011 and 015: rows whose key isn't in the baseline."""
     return rows.join(known.select(*keys).distinct(), list(keys), "left_anti")

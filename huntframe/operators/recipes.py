@@ -108,6 +108,63 @@ def commands_outside(log: DataFrame, allowed: str) -> DataFrame:
     return log.withColumn("command", command).where((F.col("command") != "") & ~F.col("command").rlike(allowed))
 
 
+def log_ins(log: DataFrame) -> DataFrame:
+    """Successes with how they were made."""
+    msg = blank(F.col("msg"))
+    return log.where(msg.startswith("ssh-success")).select("ts", "user", "src_ip", F.regexp_extract(msg, "ssh-success (\\S+)", 1).alias("auth_method"), *TIES)
+
+
+def account_changes(log: DataFrame) -> DataFrame:
+    return log.where(blank(F.col("msg")).rlike(r"\b(useradd|userdel|usermod|groupadd|groupdel|passwd|new user|delete user)\b"))
+
+
+def root_rights(log: DataFrame) -> DataFrame:
+    """Accounts with UID 0, and switches to root."""
+    return log.where(blank(F.col("msg")).rlike(r"\bUID=0\b|\bto root\b|\(to root\)"))
+
+
+def disconnects(log: DataFrame) -> DataFrame:
+    """Connections that ended before a log-in."""
+    return log.where(blank(F.col("msg")).rlike(r"Received disconnect|Connection closed|Disconnected from"))
+
+
+def key_fingerprints(log: DataFrame) -> DataFrame:
+    """The different keys that were shown, with their users."""
+    key = F.regexp_extract(blank(F.col("msg")), r"((?:SHA256|MD5):[A-Za-z0-9+/:=]+)", 1)
+    return log.withColumn("fingerprint", key).where("fingerprint <> ''").select("user", "fingerprint").distinct()
+
+
+def odd_ports(log: DataFrame, usual: Sequence[str] = SSH_PORTS) -> DataFrame:
+    """Records that name a port which isn't one of ``usual``."""
+    port = F.regexp_extract(blank(F.col("msg")), r"\bport (\d+)", 1)
+    return log.withColumn("port", port).where((F.col("port") != "") & ~F.col("port").isin(*usual))
+
+
+def uris_of(log: DataFrame, ip: str) -> DataFrame:
+    """How often an address asked for each URI."""
+    return log.where(F.col("src_ip") == ip).groupBy("uri").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def error_shares(log: DataFrame) -> DataFrame:
+    """Per address: answers of 200, errors, and the share of errors."""
+    out = log.groupBy("src_ip").agg(F.count_if(F.col("status") == 200).alias("ok"), F.count_if(F.col("status") >= 400).alias("errors"), F.count(F.lit(1)).alias("hits"))
+    return out.withColumn("error_share", F.col("errors") / F.col("hits"))
+
+
+def slow_and_steady(log: DataFrame, least: int = 10, most: int = 20, hours: int = 3) -> DataFrame:
+    """Addresses with ``least`` to ``most`` errors in each of at least so many hours, and never more."""
+    hour = F.floor(F.col("us") / 3_600_000_000)
+    counts = timed(log).where("status >= 400").groupBy("src_ip", hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy("src_ip").agg(F.count_if(F.col("n").between(least, most)).alias("hours"), F.max("n").alias("busiest"))
+    return out.where((F.col("hours") >= hours) & (F.col("busiest") <= most))
+
+
+def night_shares(log: DataFrame, first: int = 2, last: int = 5) -> DataFrame:
+    """Per address the share of its records between two hours of the night."""
+    hour = F.hour(F.timestamp_micros("us"))
+    return timed(log).groupBy("src_ip").agg(F.count_if(hour.between(first, last - 1)).alias("night"), F.count(F.lit(1)).alias("hits"))
+
+
 # Remote commands -----------------------------------------------------------------------
 
 

@@ -148,3 +148,47 @@ def auth_commands_outside(spark, sf):
 def auth_sessions(spark, sf):
     log = auth(spark, sf).withColumn("msg", F.when(F.col("msg").startswith("ssh-success"), F.lit("session closed")).otherwise(F.col("msg")))
     return recipes.sessions(log).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("auth_log_ins", f"""WITH {_A} SELECT line_no, "user", substr(msg, 13) AS auth_method FROM a WHERE {_OK}""")
+def auth_log_ins(spark, sf):
+    return recipes.log_ins(auth(spark, sf)).select("line_no", "user", "auth_method")
+
+
+@query("auth_account_changes", f"WITH {_A} SELECT line_no FROM a WHERE starts_with(msg, 'useradd') OR starts_with(msg, 'userdel')")
+def auth_account_changes(spark, sf):
+    return recipes.account_changes(auth(spark, sf)).select("line_no")
+
+
+_MARKED = """CASE event_id % 8 WHEN 0 THEN concat('useradd: UID=0 n', event_id) WHEN 1 THEN 'su: (to root) bob' WHEN 2 THEN 'sshd: Received disconnect from x' WHEN 3 THEN concat('sshd: key SHA256:abc', user_id % 5)
+ WHEN 4 THEN concat('sshd: x port ', 22 + event_id % 3) ELSE 'other' END"""
+
+
+def _marked(spark, sf):
+    return auth(spark, sf).withColumn("msg", F.expr(_MARKED))
+
+
+@query("auth_root_rights", "SELECT event_id AS line_no FROM events WHERE event_id % 8 IN (0, 1)")
+def auth_root_rights(spark, sf):
+    return recipes.root_rights(_marked(spark, sf)).select("line_no")
+
+
+@query("auth_disconnects", "SELECT event_id AS line_no FROM events WHERE event_id % 8 = 2")
+def auth_disconnects(spark, sf):
+    return recipes.disconnects(_marked(spark, sf)).select("line_no")
+
+
+@query("auth_key_fingerprints", f"""WITH {_A} SELECT DISTINCT "user", concat('SHA256:abc', user_id % 5) AS fingerprint FROM a WHERE event_id % 8 = 3""")
+def auth_key_fingerprints(spark, sf):
+    return recipes.key_fingerprints(_marked(spark, sf))
+
+
+@query("auth_odd_ports", "SELECT event_id AS line_no, CAST(22 + event_id % 3 AS VARCHAR) AS port FROM events WHERE event_id % 8 = 4 AND event_id % 3 <> 0")
+def auth_odd_ports(spark, sf):
+    return recipes.odd_ports(_marked(spark, sf)).select("line_no", "port")
+
+
+@query("auth_outside_roots", f"""WITH {_A} SELECT line_no FROM a WHERE {_OK} AND "user" = 'root' AND event_id % 2 = 0""")
+def auth_outside_roots(spark, sf):
+    outside = F.when(F.col("event_id") % 2 == 0, F.lit("8.8.8.8")).otherwise(F.col("src_ip"))
+    return recipes.outside_roots(auth(spark, sf).withColumn("src_ip", outside)).select("line_no")

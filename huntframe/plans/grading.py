@@ -130,6 +130,35 @@ def whitelisted_scans(spark, sf):
     return ops.unescalated(found(spark, sf), known, 1, 5).select("line_no", "lowered")
 
 
+@query(
+    "tool_then_sensitive",
+    f"""WITH {_F}, t AS (SELECT src_ip, min(line_no) AS first_line FROM f WHERE event_id % 31 = 0 GROUP BY src_ip) SELECT line_no FROM f JOIN t USING (src_ip) WHERE event_id % 7 = 3 AND event_type = 'view' AND line_no > first_line""",
+)
+def tool_then_sensitive(spark, sf):
+    rows = found(spark, sf).withColumn("status", F.when(F.col("event_type") == "view", 200).otherwise(404))
+    return ops.tool_then_sensitive(rows, F.col("event_id") % 31 == 0, F.col("event_id") % 7 == 3, TIES).select("line_no")
+
+
+@query(
+    "silent_scanners",
+    f"""WITH {_F} SELECT src_ip, max(us) AS last_us FROM f WHERE user_id % 3 = 0 GROUP BY src_ip HAVING max(us) <= (SELECT max(us) FROM f) - 3600000000""",
+)
+def silent_scanners(spark, sf):
+    rows = found(spark, sf).where("user_id % 3 = 0").withColumn("status", F.lit(404))
+    last = found(spark, sf).agg(F.max("us")).first()[0]
+    return ops.silent_scanners(rows, F.lit(last), 3_600_000_000).select("src_ip", "last_us")
+
+
+@query(
+    "off_hours_sources",
+    f"""WITH {_F}, p AS (SELECT *, concat('10.1.', event_id % 60, '.1') AS ip FROM f), o AS (SELECT "user", ip, min(line_no) AS line_no FROM p GROUP BY ALL)
+    SELECT f.line_no, {_UP} AS raised FROM o JOIN f ON f.line_no = o.line_no WHERE us // 3600000000 % 24 >= 22 OR us // 3600000000 % 24 < 6""",
+)
+def off_hours_sources(spark, sf):
+    rows = found(spark, sf).withColumn("src_ip", F.expr("concat('10.1.', event_id % 60, '.1')"))
+    return ops.off_hours_sources(rows, TIES).select("line_no", "raised")
+
+
 _SCORES = "SELECT event_id, CAST(event_id % 11 AS INT) AS base, CAST(user_id % 5 AS INT) AS boost, CAST(event_id % 6 AS INT) AS penalty FROM events"
 
 

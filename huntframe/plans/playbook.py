@@ -243,3 +243,39 @@ def cross_log_sources(spark, sf):
     return refused.join(auth_rules.failures(auth(spark, sf)).select("src_ip").distinct(), "src_ip", "left_semi")
 
 
+
+
+_Z = FLOW.sql("z")
+
+
+@query("plb_callbacks", f"WITH {_Z} SELECT line_no FROM z WHERE dst_port IN (1389, 389, 1099, 1090, 4444, 8888) AND l_partkey % 2 = 0")
+def plb_callbacks(spark, sf):
+    rows = FLOW.spark(spark, sf).withColumn("dst_ip", F.expr("CASE WHEN l_partkey % 2 = 0 THEN '8.8.8.8' ELSE dst_ip END"))
+    return ops.callbacks(rows).select("line_no")
+
+
+@query(
+    "plb_long_heartbeats",
+    f"WITH {_Z} SELECT src_ip, dst_ip, dst_port, count(*) AS flows, sum(duration_s) AS seconds FROM z WHERE dst_port NOT IN (445, 3389, 7000) AND duration_s >= 2400 GROUP BY ALL",
+)
+def plb_long_heartbeats(spark, sf):
+    return ops.long_heartbeats(FLOW.spark(spark, sf), (445, 3389, 7000), 2400.0)
+
+
+@query("plb_slow_exfiltration", f"WITH {_Z} SELECT src_ip, CAST(sum(bytes_a2b) AS BIGINT) AS sent, max(bytes_a2b) AS largest FROM z WHERE duration_s >= 1200 GROUP BY src_ip HAVING sum(bytes_a2b) >= 2000000000 AND max(bytes_a2b) < 200000000")
+def plb_slow_exfiltration(spark, sf):
+    return ops.slow_exfiltration(FLOW.spark(spark, sf), 2_000_000_000, 1200.0)
+
+
+@query("plb_catalog_reads", "SELECT event_id FROM events WHERE event_id % 9 = 0 AND concat('u', user_id % 40) NOT IN (SELECT concat('u', n_nationkey) FROM nation)")
+def plb_catalog_reads(spark, sf):
+    rows = table(spark, sf, "events").withColumns({"user": F.expr("concat('u', user_id % 40)"), "body": F.expr("CASE event_id % 9 WHEN 0 THEN 'select * from information_schema.tables' ELSE 'select 1' END")})
+    known = table(spark, sf, "nation").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("user"))
+    return ops.catalog_reads(rows, F.col("body"), known).select("event_id")
+
+
+@query("plb_wmi_and_tickets", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'PLB-LM-004' ELSE 'PLB-LM-014' END AS rule_id FROM events WHERE event_id % 10 IN (0, 1)")
+def plb_wmi_and_tickets(spark, sf):
+    rows = table(spark, sf, "events").withColumn("id", F.col("event_id")).withColumn("event_id", F.expr("CASE event_id % 10 WHEN 0 THEN 4688 WHEN 1 THEN 4769 ELSE 1 END"))
+    wmi = ops.wmi_children(rows, F.lit("wmiprvse.exe"), F.lit("cmd.exe")).select(F.col("id").alias("event_id"), F.lit("PLB-LM-004").alias("rule_id"))
+    return wmi.unionByName(ops.odd_tickets(rows, F.lit("KRBTGT")).select(F.col("id").alias("event_id"), F.lit("PLB-LM-014").alias("rule_id")))

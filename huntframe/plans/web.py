@@ -154,6 +154,37 @@ def accesslog_errors(spark, sf):
     return recipes.errors(web(spark, sf)).select("line_no", "status")
 
 
+@_recipe("accesslog_uris_of_ip", "SELECT uri, count(*) AS hits FROM web WHERE src_ip = '10.0.7.7' GROUP BY uri")
+def accesslog_uris_of_ip(spark, sf):
+    return recipes.uris_of(web(spark, sf), "10.0.7.7")
+
+
+@_recipe("accesslog_error_shares", "SELECT src_ip, count(*) FILTER (status = 200) AS ok, count(*) FILTER (status >= 400) AS errors, count(*) AS hits, count(*) FILTER (status >= 400) / count(*)::DOUBLE AS error_share FROM web GROUP BY src_ip")
+def accesslog_error_shares(spark, sf):
+    return recipes.error_shares(web(spark, sf))
+
+
+@_recipe(
+    "accesslog_slow_and_steady",
+    "SELECT src_ip, count(*) FILTER (n BETWEEN 1 AND 2) AS hours, max(n) AS busiest FROM (SELECT src_ip, us // 3600000000 AS h, count(*) AS n FROM web WHERE status >= 400 GROUP BY ALL) GROUP BY src_ip HAVING hours >= 5 AND busiest <= 2",
+)
+def accesslog_slow_and_steady(spark, sf):
+    return recipes.slow_and_steady(web(spark, sf), 1, 2, 5)
+
+
+@_recipe("accesslog_night_shares", "SELECT src_ip, count(*) FILTER (us // 3600000000 % 24 BETWEEN 2 AND 4) AS night, count(*) AS hits FROM web GROUP BY src_ip")
+def accesslog_night_shares(spark, sf):
+    return recipes.night_shares(web(spark, sf))
+
+
+@query("accesslog_json_status", "SELECT CAST(CASE event_type WHEN 'error' THEN 404 ELSE 500 END AS INTEGER) AS status, count(*) AS hits FROM events WHERE event_type IN ('error', 'view') GROUP BY status")
+def accesslog_json_status(spark, sf):
+    status = F.expr("CASE event_type WHEN 'error' THEN '404' WHEN 'view' THEN '500' ELSE '200' END")
+    value = F.to_json(F.struct(status.alias("status"), F.lit("1.1.1.1").alias("client_ip")))
+    lines = table(spark, sf, "events").select(F.lit("a").alias("src_file"), F.col("event_id").alias("line_no"), value.alias("value"), F.lit("nginx-access").alias("log_type"))
+    return recipes.status_histogram(recipes.errors(logs.parse_lines(lines, 2024)))
+
+
 @query(
     "severity_summary",
     f"{_HITS} SELECT count(*) FILTER (severity = 'P0') AS p0, count(*) FILTER (severity = 'P1') AS p1, "
