@@ -300,17 +300,16 @@ def webshell_scan_score(spark, sf):
 
 # Rule merges ------------------------------------------------------------------------------
 
-_PATTERN = "concat(p_name, ' ', p_partkey % 37)"
+_PATTERN = "concat(p_name, ' ', p_brand, ' ', p_type)"
 
 
 @query(
     "rule_merge_antijoin",
-    f"""WITH k AS (SELECT DISTINCT {_PATTERN} AS pattern FROM part WHERE p_partkey % 3 = 0), n AS (SELECT DISTINCT {_PATTERN} AS pattern FROM part WHERE p_partkey % 2 = 0)
-    SELECT pattern FROM n WHERE pattern NOT IN (SELECT pattern FROM k)""",
+    f"""WITH k AS (SELECT DISTINCT {_PATTERN} AS pattern FROM part WHERE p_size > 25), n AS (SELECT DISTINCT {_PATTERN} AS pattern FROM part) SELECT pattern FROM n WHERE pattern NOT IN (SELECT pattern FROM k)""",
 )
 def rule_merge_antijoin(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", F.expr(_PATTERN).alias("pattern"))
-    return rule_compile.added(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 3 = 0")).select("pattern")
+    part = table(spark, sf, "part").select("p_size", F.expr(_PATTERN).alias("pattern"))
+    return rule_compile.added(part, part.where("p_size > 25")).select("pattern")
 
 
 # Remote commands --------------------------------------------------------------------------

@@ -97,22 +97,26 @@ def kill_chain_stages(spark, sf):
     return ops.stages_in_order(found(spark, sf), ["src_ip"], "category", stages).select("src_ip", *[f"{s}_us" for s in stages])
 
 
+#: Many sources with few findings each.
+_SPREAD = "concat('10.', user_id % 20, '.', event_id % 149, '.1')"
+
+
 @query(
     "escalate_by_source",
-    f"""WITH {_F}, s AS (SELECT src_ip, count(DISTINCT rule_id) AS rules, min(severity) AS severity FROM f WHERE event_id % 20 = 0 GROUP BY src_ip)
+    f"""WITH {_F}, s AS (SELECT {_SPREAD} AS src_ip, count(DISTINCT rule_id) AS rules, min(severity) AS severity FROM f GROUP BY ALL)
     SELECT src_ip, rules, severity AS worst, CASE WHEN rules >= 5 THEN 'P0' WHEN rules >= 3 THEN {_UP} ELSE severity END AS raised FROM s""",
 )
 def escalate_by_source(spark, sf):
-    return ops.by_source(found(spark, sf).where("event_id % 20 = 0"))
+    return ops.by_source(found(spark, sf).withColumn("src_ip", F.expr(_SPREAD)))
 
 
 @query(
     "cross_view",
-    f"""WITH {_F}, s AS (SELECT src_ip, count(DISTINCT view) AS views, min(severity) AS severity FROM f WHERE event_id % 50 = 3 OR event_id % 75 = 0 GROUP BY src_ip)
+    f"""WITH {_F}, s AS (SELECT {_SPREAD} AS src_ip, count(DISTINCT view) AS views, min(severity) AS severity FROM f GROUP BY ALL)
     SELECT src_ip, views, severity AS worst, CASE WHEN views >= 3 THEN 'P0' WHEN views = 2 THEN {_UP} ELSE severity END AS raised FROM s""",
 )
 def cross_view(spark, sf):
-    return ops.by_view(found(spark, sf).where("event_id % 50 = 3 OR event_id % 75 = 0"))
+    return ops.by_view(found(spark, sf).withColumn("src_ip", F.expr(_SPREAD)))
 
 
 @query("known_bad_sources", f"WITH {_F} SELECT line_no, CASE WHEN severity = 'P3' AND EXISTS (SELECT 1 FROM nation WHERE concat('10.0.', n_nationkey, '.5') = f.src_ip) THEN 'P2' ELSE severity END AS raised FROM f")
@@ -141,10 +145,10 @@ def tool_then_sensitive(spark, sf):
 
 @query(
     "silent_scanners",
-    f"""WITH {_F} SELECT src_ip, max(us) AS last_us FROM f WHERE user_id % 3 = 0 GROUP BY src_ip HAVING max(us) <= (SELECT max(us) FROM f) - 3600000000""",
+    f"""WITH {_F} SELECT concat('10.3.', user_id) AS src_ip, max(us) AS last_us FROM f GROUP BY user_id HAVING user_id % 3 = 0 AND max(us) <= (SELECT max(us) FROM f) - 3600000000""",
 )
 def silent_scanners(spark, sf):
-    rows = found(spark, sf).where("user_id % 3 = 0").withColumn("status", F.lit(404))
+    rows = found(spark, sf).withColumns({"status": F.expr("CASE WHEN user_id % 3 = 0 THEN 404 ELSE 200 END"), "src_ip": F.expr("concat('10.3.', user_id)")})
     last = found(spark, sf).agg(F.max("us")).first()[0]
     return ops.silent_scanners(rows, F.lit(last), 3_600_000_000).select("src_ip", "last_us")
 

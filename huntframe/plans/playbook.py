@@ -110,10 +110,9 @@ def _wide(key: str, value: str, window: int, at_least: int, source: str, name: s
     SELECT {key}, line_no, hosts FROM k WHERE hosts >= {at_least} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY us, line_no) = 1"""
 
 
-@query("plb_wide_scans", _wide("src_ip, dst_port", "dst_ip", 2_000_000_000, 2, FLOW.sql("z"), "z", "l_suppkey % 10 = 0"))
+@query("plb_wide_scans", _wide("src_ip, dst_port", "dst_ip", 2_000_000_000, 2, FLOW.sql("z"), "z"))
 def plb_wide_scans(spark, sf):
-    rows = FLOW.spark(spark, sf).where("l_suppkey % 10 = 0")
-    return ops.wide_scans(rows, TIES, 2_000_000_000, 2).select("src_ip", "dst_port", "line_no", "hosts")
+    return ops.wide_scans(FLOW.spark(spark, sf), TIES, 2_000_000_000, 2).select("src_ip", "dst_port", "line_no", "hosts")
 
 
 @query("plb_many_hosts", _wide('"user"', "src_ip", DAY, 3, _A, "a"))
@@ -188,16 +187,16 @@ def plb_block_sized(spark, sf):
     return table(spark, sf, "events").select("event_id", ops.block_sized(F.base64(F.repeat(F.lit("x"), size).cast("binary"))).alias("hit"))
 
 
-@query("plb_fixed_size", "SELECT user_id, count(*) AS n, min(event_id % 2 + 10) AS least FROM events WHERE event_id % 2 = user_id % 2 GROUP BY user_id HAVING count(*) >= 3")
+@query("plb_fixed_size", "SELECT user_id, count(*) AS n, 10::BIGINT AS least FROM events GROUP BY user_id HAVING count(*) >= 3 AND user_id % 2 = 0")
 def plb_fixed_size(spark, sf):
-    rows = table(spark, sf, "events").where("event_id % 2 = user_id % 2").withColumns({"size": F.col("event_id") % 2 + 10, "entropy": F.lit(7.9)})
+    rows = table(spark, sf, "events").withColumns({"size": F.expr("CASE WHEN user_id % 2 = 0 THEN 10 ELSE event_id END"), "entropy": F.lit(7.9)})
     return ops.fixed_size(rows, ["user_id"]).select("user_id", "n", "least")
 
 
-@query("plb_new_places", f"""WITH {_A} SELECT line_no FROM a WHERE starts_with(msg, 'ssh-success') AND ("user", src_ip) NOT IN (SELECT ("user", src_ip) FROM a WHERE event_id < 60)""")
+@query("plb_new_places", f"""WITH {_A} SELECT line_no FROM a WHERE starts_with(msg, 'ssh-success') AND "user" NOT IN (SELECT concat('u', n_nationkey) FROM nation)""")
 def plb_new_places(spark, sf):
-    rows = auth(spark, sf)
-    return ops.new_places(auth_rules.successes(rows), rows.where("event_id < 60"), ["user", "src_ip"]).select("line_no")
+    known = table(spark, sf, "nation").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("user"))
+    return ops.new_places(auth_rules.successes(auth(spark, sf)), known, ["user"]).select("line_no")
 
 
 @query(

@@ -22,12 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    """Events as a stream of files, a day each, oldest first; a last file far ahead lets the watermark pass all of them."""
+    """Events as a stream of files, all there when it starts; a last row far ahead lets the watermark pass the others."""
     rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     last = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), F.expr("ts + INTERVAL 30 DAYS").alias("ts"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"))
-    for part in (rows, last):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rows.unionByName(last).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
 def _run(spark: SparkSession, result: DataFrame, folder: str) -> DataFrame:
