@@ -65,10 +65,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .groupBy("head", "h", "salt", "run")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("sha").alias("sha"))
     )
-    groups = runs.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = written(runs.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups")
 
     same = light.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    return same.join(groups, "sha", "left").select(
+    # Rows of a hot text find their group without being shuffled by it; there are as few hot groups as hot texts.
+    crowded = F.broadcast(groups.where(F.col("group_size") > limit))
+    placed = same.join(crowded, "sha").unionByName(same.join(crowded, "sha", "left_anti").join(groups, "sha"))
+    return placed.select(
         "doc_id",
         "keep_id",
         "group_size",
