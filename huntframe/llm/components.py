@@ -9,8 +9,12 @@ from huntframe.llm.store import drop, written
 
 
 def _smallest_neighbour(edges: DataFrame) -> DataFrame:
-    """Per vertex u of (u, v): the smallest of u and its neighbours; aggregated before the shuffle."""
-    return edges.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
+    """Per vertex u of (u, v): the smallest of u and its neighbours; aggregated before the shuffle.
+
+    Written, so that the join with it is one of two tables: Spark splits the edges of a vertex
+    that has very many, as it can't where the other side is still being aggregated.
+    """
+    return written(edges.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m")), "neighbours")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
