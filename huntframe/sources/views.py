@@ -35,7 +35,7 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def _raw(**fields: Column) -> Column:
+def raw_struct(**fields: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).cast(k).alias(n) for n, k in _RAW])
 
 
@@ -61,7 +61,7 @@ def _full(name: str) -> Column:
 
 
 def http_view(rows: DataFrame) -> DataFrame:
-    raw = _raw(
+    raw = raw_struct(
         host=_full("host"), method=F.upper(_full("method")), uri=_full("uri"), status=whole(F.col("status")), ua=_full("ua"), referer=_full("referer"),
         content_type=_full("content_type"), content_length=whole(F.col("content_length")), request_line_excerpt=truncated(F.col("request_line_excerpt"), EXCERPT),
     )
@@ -69,7 +69,7 @@ def http_view(rows: DataFrame) -> DataFrame:
 
 
 def dns_view(rows: DataFrame) -> DataFrame:
-    raw = _raw(qname=_full("qname"), qtype=_full("qtype"), rcode=whole(F.col("rcode")), response_ip=_full("response_ip"))
+    raw = raw_struct(qname=_full("qname"), qtype=_full("qtype"), rcode=whole(F.col("rcode")), response_ip=_full("response_ip"))
     return rows.withColumn("stream_id", F.lit(None).cast("string")).select(*flow_record("dns", raw, "udp"))
 
 
@@ -80,7 +80,7 @@ def tls_view(hellos: DataFrame, certificates: DataFrame | None = None) -> DataFr
         name = F.coalesce(_full("utf8_name"), _full("printable_name"), _full("dns_name"))
         first = certificates.where((F.col("stream_id") != "") & name.isNotNull()).groupBy("stream_id").agg(F.min_by(name, "line_no").alias("cert_cn"))
         hellos = hellos.drop("cert_cn").join(first, "stream_id", "left")
-    raw = _raw(sni=_full("sni"), cert_cn=F.col("cert_cn"), version=_full("version"), cipher=_full("cipher"), ja3=_full("ja3"), ja3s=_full("ja3s"))
+    raw = raw_struct(sni=_full("sni"), cert_cn=F.col("cert_cn"), version=_full("version"), cipher=_full("cipher"), ja3=_full("ja3"), ja3s=_full("ja3s"))
     return hellos.select(*flow_record("tls", raw, "tcp"))
 
 
@@ -107,7 +107,7 @@ def flow_view(lines: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
         rows = rows.drop("payload_first_bytes").join(first, "pair", "left")
     numbers = {n: F.col(n) for n in names[4:]} | {"payload_first_bytes": F.col("payload_first_bytes")}
     rows = rows.withColumn("stream_id", F.lit(None).cast("string"))
-    return rows.select(*flow_record("flow", _raw(**numbers), "tcp", F.lit(None).cast("string")))
+    return rows.select(*flow_record("flow", raw_struct(**numbers), "tcp", F.lit(None).cast("string")))
 
 
 def masked_secret(text: Column) -> Column:
@@ -118,12 +118,12 @@ def masked_secret(text: Column) -> Column:
 def creds_view(rows: DataFrame) -> DataFrame:
     """Credentials in the clear, ``user:password`` with the password masked."""
     secret = F.when(F.col("credential").contains(":"), F.regexp_replace("credential", "^[^:]*:", ""))
-    raw = _raw(auth_type=F.col("auth_type"), username=F.nullif(F.substring_index("credential", ":", 1), F.lit("")), password_masked=masked_secret(secret))
+    raw = raw_struct(auth_type=F.col("auth_type"), username=F.nullif(F.substring_index("credential", ":", 1), F.lit("")), password_masked=masked_secret(secret))
     return rows.withColumn("stream_id", F.lit(None).cast("string")).select(*flow_record("creds", raw, "tcp"))
 
 
 def conn_view(rows: DataFrame) -> DataFrame:
-    raw = _raw(seq=whole(F.col("seq")), ack=whole(F.col("ack")), flags=_full("flags"), length=whole(F.col("length")))
+    raw = raw_struct(seq=whole(F.col("seq")), ack=whole(F.col("ack")), flags=_full("flags"), length=whole(F.col("length")))
     return rows.select(*flow_record("conn", raw, "tcp"))
 
 
