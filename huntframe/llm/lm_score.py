@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from huntframe.llm.store import let_go, written
 
 ORDER, ALPHA = 3, 0.4
-BLOCK_CHARS, RANGE_WORDS = 16_000_000, 400_000
+BLOCK_CHARS, RANGE_WORDS = 10_000_000, 400_000
 #: Of g distinct n-grams of one order a share of g / 2^54 meets another with its hash.
 BITS = 54
 BLOCK = "block long, words long, ids array<long>, sizes array<int>, texts binary, asks boolean"
@@ -218,23 +218,21 @@ def backed_off(counts: list[np.ndarray], place: np.ndarray, alpha: float, words:
     return np.log(share) + (np.minimum(place + 1, len(counts)) - order) * np.log(alpha), order
 
 
-def _counted(at: np.ndarray, keys: np.ndarray, doc: np.ndarray, totals: np.ndarray, own: bool, n: int) -> np.ndarray:
+def _counted(at: np.ndarray, starts: np.ndarray, doc: np.ndarray, totals: np.ndarray, own: bool, n: int) -> np.ndarray:
     """Per position the total of its n-gram, less what its own document has of it.
 
-    One stable sort by key puts an n-gram's positions, document after document, into one run.
+    ``at`` are the positions sorted by n-gram, a document's next to each other; ``starts`` marks
+    where another n-gram begins, ``totals`` has one number for each.
     """
     out = np.zeros(n, np.int64)
     if not len(at):
         return out
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order]
-    starts = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])
     found = totals[np.cumsum(starts) - 1]
     if own:
         doc = doc[at]
         runs = np.flatnonzero(starts | np.concatenate([np.ones(1, bool), doc[1:] != doc[:-1]]))
         lengths = np.diff(runs, append=len(at))
-        found = found - np.repeat(lengths, lengths)
+        found -= np.repeat(lengths, lengths)
     out[at] = found
     return out
 
@@ -254,8 +252,12 @@ def _scored(order: int, alpha: float, total: int, own: bool):
             place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             counts, left = [], np.zeros(0, np.int64)
             for at, keys in exploded(row["texts"], sizes, order):
-                totals, left = _totals(np.unique(keys), borders, answers, left)
-                counts.append(_counted(at, keys, doc, totals, own, n))
+                # Stable, so that an n-gram's positions stay in the order of the documents.
+                by_key = np.argsort(keys, kind="stable")
+                at, keys = at[by_key], keys[by_key]
+                starts = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])[: len(keys)]
+                totals, left = _totals(keys[starts], borders, answers, left)
+                counts.append(_counted(at, starts, doc, totals, own, n))
             logs, by = backed_off(counts, place, alpha, total - (sizes[doc] if own else np.zeros(n, np.int64)))
             sums = np.bincount(doc, logs, len(sizes))
             hits = np.bincount(doc * (order + 1) + by, minlength=len(sizes) * (order + 1)).reshape(-1, order + 1)
@@ -274,9 +276,8 @@ def _totals(keys: np.ndarray, borders: np.ndarray, answers: dict[int, pa.Scalar]
     A range may hold the last keys of one order and the first of the next: what one order
     leaves of its last range is returned for the next.
     """
-    parts = np.unique(np.searchsorted(borders, keys, "right") - 1)
     out = [left]
-    for p in parts.tolist():
+    for p in np.flatnonzero(np.diff(np.searchsorted(keys, borders))).tolist():
         if p in answers:
             data = answers.pop(p).as_py()
             out.append(unpacked_counts(data, _entries(data)))
