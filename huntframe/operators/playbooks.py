@@ -199,6 +199,12 @@ def wmi_children(events: DataFrame, parent: Column, child: Column, shells: Seque
     return events.where((F.col("event_id") == 4688) & (parent == "wmiprvse.exe") & child.isin(*shells))
 
 
+def share_log_ins(events: DataFrame, logon_type: Column, share: Column, within_us: int = 10 * MINUTE) -> DataFrame:
+    """PLB-LM-003: network log-ins followed by the use of a hidden share on the same computer: ``next`` is that event's record."""
+    log_ins = events.where((F.col("event_id") == 4624) & logon_type.isin("3", "5"))
+    return followed_by(log_ins, events.where((F.col("event_id") == 5145) & share.rlike(SHARES)), ["computer", "user"], within_us, "record_id")
+
+
 def odd_tickets(events: DataFrame, service: Column) -> DataFrame:
     """PLB-LM-014: service tickets for the ticket-granting account."""
     return events.where((F.col("event_id") == 4769) & (F.lower(service) == "krbtgt"))

@@ -49,7 +49,7 @@ def trailing(
     return rows.withColumns(out).where("__own = __slab").drop("__own", "__slab", *[f"__v_{n}" for n in sums])
 
 
-def running(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], sums: dict[str, Column], slab_us: int = DAY) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], sums: dict[str, Column], slab_us: int = HOUR) -> DataFrame:
     """Adds, for each name, its sum over all rows of the key so far."""
     part = [*keys, "__slab"]
     rows = df.where(F.col(us).isNotNull()).withColumn("__slab", _slab(us, slab_us)).withColumns({f"__v_{n}": c for n, c in sums.items()})
@@ -62,7 +62,7 @@ def running(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], su
     return joined.drop("__slab", *[f"__v_{n}" for n in sums], *[f"__b_{n}" for n in sums])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], name: str = "nth", slab_us: int = DAY) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], name: str = "nth", slab_us: int = HOUR) -> DataFrame:
     """Adds the row's number within its key, from 1 on; without keys, in the whole table."""
     return running(df, keys, us, ties, {name: F.lit(1).cast("bigint")}, slab_us)
 
@@ -75,7 +75,7 @@ def looking_back(
     rows: int,
     made: Callable[[WindowSpec], dict[str, Column]],
     chunk: int = 100_000,
-    slab_us: int = DAY,
+    slab_us: int = HOUR,
 ) -> DataFrame:
     """Adds window columns that need at most ``rows`` rows before theirs.
 

@@ -278,3 +278,17 @@ def plb_wmi_and_tickets(spark, sf):
     rows = table(spark, sf, "events").withColumn("id", F.col("event_id")).withColumn("event_id", F.expr("CASE event_id % 10 WHEN 0 THEN 4688 WHEN 1 THEN 4769 ELSE 1 END"))
     wmi = ops.wmi_children(rows, F.lit("wmiprvse.exe"), F.lit("cmd.exe")).select(F.col("id").alias("event_id"), F.lit("PLB-LM-004").alias("rule_id"))
     return wmi.unionByName(ops.odd_tickets(rows, F.lit("KRBTGT")).select(F.col("id").alias("event_id"), F.lit("PLB-LM-014").alias("rule_id")))
+
+
+@query(
+    "plb_share_log_ins",
+    f"""WITH e AS (SELECT *, epoch_us(ts) AS us, user_id % 20 AS u FROM events), l AS (SELECT * FROM e WHERE event_type = 'purchase' AND event_id % 2 = 0), s AS (SELECT * FROM e WHERE event_type = 'click' AND event_id % 3 = 0)
+    SELECT l.event_id AS record_id, arg_min(s.event_id, s.us) AS next FROM l JOIN s ON s.u = l.u AND s.us > l.us AND s.us - l.us <= {12 * HOUR} GROUP BY l.event_id""",
+)
+def plb_share_log_ins(spark, sf):
+    rows = table(spark, sf, "events").select(
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("record_id"), F.lit("h").alias("computer"), F.expr("concat('u', user_id % 20)").alias("user"),
+        F.expr("CASE event_type WHEN 'purchase' THEN 4624 WHEN 'click' THEN 5145 ELSE 1 END").alias("event_id"), F.expr("CASE event_id % 2 WHEN 0 THEN '3' ELSE '2' END").alias("logon"),
+        F.expr("CASE event_id % 3 WHEN 0 THEN concat(chr(92), 'ADMIN$') ELSE 'public' END").alias("share"), F.lit("f").alias("src_file"), F.col("event_id").alias("line_no"),
+    )
+    return ops.share_log_ins(rows, F.col("logon"), F.col("share"), 12 * HOUR).select("record_id", "next")
