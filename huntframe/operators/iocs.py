@@ -182,9 +182,9 @@ def hits(matches: DataFrame) -> DataFrame:
 
 
 def by_indicator(found: DataFrame, order: Sequence[str] = ("src_file", "line_no")) -> DataFrame:
-    """Hits by indicator and source: count, first and last time (as text), sources, addresses, agents and the first five records.
+    """Hits by indicator and source: count, first and last time (as text), different URIs and agents, and the first five records.
 
-    The sets grow with what differs; of the records only five a group and task are shuffled.
+    Of the records only five a group and task are shuffled; what differs is counted, not collected.
     """
     ts = F.nullif("ts", F.lit(""))
     flat = found.select("*", *[F.col(f"ioc.{f}").alias(f) for f in FIELDS], F.col("ioc.ordinal").alias("ordinal"), blank(F.col("src_ip")).alias("source_key"))
@@ -197,13 +197,13 @@ def by_indicator(found: DataFrame, order: Sequence[str] = ("src_file", "line_no"
         F.count(F.lit(1)).alias("count"),
         F.min(ts).alias("first_seen"),
         F.max(ts).alias("last_seen"),
-        F.sort_array(F.collect_set(F.nullif("src_ip", F.lit("")))).alias("src_ips"),
-        F.sort_array(F.collect_set(F.substring(F.nullif("uri", F.lit("")), 1, CUT))).alias("uris"),
-        F.sort_array(F.collect_set(F.substring(F.nullif("ua", F.lit("")), 1, CUT))).alias("uas"),
+        F.count_distinct(F.substring(F.nullif("uri", F.lit("")), 1, CUT)).alias("n_uris"),
+        F.count_distinct(F.substring(F.nullif("ua", F.lit("")), 1, CUT)).alias("n_uas"),
     )
     samples = samples.withColumnRenamed("ordinal", "__o").withColumnRenamed("source_key", "__s")
     joined = groups.join(samples, (groups["ordinal"] == F.col("__o")) & (groups["source_key"] == F.col("__s")))
-    return joined.withColumn("src_ip", F.nullif("source_key", F.lit(""))).drop("__o", "__s", "source_key")
+    source = F.nullif("source_key", F.lit(""))
+    return joined.withColumns({"src_ip": source, "src_ips": F.array_compact(F.array(source))}).drop("__o", "__s", "source_key")
 
 
 def severity(confidence: Column) -> Column:

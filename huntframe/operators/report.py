@@ -37,13 +37,18 @@ def worst(found: DataFrame, n: int = 30, ties: Sequence[str] = ("us", "src_file"
     return found.orderBy("severity", *ties).limit(n)
 
 
-def document(found: DataFrame) -> DataFrame:
-    """One JSON object a severity: ``version, total, findings`` of it.
+def document(found: DataFrame, n: int = 30, ties: Sequence[str] = ("id",)) -> DataFrame:
+    """The head of a report as one JSON object: ``version, total``, counts by level and the ``n`` worst findings.
 
-    A report is read whole by its reader; findings of one level are one row.
+    The findings themselves are written as lines (``write_ndjson``): a report of any size stays a table.
     """
-    body = F.collect_list(F.struct(*[F.col(c) for c in found.columns]))
-    return found.groupBy("severity").agg(F.to_json(F.struct(F.lit("0.1").alias("version"), F.count(F.lit(1)).alias("total"), body.alias("findings"))).alias("report"))
+    rest = [c for c in found.columns if c not in ("severity", *ties)]
+    top = found.orderBy("severity", *ties).limit(n).select(F.struct("severity", *ties, *rest).alias("finding"))
+    # At most n + 1 rows meet here.
+    both = severity_summary(found).unionByName(top, allowMissingColumns=True)
+    counts = [v.lower() for v in LEVELS]
+    head = both.agg(*[F.max(c).alias(c) for c in ("total", *counts)], F.array_sort(F.collect_list("finding")).alias("findings"))
+    return head.select(F.to_json(F.struct(F.lit("0.1").alias("version"), "total", *counts, "findings")).alias("report"))
 
 
 def paths_in_order(nodes: DataFrame, path: str, position: str, ts: str) -> DataFrame:

@@ -72,7 +72,7 @@ def ioc_ua_path_regex(spark, sf):
 def ioc_aggregate(spark, sf):
     groups = iocs.by_indicator(iocs.hits(_matched(spark, sf)))
     return groups.select(
-        "ordinal", "src_ip", "count", "first_seen", "last_seen", F.size("uris").cast("bigint").alias("n_uris"), F.size("uas").cast("bigint").alias("n_uas"),
+        "ordinal", "src_ip", "count", "first_seen", "last_seen", "n_uris", "n_uas",
         F.get("samples", F.lit(0))["line_no"].alias("first_line"),
     )
 

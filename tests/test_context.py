@@ -227,8 +227,8 @@ def test_call_verdicts(spark):
 def test_reports(spark):
     found = spark.createDataFrame([("F-1", "P0", "r", "a", "1.1.1.1"), ("F-2", "P2", "r", "b", "1.1.1.1")], "id string, severity string, rule_id string, category string, src_ip string")
     assert tuple(report.severity_summary(found).first()) == (1, 0, 1, 0, 2)
-    body = json.loads(report.document(found).where("severity = 'P0'").first().report)
-    assert body["total"] == 1 and body["findings"][0]["id"] == "F-1"
+    body = json.loads(report.document(found, 1).first().report)
+    assert body["total"] == 2 and body["p2"] == 1 and [f["id"] for f in body["findings"]] == ["F-1"]
     check = report.completeness(found).first()
     assert (check.findings, check.without_key_fields, check.one_source) == (2, 0, True)
     assert report.completeness(found.where("false")).first().findings == 0
