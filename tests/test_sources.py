@@ -184,3 +184,15 @@ def test_times(spark):
 def test_schemas_parse(spark):
     for ddl in (schemas.LOG, schemas.ALERT, schemas.WINEVT, schemas.FLOWREC, schemas.FINDING, schemas.AUDIT):
         assert spark.createDataFrame([], ddl).count() == 0
+
+
+def test_stored_records_are_pruned(spark, tmp_path):
+    from huntframe.sources import store
+    from tests.test_rules import at, log
+
+    rows = log(spark, [{"ts": at(i), "log_type": "nginx-access" if i % 2 else "linux-auth", "uri": "/"} for i in range(10)] + [{"ts": None, "log_type": "syslog"}])
+    store.write_records(rows, str(tmp_path / "t"))
+    back = store.read_records(spark, str(tmp_path / "t"))
+    assert back.count() == 11
+    plan = back.where("log_type = 'nginx-access'").select("uri")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_type" in plan and "ReadSchema: struct<uri:string>" in plan
