@@ -92,10 +92,8 @@ def looking_back(
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str]) -> DataFrame:
-    """Each key's first row; aggregated before the shuffle."""
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    first = df.groupBy(*keys).agg(F.min_by(whole, F.struct(us, *ties)).alias("__row"))
-    return first.select("__row.*")
+    """Each key's first row.  One row a key and task is shuffled, with the columns that are used later only."""
+    return nth_rows(df, keys, us, ties, 1)
 
 
 def nth_rows(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], n: int) -> DataFrame:
