@@ -146,7 +146,8 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
         out, name, offset = None, "", 0
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], [], []]
-            for key, page_id, url, html, kind, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):
+                key, page_id, url, html, kind, target = (v.as_py() for v in row)  # one page at a time as Python objects
                 if out is None or offset >= file_bytes:
                     if out is not None:
                         out.close()
