@@ -8,10 +8,11 @@ page says something else, 0 where all say the same.  A node's presentation count
 entropy of its child sequences.  A branch's importance is the mean over its nodes, by their
 texts, discounted with depth.
 
-From each page the branches go that are of no importance on its host, and those whose element
-or class names say what they are (menus, headers, footers, forms, comments, ...).  Where a page
-marks its article (``article`` or ``main``), the article is what is kept, and the tree decides
-about boxes inside it; else the tree decides about the page.  A host with fewer than
+From each page the branches go whose element or class names say what they are (menus, headers,
+footers, forms, comments, ...), which count nowhere in the tree, and those that are of no
+importance on its host, themselves and all below them.  Where a page marks its article
+(``article`` or ``main``), the article is what is kept, and the tree decides about boxes inside
+it, never about one around it; else the tree decides about the page.  A host with fewer than
 ``FEW_PAGES`` pages of a branch says nothing about it.  The flow of an article (paragraphs,
 headings, lists, tables, quotes) is never cut by importance, so passages that many articles
 share stay.
@@ -189,7 +190,10 @@ def nodes(root: Node) -> Iterator[tuple[Node, tuple[int, ...]]]:
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page, once each: (host, path, ancestors, kind, what).  kind 0: child sequences, 1: texts."""
+    """Per page, once each: (host, path, ancestors, kind, what).  kind 0: child sequences, 1: texts.
+
+    Branches that are cut by what they are called count nowhere.
+    """
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -197,11 +201,14 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             above = {}
             rows = set()
             for node, chain in nodes(root):
+                if node.cut:
+                    continue
                 above[node.path] = chain[:8]
-                children = [p.path for p in node.parts if not isinstance(p, str)]
+                children = [p.path for p in node.parts if not isinstance(p, str) and not p.cut]
                 rows.add((node.path, 0, _hash(repr([x for i, x in enumerate(children) if i == 0 or x != children[i - 1]]))))
             for node, text in blocks(root):
-                rows.add((node.path, 1, _hash(text)))
+                if not node.cut:
+                    rows.add((node.path, 1, _hash(text)))
             for path, kind, what in rows:
                 for column, value in zip(out, (host, path, list(above[path]), kind, what), strict=True):
                     column.append(value)
@@ -257,18 +264,28 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
 
 
 def main_text(root: Node, unimportant: set[int]) -> str:
-    """The blocks that stay, joined by newlines."""
-    dropped: dict[int, bool] = {}
-    marked = False
-    for node, _ in nodes(root):
-        marked = marked or (node.marked and any(isinstance(p, str) and p.strip() for p in node.parts))
-        box = node.path in unimportant and not (node.name in FLOW or node.name in ARTICLE or node.name in ("#page", "html", "body"))
-        for part in node.parts:
-            if not isinstance(part, str):
-                dropped[id(part)] = dropped.get(id(node), False) or box
-        dropped.setdefault(id(node), False)
-        dropped[id(node)] = dropped[id(node)] or box
-    kept = [text for node, text in blocks(root) if not node.cut and (node.marked or not marked) and not dropped[id(node)]]
+    """The blocks that stay, joined by newlines.
+
+    A box goes if it and all below it that has text are unimportant.
+    """
+    order = [node for node, _ in nodes(root)]
+    marked = any(node.marked and any(isinstance(p, str) and p.strip() for p in node.parts) for node in order)
+    full: set[int] = set()
+    noisy: set[int] = set()
+    for node in reversed(order):  # children before parents
+        below = [p for p in node.parts if not isinstance(p, str)]
+        if not node.cut and (any(id(p) in full for p in below) or any(isinstance(p, str) and p.strip() for p in node.parts)):
+            full.add(id(node))
+        article = node.marked and node.name in ARTICLE
+        if id(node) not in full or (node.path in unimportant and not article and all(id(p) in noisy for p in below)):
+            noisy.add(id(node))
+    dropped: set[int] = set()
+    for node in order:
+        box = id(node) in noisy and node.name not in FLOW and node.name not in ARTICLE and node.name not in ("#page", "html", "body")
+        if box or id(node) in dropped:
+            dropped.add(id(node))
+            dropped.update(id(p) for p in node.parts if not isinstance(p, str))
+    kept = [text for node, text in blocks(root) if not node.cut and (node.marked or not marked) and id(node) not in dropped]
     return "\n".join(kept)
 
 

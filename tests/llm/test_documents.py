@@ -110,6 +110,25 @@ def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+def words(rnd, n=12):
+    return " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
+
+
+def test_a_plain_wrapper_stays_with_its_article(spark):
+    rnd = random.Random(6)
+    menu = "<nav><ul>" + "".join(f"<li>Entry {i}" for i in range(30)) + "</ul></nav>"
+    notes = "<div>" + "".join(f"<div>Shared {i}</div>" for i in range(30)) + "</div>"
+    texts = [[words(rnd) for _ in range(5)] for _ in range(24)]
+    body = ["".join(f"<p>{p}</p>" for p in t) for t in texts]
+    rows = [(i, f"http://a.org/{i}", f"<body><div id='wrapper'>{menu}<article>{body[i]}</article></div>") for i in range(12)]
+    # Shared boxes that no name gives away outweigh the paragraphs beside them.
+    rows += [(i, f"http://b.org/{i}", f"<body><div class='all'>{notes}<div class='t'>{body[i]}</div></div>") for i in range(12, 24)]
+    rows += [(i, f"http://c.org/{i}", "<body><div class='all'><main><p>The same on all pages.</p></main></div>") for i in range(24, 36)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(got[i].split("\n") == texts[i] for i in range(24))
+    assert all(got[i] == "The same on all pages." for i in range(24, 36))
+
+
 def test_registered_pages(spark, sf):
     got = queries.op3_html_text(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
