@@ -179,20 +179,22 @@ def blocks(node: Node) -> Iterator[tuple[Node, str]]:
             todo.pop()
 
 
-def nodes(root: Node) -> Iterator[tuple[Node, tuple[int, ...]]]:
-    """Every node with its ancestors' paths, nearest first."""
-    todo: list[tuple[Node, tuple[int, ...]]] = [(root, ())]
+def nodes(root: Node) -> Iterator[tuple[Node, list[int]]]:
+    """Every node, parents first, with the paths from the root down to its parent (a list that changes as the walk goes on)."""
+    line: list[int] = []
+    todo = [(root, 0)]
     while todo:
-        node, above = todo.pop()
-        yield node, above
-        below = (node.path, *above)
-        todo += [(p, below) for p in node.parts if not isinstance(p, str)]
+        node, depth = todo.pop()
+        del line[depth:]
+        yield node, line
+        line.append(node.path)
+        todo += [(p, depth + 1) for p in node.parts if not isinstance(p, str)]
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page, once each: (host, path, ancestors, kind, what).  kind 0: child sequences, 1: texts.
 
-    Branches that are cut by what they are called count nowhere.
+    Ancestors are those 1, 2, 4, 8, ... levels above, as far as there are any.  Branches that are cut by what they are called count nowhere.
     """
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
@@ -200,17 +202,17 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parsed(html)
             above = {}
             rows = set()
-            for node, chain in nodes(root):
+            for node, line in nodes(root):
                 if node.cut:
                     continue
-                above[node.path] = chain[:8]
+                above[node.path] = [line[-(1 << k)] for k in range(len(line).bit_length())]
                 children = [p.path for p in node.parts if not isinstance(p, str) and not p.cut]
                 rows.add((node.path, 0, _hash(repr([x for i, x in enumerate(children) if i == 0 or x != children[i - 1]]))))
             for node, text in blocks(root):
                 if not node.cut:
                     rows.add((node.path, 1, _hash(text)))
             for path, kind, what in rows:
-                for column, value in zip(out, (host, path, list(above[path]), kind, what), strict=True):
+                for column, value in zip(out, (host, path, above[path], kind, what), strict=True):
                     column.append(value)
         yield pa.record_batch(
             [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64()), strict=True)],
@@ -228,6 +230,9 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
     """The hosts' style trees: ``host, path, pages, importance`` of every branch.
 
     ``pieces`` are the rows of ``_styles``; all counting is by (host, path, what), partial first.
+    A branch has the sums of all levels below it.  Step k knows the sums of the next 2^k levels of
+    every branch and adds those of its descendants 2^k levels down, so that a tree of n levels
+    takes log2 n steps.
     """
     if pieces is None:
         pieces = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(
@@ -250,17 +255,18 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
     # - sum p log_m p with p = k / m
     style = F.when(F.col("m") > 1, 1 - F.col("klogk_style") / F.col("m") / log_m).otherwise(1.0)
     weight = F.coalesce("texts", F.lit(0)).cast("double")
-    own = merged.select(
-        "host", "path", "above", "m", F.when(weight > 0, content).otherwise(style).alias("node"), F.greatest(weight, F.lit(0.05) * F.col("m")).alias("weight")
-    )
-    lifted = own.select(
-        "host",
-        "node",
-        "weight",
-        F.posexplode(F.concat(F.array("path"), F.col("above"))).alias("depth", "branch"),
-    ).select("host", F.col("branch").alias("path"), "node", (F.col("weight") * F.pow(F.lit(DISCOUNT), F.col("depth"))).alias("w"))
-    branches = lifted.groupBy("host", "path").agg((F.sum(F.col("node") * F.col("w")) / F.sum("w")).alias("importance"))
-    return branches.join(own.select("host", "path", F.col("m").alias("pages")), ["host", "path"])
+    node = F.when(weight > 0, content).otherwise(style)
+    w = F.greatest(weight, F.lit(0.05) * F.col("m"))
+    own = written(merged.select("host", "path", "above", F.col("m").alias("pages"), (node * w).alias("node_w"), w.alias("w")), "branches")
+    sums = own
+    for k in range(own.agg(F.max(F.size("above"))).first()[0] or 0):
+        faded = F.lit(DISCOUNT ** (1 << k))
+        no = {"above": F.lit(None).cast("array<bigint>"), "pages": F.lit(None).cast("bigint")}
+        up = sums.where(F.size("above") > k).select("host", F.get("above", F.lit(k)).alias("path"), (F.col("node_w") * faded).alias("node_w"), (F.col("w") * faded).alias("w"))
+        sums = sums.unionByName(up.withColumns(no)).groupBy("host", "path").agg(
+            F.first("above", True).alias("above"), F.max("pages").alias("pages"), F.sum("node_w").alias("node_w"), F.sum("w").alias("w")
+        )
+    return sums.select("host", "path", (F.col("node_w") / F.col("w")).alias("importance"), "pages")
 
 
 def main_text(root: Node, unimportant: set[int]) -> str:

@@ -129,6 +129,27 @@ def test_a_plain_wrapper_stays_with_its_article(spark):
     assert all(got[i] == "The same on all pages." for i in range(24, 36))
 
 
+def test_texts_count_for_all_levels_above(spark):
+    rnd = random.Random(7)
+    texts = [words(rnd) for _ in range(20)]
+    rows = [(i, f"http://deep.org/{i}", f"<body><div class='top'>Welcome</div>{'<div>' * 20}{t}{'</div>' * 20}") for i, t in enumerate(texts)]
+    found = html_extract.branch_importance(pages(spark, rows)).where("pages = 20").select("importance").collect()
+    assert len(found) == 23 and sum(r[0] == 0 for r in found) == 1
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_importance_is_the_faded_mean_of_all_below(spark):
+    # Per level one text: of 4 pages each has its own (1) or all have the same (0).
+    shared = [i % 3 == 0 for i in range(13)]
+    rows = [(i, f"http://x.org/{i}", "".join(f"<div>{'all' if same else i} {k}" for k, same in enumerate(shared))) for i in range(4)]
+    got = sorted(r.importance for r in html_extract.branch_importance(pages(spark, rows)).collect())
+    own = [(0.0, 0.2), *[(0.0 if same else 1.0, 4.0) for same in shared]]
+    faded = [[w * 0.9**d for d, (_, w) in enumerate(own[at:])] for at in range(len(own))]
+    want = sorted(sum(n * f for (n, _), f in zip(own[at:], fs, strict=True)) / sum(fs) for at, fs in enumerate(faded))
+    assert got == pytest.approx(want)
+
+
 def test_registered_pages(spark, sf):
     got = queries.op3_html_text(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
