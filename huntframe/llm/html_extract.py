@@ -12,7 +12,9 @@ From each page the branches go whose element or class names say what they are (m
 footers, forms, comments, ...), which count nowhere in the tree, and those that are of no
 importance on its host, themselves and all below them.  Where a page marks its article
 (``article`` or ``main``), the article is what is kept, and the tree decides about boxes inside
-it, never about one around it; else the tree decides about the page.  A host with fewer than
+it, never about one around it; else the tree decides about the page.  Names are whole tokens of
+class, id and role; what they leave in doubt (``has-sidebar``, ``comments-open``, ``notice``)
+the tree decides.  A host with fewer than
 ``FEW_PAGES`` pages of a branch says nothing about it.  The flow of an article (paragraphs,
 headings, lists, tables, quotes) is never cut by importance, so passages that many articles
 share stay.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -59,16 +62,21 @@ CLOSES_P = (FLOW | {"address", "article", "aside", "div", "footer", "form", "hea
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 #: Elements that are never main text.
 NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "fieldset", "search"} | RAW
-#: Words in class, id and role that say that a branch is not the article.
+# Whole tokens of class, id and role that say that a branch is not the article: one or more such words, joined by
+# hyphens, with what they hold.  No word is in two of the lists, so a token is read in one way only.
+_NOT_ARTICLE = (
+    r"(?:ads?|advert(?:s|isements?|ising)?|adsense|sponsor(?:s|ed)?|promo(?:s|ted|tions?)?|billboard|side-?bar|cookies?|consent|gdpr|"
+    r"pop-?up|modal|overlay|newsletter|subscribe|sign-?up|log-?in|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|disqus|"
+    r"replies|respond|breadcrumbs?|nav|navbar|navigation|menu|pagination|pager|footer|masthead|toolbar|complementary|contentinfo|search|"
+    r"banner|widgets?)"
+)
+_HELD = r"(?:bars?|box(?:es)?|lists?|links?|buttons?|btns?|icons?|areas?|container|wrap|wrapper|blocks?|forms?|items?|posts|articles|stories|notice|slots?|units?|panel|thread|inner)"
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|billboard|side-?bar|widgets?|cookies?|consent|gdpr|notice|alert|"
-    r"pop-?up|modal|overlay|newsletter|subscribe|sign-?up|log-?in|share|sharing|social|related|recommend\w*|comments?|disqus|replies|"
-    r"reader-?comments?|respond|breadcrumbs?|nav|navbar|navigation|menu|pagination|pager|footer|masthead|site-?header|toolbar|"
-    r"complementary|contentinfo|search|skip-?link)(?:$|[\s_-])",
-    re.I,
+    rf"(?:(?:site|page|main|primary|secondary|post|entry|article|reader)[-_]+)?{_NOT_ARTICLE}(?:[-_]+(?:{_NOT_ARTICLE}|{_HELD}))*|(?:site|page)-?header|skip-?links?", re.I
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
@@ -80,20 +88,38 @@ class Node:
         self.name, self.path, self.cut, self.marked, self.parts = name, path, cut, marked, []
 
 
+@lru_cache(1 << 14)
+def _not_article(marks: str) -> bool:
+    return any(map(NOT_ARTICLE.fullmatch, marks.split()))
+
+
+def _named_away(parent: Node, name: str, found: dict[str, str]) -> bool:
+    """Whether class, id or role say that an element is not the article.
+
+    Articles and their flow have any name, and the ids of headings, and of sections in an
+    article, are made from titles.
+    """
+    if name in ARTICLE or name in ("html", "body") or (parent.marked and name in FLOW):
+        return False
+    classes = found.get("class", "")
+    title = name in HEADINGS or (parent.marked and (name == "section" or "section" in classes.lower().split()))
+    return any(map(_not_article, (classes, found.get("role", ""), "" if title else found.get("id", ""))))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
 def _made(parent: Node, name: str, attributes: str) -> Node:
-    kind, marks, hidden = name, "", False
+    kind, named, hidden = name, False, False
     if attributes:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-        marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+        named = _named_away(parent, name, found)
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
         kind += "." + ".".join(sorted(found.get("class", "").lower().split()))
     # A header of the page goes; the header of an article holds its title.
     header = name == "header" and not parent.marked
-    cut = parent.cut or hidden or name in NOT_TEXT or header or bool(marks and name not in ("html", "body") and NOT_ARTICLE.search(marks))
+    cut = parent.cut or hidden or name in NOT_TEXT or header or named
     node = Node(name, _hash(f"{parent.path}/{kind}"), cut, (parent.marked or name in ARTICLE) and not cut)
     parent.parts.append(node)
     return node

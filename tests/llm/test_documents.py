@@ -110,6 +110,24 @@ def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
     assert html_extract.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article class='post comments-open'><p>x</p></article>", "<main class='site-main no-sidebar'><p>x</p></main>", "<div class='content has-sidebar'><p>x</p></div>", "<h2 id='related-work'>x</h2>",
+        "<article><section id='social-impact'><p>x</p></section></article>", "<article><h2 id='search-algorithms'>x</h2></article>", "<article><h2 id='comments'>x</h2></article>", "<h3 id=search>x</h3>",
+        "<article><section id='related'>x</section></article>", "<article><div class='section' id='search'>x</div></article>", "<main id='search' role='main'>x</main>", "<article><p class='share'>x</p></article>",
+        "<article><ul class='nav'><li class='menu-item'>x</ul></article>", "<div class='elementor-widget-text'>x</div>", "<div class='" + "nav-" * 3000 + "x'>x</div>",
+    ],
+)
+def test_names_that_an_article_may_have(html):
+    assert text_of(html) == "x"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "post comments-area", "share-buttons", "Social_Links", "main-nav", "site-header", "ad-slot", "cookie-notice", "related-posts", "nav__list", "log-in-form", "skip-link"])
+def test_names_that_are_not_the_article(name):
+    assert text_of(f"<div class='{name}'>n</div><p>x</p>") == text_of(f"<article><div id='{name}'>n</div><p>x</p></article>") == "x"
+
+
 def words(rnd, n=12):
     return " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
 
