@@ -33,6 +33,19 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), number)
 
 
+@pandas_udf(StringType())
+def ip6_bits(ips: pd.Series) -> pd.Series:
+    """The 128 bits of an IPv6 address as text, its zone left out; null for anything else."""
+
+    def one(ip: str | None) -> str | None:
+        try:
+            return f"{int(ipaddress.IPv6Address(ip)):0128b}" if isinstance(ip, str) else None
+        except ValueError:
+            return None
+
+    return ips.map(one).astype(object)
+
+
 def bounds(cidr: str) -> tuple[int, int]:
     """First and last address of an IPv4 block, host bits ignored."""
     net = ipaddress.ip_network(cidr, strict=False)

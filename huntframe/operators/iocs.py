@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huntframe.functions.net import host_of_uri, ip_number
+from huntframe.functions.net import host_of_uri, ip6_bits, ip_number
 from huntframe.functions.text import all_matches, blank, first_match
 from huntframe.operators.windows import numbered
 from huntframe.rules.libraries import IOCS
@@ -60,8 +60,8 @@ def _values(i: dict) -> tuple:
 def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip", name: str = "ip_ioc") -> DataFrame:
     """Adds the indicator of an address: exact, else the first block of the list that holds it.
 
-    A block is one row a prefix length in use; each record probes those lengths only.  IPv6
-    blocks are compared by their text only if they are single addresses.
+    A block is one row of its version, prefix length and leading bits; each address probes the
+    lengths in use of its version.
     """
     spark = records.sparkSession
     mine = [i for i in iocs if i["type"] == "ip"]
@@ -73,8 +73,8 @@ def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip"
                 net = ipaddress.ip_network(i["value"], strict=False)
             except ValueError:
                 continue
-            if net.version == 4:
-                blocks.append((net.prefixlen, int(net.network_address) >> (32 - net.prefixlen), i))
+            leading = int(net.network_address) >> (net.max_prefixlen - net.prefixlen)
+            blocks.append((net.version, net.prefixlen, str(leading) if net.version == 4 else f"{leading:b}".zfill(net.prefixlen)[: net.prefixlen], i))
     out = records
     if exact:
         table = _table(spark, [(v, *_values(i)) for v, i in exact.items()], "__value string")
@@ -83,14 +83,27 @@ def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip"
         out = out.withColumn("__exact", F.lit(None).cast(IOC))
     if not blocks:
         return out.withColumnRenamed("__exact", name)
-    lengths = sorted({p for p, _, _ in blocks})
-    table = _table(spark, [(p, b, *_values(i)) for p, b, i in blocks], "__length int, __block bigint")
-    number = ip_number(F.col("__ip"))
-    probes = F.array(*[F.struct(F.lit(p).alias("__length"), F.shiftrightunsigned(number, 32 - p).alias("__block")) for p in lengths])
+    lengths = sorted({(v, p) for v, p, _, _ in blocks})
+    table = _table(spark, [(v, p, b, *_values(i)) for v, p, b, i in blocks], "__version int, __length int, __block string")
+    number, bits = ip_number(F.col("__ip")), F.col("__bits")
+
+    def probes(version: int, block: Callable[[int], Column]) -> Column:
+        mine = [F.struct(F.lit(v).alias("__version"), F.lit(p).alias("__length"), block(p).alias("__block")) for v, p in lengths if v == version]
+        return F.array(*mine)
+
     # Only addresses are exploded and joined, each once, not records.
-    asked = records.select(F.col(column).alias("__ip")).where(number.isNotNull()).distinct()
-    asked = asked.select("__ip", F.explode(probes).alias("__probe"))
-    held = asked.join(table, (F.col("__probe.__length") == table["__length"]) & (F.col("__probe.__block") == table["__block"]))
+    six = any(v == 6 for v, _ in lengths)
+    asked = records.select(F.col(column).alias("__ip")).where(number.isNotNull() | (F.contains("__ip", F.lit(":")) & F.lit(six))).distinct()
+    four = probes(4, lambda p: F.shiftrightunsigned(number, 32 - p).cast("string"))
+    if six:
+        asked = asked.withColumn("__bits", ip6_bits("__ip"))
+        probe = F.when(bits.isNotNull(), probes(6, lambda p: F.substring(bits, 1, p)))
+        if any(v == 4 for v, _ in lengths):
+            probe = F.when(number.isNotNull(), four).otherwise(probe)
+    else:
+        probe = four
+    asked = asked.select("__ip", F.explode(probe).alias("__probe")).select("__ip", "__probe.*")
+    held = asked.join(table, ["__version", "__length", "__block"])
     first = held.groupBy("__ip").agg(F.min("__ioc").alias("__in"))
     out = out.join(first, out[column] == first["__ip"], "left")
     return out.withColumn(name, F.coalesce("__exact", "__in")).drop("__exact", "__in", "__ip")

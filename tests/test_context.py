@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import random
 
@@ -99,6 +100,27 @@ def test_indicators(spark):
     ]
 
 
+def test_blocks_of_both_versions(spark):
+    nets = ["2001:db8::/32", "2001:db8:0:1::/64", "fe80::/10", "::/3", "8000::/1", "128.0.0.0/1", "10.0.0.0/8", "0::ffff:0:0/96", "2001:db8::9", "2001:db8::9/128"]
+    known = iocs.indicators([("ip", n, "low", "x") for n in nets])
+    ips = [
+        "2001:db8::1", "2001:0DB8:0:1::5", "2001:db9::1", "fe80::1%eth0", "::1", "ff02::1", "200.1.1.1", "10.1.1.1", "::ffff:10.1.1.1", "2001:db8::9", "2001:db8:0:0::9", "9.9.9.9", "a:b", ":", "", None,
+    ]
+
+    def want(ip, listed):
+        try:
+            address = ipaddress.ip_address(ip)
+        except ValueError:
+            return None
+        return next((n for n in listed if n == ip and "/" not in n), None) or next((n for n in listed if "/" in n and address in ipaddress.ip_network(n)), None)
+
+    records = log(spark, [{"src_ip": ip} for ip in ips])
+    for listed in (nets, ["2001:db8::/32"], ["10.0.0.0/8"], ["::/0", "0.0.0.0/0"]):
+        mine = iocs.match_addresses(records, [i for i in known if i["value"] in listed] or iocs.indicators([("ip", n, "low", "x") for n in listed]))
+        assert [r.v for r in mine.orderBy("line_no").select(F.col("ip_ioc.value").alias("v")).collect()] == [want(ip, listed) for ip in ips]
+    assert {r.line_no for r in iocs.hits(iocs.matched(records, known[:1])).collect()} == {1, 2, 10, 11}
+
+
 def test_more_kinds_of_indicators(spark):
     rows = spark.createDataFrame([(1, "bad@X.org", "ab"), (2, "ok", "cd")], "i int, mail string, value string")
     got = iocs.match_values(rows, IOCS, ("email",), F.col("mail"), "m")
