@@ -9,23 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huntframe.llm import bpe, exact_dedup, mixing, queries, simhash, toxicity
 from huntframe.llm.store import written
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of the documents whose id is in ``ids``, one row each, whatever their columns are called.
+def with_rows(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """Of the documents whose id (null included) and text digest are in ``kept`` (``doc_id, digest``), one row each, whatever
+    their columns are called.
 
-    A row without an id can't be named by a decision, so it stays.
+    The first row of each id and text is found before the join, so repeated rows go within the tasks that read them.
     """
-    mine = ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(mine, docs["doc_id"] == mine["__kept_id"], "left_semi")
-    named = named.withColumn("__copy", F.row_number().over(first)).where("__copy = 1").drop("__copy")
-    return named.union(docs.where("doc_id IS NULL"))
+
+    def key(digest: Column) -> Column:
+        return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), digest)
+
+    mine = kept.select(key(F.col("digest")).alias("__kept"))
+    first = Window.partitionBy("__row").orderBy(F.xxhash64("text"))
+    one = docs.withColumn("__row", key(digest)).withColumn("__copy", F.row_number().over(first)).where("__copy = 1")
+    return one.join(mine, F.col("__row") == F.col("__kept"), "left_semi").drop("__copy", "__row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +40,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    return with_ids(docs, exact_dedup.exact_groups(docs).where("kept"))
+    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return with_rows(docs, kept, F.sha2(exact_dedup.normalised(F.col("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
-    return with_ids(docs, simhash.near_groups(docs).where("doc_id = component_id"))
+    """Of each group of near copies the smallest id stays; of its texts, if it has several there, the one of the smallest digest."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = simhash.near_components(docs, digest).where("doc_id <=> component_id")
+    kept = rows.groupBy("label").agg(F.first("component_id").alias("doc_id"), F.min("digest").alias("digest"))
+    return with_rows(docs, kept, digest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe.llm.components import components
@@ -61,13 +61,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed number), one row per row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """``doc_id, fp`` (the 64 bits as a signed number) and a text ``digest`` if one is given, one row per row of ``docs``."""
+    more = [] if digest is None else [digest.cast("string").alias("digest")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(
+        _fingerprint_batches, "doc_id long, fp long" + ", digest string" * len(more)
     )
 
 
@@ -159,6 +160,18 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
+def near_components(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """``near_groups`` with each row's ``digest`` and ``label``, which names its component whatever ids its rows have."""
+    prints = written(fingerprints(docs, digest), "simhash-prints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    labels = components(links(distinct))
+    placed = distinct.join(labels, distinct["fp"] == labels["u"], "left").select(
+        "fp", "first", F.coalesce("label", "fp").alias("label")
+    )
+    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    return prints.join(placed.join(smallest, "label").select("fp", "label", "component_id"), "fp", "left")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id``: one row per row of ``docs``, whatever its other columns.
 
@@ -166,13 +179,4 @@ def near_groups(docs: DataFrame) -> DataFrame:
     and wordless texts have fingerprint 0, linked like any other; null ids are never the
     smallest, and a component of null ids only has a null ``component_id``.
     """
-    prints = written(fingerprints(docs), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    labels = components(links(distinct))
-    placed = distinct.join(labels, distinct["fp"] == labels["u"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
-    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(smallest, "label").select("fp", "component_id"), "fp", "left").select(
-        "doc_id", "fp", "component_id"
-    )
+    return near_components(docs).select("doc_id", "fp", "component_id")

@@ -97,3 +97,26 @@ def test_run_is_the_stages(spark, kept, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, kept[-1].collect()))
     assert got.where(F.col("n_tokens").isNull()).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rnd = random.Random(22)
+    a, b, c, d, e = (" ".join(f"v{rnd.randrange(4000)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, c), (4, b.replace(" ", "  ")), (None, a), (None, e), (None, e), (None, "  ".join(e.split(" "))), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS).repartition(3)
+    exact = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert Counter((r.doc_id, WS.sub(" ", r.text or "")) for r in exact) == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, "")])
+    near = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert Counter((r.doc_id, WS.sub(" ", r.text or "")) for r in near) == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, "")])
+
+
+def test_near_texts_of_one_id(spark):
+    rnd = random.Random(23)
+    base = [f"v{rnd.randrange(4000)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base) + " tail", " ".join(base) + " end"]
+    groups = groups_by_hand([by_hand(t) for t in texts])
+    for ids in ((7, 7, 7), (None, None, None), (7, 7, 9), (None, 7, 7)):
+        docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+        assert len(got) == len(set(groups))
+        assert {r.text for r in got} <= set(texts)
