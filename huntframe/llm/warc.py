@@ -107,16 +107,18 @@ def with_record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     key = F.unhex(F.sha1(F.encode("html", "UTF-8")))
-    shared = (
+    # Written, so that the join is one of two tables: Spark splits a payload that a third of the pages share, as it can't
+    # where the other side is still being aggregated.
+    shared = written(
         rows.where(F.octet_length("html") >= min_bytes)
         .select("page_id", key.alias("sha"))
         .groupBy("sha")
         .agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND winner IS NOT NULL")
-        .select("sha", "winner")
+        .select("sha", "winner"),
+        "payloads",
     )
     again = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    # The right side has a row a payload: Spark splits a payload that a third of the pages share.
     return rows.withColumn("sha", key).join(shared, "sha", "left").select(
         "page_id",
         "url",
@@ -353,7 +355,7 @@ def resolved(records: DataFrame) -> DataFrame:
     records = written(records, "records")
     own = records.where(F.col("record_type") == RESPONSE)
     # One row a target, also if rows were repeated with its id.
-    full = own.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest")).agg(F.max("payload_bytes").alias("target_bytes"))
+    full = written(own.groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest")).agg(F.max("payload_bytes").alias("target_bytes")), "targets")
     again = records.where(F.col("record_type") == REVISIT).join(full, ["refers_to", "stated_digest"], "left")
     return own.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to").union(
         again.select("page_id", "url", "target_bytes", "stated_digest", "record_type", "refers_to")
