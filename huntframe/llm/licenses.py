@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Postings a template has at most, and the share of them that must agree.
 POSTINGS, AGREE = 6, 0.6
+#: Places of words have so many bits; an array has fewer than 2^31 entries.
+PLACE_BITS = 32
 
 #: Phrases whose every place counts: (label, words).
 BASE: tuple[tuple[str, str], ...] = (
@@ -163,20 +165,23 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
         return F.size(agree)
 
     def verified(x: Column) -> Column:
-        return (x["s"] >= 0) & (x["v"] >= F.get(every, x["t"])["need"]) & F.forall(
+        return (x["v"] >= F.get(every, x["t"])["need"]) & F.forall(
             F.get(every, x["t"])["phrases"], lambda q: F.slice(F.col("words"), x["s"] + q["o"] + 1, F.size(q["w"])) == q["w"]
         )
 
     hits = F.array_compact(
         F.transform("words", lambda w, i: F.when(w.isin(sorted(lookup)), F.struct(i.alias("i"), w.alias("w"))))
     )
-    starts = F.array_distinct(
-        F.flatten(F.transform("hits", lambda h: F.transform(by_word[h["w"]], lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("s")))))
-    )
-    scored = F.transform(
-        F.filter("starts", lambda x: x["s"] >= 0),
-        lambda x: F.struct(x["t"].alias("t"), x["s"].alias("s"), votes(x["t"], x["s"]).alias("v")),
-    )
+    # A template and where it would start are one number: Spark finds equal numbers by hash, equal structs by comparing all pairs.
+    def proposed(h: Column) -> Column:
+        fits = F.filter(by_word[h["w"]], lambda q: h["i"] >= q["p"])
+        return F.transform(fits, lambda q: F.shiftleft(q["t"].cast("long"), PLACE_BITS) + (h["i"] - q["p"]))
+
+    starts = F.array_distinct(F.flatten(F.transform("hits", proposed)))
+
+    def scored(x: Column) -> Column:
+        t, s = F.shiftright(x, PLACE_BITS).cast("int"), x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        return F.struct(t.alias("t"), s.alias("s"), votes(t, s).alias("v"))
 
     def labels_of(found: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: F.get(every, x["t"])["label"]))), ",")
@@ -184,7 +189,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     found = (
         rows.withColumn("hits", hits)
         .withColumn("starts", starts)
-        .withColumn("found", F.filter(scored, verified))
+        .withColumn("found", F.filter(F.transform("starts", scored), verified))
         .select("doc_id", F.size("words").cast("long").alias("n_words"), "found")
         .withColumn("places", F.transform(F.filter("found", lambda x: F.get(every, x["t"])["base"]), lambda x: x["s"]))
         .withColumn("base_found", F.filter("found", lambda x: F.get(every, x["t"])["base"]))

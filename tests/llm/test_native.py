@@ -154,12 +154,58 @@ def test_license_base(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-@pytest.mark.parametrize("label,text,phrases", licenses.TEMPLATES)
-def test_license_templates(spark, label, text, phrases):
-    moved = f"Some words first. {text.upper()} and more"
-    broken = " ".join(w for w in moved.split() if w.lower() not in phrases[0].split())
-    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(spark, [(1, moved, "s"), (2, broken, "s"), (3, "plain", "s")])).collect()}
-    assert label in got[1] and label not in got[2] and got[3] == [""]
+def test_license_templates(spark):
+    rows = []
+    for k, (_, text, phrases) in enumerate(licenses.TEMPLATES):
+        moved = f"Some words first. {text.upper()} and more"
+        rows += [(2 * k, moved, "s"), (2 * k + 1, " ".join(w for w in moved.split() if w.lower() not in phrases[0].split()), "s")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(spark, [*rows, (999, "plain", "s")])).collect()}
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[2 * k] and label not in got[2 * k + 1]
+    assert got[999] == [""]
+
+
+def labels_by_hand(texts):
+    """Labels and score of each text: every template tried at every place."""
+    words = [WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    templates = [(label, t.split(), None) for label, t in licenses.BASE] + [(label, t.split(), phrases) for label, t, phrases in licenses.TEMPLATES]
+    out = []
+    for mine in words:
+        labels, best = set(), 0.0
+        for label, want, phrases in templates:
+            if phrases is None:
+                rare, need = sorted(set(want)), len(set(want))
+                keys = [(0, want)]
+            else:
+                rare = sorted(set(want), key=lambda w: (sum(w in d for d in words), w))[: licenses.POSTINGS]
+                need = licenses.AGREE * len(rare)
+                keys = [(next(i for i in range(len(want)) if want[i : i + len(k.split())] == k.split()), k.split()) for k in phrases]
+            for s in range(len(mine)):
+                agree = sum(s + want.index(w) < len(mine) and mine[s + want.index(w)] == w for w in rare)
+                if agree and agree >= need - 1e-9 and all(mine[s + o : s + o + len(k)] == k for o, k in keys):
+                    labels.add(label)
+                    best = max(best, agree / len(rare))
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+def test_license_labels_and_score(spark):
+    rnd = random.Random(6)
+    texts = license_texts()[:60] + [None, ""]
+    for _ in range(150):  # templates with words lost, added and exchanged, between other words
+        _, text, _ = rnd.choice(licenses.TEMPLATES)
+        words = [rnd.choice(["the", "x", w, w + " a"]) if rnd.random() < 0.08 else w for w in text.split()]
+        texts.append(" ".join(["z"] * rnd.randint(0, 4) + words + ["license"] * rnd.randint(0, 3)))
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = labels_by_hand(texts)
+    assert [(got[i].labels, round(got[i].score, 9)) for i in range(len(texts))] == [(a, round(b, 9)) for a, b in want]
+    assert len({a for a, _ in want}) > 12 and any(0 < b < 1 for _, b in want)
+
+
+def test_license_words_that_repeat(spark):
+    n = 80_000
+    got = licenses.scan(docs(spark, [(1, "mit license " * n, "s")])).collect()[0]
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.labels) == (2 * n, n, 0, 2 * n - 2, "mit")
 
 
 def test_license_empty(spark):
