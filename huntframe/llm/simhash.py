@@ -146,7 +146,8 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp``, enough for all components at 2 bits."""
     keys = prints.select("fp").mapInArrow(_key_batches, "key long, fp long")
     keys = written(keys, "simhash-keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, as what a hot key is joined with must be a table for Spark to split the key's rows.
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
     shared = keys.join(sizes, "key")
     few = shared.where(F.col("n") <= CROWD).select("key", "fp")
     other = few.select("key", F.col("fp").alias("v"))
@@ -155,8 +156,8 @@ def links(prints: DataFrame) -> DataFrame:
     ).select("u", "v")
     many = shared.where(F.col("n") > CROWD).select("fp").distinct()
     balls = many.mapInArrow(_ball_batches, "point long, fp long")
-    lowest = balls.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = balls.join(lowest.drop("n"), "point").where("fp != v").select(F.col("fp").alias("u"), "v")
+    lowest = balls.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = balls.join(written(lowest, "simhash-lowest"), "point").where("fp != v").select(F.col("fp").alias("u"), "v")
     return pairs.union(stars)
 
 
@@ -165,11 +166,13 @@ def near_components(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     prints = written(fingerprints(docs, digest), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = components(links(distinct))
-    placed = distinct.join(labels, distinct["fp"] == labels["u"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
+    # A component and a fingerprint may have a third of all rows: each join is one of two written tables.
+    placed = written(
+        distinct.join(labels, distinct["fp"] == labels["u"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-placed"
     )
-    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(smallest, "label").select("fp", "label", "component_id"), "fp", "left")
+    smallest = written(placed.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-smallest")
+    named = written(placed.join(smallest, "label").select("fp", "label", "component_id"), "simhash-named")
+    return prints.join(named, "fp", "left")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
