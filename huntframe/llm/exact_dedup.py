@@ -8,9 +8,9 @@ row with the smallest ``doc_id`` of a run stays.
   long the texts are.  Comparison is always over the whole text.
 * A text that many rows share is salted into parts of bounded size, so a third of all rows
   with one text is sorted by many tasks.  The list of such texts has at most
-  ``4 x partitions`` hashes, which is what bounds the broadcast.
-* Parts of one text meet again as rows of (SHA-256, smallest id, count), aggregated before
-  they are shuffled.
+  ``4 x partitions`` hashes, which is what bounds the broadcasts.
+* A row learns its group from the run it stands in, where it stands.  Only the parts of salted
+  texts meet again, as rows of (SHA-256, smallest id, count).
 """
 
 from __future__ import annotations
@@ -40,47 +40,49 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    light = written(
-        norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")),
-        "dedup-digests",
-    )
     n_parts = partitions(spark)
-    limit = max(HOT_ROWS, light.count() // (4 * n_parts))
-    hot = light.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    counts = written(norm.groupBy(F.xxhash64("norm").alias("h")).agg(F.count(F.lit(1)).alias("n")), "dedup-counts")
+    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * n_parts))
+    hot = counts.where(F.col("n") > limit)
 
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("long")
     salt = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), parts))
     ranged = (
         norm.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
-        .select("doc_id", "norm", "h", F.substring("norm", 1, 64).alias("head"), salt.cast("long").alias("salt"))
+        .select("doc_id", "norm", "h", F.substring("norm", 1, 64).alias("head"), salt.cast("long").alias("salt"), F.col("n").isNotNull().alias("hot"))
         .repartitionByRange(n_parts, "head", "h", "salt")
     )
     place = Window.partitionBy("head", "h", "salt").orderBy("norm", F.col("doc_id").asc_nulls_last())
     before = F.lag("norm").over(place)
-    runs = (
+    # The neighbour alone says where a run of equal texts begins; its digest is taken there, once.
+    starts = (
         ranged.withColumn("starts", before.isNull() | (before != F.col("norm")))
         .withColumn("run", F.sum(F.col("starts").cast("long")).over(place))
-        .withColumn("sha", F.when(F.col("starts"), F.unhex(F.sha2("norm", 256))))
-        .groupBy("head", "h", "salt", "run")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("sha").alias("sha"))
+        .select("doc_id", "head", "h", "salt", "hot", "run", F.col("starts").alias("kept"), F.when(F.col("starts"), F.unhex(F.sha2("norm", 256))).alias("sha"))
+    )
+    # Texts are left behind; a run's rows are still where they were.
+    run = Window.partitionBy("head", "h", "salt", "run")
+    members = written(
+        starts.select(
+            "doc_id",
+            "hot",
+            "kept",
+            F.max("sha").over(run).alias("sha"),
+            F.min("doc_id").over(run).alias("keep_id"),
+            F.count(F.lit(1)).over(run).alias("group_size"),
+        ),
+        "dedup-members",
     )
-    groups = written(runs.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups")
 
-    same = light.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    # Rows of a hot text find their group without being shuffled by it; there are as few hot groups as hot texts.
-    crowded = F.broadcast(groups.where(F.col("group_size") > limit))
-    placed = same.join(crowded, "sha").unionByName(same.join(crowded, "sha", "left_anti").join(groups, "sha"))
-    return placed.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    ).select(
+    # The parts of a hot text meet as one row each.  Equal ids, null among them, are in one part, so one row stays.
+    parted = members.where("hot AND kept").groupBy("sha").agg(F.min("keep_id").alias("least"), F.sum("group_size").alias("all"))
+    whole = members.where("NOT hot").select("doc_id", "keep_id", "group_size", "kept", "sha")
+    split = members.where("hot").join(F.broadcast(parted), "sha").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        "text_sha256",
+        F.col("least").alias("keep_id"),
+        F.col("all").alias("group_size"),
+        (F.col("kept") & F.col("keep_id").eqNullSafe(F.col("least"))).alias("kept"),
+        "sha",
     )
+    return whole.unionByName(split).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
