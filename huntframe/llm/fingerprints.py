@@ -9,7 +9,13 @@ A fingerprint is what is kept of the arrays: the length, the hash of the whole t
 hashes of the prefixes and suffixes of s, 2s, 3s, ... characters, where s is the smallest power
 of two that needs at most ``STEPS`` of them.  Strides of different texts divide each other, so
 two fingerprints have common checkpoints, and binary search over these finds how far the texts
-agree from the front and from the back.  Their likeness is that share of the longer text.
+agree from the front and from the back.
+
+Text that moved, or that stands between two changes, agrees at no checkpoint.  So the arrays are
+also asked for the hash of every span of ``SPAN`` characters; the spans fall into ``BINS`` bins
+by their hash, and a byte of each bin's smallest is kept.  The share of bins that agree is about
+the share of spans that two texts have in common.  The likeness of two fingerprints is the larger
+of the two shares.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +33,8 @@ from huntframe.llm.store import partitions, written
 
 PRIMES, BASES = (2147483647, 2147483629), (1000003791, 1389796177)
 STEPS = 32
+#: Characters of a span, and bins of the sketch of all spans.
+SPAN, BINS = 16, 64
 _CHUNK = 1 << 16
 
 
@@ -38,6 +47,10 @@ def _powers(base: int, prime: int) -> np.ndarray:
 
 _POWERS = [_powers(b, p) for b, p in zip(BASES, PRIMES, strict=True)]
 _INVERSE = [pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True)]
+_BACK = _powers(_INVERSE[1], PRIMES[1])
+
+
+_NONE = np.uint64((1 << 64) - 1)
 
 
 class Prefixes:
@@ -86,12 +99,30 @@ class Prefixes:
             low, high = (mid, high) if self.equal(i, other, k, mid) else (low, mid - 1)
         return low
 
+    def spans(self, size: int = SPAN) -> Iterator[np.ndarray]:
+        """The hashes of all spans of ``size`` characters (of the whole text if it is shorter), a chunk at a time."""
+        p, h = np.uint64(PRIMES[1]), self.h[1]
+        size = min(size, self.n)
+        for at in range(0, self.n - size + 1 if size else 0, _CHUNK):
+            part = (h[at + size : at + size + _CHUNK] + p - h[at : at + _CHUNK][: self.n - size + 1 - at]) % p
+            part = part * _BACK[: len(part)] % p
+            yield part * np.uint64(pow(_INVERSE[1], at, PRIMES[1])) % p if at else part
+
+    def sketch(self) -> bytes:
+        """A byte from 1 to 255 for the smallest span of each bin, 0 for an empty bin."""
+        least = np.full(BINS, _NONE)
+        for part in self.spans():
+            mixed = part * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype(np.intp), mixed >> np.uint64(6))
+        return np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
     def fingerprint(self) -> str:
-        """length . whole hash . prefix checkpoints . suffix checkpoints, in hexadecimal."""
+        """length . whole hash . prefix checkpoints . suffix checkpoints . sketch of the spans, in hexadecimal."""
         marks = range(stride(self.n), self.n + 1, stride(self.n))
         front = "".join(f"{int(self.h[0][m]):08x}" for m in marks)
         back = "".join(f"{self.span(self.n - m, self.n):08x}" for m in marks)
-        return f"{self.n:x}.{int(self.h[0][-1]):08x}{int(self.h[1][-1]):08x}.{front}.{back}"
+        return f"{self.n:x}.{int(self.h[0][-1]):08x}{int(self.h[1][-1]):08x}.{front}.{back}.{self.sketch().hex()}"
 
 
 def stride(n: int) -> int:
@@ -102,13 +133,18 @@ def stride(n: int) -> int:
 
 
 def likeness(a: str, b: str) -> float:
-    """From two fingerprints, the share of the longer text that agrees from the front and the back."""
+    """From two fingerprints, the share of the longer text that agrees from the front and the back, or
+    that of the spans that both have, if it is larger."""
     if a == b:
         return 1.0
-    (na, _, *xs), (nb, _, *ys) = a.split("."), b.split(".")
+    (na, _, *xs, us), (nb, _, *ys, vs) = a.split("."), b.split(".")
     na, nb = int(na, 16), int(nb, 16)
     if not na or not nb:
         return 0.0
+    u, v = bytes.fromhex(us), bytes.fromhex(vs)
+    full = sum(i > 0 or j > 0 for i, j in zip(u, v, strict=True))
+    # Of bins that differ one in 255 agrees by chance.
+    moved = max(0.0, (sum(i == j > 0 for i, j in zip(u, v, strict=True)) / full - 1 / 255) / (1 - 1 / 255))
     step = max(stride(na), stride(nb))
     same = 0
     for x, y in zip(xs, ys, strict=True):
@@ -119,10 +155,10 @@ def likeness(a: str, b: str) -> float:
             u, v = 8 * (mid * ja - 1), 8 * (mid * jb - 1)
             low, high = (mid, high) if x[u : u + 8] == y[v : v + 8] else (low, mid - 1)
         same += low * step
-    return min(same, min(na, nb)) / max(na, nb)
+    return max(min(same, min(na, nb)) / max(na, nb), moved)
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, front_edited long, front_next long"
 _NAMES = [f.split(" ")[0] for f in FIELDS.split(", ")]
 
 
@@ -134,32 +170,32 @@ def compare(text: str, here: Prefixes, after: str, there: Prefixes) -> tuple:
     words = text[: here.n - k] + after[:size]
     own, other, changed = here.fingerprint(), there.fingerprint(), edited.fingerprint()
     digest = sha256(words.encode("utf-8", "surrogatepass")).hexdigest()
-    return here.n, digest, own, changed, likeness(own, changed), likeness(own, other)
+    return here.n, digest, own, changed, likeness(own, changed), likeness(own, other), here.extension(0, edited, 0), here.extension(0, there, 0)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order: each is compared with the next.  kind 0: done; 1 and 2: a partition's first and last text."""
-    schema = pa.schema([*[pa.field(n, t) for n, t in zip(_NAMES, _TYPES, strict=True)], ("kind", pa.int32()), ("text", pa.string())])
-    last = None
+    """Rows in order: each is compared with the next.  kind 0: done; 1 and 2: the first and last text of partition ``part``."""
+    schema = pa.schema([*[pa.field(n, t) for n, t in zip(_NAMES, _TYPES, strict=True)], ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+    last, part, blank = None, TaskContext.get().partitionId(), [None] * (len(_NAMES) - 1)
     rows: list[tuple] = []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             arrays = Prefixes(text)
             if last is None:
-                rows.append((doc_id, *[None] * 6, 1, text))
+                rows.append((doc_id, *blank, 1, part, text))
             else:
-                rows.append((last[0], *compare(last[1], last[2], text, arrays), 0, None))
+                rows.append((last[0], *compare(last[1], last[2], text, arrays), 0, part, None))
             last = (doc_id, text, arrays)
             if len(rows) >= 500:
                 yield _batch(rows, schema)
                 rows = []
     if last is not None:
-        rows.append((last[0], *[None] * 6, 2, last[1]))
+        rows.append((last[0], *blank, 2, part, last[1]))
     if rows:
         yield _batch(rows, schema)
 
 
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -177,31 +213,31 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint and its likeness to its edited text and to the next document.
 
-    Next is the next smaller ``doc_id`` (of equal ids, by text; null ids come last), after the
-    last the first; a single document is its own next.  Null texts are empty, and two empty
-    texts are alike (1.0); an empty one and another are not (0.0).  The edited text has the
-    last half of its characters (rounded down) replaced by as many of the next document's, or
-    all it has.  Other columns are ignored.
+    Next is the next smaller ``doc_id`` (of equal ids, by a hash of the text, then by text; null ids
+    come last), after the last the first; a single document is its own next.  Null texts are
+    empty, and two empty texts are alike (1.0); an empty one and another are not (0.0).  The
+    edited text has the last half of its characters (rounded down) replaced by as many of the
+    next document's, or all it has.  ``front_edited`` and ``front_next`` are the characters from
+    the start that are the same, found by binary search.  Other columns are ignored.
 
     One shuffle of the texts sorts them into ranges; each task walks its range with the text
-    before in hand.  Only the first and last text of every range, two rows a partition, go
-    through one more task that pairs them.
+    before in hand.  The first and last text of every range, two rows a partition, meet by the
+    number of the partition; only those numbers are sorted in one task.
     """
     spark = docs.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text").desc()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     walked = written(
-        rows.repartitionByRange(partitions(spark), F.col("doc_id").desc_nulls_last())
+        rows.repartitionByRange(partitions(spark), *order[:2])
         .sortWithinPartitions(*order)
-        .mapInArrow(_walk, f"{FIELDS}, kind int, text string"),
+        .select("doc_id", "text")
+        .mapInArrow(_walk, f"{FIELDS}, kind int, part int, text string"),
         "fingerprints",
     )
-    ends = walked.where("kind > 0").select("doc_id", "kind", "text")
-    line = Window.orderBy(F.col("doc_id").desc_nulls_last(), "kind")
+    lasts, firsts = (walked.where(F.col("kind") == k).select("doc_id", "part", "text") for k in (2, 1))
+    line = Window.orderBy("part")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = (
-        ends.withColumn("after", F.coalesce(F.lead("text").over(line), F.first("text").over(whole)))
-        .where("kind = 2")
-        .select("doc_id", "text", "after")
-    )
+    follows = lasts.select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(whole)).alias("next"))
+    after = firsts.select(F.col("part").alias("next"), F.col("text").alias("after"))
+    pairs = lasts.join(follows, "part").join(after, "next").select("doc_id", "text", "after")
     return walked.where("kind = 0").select(*_NAMES).union(pairs.mapInArrow(_ends, FIELDS))

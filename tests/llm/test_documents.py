@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+from collections import Counter
 from hashlib import sha1, sha256
 
 import pytest
@@ -196,6 +197,27 @@ def test_prefix_hashes():
     assert joined.fingerprint() == fingerprints.Prefixes(a[:1500] + b[:700]).fingerprint()
 
 
+def test_hashes_of_all_spans():
+    text = "".join(random.Random(8).choices("ab", k=70_000))
+    p = fingerprints.Prefixes(text)
+    found = [int(x) for part in p.spans() for x in part]
+    assert len(found) == len(text) - fingerprints.SPAN + 1
+    assert all(found[i] == p.span(i, i + fingerprints.SPAN, 1) for i in range(0, len(found), 97))
+    assert [int(x) for part in fingerprints.Prefixes("abc").spans() for x in part] == [fingerprints.Prefixes("abc").span(0, 3, 1)]
+    assert not list(fingerprints.Prefixes("").spans())
+
+
+def test_likeness_of_moved_and_framed_text():
+    rnd = random.Random(9)
+    a = " ".join(f"w{rnd.randrange(9000)}" for _ in range(800))
+    other = " ".join(f"v{rnd.randrange(9000)}" for _ in range(800))
+    near = lambda x, y: fingerprints.likeness(fingerprints.Prefixes(x).fingerprint(), fingerprints.Prefixes(y).fingerprint())
+    assert near(a, "!" + a + "!") > 0.9
+    assert near(a, a[2000:] + a[:2000]) > 0.9
+    assert near(a, other) < 0.1
+    assert 0.3 < near(a, a[:2000] + other[2000:]) < 0.8
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_likeness_is_the_shared_ends(seed):
     rnd = random.Random(seed)
@@ -206,7 +228,9 @@ def test_likeness_is_the_shared_ends(seed):
     front = lcp(a, b)
     back = min(lcp(a[::-1], b[::-1]), min(len(a), len(b)) - front)
     true = (front + back) / max(len(a), len(b))
-    assert true - 2 / 16 <= got <= true + 1e-9
+    spans = [{t[i : i + fingerprints.SPAN] for i in range(len(t) - fingerprints.SPAN + 1)} for t in (a, b)]
+    both = len(spans[0] & spans[1]) / max(1, len(spans[0] | spans[1]))
+    assert true - 2 / 16 <= got <= max(true, both + 0.2) + 1e-9
     assert fingerprints.likeness("", "") == 1.0
 
 
@@ -226,9 +250,18 @@ def test_next_documents(spark):
         assert r.fingerprint == fingerprints.Prefixes(t).fingerprint() and r.edited_fingerprint == fingerprints.Prefixes(edited).fingerprint()
         assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
         assert r.near_next == fingerprints.likeness(r.fingerprint, fingerprints.Prefixes(u).fingerprint())
+        assert (r.front_edited, r.front_next) == (lcp(t, edited), lcp(t, u))
     assert got[13].fingerprint == got[15].fingerprint
 
 
+def test_many_documents_without_an_id(spark):
+    texts = sorted({f"text {i}" for i in range(300)})
+    df = spark.createDataFrame([(None, t) for t in texts] * 2, "doc_id long, text string").repartition(4)
+    got = fingerprints.with_next(df)
+    want = Counter(fingerprints.Prefixes(t).fingerprint() for t in texts * 2)
+    assert Counter(r.fingerprint for r in got.collect()) == want
+
+
 def test_one_document_and_none(spark):
     one = fingerprints.with_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == sha256(b"abab").hexdigest()
