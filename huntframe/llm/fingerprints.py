@@ -21,6 +21,7 @@ of the two shares.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -89,6 +90,9 @@ class Prefixes:
 
     def equal(self, i: int, other: Prefixes, k: int, size: int) -> bool:
         """Whether ``size`` characters from i here and from k there are the same."""
+        if i == k:  # equally far from the start: the powers are the same
+            pairs = zip(self.h, other.h, PRIMES, strict=True)
+            return all((int(x[i + size]) - int(x[i]) - int(y[i + size]) + int(y[i])) % p == 0 for x, y, p in pairs)
         return all(self.span(i, i + size, w) == other.span(k, k + size, w) for w in (0, 1))
 
     def extension(self, i: int, other: Prefixes, k: int) -> int:
@@ -117,11 +121,19 @@ class Prefixes:
             np.minimum.at(least, (mixed & np.uint64(BINS - 1)).astype(np.intp), mixed >> np.uint64(6))
         return np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
+    @cached_property
     def fingerprint(self) -> str:
         """length . whole hash . prefix checkpoints . suffix checkpoints . sketch of the spans, in hexadecimal."""
-        marks = range(stride(self.n), self.n + 1, stride(self.n))
-        front = "".join(f"{int(self.h[0][m]):08x}" for m in marks)
-        back = "".join(f"{self.span(self.n - m, self.n):08x}" for m in marks)
+        step, p = stride(self.n), PRIMES[0]
+        steps = self.n // step
+        front = self.h[0][step :: step].tolist()
+        whole, starts = int(self.h[0][-1]), self.h[0][self.n - steps * step : self.n : step].tolist()
+        # Suffixes from the longest on: the power that moves each to the front is a step more than the one before.
+        power, more, back = pow(_INVERSE[0], self.n - steps * step, p), pow(_INVERSE[0], step, p), []
+        for h in starts:
+            back.append((whole - h) * power % p)
+            power = power * more % p
+        front, back = ("".join(f"{h:08x}" for h in x) for x in (front, reversed(back)))
         return f"{self.n:x}.{int(self.h[0][-1]):08x}{int(self.h[1][-1]):08x}.{front}.{back}.{self.sketch().hex()}"
 
 
@@ -168,7 +180,7 @@ def compare(text: str, here: Prefixes, after: str, there: Prefixes) -> tuple:
     size = min(k, there.n)
     edited = Prefixes.joined(here, here.n - k, there, size)
     words = text[: here.n - k] + after[:size]
-    own, other, changed = here.fingerprint(), there.fingerprint(), edited.fingerprint()
+    own, other, changed = here.fingerprint, there.fingerprint, edited.fingerprint
     digest = sha256(words.encode("utf-8", "surrogatepass")).hexdigest()
     return here.n, digest, own, changed, likeness(own, changed), likeness(own, other), here.extension(0, edited, 0), here.extension(0, there, 0)
 

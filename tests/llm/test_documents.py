@@ -194,7 +194,7 @@ def test_prefix_hashes():
         assert p.extension(i, q, k) == lcp(a[i:], b[k:])
     assert p.extension(1000, q, 0) >= 1000
     joined = fingerprints.Prefixes.joined(p, 1500, q, 700)
-    assert joined.fingerprint() == fingerprints.Prefixes(a[:1500] + b[:700]).fingerprint()
+    assert joined.fingerprint == fingerprints.Prefixes(a[:1500] + b[:700]).fingerprint
 
 
 def test_hashes_of_all_spans():
@@ -211,7 +211,7 @@ def test_likeness_of_moved_and_framed_text():
     rnd = random.Random(9)
     a = " ".join(f"w{rnd.randrange(9000)}" for _ in range(800))
     other = " ".join(f"v{rnd.randrange(9000)}" for _ in range(800))
-    near = lambda x, y: fingerprints.likeness(fingerprints.Prefixes(x).fingerprint(), fingerprints.Prefixes(y).fingerprint())
+    near = lambda x, y: fingerprints.likeness(fingerprints.Prefixes(x).fingerprint, fingerprints.Prefixes(y).fingerprint)
     assert near(a, "!" + a + "!") > 0.9
     assert near(a, a[2000:] + a[:2000]) > 0.9
     assert near(a, other) < 0.1
@@ -224,7 +224,7 @@ def test_likeness_is_the_shared_ends(seed):
     a = "".join(rnd.choices("abcd", k=rnd.randint(50, 4000)))
     cut = rnd.randint(0, len(a))
     b = a[:cut] + "".join(rnd.choices("wxyz", k=rnd.randint(1, 300))) + a[min(len(a), cut + rnd.randint(0, 300)) :]
-    got = fingerprints.likeness(fingerprints.Prefixes(a).fingerprint(), fingerprints.Prefixes(b).fingerprint())
+    got = fingerprints.likeness(fingerprints.Prefixes(a).fingerprint, fingerprints.Prefixes(b).fingerprint)
     front = lcp(a, b)
     back = min(lcp(a[::-1], b[::-1]), min(len(a), len(b)) - front)
     true = (front + back) / max(len(a), len(b))
@@ -247,9 +247,9 @@ def test_next_documents(spark):
         edited = t[: len(t) - k] + u[:k]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == fingerprints.Prefixes(t).fingerprint() and r.edited_fingerprint == fingerprints.Prefixes(edited).fingerprint()
+        assert r.fingerprint == fingerprints.Prefixes(t).fingerprint and r.edited_fingerprint == fingerprints.Prefixes(edited).fingerprint
         assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
-        assert r.near_next == fingerprints.likeness(r.fingerprint, fingerprints.Prefixes(u).fingerprint())
+        assert r.near_next == fingerprints.likeness(r.fingerprint, fingerprints.Prefixes(u).fingerprint)
         assert (r.front_edited, r.front_next) == (lcp(t, edited), lcp(t, u))
     assert got[13].fingerprint == got[15].fingerprint
 
@@ -258,7 +258,7 @@ def test_many_documents_without_an_id(spark):
     texts = sorted({f"text {i}" for i in range(300)})
     df = spark.createDataFrame([(None, t) for t in texts] * 2, "doc_id long, text string").repartition(4)
     got = fingerprints.with_next(df)
-    want = Counter(fingerprints.Prefixes(t).fingerprint() for t in texts * 2)
+    want = Counter(fingerprints.Prefixes(t).fingerprint for t in texts * 2)
     assert Counter(r.fingerprint for r in got.collect()) == want
 
 
