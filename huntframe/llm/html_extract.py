@@ -6,21 +6,25 @@ and which texts it had.  A text that occurs in k of the node's m pages has entro
 log k / log m, so a node's content counts for 1 - the mean entropy of its texts: 1 where every
 page says something else, 0 where all say the same.  A node's presentation counts for the
 entropy of its child sequences.  A branch's importance is the mean over its nodes, by their
-texts, discounted with depth.
-
-From each page the branches go whose element or class names say what they are (menus, headers,
-footers, forms, comments, ...), which count nowhere in the tree, and those that are of no
-importance on its host, themselves and all below them.  Where a page marks its article
-(``article`` or ``main``), the article is what is kept, and the tree decides about boxes inside
-it, never about one around it; else the tree decides about the page.  Names are whole tokens of
-class, id and role; what they leave in doubt (``has-sidebar``, ``comments-open``, ``notice``)
-the tree decides.  A host with fewer than
-``FEW_PAGES`` pages of a branch says nothing about it.  The flow of an article (paragraphs,
-headings, lists, tables, quotes) is never cut by importance, so passages that many articles
-share stay.
+texts, discounted with depth.  Pages of one host with the same html are one page of its tree.
+
+A branch of a page stays if what speaks for it outweighs what speaks against it:
+
+* The tree's evidence is ``(importance - UNDECIDED) * WEIGHT``, times 1 - 2 / (m + 1): one page of a
+  branch says nothing, two little, and there is no number of pages at which a rule changes.
+* Markup is a prior (``PRIORS``): a box or a paragraph stays unless its site says that it is the
+  same everywhere; in an element marked as the article (``article``, ``main``) paragraphs weigh
+  more than any evidence, so that passages that many articles share stay; and what stands beside
+  a marked article, or is called a menu, header, footer, form, advert, comment, ..., weighs less than
+  any evidence.  The latter count nowhere in the tree.
+
+A branch goes only together with all below it.  A page that would lose all of its text has
+nothing to compare: it is left to the priors.  Names are whole tokens of class, id and role;
+what they leave in doubt (``has-sidebar``, ``comments-open``, ``notice``) the tree decides.
 
 The tree is built from counts, aggregated before they are shuffled: a host with a third of all
-pages is no larger a group than its template.
+pages is no larger a group than its template.  Parsing takes time in proportion to the page,
+however its tags are broken.
 """
 
 from __future__ import annotations
@@ -37,13 +41,17 @@ from pyspark.sql import functions as F
 
 from huntframe.llm.store import written
 
-FEW_PAGES = 8
-IMPORTANT = 0.4
+UNDECIDED, WEIGHT = 0.6, 2.5
+#: What markup says for a branch; evidence is between -1.5 and 1.
+PRIORS = {"article": 3.0, "flow of a marked article": 2.0, "any other": 0.5}
 DISCOUNT = 0.9
 #: A table of hosts' branches is broadcast up to this many rows, of some 100 bytes each.
 BROADCAST_BRANCHES = 100_000
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag that has no ``<`` inside; it is never looked for beyond the next one.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^<>\"]*+\"|'[^<>']*+')*+)>")
+OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Fixed values of the HTML standard.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noframes"}
@@ -58,8 +66,8 @@ FLOW = {
     "tbody", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "hr",
 }
 CLOSES_P = (FLOW | {"address", "article", "aside", "div", "footer", "form", "header", "main", "nav", "section"}) - {"tbody", "tr", "td", "th"}
-#: An open element that a new one of the same kind ends, and where the search for it stops.
-ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
+#: Elements that a new one of some name ends, and where the search for an open one stops.
+ENDS = (({"p"}, CLOSES_P, None), ({"li"}, {"li"}, {"ul", "ol"}), ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), ({"tr"}, {"tr"}, {"table"}), ({"td", "th"}, {"td", "th"}, {"tr"}))
 #: Elements that are never main text.
 NOT_TEXT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "fieldset", "search"} | RAW
 # Whole tokens of class, id and role that say that a branch is not the article: one or more such words, joined by
@@ -125,59 +133,96 @@ def _made(parent: Node, name: str, attributes: str) -> Node:
     return node
 
 
+def _tag_end(html: str, at: int, plain: int) -> tuple[int, int]:
+    """Where a tag ends that has a ``>`` somewhere, and up to where quotes in tags mean nothing.
+
+    A quote that never closes would be looked for again by every tag before it, so up to there
+    the next ``>`` ends a tag.
+    """
+    i = at
+    while at >= plain:
+        m = QUOTE_OR_END.search(html, i)
+        if m is None:
+            plain = len(html)
+        elif m[0] == ">":
+            return m.end(), plain
+        else:
+            i = html.find(m[0], m.end()) + 1
+            if not i:
+                plain = m.end()
+    return html.find(">", at) + 1, plain
+
+
+def markup(html: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, "/" or "", name, attributes, end) of each tag; comments and declarations have no name."""
+    start = at = plain = 0
+    last = html.rfind(">")
+    while (lt := html.find("<", at)) >= 0:
+        slash = name = attributes = ""
+        if m := TAG.match(html, lt):
+            (slash, name, attributes), end = m.groups(), m.end()
+        elif html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4) + 3
+            end = len(html) if end < 3 else end
+        elif lt > last:
+            break
+        elif html.startswith(("<!", "<?"), lt):
+            end = html.find(">", lt) + 1
+        elif m := OPENING.match(html, lt):
+            end, plain = _tag_end(html, m.end(), plain)
+            slash, name, attributes = m[1], m[2], html[m.end() : end - 1]
+        else:
+            at = lt + 1
+            continue
+        skipped = yield html[start:lt], slash, name.lower(), attributes, end
+        start = at = end if skipped is None else skipped
+    yield html[start:], "", "", "", len(html)
+
+
 def parsed(html: str | None) -> Node:
     """The block elements of a page; inline elements only carry text.  Never fails on bad markup."""
     html = html or ""
     root = Node("#page", _hash(""), False, False)
     stack = [root]
-    at, end = 0, len(html)
-    while at < end:
-        m = TAG.search(html, at)
-        if m is None:
-            stack[-1].parts.append(html[at:])
+    near = [(0,) * len(ENDS)]  # for each level and row of ENDS, the level of the open element that it would end, or 0
+    opened: dict[str, int] = {}
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.name] -= 1
+        del stack[depth:], near[depth:]
+
+    tags = markup(html)
+    found = next(tags, None)
+    while found is not None:
+        text, slash, name, attributes, end = found
+        skip = None
+        if text:
+            stack[-1].parts.append(text)
+        if slash:
+            if opened.get(name):
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name))
+        elif name == "br":
+            stack[-1].parts.append(" ")
+        elif name in RAW:
+            m = re.compile(rf"</{name}(?![a-z0-9:-])", re.I).search(html, end)
+            skip = html.find(">", m.end()) + 1 if m else 0
+            skip = skip or len(html)
+        elif name and name not in INLINE:
+            for k, (_, by, _) in enumerate(ENDS):
+                if name in by and near[-1][k]:
+                    close(near[-1][k])
+            node = _made(stack[-1], name, attributes)
+            if name not in VOID and not attributes.rstrip().endswith("/"):
+                at = len(stack)
+                line = [at if name in ends else 0 if (name not in FLOW if stops is None else name in stops) else up for (ends, _, stops), up in zip(ENDS, near[-1], strict=True)]
+                stack.append(node)
+                near.append(tuple(line))
+                opened[name] = opened.get(name, 0) + 1
+        try:
+            found = tags.send(skip)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            if name not in INLINE:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        del stack[depth:]
-                        break
-            elif name == "br":
-                stack[-1].parts.append(" ")
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
-            continue
-        if name in INLINE:
-            if name == "br":
-                stack[-1].parts.append(" ")
-            continue
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].name not in FLOW:
-                    break
-        if name in ENDED_BY:
-            ends, stops = ENDED_BY[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in ends:
-                    del stack[depth:]
-                    break
-                if stack[depth].name in stops:
-                    break
-        node = _made(stack[-1], name, m[3])
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
     return root
 
 
@@ -218,7 +263,7 @@ def nodes(root: Node) -> Iterator[tuple[Node, list[int]]]:
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page, once each: (host, path, ancestors, kind, what).  kind 0: child sequences, 1: texts.
+    """Per page, once each: (host, path, ancestors, kind, what).  kind 0: child sequences, 1: texts, 2: the page itself.
 
     Ancestors are those 1, 2, 4, 8, ... levels above, as far as there are any.  Branches that are cut by what they are called count nowhere.
     """
@@ -233,6 +278,7 @@ def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 above[node.path] = [line[-(1 << k)] for k in range(len(line).bit_length())]
                 children = [p.path for p in node.parts if not isinstance(p, str) and not p.cut]
+                rows.add((node.path, 2, 0))
                 rows.add((node.path, 0, _hash(repr([x for i, x in enumerate(children) if i == 0 or x != children[i - 1]]))))
             for node, text in blocks(root):
                 if not node.cut:
@@ -253,7 +299,7 @@ def host_of(url: Column) -> Column:
 
 
 def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
-    """The hosts' style trees: ``host, path, pages, importance`` of every branch.
+    """The hosts' style trees, from (host, html): ``host, path, pages, importance`` of every branch.
 
     ``pieces`` are the rows of ``_styles``; all counting is by (host, path, what), partial first.
     A branch has the sums of all levels below it.  Step k knows the sums of the next 2^k levels of
@@ -261,7 +307,7 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
     takes log2 n steps.
     """
     if pieces is None:
-        pieces = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(
+        pieces = pages.select("host", F.col("html").cast("string")).mapInArrow(
             _styles, "host string, path long, above array<long>, kind int, what long"
         )
     counted = pieces.groupBy("host", "path", "kind", "what").agg(F.count(F.lit(1)).alias("k"), F.first("above").alias("above"))
@@ -270,7 +316,8 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
         counted.groupBy("host", "path")
         .agg(
             F.first("above").alias("above"),
-            F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("m"),
+            F.sum(F.when(F.col("kind") == 2, F.col("k"))).alias("m"),
+            F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("styles"),
             F.sum(F.when(F.col("kind") == 0, F.col("k") * F.log("k"))).alias("klogk_style"),
             F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("texts"),
             F.sum(F.when(F.col("kind") == 1, F.col("k") * F.log("k"))).alias("klogk_text"),
@@ -278,8 +325,7 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
     )
     log_m = F.log("m")
     content = F.when(F.col("m") > 1, 1 - F.col("klogk_text") / F.col("texts") / log_m).otherwise(1.0)
-    # - sum p log_m p with p = k / m
-    style = F.when(F.col("m") > 1, 1 - F.col("klogk_style") / F.col("m") / log_m).otherwise(1.0)
+    style = F.when(F.col("m") > 1, 1 - F.col("klogk_style") / F.col("styles") / log_m).otherwise(1.0)
     weight = F.coalesce("texts", F.lit(0)).cast("double")
     node = F.when(weight > 0, content).otherwise(style)
     w = F.greatest(weight, F.lit(0.05) * F.col("m"))
@@ -295,30 +341,50 @@ def branch_importance(pages: DataFrame, pieces: DataFrame | None = None) -> Data
     return sums.select("host", "path", (F.col("node_w") / F.col("w")).alias("importance"), "pages")
 
 
-def main_text(root: Node, unimportant: set[int]) -> str:
-    """The blocks that stay, joined by newlines.
+def evidence(importance: Column, pages: Column) -> Column:
+    """What a site's tree says for (positive) or against a branch of so many of its pages."""
+    return (importance - UNDECIDED) * WEIGHT * (1 - 2 / (pages + 1))
 
-    A box goes if it and all below it that has text are unimportant.
-    """
+
+def main_text(root: Node, against: dict[int, float]) -> str:
+    """The blocks that stay, joined by newlines; ``against`` has the (negative) evidence for paths."""
     order = [node for node, _ in nodes(root)]
-    marked = any(node.marked and any(isinstance(p, str) and p.strip() for p in node.parts) for node in order)
+    has_text = {id(n) for n in order if any(isinstance(p, str) and p.strip() for p in n.parts)}
+    marked = any(n.marked and id(n) in has_text for n in order)
+
+    def prior(n: Node) -> float:
+        if n.name in ("#page", "html", "body") or (n.marked and n.name in ARTICLE):
+            return PRIORS["article"]
+        if n.marked and n.name in FLOW:
+            return PRIORS["flow of a marked article"]
+        return PRIORS["any other"]
+
     full: set[int] = set()
     noisy: set[int] = set()
-    for node in reversed(order):  # children before parents
-        below = [p for p in node.parts if not isinstance(p, str)]
-        if not node.cut and (any(id(p) in full for p in below) or any(isinstance(p, str) and p.strip() for p in node.parts)):
-            full.add(id(node))
-        article = node.marked and node.name in ARTICLE
-        if id(node) not in full or (node.path in unimportant and not article and all(id(p) in noisy for p in below)):
-            noisy.add(id(node))
+    for n in reversed(order):  # children before parents
+        below = [id(p) for p in n.parts if not isinstance(p, str)]
+        if not n.cut and (id(n) in has_text or not full.isdisjoint(below)):
+            full.add(id(n))
+        if id(n) not in full or (prior(n) + against.get(n.path, 0.0) <= 0 and noisy.issuperset(below)):
+            noisy.add(id(n))
     dropped: set[int] = set()
-    for node in order:
-        box = id(node) in noisy and node.name not in FLOW and node.name not in ARTICLE and node.name not in ("#page", "html", "body")
-        if box or id(node) in dropped:
-            dropped.add(id(node))
-            dropped.update(id(p) for p in node.parts if not isinstance(p, str))
-    kept = [text for node, text in blocks(root) if not node.cut and (node.marked or not marked) and id(node) not in dropped]
-    return "\n".join(kept)
+    for n in order:
+        if id(n) in noisy or id(n) in dropped:
+            dropped.add(id(n))
+            dropped.update(id(p) for p in n.parts if not isinstance(p, str))
+    # Beside a marked article nothing has enough evidence.
+    named = [(n, text) for n, text in blocks(root) if not n.cut and (n.marked or not marked)]
+    kept = [text for n, text in named if id(n) not in dropped]
+    return "\n".join(kept or [text for _, text in named])
+
+
+def different(pages: DataFrame) -> DataFrame:
+    """Of a host's pages with the same html one (the smallest ``page_id``), as what a tree is made of."""
+    rows = pages.withColumn("h", F.xxhash64("html"))
+    again = rows.groupBy("host", "h").agg(F.min("page_id").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again.select("host", "h", "one"), "same-pages")
+    with_one = rows.join(F.broadcast(again) if again.count() <= BROADCAST_BRANCHES else again.hint("merge"), ["host", "h"], "left")
+    return with_one.where(F.col("one").isNull() | (F.col("page_id") == F.col("one"))).select("host", "html")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -335,21 +401,24 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
     low = written(
-        branch_importance(rows)
-        .where((F.col("pages") >= FEW_PAGES) & (F.col("importance") < IMPORTANT))
+        branch_importance(different(rows))
+        .withColumn("says", evidence(F.col("importance"), F.col("pages")))
+        .where(F.col("says") <= -PRIORS["any other"])  # no less than this ever decides
         .groupBy("host")
-        .agg(F.collect_set("path").alias("low")),
+        .agg(F.collect_list("path").alias("paths"), F.collect_list("says").alias("says")),
         "unimportant",
     )
-    size = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    size = low.agg(F.sum(F.size("paths"))).first()[0] or 0
     with_low = rows.join(F.broadcast(low) if size <= BROADCAST_BRANCHES else low.hint("merge"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parsed(h), set(x or ())) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for html, paths, says in zip(*batch.columns[2:], strict=True):  # one page at a time as Python objects
+                texts.append(main_text(parsed(html.as_py()), dict(zip(paths.as_py() or (), says.as_py() or (), strict=True))))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return with_low.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_low.select("page_id", "url", "html", "paths", "says").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
+import time
 from collections import Counter
 from hashlib import sha1, sha256
 
@@ -75,8 +77,12 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><scrip
   b</pre></article><aside>Side</aside><section id="comments"><p>First!</p></section><footer>Foot</footer></body></html>"""
 
 
+def with_hosts(pages):
+    return pages.withColumn("host", html_extract.host_of(F.col("url")))
+
+
 def text_of(html):
-    return html_extract.main_text(html_extract.parsed(html), set())
+    return html_extract.main_text(html_extract.parsed(html), {})
 
 
 def test_article():
@@ -106,7 +112,7 @@ def test_style_tree_drops_what_all_pages_of_a_site_share(spark):
         lines = got[i].text.split("\n")
         assert len(lines) == 2 and lines[1] == "Shared passage of many articles." and got[i].n_chars == len(got[i].text)
     assert got[100].text == "Only page" and got[101].text == got[102].text == ""
-    importance = html_extract.branch_importance(pages(spark, rows).select(html_extract.host_of(F.col("url")).alias("host"), "html", "url"))
+    importance = html_extract.branch_importance(with_hosts(pages(spark, rows)))
     assert importance.where("importance < 0 OR importance > 1.0000001").count() == 0
     assert html_extract.extract(pages(spark, [])).count() == 0
 
@@ -152,7 +158,7 @@ def test_texts_count_for_all_levels_above(spark):
     rnd = random.Random(7)
     texts = [words(rnd) for _ in range(20)]
     rows = [(i, f"http://deep.org/{i}", f"<body><div class='top'>Welcome</div>{'<div>' * 20}{t}{'</div>' * 20}") for i, t in enumerate(texts)]
-    found = html_extract.branch_importance(pages(spark, rows)).where("pages = 20").select("importance").collect()
+    found = html_extract.branch_importance(with_hosts(pages(spark, rows))).where("pages = 20").select("importance").collect()
     assert len(found) == 23 and sum(r[0] == 0 for r in found) == 1
     got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
     assert got == dict(enumerate(texts))
@@ -162,13 +168,144 @@ def test_importance_is_the_faded_mean_of_all_below(spark):
     # Per level one text: of 4 pages each has its own (1) or all have the same (0).
     shared = [i % 3 == 0 for i in range(13)]
     rows = [(i, f"http://x.org/{i}", "".join(f"<div>{'all' if same else i} {k}" for k, same in enumerate(shared))) for i in range(4)]
-    got = sorted(r.importance for r in html_extract.branch_importance(pages(spark, rows)).collect())
+    got = sorted(r.importance for r in html_extract.branch_importance(with_hosts(pages(spark, rows))).collect())
     own = [(0.0, 0.2), *[(0.0 if same else 1.0, 4.0) for same in shared]]
     faded = [[w * 0.9**d for d, (_, w) in enumerate(own[at:])] for at in range(len(own))]
     want = sorted(sum(n * f for (n, _), f in zip(own[at:], fs, strict=True)) / sum(fs) for at, fs in enumerate(faded))
     assert got == pytest.approx(want)
 
 
+def planted_site(rnd, k):
+    """A site without telling names: pages with their article's blocks, and what all its pages share.  Markup is the site's own."""
+    name = lambda: rnd.choice("bcdfg") + rnd.choice("aeiou") + rnd.choice("klmnp") + str(k)
+    top, bottom, body, box = (name() for _ in range(4))
+    menu = "".join(f"<li><a href='/{i}'>{words(rnd, 2)}</a>" for i in range(rnd.randint(3, 9)))
+    notice, imprint, kind = words(rnd, 8), words(rnd, 6), rnd.choice(["div", "section"])
+    out = []
+    for i in range(rnd.randint(8, 16)):
+        blocks_ = [words(rnd, rnd.randint(5, 40)) for _ in range(rnd.randint(2, 7))]
+        article = f"<h1>{blocks_[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks_[1:])
+        html = f"<html><body><div class={top}><ul>{menu}</ul></div><{kind} class={box}>{notice}</{kind}><div class={body}>{article}</div><div class='{bottom}'><p>{imprint}</p></div></body></html>"
+        out.append((1000 * k + i, f"https://www.site{k}.org/{i}", html, blocks_))
+    return out
+
+
+def test_sites_without_names(spark):
+    """The tree finds the planted text of every page; without it every page differs."""
+    rnd = random.Random(11)
+    rows = [r for k in range(6) for r in planted_site(rnd, k)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, [r[:3] for r in rows])).collect()}
+    assert got == {i: "\n".join(want) for i, _, _, want in rows}
+    assert all(text_of(html) != got[i] for i, _, html, _ in rows)
+
+
+def by_definition(site):
+    """Text of each page of one site: importance, evidence and choice written out as recursions over all pages."""
+    trees = [html_extract.parsed(h) for h in sorted(set(site))]
+    seen: dict[int, list] = {}  # per path: pages, child sequences, texts, child paths
+
+    def walk(n, page):
+        kids = [p for p in n.parts if not isinstance(p, str) and not p.cut]
+        entry = seen.setdefault(n.path, [set(), {}, {}, set()])
+        entry[0].add(page)
+        row = tuple(p.path for i, p in enumerate(kids) if i == 0 or p.path != kids[i - 1].path)
+        entry[1].setdefault(row, set()).add(page)
+        entry[3].update(p.path for p in kids)
+        for owner, text in html_extract.blocks(n):
+            if owner is n:
+                entry[2].setdefault(text, set()).add(page)
+        for p in kids:
+            walk(p, page)
+
+    for i, t in enumerate(trees):
+        walk(t, i)
+    entropy = lambda sizes, m: sum(k * math.log(k) for k in sizes) / sum(sizes) / math.log(m)
+
+    def own(path):
+        m, styles, texts = (len(x) if i == 0 else [len(p) for p in x.values()] for i, x in enumerate(seen[path][:3]))
+        if m == 1:
+            return 1.0, max(float(len(texts)), 0.05)
+        return 1 - (entropy(texts, m) if texts else entropy(styles, m)), max(float(sum(texts)), 0.05 * m)
+
+    def sums(path, fade=1.0):
+        value, weight = own(path)
+        below = [sums(p, fade * html_extract.DISCOUNT) for p in seen[path][3]]
+        return fade * weight * value + sum(a for a, _ in below), fade * weight + sum(b for _, b in below)
+
+    says = {}
+    for path in seen:
+        a, b = sums(path)
+        m = len(seen[path][0])
+        says[path] = (a / b - 0.6) * 2.5 * (1 - 2 / (m + 1))
+
+    def chosen(html):
+        root = html_extract.parsed(html)
+        marked = any(n.marked and any(o is n for o, _ in html_extract.blocks(root)) for n, _ in html_extract.nodes(root))
+
+        def noisy(n):
+            if n.cut:
+                return True
+            kids = [p for p in n.parts if not isinstance(p, str)]
+            texts = [t for o, t in html_extract.blocks(n) if o is n]
+            prior = 3.0 if n.name in ("#page", "html", "body") or (n.marked and n.name in ("article", "main")) else 2.0 if n.marked and n.name in html_extract.FLOW else 0.5
+            silent = not texts and all(noisy(p) for p in kids)
+            return silent or (prior + min(0.0, says[n.path]) <= 0 and all(noisy(p) for p in kids))
+
+        def kept(n, dropped):
+            gone = dropped or noisy(n)
+            mine = {id(n)} if not gone and not n.cut and (n.marked or not marked) else set()
+            return mine.union(*(kept(p, gone) for p in n.parts if not isinstance(p, str)))
+
+        ids = kept(root, False)
+        allowed = [(id(n), t) for n, t in html_extract.blocks(root) if not n.cut and (n.marked or not marked)]
+        return "\n".join([t for i, t in allowed if i in ids] or [t for _, t in allowed])
+
+    return [chosen(h) for h in site]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_the_definition(spark, seed):
+    rnd = random.Random(seed)
+    shared = [words(rnd, 4) for _ in range(6)]
+
+    def branch(depth):
+        kind = rnd.choice(["div", "div", "div class=a", "div class='b c'", "section", "p", "ul", "table", "span", "nav", "div class=sidebar", "article" if depth < 2 and rnd.random() < 0.2 else "div"])
+        inner = "".join(branch(depth + 1) for _ in range(rnd.randint(0, 3))) if depth < 4 else ""
+        text = rnd.choice([*shared, words(rnd, 5), words(rnd, 5), "", ""])
+        return f"<{kind}>{text}{inner}</{kind.split()[0]}>"
+
+    sites = []
+    for _ in range(8):  # a site's pages have some branches in common
+        same = [f"<div class=q{i}>{branch(1)}{rnd.choice(shared)}</div>" for i in range(3)]
+        sites.append([f"<body>{same[0]}{branch(0)}<div class=r>{branch(1)}{same[1]}</div>{rnd.choice(same)}</body>" for _ in range(rnd.randint(1, 14))])
+    sites = [site + site[:2] for site in sites]  # copies count once
+    rows = [(1000 * k + i, f"http://h{k}.org/{i}", h) for k, site in enumerate(sites) for i, h in enumerate(site)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    want = {1000 * k + i: t for k, site in enumerate(sites) for i, t in enumerate(by_definition(site))}
+    assert got == want
+    assert any(text_of(h) != got[i] for i, _, h in rows)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a " * 350_000, "<a " * 350_000 + ">", "<div title=\"" * 80_000, "<a \">\" " * 150_001 + "\"", "<script>" + "</script " * 120_000, "<!--" * 250_000, "<!x" * 350_000, "<div>" * 100_000 + "</section>" * 90_000,
+        "<ul>" + "<div>" * 50_000 + "<li></li>" * 80_000, "<p><x-y>" + "<ul>" * 200_000, "<div a='" * 120_000 + "x>", "&" * 1_000_000, "<" * 1_000_000, "<div " + "a " * 500_000 + ">t", "<p>" * 330_000, "<tr><td>" * 120_000,
+        "<div class='" + "nav-" * 250_000 + "'>t</div>",
+    ],
+    ids=range(17),
+)
+def test_a_megabyte_of_broken_markup(html):
+    began = time.process_time()
+    text_of(html)
+    assert time.process_time() - began < 8
+
+
+def test_quotes_that_never_close():
+    assert text_of("<p title=\">a</p><p>b</p>") == "a\nb"
+    assert text_of("<p title='x>y'>a</p><p title=\"x>b") == "a\nb"
+
+
 def test_registered_pages(spark, sf):
     got = queries.op3_html_text(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
