@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.llm.store import let_go, written
+from huntframe.llm.store import letting_go, write
 
 ORDER, ALPHA = 3, 0.4
 BLOCK_CHARS, RANGE_WORDS = 10_000_000, 400_000
@@ -304,14 +304,15 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER,
     spark = docs.sparkSession
     own = corpus is None
     made = blocks(docs)
-    made = written(made if own else made.union(blocks(corpus, asks=False)), "lm-blocks")
+    path = write(made if own else made.union(blocks(corpus, asks=False)), "lm-blocks")
+    made = spark.read.schema(BLOCK).parquet(path)
     total = made.where("asks" if own else "NOT asks").agg(F.sum("words")).first()[0] or 0
     ranges = ranges_of(total)
-    asked = made.select("block", "sizes", "texts", "asks").mapInArrow(_asked(order, ranges), "part int, block long, keys binary, counts binary, asks boolean")
-    answers = written(asked.groupBy("part").applyInArrow(_answered(order, ranges, own), "block long, part int, totals binary"), "lm-answers")
-    # The n-grams' shuffle files are larger than the text: let Spark's cleaner have them now.
-    del asked
-    let_go(spark)
+    # The n-grams' shuffle files are larger than the text: the session of this query deletes them when it is done.
+    grams = letting_go(spark).read.schema(BLOCK).parquet(path).select("block", "sizes", "texts", "asks")
+    asked = grams.mapInArrow(_asked(order, ranges), "part int, block long, keys binary, counts binary, asks boolean")
+    totals = "block long, part int, totals binary"
+    answers = spark.read.schema(totals).parquet(write(asked.groupBy("part").applyInArrow(_answered(order, ranges, own), totals), "lm-answers"))
     texts = made.where("asks").select("block", "ids", "sizes", "texts")
     return (
         answers.groupBy("block")

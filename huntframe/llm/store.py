@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -14,11 +14,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    """The folder named by ``spark.checkpoint.dir``.
+
+    One of our own only where it is unset on a single machine (tests); a cluster without it is an error.
+    """
+    named = spark.conf.get(SETTING, None)
     if not named:
-        named = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="huntframe-")
-        _own[spark.sparkContext.applicationId] = named
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all machines share")
+        app = spark.conf.get("spark.app.id")
+        named = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="huntframe-")
+        _own[app] = named
     return named.rstrip("/")
 
 
@@ -27,36 +33,40 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage durably.
+def write(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet in the shared folder; returns where.
 
     Zstandard, since most of these tables are read once or twice and hold digests and texts.
     """
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    return path
 
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete what ``written`` wrote, once nothing will read it again."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for top in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if top.startswith(shared_dir(spark).replace("file:///", "file:/")) or top.startswith(shared_dir(spark)):
-                path = jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back: cuts the lineage durably."""
+    path = write(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def let_go(spark: SparkSession) -> None:
-    """Have Spark's cleaner delete the shuffle files of jobs that nothing refers to any more.
 
-    The cleaner follows the driver's garbage collection, first of Python's handles, then of
-    what they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing will read it again.  Where this machine can't open the shared folder they stay."""
+    top = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(top):
+            try:
+                fs, at = pafs.FileSystem.from_uri(folder)
+            except (pa.ArrowInvalid, OSError):
+                continue
+            fs.delete_dir(at)
+
+
+def letting_go(spark: SparkSession) -> SparkSession:
+    """A session in which the shuffle files of a finished query are deleted at once; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
 
 
 def partitions(spark: SparkSession) -> int:
