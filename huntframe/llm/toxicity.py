@@ -5,10 +5,11 @@ probabilities of the categories before it.  In training those probabilities are
 for each fold they come from models fitted on the other folds, so that a later model does not
 trust an earlier one more than it will be able to.
 
-The labels hold one flag, so a category's training labels are that flag and a seed word of
-the category in the text (``CATEGORIES``, a parameter); the last category, ``toxic``, is the
-flag itself, and the features that decide it are learned: the words, and their first 3 to 7
-letters (once, or shared by several words), that tell labelled documents apart, in any language.
+Labels may have a flag for each category (``categories``).  Where they have the one flag ``toxic``,
+the categories before it are found in the data: the toxic documents of the sample are clustered
+by the features that lean to toxic documents, and a category is the flag within one cluster
+(``KINDS`` of them, the smaller first).  All features are learned: the words, and their first 3
+to 7 letters (once, or shared by several words), that tell labelled documents apart, in any language.
 
 Training reads at most ``max_labelled`` labelled documents, those with the smallest hash of
 the id; that bounds what the driver holds.  Scoring runs over whole texts where Spark has
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +30,8 @@ from pyspark.sql import functions as F
 
 from huntframe.llm.store import written
 
-#: Seed words of the categories that come before ``toxic``, in the order of the chain.
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash", "scum"),
-}
+#: Kinds of toxic documents that are looked for where the labels name none.
+KINDS = 2
 MAX_LABELLED, MAX_FEATURES, FOLDS = 8000, 1200, 3
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7)
@@ -148,19 +146,48 @@ def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(neg, pa.int64()), pa.array(pos, pa.int64())], ["feature", "neg", "pos"])
 
 
+def kinds_of(x: np.ndarray, kinds: int = KINDS, rounds: int = 30) -> np.ndarray:
+    """A number from 0 (the smallest cluster) up for each row of a 0/1 matrix: clusters of rows by their features' cosine.
+
+    Rare features weigh more.  Starts from rows that are least alike; the same rows give the same clusters.
+    """
+    found = x.sum(axis=0)
+    rows = x * np.log((len(x) + 1) / (found + 0.5)) if len(x) else x
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    if len(rows) <= kinds:
+        return np.arange(len(rows))
+    centres = rows[[int((rows @ rows.mean(axis=0)).argmin())]]
+    while len(centres) < kinds:
+        centres = np.vstack([centres, rows[int((rows @ centres.T).max(axis=1).argmin())]])
+    for _ in range(rounds):
+        own = (rows @ centres.T).argmax(axis=1)
+        sums = np.array([rows[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(kinds)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    order = np.argsort(np.bincount(own, minlength=kinds), kind="stable")
+    return np.argsort(order)[own]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, tuple[str, ...]] = CATEGORIES,
+    categories: Sequence[str] = (),
+    kinds: int = KINDS,
     max_labelled: int = MAX_LABELLED,
     max_features: int = MAX_FEATURES,
 ) -> Chain:
-    """Fit on the labelled documents.  Null flags and ids are left out, of repeated labels the largest counts."""
+    """Fit on the labelled documents.
+
+    ``categories`` are 0/1 columns of ``labels`` that come before ``toxic`` in the chain; without any
+    they are ``kinds`` clusters.  Null flags and ids are left out (a null category counts as 0), of
+    repeated labels the largest counts.
+    """
+    flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"is_{k}") for k, c in enumerate(categories)]
+    names = [f"is_{k}" for k in range(len(categories))]
     known = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), *flags)
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").alias("toxic"), *[F.max(n).alias(n) for n in names])
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
@@ -168,31 +195,32 @@ def train(
     sample = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(known), "doc_id")
-        .select("doc_id", "toxic", "text"),
+        .select("doc_id", "toxic", "text", F.array(*names).cast("array<int>").alias("flags")),
         "labelled",
     )
     features = chosen_features(sample, max_features)
-    seeds = list(categories.values())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(features)}
         for batch in batches:
-            sets = [features_of(t) for t in batch.column(2).to_pylist()]
-            hits = [sorted(place[f] for f in s if f in place) for s in sets]
-            seeded = [[int(bool(s & set(words))) for words in seeds] for s in sets]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(seeded, pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "hits", "seeded"],
-            )
-
-    rows = sample.mapInArrow(encode, "doc_id long, toxic int, hits array<int>, seeded array<int>").toArrow()
-    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "hits", "toxic", "seeded")), strict=True))
+            hits = [sorted(place[f] for f in features_of(t.as_py()) if f in place) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(hits, pa.list_(pa.int32())), batch.column(3)], ["doc_id", "toxic", "hits", "flags"])
+
+    rows = sample.mapInArrow(encode, "doc_id long, toxic int, hits array<int>, flags array<int>").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "hits", "toxic", "flags")), strict=True))
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, (_, hits, _, _) in enumerate(rows):
         x[i, hits] = 1
     toxic = np.array([r[2] for r in rows], np.int64)
-    flags = {c: toxic * np.array([r[3][k] for r in rows], np.int64) for k, c in enumerate(categories)}
-    return fit_chain(x, features, flags | {"toxic": toxic})
+    if categories:
+        before = {c: np.array([r[3][k] for r in rows], np.int64) for k, c in enumerate(categories)}
+    else:
+        mine = toxic > 0
+        leaning = x[mine].mean(axis=0) > x[~mine].mean(axis=0) if mine.any() and not mine.all() else np.ones(len(features), bool)
+        kind = np.full(len(rows), -1)
+        kind[mine] = kinds_of(x[mine][:, leaning], kinds)
+        before = {f"kind_{k + 1}": (kind == k).astype(np.int64) for k in range(kinds)}
+    return fit_chain(x, features, before | {"toxic": toxic})
 
 
 class Scorer:

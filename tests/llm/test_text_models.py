@@ -50,6 +50,15 @@ def test_exact_merging_alone_gives_the_same():
         assert np.frombuffer(codec.known[w], "<u4").tolist() == codec.merged_exactly(w.encode())
 
 
+def test_texts_of_many_megabytes(spark, library):
+    text = "the quick 12 über-fox  " * 200_000 + "z" * 300_000
+    df = spark.createDataFrame([(1, text), (2, "the quick")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.digests(df, queries.vocabulary()).collect()}
+    assert got[1].n_tokens == len(library.encode(text, add_special_tokens=False).ids) and got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    scores = {r.doc_id: r for r in lm_score.score(df).collect()}
+    assert scores[1].n_words == 800_001 and list(scores[2].by_order) == [0, 1, 1, 0]
+
+
 def test_bpe_tables(spark, library):
     rows = [(1, "hello world", "x"), (2, None, "x"), (2, None, "x"), (None, "a", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -153,10 +162,10 @@ def test_toxicity_on_held_out_documents(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (900, None, "x")], "doc_id long, text string, p string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2] + [(0, None), (None, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels)
-    assert chain.names == ["insult", "contempt", "toxic"]
+    assert chain.names == ["kind_1", "kind_2", "toxic"]
     assert [len(w) for w in chain.weights] == [len(chain.features) + 1 + k for k in range(3)]  # each sees the ones before
     got = toxicity.scored(docs, chain)
-    assert got.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "rejected"]
+    assert got.columns == ["doc_id", "p_kind_1", "p_kind_2", "p_toxic", "rejected"]
     said = {r.doc_id: r.rejected for r in got.collect()}
     held = [(y, said[i]) for i, _, y in rows if i % 2 == 0]
     assert sum(s for y, s in held if y) >= 0.9 * sum(y for y, _ in held)
@@ -166,6 +175,25 @@ def test_toxicity_on_held_out_documents(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not s for i, s in said.items()) + 1
 
 
+def test_kinds_are_found_in_the_data():
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 3, 300) // 2  # twice as many of the first
+    x = np.hstack([(rng.random((300, 8)) < np.where(kind == k, 0.5, 0.02)[:, None]) for k in range(2)] + [rng.random((300, 10)) < 0.3]).astype(np.float32)
+    got = toxicity.kinds_of(x)
+    assert (got == 1 - kind).mean() > 0.95 and (got == toxicity.kinds_of(x)).all()
+    assert toxicity.kinds_of(x[:1]).tolist() == [0] and toxicity.kinds_of(x[:0]).tolist() == []
+
+
+def test_toxicity_with_named_categories(spark):
+    rows = chain_fixture()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, int("idiot" in t) if i % 3 else None) for i, t, y in rows], "doc_id long, toxic int, insult int")
+    got = toxicity.scored(docs, toxicity.train(docs, labels, ["insult"]))
+    assert got.columns == ["doc_id", "p_insult", "p_toxic", "rejected"]
+    said = {r.doc_id: r for r in got.collect()}
+    assert all((said[i].p_insult > 0.5) == ("idiot" in t) and said[i].rejected == bool(y) for i, t, y in rows if i % 3)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
