@@ -30,41 +30,52 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, " ")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+def _hot_texts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(h, n) of the hashes of ``norm`` that more rows have than the limit, and the limit."""
+    counts = written(rows.groupBy(F.xxhash64("norm").alias("h")).agg(F.count(F.lit(1)).alias("n")), "dedup-counts")
+    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(rows.sparkSession)))
+    return counts.where(F.col("n") > limit), limit
 
-    Null texts are empty texts.  A null ``doc_id`` loses against any other; where all ids of
-    a group are null, ``keep_id`` is null and one row stays.  Of rows repeated with the same
-    id and text one stays.  Other columns are ignored, whatever their names; an empty table
-    gives an empty result.
-    """
-    spark = docs.sparkSession
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
-    n_parts = partitions(spark)
-    counts = written(norm.groupBy(F.xxhash64("norm").alias("h")).agg(F.count(F.lit(1)).alias("n")), "dedup-counts")
-    limit = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * n_parts))
-    hot = counts.where(F.col("n") > limit)
 
+#: Rows that are next to each other after the sort.
+_PLACE = ("head", "h", "salt")
+
+
+def _sorted(rows: DataFrame, hot: DataFrame, limit: int, *ties: Column) -> DataFrame:
+    """``rows`` (``doc_id, norm`` and others) in the order of their texts, with ``head, h, salt, hot, starts, run``.
+
+    Comparing a row with its neighbour alone says where a run of equal texts begins (``starts``).
+    """
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("long")
     salt = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), parts))
     ranged = (
-        norm.withColumn("h", F.xxhash64("norm"))
+        rows.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
-        .select("doc_id", "norm", "h", F.substring("norm", 1, 64).alias("head"), salt.cast("long").alias("salt"), F.col("n").isNotNull().alias("hot"))
-        .repartitionByRange(n_parts, "head", "h", "salt")
+        .withColumns({"head": F.substring("norm", 1, 64), "salt": salt.cast("long"), "hot": F.col("n").isNotNull()})
+        .drop("n")
+        .repartitionByRange(partitions(rows.sparkSession), *_PLACE)
     )
-    place = Window.partitionBy("head", "h", "salt").orderBy("norm", F.col("doc_id").asc_nulls_last())
+    place = Window.partitionBy(*_PLACE).orderBy("norm", F.col("doc_id").asc_nulls_last(), *ties)
     before = F.lag("norm").over(place)
-    # The neighbour alone says where a run of equal texts begins; its digest is taken there, once.
-    starts = (
-        ranged.withColumn("starts", before.isNull() | (before != F.col("norm")))
-        .withColumn("run", F.sum(F.col("starts").cast("long")).over(place))
-        .select("doc_id", "head", "h", "salt", "hot", "run", F.col("starts").alias("kept"), F.when(F.col("starts"), F.unhex(F.sha2("norm", 256))).alias("sha"))
-    )
-    # Texts are left behind; a run's rows are still where they were.
-    run = Window.partitionBy("head", "h", "salt", "run")
+    starts = ranged.withColumn("starts", before.isNull() | (before != F.col("norm")))
+    return starts.withColumn("run", F.sum(F.col("starts").cast("long")).over(place))
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    Null texts are empty texts.  A null ``doc_id`` loses against any other; where all ids of
+    a group are null, ``keep_id`` is null and one row stays.  Of rows repeated with the same
+    id and text one stays.  Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+    found = _sorted(rows, *_hot_texts(rows))
+    # Texts are left behind, their digest is taken once a run; a run's rows are still where they were.
+    light = found.select(*_PLACE, "doc_id", "hot", "run", F.col("starts").alias("kept"), F.when(F.col("starts"), F.unhex(F.sha2("norm", 256))).alias("sha"))
+    run = Window.partitionBy(*_PLACE, "run")
     members = written(
-        starts.select(
+        light.select(
             "doc_id",
             "hot",
             "kept",
@@ -86,3 +97,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "sha",
     )
     return whole.unionByName(split).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with their columns as they were.
+
+    Rows are sorted once and stay where they are.  Of rows with one id and equal texts that of
+    the smallest hash of the text stays.  The smallest id of a hot text is found beforehand: one
+    row a hot text, which is what is broadcast.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"), own)
+    hot, limit = _hot_texts(rows.select("norm"))
+    sha = F.sha2("norm", 256).alias("sha")
+    crowded = rows.select("doc_id", "norm", F.xxhash64("norm").alias("h")).join(F.broadcast(hot.select("h")), "h")
+    least = crowded.select("doc_id", sha).groupBy("sha").agg(F.min("doc_id").alias("least"))
+    firsts = _sorted(rows, hot, limit, F.xxhash64("row.text")).where("starts").withColumn("sha", F.when(F.col("hot"), F.sha2("norm", 256)))
+    kept = firsts.join(F.broadcast(least), "sha", "left").where(~F.col("hot") | F.col("doc_id").eqNullSafe(F.col("least")))
+    return kept.select("row.*")

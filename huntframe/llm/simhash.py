@@ -20,7 +20,7 @@ fingerprint, however many there are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -58,17 +58,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+        prints = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
         yield pa.record_batch([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, digest: Column | None = None, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed number) and a text ``digest`` if one is given, one row per row of ``docs``."""
     more = [] if digest is None else [digest.cast("string").alias("digest")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long" + ", digest string" * len(more)
+        partial(_fingerprint_batches, size), "doc_id long, fp long" + ", digest string" * len(more)
     )
 
 
@@ -161,9 +161,9 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_components(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+def near_components(docs: DataFrame, digest: Column | None = None, size: int = SHINGLE) -> DataFrame:
     """``near_groups`` with each row's ``digest`` and ``label``, which names its component whatever ids its rows have."""
-    prints = written(fingerprints(docs, digest), "simhash-prints")
+    prints = written(fingerprints(docs, digest, size), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = components(links(distinct))
     # A component and a fingerprint may have a third of all rows: each join is one of two written tables.
@@ -175,11 +175,11 @@ def near_components(docs: DataFrame, digest: Column | None = None) -> DataFrame:
     return prints.join(named, "fp", "left")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id``: one row per row of ``docs``, whatever its other columns.
 
-    ``component_id`` is the smallest ``doc_id`` reachable over links of 2 bits or fewer.  Null
+    Shingles have ``size`` words.  ``component_id`` is the smallest ``doc_id`` reachable over links of 2 bits or fewer.  Null
     and wordless texts have fingerprint 0, linked like any other; null ids are never the
     smallest, and a component of null ids only has a null ``component_id``.
     """
-    return near_components(docs).select("doc_id", "fp", "component_id")
+    return near_components(docs, size=size).select("doc_id", "fp", "component_id")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from huntframe.llm import exact_dedup
 from tests.llm.test_native import WS
 from tests.llm.test_simhash import by_hand, groups_by_hand
 
@@ -110,6 +111,29 @@ def test_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, WS.sub(" ", r.text or "")) for r in near) == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, "")])
 
 
+def test_hot_texts_keep_one_row(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
+    rows = [(i, "hot  text" if i % 2 else "hot text") for i in range(200, 20, -1)] + [(None, "hot text")] * 30 + [(None, "no ids")] * 40 + [(7, "one id")] * 40
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, WS.sub(" ", r.text)) for r in kept.collect()), key=repr) == [(21, "hot text"), (7, "one id"), (None, "no ids")]
+    assert set(kept.collect()) <= set(docs.collect())
+
+
+def test_three_rows_of_two_ids(spark):
+    docs = spark.createDataFrame([(1, "A a", "en", "a", 3), (1, "B b", "en", "a", 3), (0, "B b", "en", "a", 3)], DOCS)
+    got = [[(r.doc_id, r.text) for r in stage(spark, docs, "").collect()] for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies)]
+    assert sorted(got[0]) == sorted(got[1]) == [(0, "B b"), (1, "A a")]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns[:2] == ["doc_id", "n_tokens"]
+
+
 def test_near_texts_of_one_id(spark):
     rnd = random.Random(23)
     base = [f"v{rnd.randrange(4000)}" for _ in range(400)]
