@@ -40,8 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
-    return with_rows(docs, kept, F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    return exact_dedup.distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
