@@ -212,6 +212,23 @@ def test_suricata(spark):
     assert rc.from_suricata(sources(spark, "/r/other.rules", text)).count() == 0
 
 
+def test_options_of_network_rules():
+    options = lambda body: rc.net_rule(f"alert http any any -> any any ({body})")[1]
+    assert options('msg:"a; b"; nocase; content:"x\\;y"; sid:7;') == [("msg", '"a; b"'), ("nocase", ""), ("content", '"x\\;y"'), ("sid", "7")]
+    features = lambda body: rc.network_features(options(body))
+    assert features('http.method; content:"POST"; http.uri; content:"/x.php"; nocase; http.user_agent; content:"evil\\;x";') == [("uri", r"/x\.php"), ("ua", "evil;x")]
+    assert features('content:"/old"; http_uri; content:"User-Agent: bad"; http_header;') == [("uri", "/old"), ("ua", "bad")]
+    assert features('http.uri; content:!"/not"; pcre:"/a(?:;|b)c/i";') == [("request_line_excerpt", "(?i)a(?:;|b)c")]
+    assert rc.net_rule("# alert http (x)") is None and rc.net_rule("") is None
+
+
+def test_words_of_directives_and_content_rules():
+    text = "# a \"comment\nSecRule ARGS \"@rx a\\\"b\" \\\n  'id:1'\n\nInclude x\n"
+    assert list(rc.directives(text)) == [["SecRule", "ARGS", '@rx a"b', "id:1"], ["Include", "x"]]
+    (rule,) = rc.content_rules('private rule c : tag { // rule z\n meta: author = "rule q" strings: $a = /x\\/y+/i wide /* $b = "n" */ condition: $a }')
+    assert rule == {"meta": [["author", '"rule q"']], "strings": [["$a", "/x\\/y+/i", "wide"]]}
+
+
 def test_crs_and_yara(spark):
     conf = 'SecRule ARGS "@rx union\\s+\\"x\\" \\\n   select" \\\n "id:1"\nSecRule ARGS "@rx ab" "id:2"\nSecRule ARGS "@rx (bad" "id:3"'
     got = rc.from_crs(sources(spark, "/c/REQUEST-942-APPLICATION-ATTACK-SQLI.conf", conf)).collect()
