@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from huntframe.llm import fingerprints, html_extract, queries, warc
 from tests import oracle
+from tests.test_windows import final_plan, splitting
 
 PAGES = "page_id long, url string, html string, key string, size int"
 
@@ -64,6 +65,14 @@ def test_url_keys(spark):
     assert [r[0] for r in got] == ["com,example)/a?b", "com,example)/a?b", ")", "net,h:8080)/x", ")no url"]
 
 
+def test_a_payload_of_many_pages_is_split(spark):
+    own = splitting(spark)
+    rows = own.range(6000).selectExpr("id AS page_id", "'http://x.org/' AS url", "CASE WHEN id % 3 < 2 THEN repeat('hot ', 40) ELSE concat('page ', id) END AS html")
+    typed = warc.with_record_types(rows.repartition(6))
+    assert sum(r.record_type == "revisit" for r in typed.collect()) == 3999
+    assert "skew=true" in final_plan(typed)
+
+
 def test_warc_sql_and_empty(spark, sf):
     oracle.check(spark, oracle.connect(sf), "op2", queries.op2_warc, queries.OP2_SQL, sf)
     assert warc.round_trip(spark, pages(spark, [])).count() == 0
