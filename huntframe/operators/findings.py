@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.operators.windows import numbered
+from huntframe.operators.windows import ranked
 from huntframe.rules.catalog import RULES
 
 #: How bad; smaller is worse.
@@ -76,11 +76,11 @@ def as_findings(
     without a time come last.
     """
     timed = found.withColumn("__us", F.coalesce(F.col(us), F.lit((1 << 63) - 1)))
-    slabs = numbered(timed, [], "__us", [*ties, "ordinal"], "nth")
+    rows = ranked(timed, ["__us", *ties, "ordinal"])
     if iocs is None:
         iocs = F.array().cast("array<struct<type:string,value:string,confidence:string,first_seen:string,source:string,tag:string>>")
     body = F.to_json(F.struct(*[v.alias(k) for k, v in evidence.items()], F.col("extra").alias("rule")), {"ignoreNullFields": "false"})
-    return slabs.select(
+    return rows.select(
         F.format_string(f"{prefix}-%03d", "nth").alias("id"),
         "severity",
         _by_rule("category").alias("category"),

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from huntframe.functions.text import blank, has_any
 from huntframe.operators.findings import level_rank, raised
-from huntframe.operators.windows import HOUR, MINUTE, after_first, first_rows, trailing
+from huntframe.operators.windows import HOUR, MINUTE, after_first, first_rows, followed_by, trailing
+from huntframe.sources.store import settled
 
 # Fixed values.
 FLOORS = ((9, "P0"), (7, "P1"), (5, "P2"))
@@ -122,13 +123,15 @@ def known_bad(found: DataFrame, history: DataFrame) -> DataFrame:
 def tool_then_sensitive(log: DataFrame, tool: Column, sensitive: Column, ties: Sequence[str]) -> DataFrame:
     """Sensitive paths that answered 200 to an address that had used a tool before: they are P1."""
     marks = first_rows(log.where(tool & (blank(F.col("src_ip")) != "")), ["src_ip"], "us", ties).select("src_ip", F.col("us").alias("tool_us"), *ties)
+    marks = settled(marks, "marks")
     return after_first(log.where(sensitive & (F.col("status") == 200)), marks, ["src_ip"], "us", ties, "tool_us", 1 << 62)
 
 
-def silent_scanners(log: DataFrame, until_us: Column, quiet_us: int = 24 * HOUR) -> DataFrame:
-    """Addresses that only got client errors and were quiet for the last ``quiet_us``: they go down to P3."""
+def silent_scanners(log: DataFrame, until: DataFrame, quiet_us: int = 24 * HOUR) -> DataFrame:
+    """Addresses that only got client errors and were quiet for the last ``quiet_us`` before ``until`` (one row, ``until_us``): they go down to P3."""
     out = log.groupBy("src_ip").agg(F.min("status").alias("least"), F.max("status").alias("most"), F.max("us").alias("last_us"))
-    return out.where(F.col("least").between(400, 499) & F.col("most").between(400, 499) & (until_us - F.col("last_us") >= quiet_us))
+    out = out.where(F.col("least").between(400, 499) & F.col("most").between(400, 499))
+    return out.join(F.broadcast(until), F.col("until_us") - F.col("last_us") >= quiet_us).drop("until_us")
 
 
 def off_hours_sources(found: DataFrame, ties: Sequence[str], first: int = 22, last: int = 6) -> DataFrame:
@@ -138,6 +141,62 @@ def off_hours_sources(found: DataFrame, ties: Sequence[str], first: int = 22, la
     return firsts.where((hour >= first) | (hour < last)).withColumn("raised", raised(F.col("severity")))
 
 
+def log_chain(log: DataFrame, scanner: Column, exploit: Column, shell: Column) -> DataFrame:
+    """C3: addresses that scanned, then used an exploit, then reached a script of a short name, with the first time of each."""
+    stages = ("scanner", "exploit", "shell")
+    marks = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in zip(stages, (scanner, exploit, shell), strict=True)]))
+    rows = log.where(blank(F.col("src_ip")) != "").withColumn("stage", F.explode(marks)).select("src_ip", "us", "stage")
+    return stages_in_order(settled(rows, "stages"), ["src_ip"], "stage", stages)
+
+
+def escalate_traffic(found: DataFrame, ties: Sequence[str], soon_us: int = 5 * MINUTE, later_us: int = 24 * HOUR, much: int = 100 * 1024 * 1024) -> DataFrame:
+    """C7: hits with ``kind`` (scanner, payload, webshell, exfiltration) and their level after what follows them, as ``raised``.
+
+    A P2 scanner becomes P1 if a payload of its address follows soon; a P1 payload that was answered
+    with 200 becomes P0 if a web shell's mark follows at its URI; a P1 exfiltration of more than ``much``
+    bytes in one flow becomes P0.
+    """
+    kind = lambda k, level: (F.col("kind") == k) & (F.col("severity") == level)
+    payloads = found.where("kind = 'payload'")
+    scans = followed_by(found.where(kind("scanner", "P2")), payloads, ["src_ip"], soon_us, ties[-1]).select(*ties, F.lit("P1").alias("__to"))
+    dropped = followed_by(payloads.where((F.col("severity") == "P1") & (F.col("status") == 200)), found.where("kind = 'webshell'"), ["uri"], later_us, ties[-1])
+    marks = settled(scans.unionByName(dropped.select(*ties, F.lit("P0").alias("__to"))), "marks")
+    large = F.when(kind("exfiltration", "P1") & (F.col("bytes") > much), F.lit("P0"))
+    return found.join(marks, list(ties), "left").withColumn("raised", F.coalesce(large, "__to", "severity")).drop("__to")
+
+
+def full_response(found: DataFrame, at_least: int = 3) -> DataFrame:
+    """C7: sources of P0 hits on ``at_least`` hosts, for which a full response is due."""
+    hosts = found.where("raised = 'P0'").groupBy("src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("hits"))
+    return hosts.groupBy("src_ip").agg(F.count("dst_ip").alias("hosts"), F.sum("hits").alias("hits")).where(F.col("hosts") >= at_least)
+
+
+def priority(long_body: int = 10_000) -> Column:
+    """T3: ``struct(level, fp)`` of an alert, from ``category, severity, status, body_bytes, tool, scanner, success, all_missing,
+    harmless, ioc_confidence, iocs, fp``.
+
+    Success after brute force is P0; code execution P1, or P0 if it was answered with 200 and some body; a
+    scanner that found nothing P3; a tool P2 or P3, or P1 if it met an error of the server, a long body or several
+    indicators.  A sure indicator raises what comes out by one.  What is known to be harmless keeps its
+    level and is likely a false alarm.
+    """
+    status, body = F.coalesce("status", F.lit(0)), F.coalesce("body_bytes", F.lit(0))
+    severe = F.col("category").isin("rce", "deserialization", "jndi", "fastjson")
+    busy = (status >= 500) | (body > long_body) | (F.coalesce("iocs", F.lit(0)) >= 2)
+    level = (
+        F.when(F.col("success") & (F.col("category") == "brute-force"), F.lit("P0"))
+        .when(severe & (status == 200) & (body > 200), F.lit("P0"))
+        .when(severe, F.when(F.col("severity") == "P0", F.lit("P0")).otherwise(F.lit("P1")))
+        .when(F.col("scanner") & F.col("all_missing"), F.lit("P3"))
+        .when(F.col("tool") & busy, F.lit("P1"))
+        .when(F.col("tool"), F.when(F.col("severity") == "P3", F.lit("P3")).otherwise(F.lit("P2")))
+        .otherwise(F.col("severity"))
+    )
+    level = F.when(F.lower(blank(F.col("ioc_confidence"))) == "high", raised(level)).otherwise(level)
+    fp = F.coalesce("fp", F.lit(0.0))
+    return F.struct(level.alias("level"), F.when(F.col("harmless"), F.greatest(fp, F.lit(0.8))).otherwise(fp).alias("fp"))
+
+
 def by_source(found: DataFrame) -> DataFrame:
     """Per address: different rules, and the worst level raised by one for 3 rules and to P0 for 5."""
     pairs = found.groupBy("src_ip", "rule_id").agg(F.min("severity").alias("severity"))

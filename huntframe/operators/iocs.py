@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from huntframe.functions.net import host_of_uri, ip6_bits, ip_number
 from huntframe.functions.text import all_matches, blank, first_match
-from huntframe.operators.windows import numbered
+from huntframe.operators.windows import ranked
 from huntframe.rules.libraries import IOCS
 
 # Fixed values.
@@ -231,8 +231,7 @@ def category(tag: Column) -> Column:
 
 def findings(groups: DataFrame) -> DataFrame:
     """``by_indicator`` as findings ``IOC-001``, ... in the order of type, value and source (null first)."""
-    order = groups.withColumn("__us", F.lit(0).cast("bigint")).withColumn("__ip", blank(F.col("src_ip")))
-    order = numbered(order, [], "__us", ["type", "value", "__ip"], "nth")
+    order = ranked(groups.withColumn("__ip", blank(F.col("src_ip"))), ["type", "value", "__ip", "ordinal"])
     low = F.lower(blank(F.col("confidence")))
     fp = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in FALSE_ALARMS.items() for x in p]), low), F.lit(0.5))
     evidence = F.to_json(F.struct("first_seen", "last_seen", "count", "src_ips", "samples"), {"ignoreNullFields": "false"})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from huntframe.functions.net import is_internal
 from huntframe.functions.text import all_matches, blank
 from huntframe.operators.grading import distinct_trailing
-from huntframe.operators.windows import HOUR, MINUTE, first_over, looking_back
+from huntframe.operators.windows import HOUR, MINUTE, first_over, followed_by, looking_back
 
 # What a playbook rule looks for, as (rule, field, pattern).
 PATTERNS = (
@@ -63,19 +63,6 @@ def patterns_hit(df: DataFrame, fields: dict[str, Column], patterns: Sequence[tu
     return df.withColumn("rule_id", F.explode(all_matches(rules)))
 
 
-def followed_by(df: DataFrame, after: DataFrame, keys: Sequence[str], within_us: int, name: str) -> DataFrame:
-    """Rows of ``df`` with a row of ``after`` later than they and at most ``within_us`` later: column ``next`` is the first one's ``name``.
-
-    Time is cut into slabs of that length, so a row meets only those of its own and the next.
-    """
-    slab = F.floor(F.col("us") / within_us).cast("bigint")
-    left = df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).withColumn("__slab", F.explode(F.array(slab, slab + 1)))
-    right = after.select(*keys, F.col("us").alias("__us"), F.col(name).alias("__name"), slab.alias("__slab"))
-    near = left.join(right, [*keys, "__slab"]).where((F.col("__us") > F.col("us")) & (F.col("__us") - F.col("us") <= within_us))
-    first = near.groupBy(*keys, "__id").agg(F.min_by("__name", F.struct("__us", "__name")).alias("next"))
-    return df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).join(first, [*keys, "__id"]).drop("__id")
-
-
 def sprays(failures: DataFrame, at_least: int = 20, each: int = 3) -> DataFrame:
     """PLB-BF-006: sources that tried many users a few times each."""
     tries = failures.groupBy("src_ip", "user").agg(F.count(F.lit(1)).alias("tries"))

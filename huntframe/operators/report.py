@@ -91,8 +91,8 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """The columns with a header; null is empty."""
-    df.select(*[F.col(c).cast("string") for c in columns]).write.csv(path, header=True, nullValue="", emptyValue="")
+    """The columns with a header; null is empty, and quotes are doubled, as spreadsheets and ``read_csv_files`` want them."""
+    df.select(*[F.col(c).cast("string") for c in columns]).write.csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 def append_audit(audit: DataFrame, path: str) -> None:

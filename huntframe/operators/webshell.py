@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.functions.text import all_matches, text_entropy
-from huntframe.operators.windows import numbered
+from huntframe.operators.windows import ranked
 from huntframe.rules.libraries import WEBSHELL_PATTERNS
 
 # Fixed values.
@@ -81,7 +81,7 @@ def scan(files: DataFrame, patterns: Sequence[tuple] = WEBSHELL_PATTERNS, tiny_b
 
 def findings(scanned: DataFrame) -> DataFrame:
     """The same as findings ``WS-001``, ... by path; the rule is the list of the first five patterns."""
-    rows = numbered(scanned.withColumn("__us", F.lit(0).cast("bigint")), [], "__us", ["path"], "nth")
+    rows = ranked(scanned, ["path"])
     first = F.slice("hits", 1, LISTED)
     lines = F.transform(first, lambda h: F.concat(h["id"], F.lit(" L"), h["line_no"].cast("string"), F.lit(": "), h["excerpt"]))
     sure = F.when(F.col("severity").isin("P0", "P1"), "high").otherwise("medium")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from huntframe.sources.store import settled
+
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 _FIRST, _HERE = Window.unboundedPreceding, Window.currentRow
 
@@ -62,8 +64,25 @@ def running(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], su
     return joined.drop("__slab", *[f"__v_{n}" for n in sums], *[f"__b_{n}" for n in sums])
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str = "nth") -> DataFrame:
+    """Adds the row's number in the whole table, from 1 on, in an order that must be total.
+
+    Sampled ranges are sorted each on its own; a range's rows are counted, and only the counts,
+    one row a range, are added up in one task.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of the range in the upper 31 bits, the place in it in the lower 33.
+    placed = settled(parts.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(_FIRST, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    nth = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("__part", part).join(starts, "__part").withColumn(name, nth).drop("__at", "__part", "__before")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], name: str = "nth", slab_us: int = HOUR) -> DataFrame:
-    """Adds the row's number within its key, from 1 on; without keys, in the whole table."""
+    """Adds the row's number within its key, from 1 on; ``ranked`` numbers a whole table."""
     return running(df, keys, us, ties, {name: F.lit(1).cast("bigint")}, slab_us)
 
 
@@ -122,9 +141,22 @@ def distinct_over(df: DataFrame, keys: Sequence[str], value: str, us: str, ties:
 def after_first(df: DataFrame, marks: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], at: str, within_us: int) -> DataFrame:
     """Rows after their key's mark and at most ``within_us`` later; ``marks`` has one row a key: the keys, ``at``, and the ties of the mark.
 
-    The mark's time stays in the column ``at``.
+    The mark's time stays in the column ``at``.  ``marks`` should be ``settled``, so that a busy key's rows can be split.
     """
     names = [f"__m_{t}" for t in ties]
     right = marks.select(*keys, F.col(at), *[F.col(t).alias(n) for t, n in zip(ties, names, strict=True)])
     later = F.struct(F.col(us), *[F.col(t) for t in ties]) > F.struct(F.col(at), *[F.col(n) for n in names])
     return df.join(right, list(keys)).where(later & (F.col(us) - F.col(at) <= within_us)).drop(*names)
+
+
+def followed_by(df: DataFrame, after: DataFrame, keys: Sequence[str], within_us: int, name: str) -> DataFrame:
+    """Rows of ``df`` with a row of ``after`` later than they and at most ``within_us`` later: column ``next`` is the first one's ``name``.
+
+    Time is cut into slabs of that length, so a row meets only those of its own and the next.
+    """
+    slab = F.floor(F.col("us") / within_us).cast("bigint")
+    left = df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).withColumn("__slab", F.explode(F.array(slab, slab + 1)))
+    right = after.select(*keys, F.col("us").alias("__us"), F.col(name).alias("__name"), slab.alias("__slab"))
+    near = left.join(right, [*keys, "__slab"]).where((F.col("__us") > F.col("us")) & (F.col("__us") - F.col("us") <= within_us))
+    first = near.groupBy(*keys, "__id").agg(F.min_by("__name", F.struct("__us", "__name")).alias("next"))
+    return df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).join(first, [*keys, "__id"]).drop("__id")

@@ -149,8 +149,8 @@ def tool_then_sensitive(spark, sf):
 )
 def silent_scanners(spark, sf):
     rows = found(spark, sf).withColumns({"status": F.expr("CASE WHEN user_id % 3 = 0 THEN 404 ELSE 200 END"), "src_ip": F.expr("concat('10.3.', user_id)")})
-    last = found(spark, sf).agg(F.max("us")).first()[0]
-    return ops.silent_scanners(rows, F.lit(last), 3_600_000_000).select("src_ip", "last_us")
+    last = rows.agg(F.max("us").alias("until_us"))
+    return ops.silent_scanners(rows, last, 3_600_000_000).select("src_ip", "last_us")
 
 
 @query(

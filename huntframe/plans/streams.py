@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.operators.windows import DAY
 from huntframe.plans.base import query, table
+from huntframe.sources.store import new_folder
 from huntframe.streaming import detect
 
 LATE = "2 days"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that all machines share; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='huntframe-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _own(spark: SparkSession) -> tuple[SparkSession, str]:
+    """A session and a folder of a stream's own: a stream's checkpoint fixes the number of shuffle partitions for its life."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", "4")
+    return own, new_folder(spark, "stream")
 
 
 def _events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
@@ -30,19 +30,14 @@ def _events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, result: DataFrame, folder: str) -> DataFrame:
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "4")  # fixed for a stream's life by its checkpoint
-    try:
-        detect.run_to_end(result, f"{folder}/state", f"{folder}/out")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    detect.run_to_end(result, f"{folder}/state", f"{folder}/out")
     return spark.read.schema(result.schema).parquet(f"{folder}/out")
 
 
 @query("stream_buckets", "SELECT strftime(ts, '%Y-%m-%d') AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_buckets(spark, sf):
-    folder = shared_dir(spark)
-    made = detect.bucket_counts(_events(spark, sf, folder), "1 day", LATE, ("event_type",))
+    own, folder = _own(spark)
+    made = detect.bucket_counts(_events(own, sf, folder), "1 day", LATE, ("event_type",))
     return _run(spark, made, folder).where("event_type <> 'end'").select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "event_type", "n")
 
 
@@ -53,21 +48,21 @@ def stream_buckets(spark, sf):
     SELECT CAST(user_id AS VARCHAR) AS key, us, n FROM c WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us) = 1""",
 )
 def stream_burst(spark, sf):
-    folder = shared_dir(spark)
-    errors = _events(spark, sf, folder).where("event_type = 'error'")
+    own, folder = _own(spark)
+    errors = _events(own, sf, folder).where("event_type = 'error'")
     found = _run(spark, detect.bursts(errors, "user_id", DAY, 3, LATE), folder)
     return found.select("key", F.unix_micros("ts").alias("us"), "n")
 
 
 @query("stream_indicators", "SELECT event_id FROM events WHERE user_id IN (SELECT n_nationkey FROM nation)")
 def stream_indicators(spark, sf):
-    folder = shared_dir(spark)
-    known = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("value"))
-    return _run(spark, detect.with_indicators(_events(spark, sf, folder), known, "user_id").select("event_id"), folder)
+    own, folder = _own(spark)
+    known = table(own, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("value"))
+    return _run(spark, detect.with_indicators(_events(own, sf, folder), known, "user_id").select("event_id"), folder)
 
 
 @query("stream_first_sights", "SELECT user_id FROM events GROUP BY user_id")
 def stream_first_sights(spark, sf):
-    folder = shared_dir(spark)
-    firsts = detect.first_sights(_events(spark, sf, folder).where("user_id >= 0"), ("user_id",), "400 days")
+    own, folder = _own(spark)
+    firsts = detect.first_sights(_events(own, sf, folder).where("user_id >= 0"), ("user_id",), "400 days")
     return _run(spark, firsts.select("user_id"), folder)

@@ -148,12 +148,21 @@ def traf_http_rules(spark, sf):
 _PAGES = {r: p for r, _, p in rules.MARKERS}
 
 
-@query("tool_markers", " UNION ALL ".join(f"SELECT page_id, {q(r)} AS rule_id FROM pages WHERE {matches('concat_ws(chr(32), url, html)', p)}" for r, p in _PAGES.items()))
+#: What each tool leaves, put behind some of the pages.
+_LEFT = (
+    "rebeyond", "3c6e0b8a9c15224a", "antSword/v2", "GET /linx-agent", "Viper-Sn: 1", "GET /webalizer/webalizer.current", "X-Goby-Id: 1", "X-Xray-Reproduce-Id: 1", "GET /nuclei-1", "GET /yakit-web", "Suo5-1",
+    "GET /tunnel.jsp", "User-Agent: hydra", "pass=assert", "User-Agent: Linx 2 linx-3", "X-CMD: FORWARD", "POST /login Content-Length: 42",
+)
+_TRACE = "CASE page_id % 23 " + " ".join(f"WHEN {i} THEN {q(s)}" for i, s in enumerate(_LEFT)) + " ELSE '' END"
+_PAGE_TEXT = f"concat_ws(' ', url, html, {_TRACE})"
+
+
+@query("tool_markers", " UNION ALL ".join(f"SELECT page_id, {q(r)} AS rule_id FROM pages WHERE {matches(_PAGE_TEXT, p)}" for r, p in _PAGES.items()))
 def tool_markers(spark, sf):
     from huntframe.operators.playbooks import patterns_hit
 
     pages = table(spark, sf, "pages")
-    text = F.concat_ws(" ", "url", "html")
+    text = F.expr(_PAGE_TEXT)
     return patterns_hit(pages, {"text": text}, [(r, "text", f"(?d){p}") for r, p in _PAGES.items()]).select("page_id", "rule_id")
 
 

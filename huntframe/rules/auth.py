@@ -13,6 +13,7 @@ from huntframe.functions.text import blank
 from huntframe.operators.findings import Branch, as_findings, hits, ioc, one_rule
 from huntframe.operators.windows import MINUTE, after_first, burst, first_rows, trailing
 from huntframe.rules.ngx import TIES, timed
+from huntframe.sources.store import settled
 
 # Fixed values.
 WINDOW, FAILURES, FEW_FAILURES, GRACE = 5 * MINUTE, 20, 5, 30 * MINUTE
@@ -49,7 +50,7 @@ def success_after_failures(
     success with ``few`` failures in the window.  ``brute_us`` is the burst's time, null for the latter.
     """
     log = timed(log)
-    marks = brute_force(log, window_us, at_least).select("src_ip", F.col("us").alias("brute_us"), *TIES)
+    marks = settled(brute_force(log, window_us, at_least).select("src_ip", F.col("us").alias("brute_us"), *TIES), "marks")
     won = successes(log).where(blank(F.col("src_ip")) != "")
     hard = after_first(won, marks, ["src_ip"], "us", TIES, "brute_us", grace_us)
     both = failures(log).withColumn("failed", F.lit(1)).unionByName(won.withColumn("failed", F.lit(0)))
@@ -88,7 +89,7 @@ def deleted_name() -> Column:
 def deleted_users_back(log: DataFrame) -> DataFrame:
     """R-AUTH-007: successes of users that were deleted before."""
     gone = timed(log).withColumn("gone", deleted_name()).where("gone <> ''")
-    gone = first_rows(gone.select(F.col("gone").alias("user"), F.col("us").alias("gone_us"), *TIES), ["user"], "gone_us", TIES)
+    gone = settled(first_rows(gone.select(F.col("gone").alias("user"), F.col("us").alias("gone_us"), *TIES), ["user"], "gone_us", TIES), "marks")
     return after_first(successes(log).where("user <> ''"), gone, ["user"], "us", TIES, "gone_us", 1 << 62)
 
 

@@ -12,6 +12,7 @@ from huntframe.functions.text import basename, blank, first_match, has_any
 from huntframe.operators.findings import Branch, as_findings, hits, ioc, one_rule
 from huntframe.operators.windows import MINUTE, burst, looking_back, trailing
 from huntframe.rules.libraries import PERSISTENCE
+from huntframe.sources.store import settled
 
 # Fixed values.
 BRUTE_WINDOW, BRUTE_ROWS, BRUTE_GRACE = 60_000_000, 20, 30 * MINUTE
@@ -89,12 +90,14 @@ def brute_state(events: DataFrame, window_us: int = BRUTE_WINDOW, at_least: int
     """
     events = timed(events).where("event_id IN (4624, 4625) AND src_ip <> ''")
     counted = trailing(events, ["src_ip"], "us", TIES, window_us, {"n": (F.col("event_id") == 4625).cast("bigint")})
-    turning = counted.where(F.col("event_id") == 4624).unionByName(counted.where((F.col("event_id") == 4625) & (F.col("n") >= at_least)))
+    turning = settled(counted.where((F.col("event_id") == 4624) | (F.col("n") >= at_least)), "turning")
     turning = looking_back(turning, ["src_ip"], "us", TIES, 1, lambda w: {"was": F.lag("event_id").over(w)})
     turning = turning.where(F.coalesce(F.col("was") != F.col("event_id"), F.col("event_id") == 4625))
-    paired = looking_back(turning, ["src_ip"], "us", TIES, 1, lambda w: {"armed_us": F.lag("us").over(w)})
+    turning = settled(turning, "turning")
+    paired = settled(looking_back(turning, ["src_ip"], "us", TIES, 1, lambda w: {"armed_us": F.lag("us").over(w)}), "paired")
     won = paired.where("event_id = 4624")
     late = won.where(F.col("us") - F.col("armed_us") > grace_us).groupBy("src_ip").agg(F.min("us").alias("late_us"))
+    late = settled(late, "late")
     until = F.coalesce(F.col("late_us"), F.lit((1 << 63) - 1))
     armed = paired.where("event_id = 4625").join(late, "src_ip", "left").where(F.col("us") <= until)
     won = won.join(late, "src_ip", "left").where(F.col("us") < until)

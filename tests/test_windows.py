@@ -137,3 +137,48 @@ def test_empty(spark):
     df = frame(spark, made(1, 1)).where("false")
     assert not W.burst(df, ["k"], "us", ["i"], W_US, 1).collect()
     assert not W.looking_back(df, ["k"], "us", ["i"], 1, lambda w: {"x": F.lag("i").over(w)}).collect()
+
+
+def splitting(spark):
+    """A session that splits what is only somewhat skewed and broadcasts nothing."""
+    own = spark.newSession()
+    for k, v in {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive.autoBroadcastJoinThreshold": "-1",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "adaptive.advisoryPartitionSizeInBytes": "4k",
+        "adaptive.coalescePartitions.enabled": "false",
+        "shuffle.partitions": "8",
+        "session.timeZone": "UTC",
+    }.items():
+        own.conf.set(f"spark.sql.{k}", v)
+    return own
+
+
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_busy_key_is_split(spark):
+    own = splitting(spark)
+    rows = own.range(30_000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'busy' ELSE concat('k', id) END AS src_ip", "id * 1000 AS us", "'f' AS src_file", "id AS line_no", "'u' AS user", "'t' AS ts",
+        "CASE WHEN id % 30 < 20 AND id % 3 < 2 AND id < 3000 THEN 'ssh-fail' ELSE 'ssh-success' END AS msg",
+    )
+    from huntframe.rules import auth
+
+    found = auth.success_after_failures(rows.repartition(6), few=1 << 40)
+    assert {r.src_ip for r in found.collect()} == {"busy"}
+    assert "skew=true" in final_plan(found)
+
+
+def test_ranks_of_a_whole_table(spark):
+    from huntframe.operators.windows import ranked
+
+    rows = [(k % 7 if k % 5 else None, f"n{k:04d}") for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    got = {(r.a, r.b): r.nth for r in ranked(df, ["a", "b"]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {r: i + 1 for i, r in enumerate(order)}
+    assert ranked(df.where("false"), ["a", "b"]).count() == 0
