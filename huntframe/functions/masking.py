@@ -16,9 +16,9 @@ from huntframe.functions.text import rewritten
 # Fixed values.
 QUAD = "\\b(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\b"
 MAC = "\\b((?:[0-9A-Fa-f]{2}:){2}[0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{2}){3}\\b"
-EMAIL = "\\b([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})\\b"
+EMAIL = "\\b([A-Za-z0-9._%+-]++)@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})\\b"
 HOME = "(/home/|/Users/)([A-Za-z0-9_.\\-]++)(?!\\*)"
-HOST = "\\b(?:[a-zA-Z0-9-]+\\.)+[a-zA-Z]{2,}\\b"
+HOST = "\\b(?:[a-zA-Z0-9-]++\\.)+[a-zA-Z]{2,}\\b"
 MASKED = "^[a-zA-Z]\\*{3,}$|^<user>$|^<masked>$|^<customer>$|^<internal>$|^<public-ip>$"
 LITERALS = ("null", "None", "true", "false", "True", "False", "~", "nil")
 NAME = "[A-Za-z0-9_.\\-*<>]+"

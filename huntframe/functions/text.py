@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import reduce
+from re._constants import BRANCH, LITERAL, MAX_REPEAT, MIN_REPEAT, SUBPATTERN
+from re._parser import parse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +17,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
+#: Stands around matches while a text is rewritten.
+_MARK = "\x01"
+
+
 def bound(value: Column, made: Callable[[Column], Column]) -> Column:
     """``made(value)`` with ``value`` computed once, however often ``made`` uses it."""
     return F.get(F.transform(F.array(value), made), F.lit(0))
@@ -139,10 +147,54 @@ def text_entropy(texts: pd.Series) -> pd.Series:
 
 
 def rewritten(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
-    """Every match of ``pattern`` replaced by ``replace(match)``; what ``regexp_replace`` can't say."""
+    """Every match of ``pattern`` replaced by ``replace(match)``; what ``regexp_replace`` can't say.
+
+    One search puts a mark around each match; what stands between marks is then every second
+    part.  A text that has the mark itself is searched twice instead.  No match may be empty.
+    """
+
+    def marked(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+        return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.coalesce(replace(x), F.lit("")))), "")
 
-    def rebuilt(t: Column) -> Column:
+    def searched(t: Column) -> Column:
         found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), replace), F.array(F.lit("")))
         return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    return bound(text, rebuilt)
+    return bound(text, lambda t: F.when(F.contains(t, F.lit(_MARK)), searched(t)).otherwise(marked(t)))
+
+
+def required_words(pattern: str) -> tuple[str, ...]:
+    """Lower-case words of which every match of a pattern has at least one; none if there is no telling."""
+
+    def least(words: list[str]) -> int:
+        return min(map(len, words), default=0)
+
+    def best(parts) -> list[str]:
+        runs: list[list[str]] = []
+        run = ""
+        for op, value in parts:
+            if op is LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            runs, run = [*runs, [run]], ""
+            if op is SUBPATTERN:
+                runs.append(best(value[-1]))
+            elif op in (MAX_REPEAT, MIN_REPEAT) and value[0] > 0:
+                runs.append(best(value[2]))
+            elif op is BRANCH:
+                each = [best(b) for b in value[1]]
+                runs.append([w for words in each for w in words] if all(map(least, each)) else [])
+        return max([*runs, [run]], key=least)
+
+    try:
+        words = best(parse(pattern))
+    except re.error:
+        return ()
+    return tuple(dict.fromkeys(words)) if least(words) >= 2 else ()
+
+
+def rlike_with_words(text: Column, low: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)``, asked only where ``low``, the text in lower case, has one of the words that a match needs."""
+    words = required_words(pattern)
+    return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]) & text.rlike(pattern) if words else text.rlike(pattern)

@@ -41,7 +41,7 @@ def distinct_trailing(df: DataFrame, keys: Sequence[str], value: str, us: str, t
     number is that of the spells begun so far less those that ended before the window, so no
     set is kept.  Null values count nothing.
     """
-    size = 8 * window_us
+    size = max(window_us, min(8 * window_us, 8 * HOUR))
     slab = F.floor(F.col(us) / size).cast("bigint")
     late = F.col(us) >= (slab + 1) * size - window_us
     rows = df.where(F.col(us).isNotNull()).withColumn("__own", slab).withColumn("__slab", F.explode(F.when(late, F.array(slab, slab + 1)).otherwise(F.array(slab))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.functions.text import all_matches, text_entropy
+from huntframe.functions.text import all_matches, bound, rlike_with_words, text_entropy
 from huntframe.operators.windows import ranked
 from huntframe.rules.libraries import WEBSHELL_PATTERNS
 
@@ -34,7 +34,7 @@ def read_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTEN
     return files.where((F.col("length") <= max_bytes) & wanted & ~inside).select("path", F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
 
 
-def _rule(text: Column, rule: tuple) -> tuple[Column, Column]:
+def _rule(text: Column, low: Column, rule: tuple) -> tuple[Column, Column]:
     rule_id, lang, pattern, level = rule[:4]
     rx = f"(?ms){pattern}"
     found = F.regexp_extract(text, rx, 0)
@@ -44,7 +44,7 @@ def _rule(text: Column, rule: tuple) -> tuple[Column, Column]:
     start = F.greatest(F.lit(1), at - AROUND)
     excerpt = F.substring(F.replace(F.substring(text, start, at + F.length(found) + AROUND - start), F.lit("\n"), F.lit(" ")), 1, EXCERPT)
     value = F.struct(F.lit(rule_id).alias("id"), F.lit(lang).alias("lang"), F.lit(level).alias("severity"), line.cast("int").alias("line_no"), excerpt.alias("excerpt"))
-    return text.rlike(rx), value
+    return rlike_with_words(text, low, rx), value
 
 
 def score(hits: Column, size: Column, entropy: Column, path: Column, running: Column | None = None) -> Column:
@@ -68,8 +68,10 @@ def scan(files: DataFrame, patterns: Sequence[tuple] = WEBSHELL_PATTERNS, tiny_b
     Each pattern counts once, at its first place.  ``tiny_bonus`` turns on the extra points for
     tiny files with a pattern that runs something.  Null texts match nothing.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = files.withColumn("hits", all_matches(_rule(text, p) for p in patterns)).where(F.size("hits") > 0)
+    both = F.struct(F.coalesce(F.col("text"), F.lit("")).alias("t"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    hits = bound(both, lambda b: all_matches(_rule(b["t"], b["low"], p) for p in patterns))
+    # Exploded, not filtered by: a filter would be pushed below and match everything a second time.
+    found = files.withColumn("hits", F.explode(F.filter(F.array(hits), lambda h: F.size(h) > 0)))
     found = found.withColumn("entropy", text_entropy(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, ENTROPY_CHARS)))
     runs = [p[0] for p in patterns if any(w in p[2].lower() for w in RUNNING_WORDS)]
     running = F.exists("hits", lambda h: h["id"].isin(*runs)) if tiny_bonus else None

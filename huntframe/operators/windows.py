@@ -20,6 +20,8 @@ from pyspark.sql.window import WindowSpec
 from huntframe.sources.store import settled
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
+#: Longer windows than this are not cut into slabs of several windows.
+LONG = 2 * HOUR
 _FIRST, _HERE = Window.unboundedPreceding, Window.currentRow
 
 
@@ -33,14 +35,18 @@ def trailing(
     """Adds, for each name in ``sums``, its whole-number sum over the rows of the key so far that are
     at most ``window_us`` old; a row counts itself, rows after it at the same time don't.
 
-    This is the length of a queue that is appended to and trimmed at the front.
+    This is the length of a queue that is appended to and trimmed at the front.  A task gets a key's
+    rows of a few windows; where the window is longer than ``LONG`` it gets those of an hour instead:
+    each row counts from its time on and is taken off again when the window has passed.
     """
+    if window_us > LONG and slab_us is None:
+        return _arriving_and_leaving(df, keys, us, ties, window_us, sums)
     size = max(window_us, slab_us or 8 * window_us)
     own = _slab(us, size)
     needed_next = F.col(us) >= (own + 1) * size - window_us
     rows = (
         df.where(F.col(us).isNotNull())
-        .withColumns({f"__v_{n}": c for n, c in sums.items()})
+        .withColumns({f"__v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
         .withColumn("__own", own)
         .withColumn("__slab", F.explode(F.when(needed_next, F.array(own, own + 1)).otherwise(F.array(own))))
     )
@@ -51,6 +57,15 @@ def trailing(
     return rows.withColumns(out).where("__own = __slab").drop("__own", "__slab", *[f"__v_{n}" for n in sums])
 
 
+def _arriving_and_leaving(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], window_us: int, sums: dict[str, Column]) -> DataFrame:
+    """``trailing`` as running sums; at equal times rows leave before others arrive."""
+    rows = df.where(F.col(us).isNotNull()).withColumns({f"__w_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    moves = F.array(F.struct(F.lit(1).alias("sign"), F.col(us).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col(us) + window_us + 1).alias("at")))
+    moved = rows.withColumn("__move", F.explode(moves)).withColumns({"__sign": F.col("__move.sign"), "__at": F.col("__move.at")})
+    counted = running(moved, keys, "__at", ["__sign", *ties], {n: F.col(f"__w_{n}") * F.col("__sign") for n in sums})
+    return counted.where("__sign = 1").drop("__move", "__sign", "__at", *[f"__w_{n}" for n in sums])
+
+
 def running(df: DataFrame, keys: Sequence[str], us: str, ties: Sequence[str], sums: dict[str, Column], slab_us: int = HOUR) -> DataFrame:
     """Adds, for each name, its sum over all rows of the key so far."""
     part = [*keys, "__slab"]

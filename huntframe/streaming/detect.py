@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,23 +52,19 @@ def bursts(stream: DataFrame, key: str, window_us: int, at_least: int, late: str
         if state.hasTimedOut:
             state.remove()
             return
-        times, reported = state.get if state.exists else ([], False)
-        times = list(times)
-        found = []
-        # One trigger's records of one key; only their times are held.
-        for t in sorted(x for b in batches for x in b["us"].tolist()):
-            if reported:
-                break
-            times = [x for x in times if t - x <= window_us]
-            times.append(t)
-            if len(times) >= at_least:
-                reported = True
-                found.append((k[0], pd.Timestamp(t, unit="us"), len(times)))
-        state.update((times if not reported else [], reported))
-        if times and not reported:
-            state.setTimeoutTimestamp(max(times[-1] // 1000 + window_us // 1000, state.getCurrentWatermarkMs() + 1))
-        if found:
-            yield pd.DataFrame(found, columns=["key", "ts", "n"])
+        kept, reported = state.get if state.exists else ([], False)
+        # One trigger's records of one key: eight bytes each, sorted and compared as arrays.
+        times = np.sort(np.concatenate([np.array(kept, np.int64), *(b["us"].to_numpy(np.int64) for b in batches)]))
+        ends = times[at_least - 1 :]
+        # A row completes a burst if the one at_least - 1 before it is in its window; rows of the state alone never did.
+        full = np.flatnonzero(ends - times[: len(ends)] <= window_us) if not reported else ends[:0]
+        reported = bool(reported or len(full))
+        left = [] if reported else times[times >= times[-1] - window_us].tolist() if len(times) else []
+        state.update((left, reported))
+        if left:
+            state.setTimeoutTimestamp(max(left[-1] // 1000 + window_us // 1000, state.getCurrentWatermarkMs() + 1))
+        if len(full):
+            yield pd.DataFrame([(k[0], pd.Timestamp(int(ends[full[0]]), unit="us"), at_least)], columns=["key", "ts", "n"])
 
     timed = stream.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), ts, F.unix_micros(ts).alias("us"))
     return timed.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(step, BURST, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

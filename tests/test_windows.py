@@ -182,3 +182,32 @@ def test_ranks_of_a_whole_table(spark):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == {r: i + 1 for i, r in enumerate(order)}
     assert ranked(df.where("false"), ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_windows_are_the_same(spark, monkeypatch, seed):
+    df = spark.createDataFrame(made(seed), "k string, us long, i long, v string").repartition(3)
+    sums = {"n": F.lit(1).cast("bigint"), "x": (F.col("v") == "x").cast("bigint")}
+    want = sorted(map(tuple, W.trailing(df, ["k"], "us", ["i"], W_US, sums).collect()), key=repr)
+    monkeypatch.setattr(W, "LONG", 1)
+    got = W.trailing(df, ["k"], "us", ["i"], W_US, sums)
+    assert got.columns == ["k", "us", "i", "v", "n", "x"]
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_words_that_a_pattern_needs():
+    from huntframe.functions.text import required_words
+
+    assert required_words(r"(?i)Foo\s+(bar|Bazz)?x*quux") == ("quux",)
+    assert required_words(r"\b(cmd|powershell)\.exe") == (".exe",)
+    assert required_words(r"abc|de") == ("abc", "de") and required_words(r"abc|.") == () and required_words(r"a?b*") == ()
+    assert required_words(r"(?:abcd){2,}\d") == ("abcd",) and required_words(r"\p{L}abc") == ()
+
+
+def test_rewriting_texts_that_have_the_mark(spark):
+    from huntframe.functions.text import rewritten
+
+    texts = ["a1b22c", "\x01a1\x01b22", "none", "", None, "1", "12 3"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(rewritten(F.col("t"), "[0-9]+", lambda m: F.when(m != "3", F.concat(F.lit("<"), m, F.lit(">"))))).collect()]
+    assert got == ["a<1>b<22>c", "\x01a<1>\x01b<22>", "none", "", None, "<1>", "<12> "]
