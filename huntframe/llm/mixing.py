@@ -33,29 +33,40 @@ def _random(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _sums_before(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds ``at``, which ascends in the (total) order, and per name the sum of a column over all rows before.
+
+    Sampled ranges are sorted and summed each on its own; only a row a range is summed in one task.
+    """
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    placed = placed.withColumn("part", F.shiftright("at", 33))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    starts = parts.select("part", *[F.coalesce(F.sum(n).over(ranges), F.lit(0)).alias(f"start_{n}") for n in sums])
+    found = placed.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(starts), "part")
+    return found.withColumns({n: F.col(n) + F.col(f"start_{n}") for n in sums}).drop("part", *[f"start_{n}" for n in sums])
+
+
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     """From (source, source_size, n_docs), a row a source: adds ``target`` and ``copies_each``.
 
     Sources by code point, null last, weigh 1, 2, 3, 1, ...; they share the total by weight.
     A target stops at ``most`` times its source's size, and what is above is shared again.
-    In the order of size per weight the capped sources come first, so one running sum finds
-    the share at which the rest is not above its cap.  One row a source is all this sorts.
+    In the order of size per weight the capped sources come first, so running sums find
+    the share at which the rest is not above its cap: one number, as are the totals.  There may be
+    as many sources as documents.
     """
-    ranked = sizes.withColumn(
-        "weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1
-    ).withColumn("cap", F.lit(most) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    share = ranked.withColumn("place", F.row_number().over(order)).withColumn("share", left / weights)
-    free = F.when(F.col("share") * F.col("weight") <= F.col("cap"), F.struct("place", "share"))
-    found = share.withColumn("first_free", F.min(free).over(everything))
-    target = F.when(
-        F.col("first_free").isNull() | (F.col("place") < F.col("first_free.place")), F.col("cap").cast("double")
-    ).otherwise(F.col("first_free.share") * F.col("weight"))
-    return found.withColumn("target", target).withColumn(
+    last = F.col("source").asc_nulls_last()
+    numbered = _sums_before(sizes.withColumn("one", F.lit(1).cast("long")), [last], {"before": "one"}).drop("one", "at")
+    ranked = numbered.withColumns({"weight": F.col("before") % 3 + 1, "cap": F.lit(most) * F.col("source_size")}).drop("before")
+    line = _sums_before(ranked, [(F.col("cap") / F.col("weight")).asc(), last], {"caps": "cap", "weights": "weight"})
+    size, weight = (n or 0 for n in line.agg(F.sum("source_size"), F.sum("weight")).first())
+    shared = line.withColumn("share", (F.lit(size).cast("long") - F.col("caps")) / (F.lit(weight).cast("long") - F.col("weights")))
+    free = shared.where(F.col("share") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("at", "share")).alias("first")).first().first
+    capped = F.col("cap").cast("double")
+    target = capped if free is None else F.when(F.col("at") < free["at"], capped).otherwise(F.lit(free["share"]) * F.col("weight"))
+    return shared.withColumn("target", target).withColumn(
         "copies_each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ).select("source", "source_size", "n_docs", "target", "copies_each")
 

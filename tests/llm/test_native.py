@@ -114,6 +114,16 @@ def test_mix(spark, mix_rows):
         assert abs(taken[s] - want[s]) <= max(4 * largest[s], 0.03 * want[s]), s
 
 
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(9)
+    sizes = {f"s{k:05d}": rnd.choice([0, 1, 5, 40, 900, 100_000]) for k in range(3000)} | {None: 77}
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_docs long").repartition(4)
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    want = targets_by_hand(sizes)
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert mixing.source_targets(df.where("false")).count() == 0
+
+
 def test_mix_is_repeatable_and_keeps_columns(spark, mix_rows):
     a = mixing.mixed(docs(spark, mix_rows)).withColumn("n", F.col("mix_copies"))
     b = mixing.mixed(docs(spark, mix_rows).repartition(9)).withColumn("n", F.col("mix_copies"))
