@@ -3,7 +3,8 @@
 A file is decoded where Spark has it, packet by packet, into a table of packet headers;
 everything above that - conversations, directions, first payloads - is grouping in Spark.  A
 capture is one task, so long captures should be cut into files, as capture tools do.  Captures
-of other link types, IPv6 and fragments after the first give no rows.
+of other link types, IPv6 and fragments after the first give no rows; ``unread`` names the files
+that give none for that reason.
 """
 
 from __future__ import annotations
@@ -131,6 +132,18 @@ def packets(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decoded, PACKET)
 
 
+def unread(files: DataFrame) -> DataFrame:
+    """(``path, reason``) of files that no packet can come from: other formats, and other links."""
+    first = F.substring("content", 1, 4)
+    big = first.isin(*[F.lit(m) for m, (order, _) in MAGIC.items() if order == ">"])
+    known = first.isin(*[F.lit(m) for m in MAGIC])
+    digits = F.hex(F.substring("content", 21, 4))
+    turned = F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+    link = F.conv(F.when(big, digits).otherwise(turned), 16, 10).cast("bigint")
+    reason = F.when(~known | (F.length("content") < 24), F.lit("no classic capture")).when(~link.isin(ETHERNET, RAW_IP), F.concat(F.lit("link type "), link.cast("string")))
+    return files.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def read_packets(spark: SparkSession, path: str, glob: str = "*.pcap") -> DataFrame:
     return packets(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
 

@@ -25,9 +25,18 @@ def test_the_rest_works_without_them(tmp_path):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q), q; assert set(e.oracle_sql()) <= set(q)"
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+assert q and not any(k.startswith('op') or k == 'pipeline' for k in q), q
+assert set(e.oracle_sql()) <= set(q)
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+assert e.entry(spark).count() > 0
+assert q['auth_success_after_failures'](spark, '/root/testdata/sf0.001').count() > 0
+"""
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env, timeout=300)
 
 
 def test_no_local_checkpoints_and_no_driver_collects_of_tables():

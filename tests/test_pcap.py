@@ -73,3 +73,11 @@ def test_views(spark, tmp_path):
     assert pcap.conn(packets).count() == 3
     found = traffic.detect(pcap.flows(packets), []).collect()
     assert [r.rule_id for r in found] == ["R-TRAF-008"]
+
+
+def test_files_that_give_no_packets(spark):
+    head = lambda order, magic, link: struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, link)
+    files = [("a", head("<", 0xA1B2C3D4, 1)), ("b", head(">", 0xA1B23C4D, 101)), ("c", head("<", 0xA1B2C3D4, 113)), ("d", head(">", 0xA1B2C3D4, 276)), ("e", b"\x0a\x0d\x0d\x0a" + bytes(40)), ("f", b"")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
+    got = {r.path: r.reason for r in pcap.unread(df).collect()}
+    assert got == {"c": "link type 113", "d": "link type 276", "e": "no classic capture", "f": "no classic capture"}
