@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, warc
+from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, url_filter, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +147,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The rules of ``op13_url_filter``: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark, URL_RULES))
+
+
+OP13_SQL = rf"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+u AS (SELECT page_id, row_number() OVER () AS i,
+             CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, i, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, rhost || rpath AS rule, coalesce(rverdict, 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(rhost || rpath) DESC NULLS LAST, length(rhost) DESC) = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -159,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
+        "op13_url_filter": op13_url_filter,
     }
 
 
@@ -168,4 +189,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op6_source_mixing": OP6_SQL,
         "op8_lm_score": OP8_SQL,
+        "op13_url_filter": OP13_SQL,
     }
