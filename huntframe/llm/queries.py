@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, url_filter, warc
+from huntframe.llm import alignment, bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, url_filter, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +131,11 @@ FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
 
-def vocabulary() -> str:
-    """Where this machine keeps the public byte-level BPE vocabulary."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where this machine keeps a public vocabulary, by default the byte-level BPE one."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +147,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 #: The rules of ``op13_url_filter``: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -179,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
+        "op11_alignment": op11_alignment,
         "op13_url_filter": op13_url_filter,
     }
 
