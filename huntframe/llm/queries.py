@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm import alignment, bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, url_filter, warc
+from huntframe.llm import alignment, bpe, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, simhash, toxicity, url_filter, variants, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,44 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: CRC-32 goes byte by byte through its table of 256 remainders; words are near if one's rest without a letter is the other's, or its rest there too.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256))::BIGINT AS i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+once AS (SELECT doc_id, run, count(*) AS k, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS bytes FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (
+  SELECT doc_id, run, k, xor(4294967295, list_reduce(
+      [4294967295::BIGINT] || [('0x' || substr(hex(bytes), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT FOR i IN range(0, octet_length(bytes))],
+      lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) + 1 AS BIGINT)]))) AS h
+  FROM once, crc),
+typed AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, k
+  FROM hashed),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, n, CAST(i AS BIGINT) AS i, substr(word, 1, CAST(i AS BIGINT)) || substr(word, CAST(i + 2 AS BIGINT)) AS rest FROM w, unnest(range(0, length(word))) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min((-m, encode(other))) AS b FROM pairs GROUP BY word),
+f AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * n THEN decode(b[2]) END AS form, CASE WHEN -b[1] >= 5 * n THEN -b[1] END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word),
+r AS (
+  SELECT word, word AS at, form FROM f
+  UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.form = f.word)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.form IS NULL
+"""
+
+
 #: The rules of ``op13_url_filter``: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -184,6 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_simhash": op10_simhash,
         "op11_alignment": op11_alignment,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_url_filter": op13_url_filter,
     }
 
@@ -194,5 +233,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op6_source_mixing": OP6_SQL,
         "op8_lm_score": OP8_SQL,
+        "op12_spelling_variants": OP12_SQL,
         "op13_url_filter": OP13_SQL,
     }
