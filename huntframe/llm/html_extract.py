@@ -13,14 +13,16 @@ A branch of a page stays if what speaks for it outweighs what speaks against it:
 * The tree's evidence is ``(importance - UNDECIDED) * WEIGHT``, times 1 - 2 / (m + 1): one page of a
   branch says nothing, two little, and there is no number of pages at which a rule changes.
 * Markup is a prior (``PRIORS``): a box or a paragraph stays unless its site says that it is the
-  same everywhere; in an element marked as the article (``article``, ``main``) paragraphs weigh
-  more than any evidence, so that passages that many articles share stay; and what stands beside
-  a marked article, or is called a menu, header, footer, form, advert, comment, ..., weighs less than
-  any evidence.  The latter count nowhere in the tree.
+  same everywhere.  What elements marked as the article (``article``, ``main``) weigh depends on
+  the share of the page's text, headings aside, that they hold: from half of it on paragraphs in
+  them weigh more than any evidence, so that passages that many articles share stay, and up to a
+  quarter no more than any other box.  What stands beside elements that hold most of the text, or
+  is called a menu, header, footer, form, advert, comment, ..., weighs less than any evidence.
+  The latter count nowhere in the tree.
 
 A branch goes only together with all below it.  A page that would lose all of its text has
 nothing to compare: it is left to the priors.  Names are whole tokens of class, id and role;
-what they leave in doubt (``has-sidebar``, ``comments-open``, ``notice``) the tree decides.
+what they leave in doubt (``has-sidebar``, ``comments-open``) the tree decides.
 
 The tree is built from counts, aggregated before they are shuffled: a host with a third of all
 pages is no larger a group than its template.  Parsing takes time in proportion to the page,
@@ -44,6 +46,8 @@ from huntframe.llm.store import written
 UNDECIDED, WEIGHT = 0.6, 2.5
 #: What markup says for a branch; evidence is between -1.5 and 1.
 PRIORS = {"article": 3.0, "flow of a marked article": 2.0, "any other": 0.5}
+#: Shares of a page's text between which its marked articles come to weigh more than any other branch.
+SHARES = (0.25, 0.5)
 DISCOUNT = 0.9
 #: A table of hosts' branches is broadcast up to this many rows, of some 100 bytes each.
 BROADCAST_BRANCHES = 100_000
@@ -76,11 +80,11 @@ _NOT_ARTICLE = (
     r"(?:ads?|advert(?:s|isements?|ising)?|adsense|sponsor(?:s|ed)?|promo(?:s|ted|tions?)?|billboard|side-?bar|cookies?|consent|gdpr|"
     r"pop-?up|modal|overlay|newsletter|subscribe|sign-?up|log-?in|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|disqus|"
     r"replies|respond|breadcrumbs?|nav|navbar|navigation|menu|pagination|pager|footer|masthead|toolbar|complementary|contentinfo|search|"
-    r"banner|widgets?)"
+    r"banner|widgets?|notices?|remarks?)"
 )
-_HELD = r"(?:bars?|box(?:es)?|lists?|links?|buttons?|btns?|icons?|areas?|container|wrap|wrapper|blocks?|forms?|items?|posts|articles|stories|notice|slots?|units?|panel|thread|inner)"
+_HELD = r"(?:bars?|box(?:es)?|lists?|links?|buttons?|btns?|icons?|areas?|container|wrap|wrapper|blocks?|forms?|items?|posts|articles|stories|notice|slots?|units?|panel|thread|inner|[0-9]+)"
 NOT_ARTICLE = re.compile(
-    rf"(?:(?:site|page|main|primary|secondary|post|entry|article|reader)[-_]+)?{_NOT_ARTICLE}(?:[-_]+(?:{_NOT_ARTICLE}|{_HELD}))*|(?:site|page)-?header|skip-?links?", re.I
+    rf"(?:(?:site|page|main|primary|secondary|post|entry|article|reader|user|visitor)[-_]+)?{_NOT_ARTICLE}(?:[-_]+(?:{_NOT_ARTICLE}|{_HELD}))*|(?:site|page)-?header|skip-?links?|advert(?:isements?)?[-_][a-z0-9]+", re.I
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ARTICLE = {"article", "main"}
@@ -350,13 +354,16 @@ def main_text(root: Node, against: dict[int, float]) -> str:
     """The blocks that stay, joined by newlines; ``against`` has the (negative) evidence for paths."""
     order = [node for node, _ in nodes(root)]
     has_text = {id(n) for n in order if any(isinstance(p, str) and p.strip() for p in n.parts)}
-    marked = any(n.marked and id(n) in has_text for n in order)
+    named = [(n, text) for n, text in blocks(root) if not n.cut]
+    share = marked_share(named)
+    ramp = min(1.0, max(0.0, (share - SHARES[0]) / (SHARES[1] - SHARES[0])))
 
     def prior(n: Node) -> float:
-        if n.name in ("#page", "html", "body") or (n.marked and n.name in ARTICLE):
+        if n.name in ("#page", "html", "body"):
             return PRIORS["article"]
-        if n.marked and n.name in FLOW:
-            return PRIORS["flow of a marked article"]
+        if n.marked and (n.name in ARTICLE or n.name in FLOW):
+            most = PRIORS["article" if n.name in ARTICLE else "flow of a marked article"]
+            return PRIORS["any other"] + ramp * (most - PRIORS["any other"])
         return PRIORS["any other"]
 
     full: set[int] = set()
@@ -372,26 +379,35 @@ def main_text(root: Node, against: dict[int, float]) -> str:
         if id(n) in noisy or id(n) in dropped:
             dropped.add(id(n))
             dropped.update(id(p) for p in n.parts if not isinstance(p, str))
-    # Beside a marked article nothing has enough evidence.
-    named = [(n, text) for n, text in blocks(root) if not n.cut and (n.marked or not marked)]
+    if share > SHARES[1]:  # beside elements that hold most of the text nothing has enough evidence
+        named = [(n, text) for n, text in named if n.marked]
     kept = [text for n, text in named if id(n) not in dropped]
     return "\n".join(kept or [text for _, text in named])
 
 
+def marked_share(named: list[tuple[Node, str]]) -> float:
+    """The share of a page's text, headings aside, that stands in elements marked as the article; 1 where there are only headings."""
+    sizes = [(n.marked, len(text)) for n, text in named if n.name not in HEADINGS] or [(n.marked, len(text)) for n, text in named]
+    return sum(size for marked, size in sizes if marked) / max(1, sum(size for _, size in sizes))
+
+
 def different(pages: DataFrame) -> DataFrame:
-    """Of a host's pages with the same html one (the smallest ``page_id``), as what a tree is made of."""
-    rows = pages.withColumn("h", F.xxhash64("html"))
-    again = rows.groupBy("host", "h").agg(F.min("page_id").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = written(again.select("host", "h", "one"), "same-pages")
-    with_one = rows.join(F.broadcast(again) if again.count() <= BROADCAST_BRANCHES else again.hint("merge"), ["host", "h"], "left")
-    return with_one.where(F.col("one").isNull() | (F.col("page_id") == F.col("one"))).select("host", "html")
+    """Of a host's pages with the same html one, whatever their ids, as what a tree is made of.
+
+    Only pages that are repeated are shuffled, each once a task.
+    """
+    rows = pages.select("host", "html", F.xxhash64("html").alias("h"))
+    again = written(rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "h"), "same-pages")
+    again = F.broadcast(again) if again.count() <= BROADCAST_BRANCHES else again.hint("merge")
+    once = rows.join(again, ["host", "h"], "left_anti").select("host", "html")
+    return once.unionByName(rows.join(again, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html")).select("host", "html"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``, from the whole html.
 
     Null html is empty and has the text ''; a null URL belongs to the host ''.  Repeated rows
-    are pages of their own.  Other columns are ignored.  White space inside a block, ``br``
+    are rows of the result each, and one page of the tree.  Other columns are ignored.  White space inside a block, ``br``
     included, is one space; blocks are joined by one newline.
     """
     rows = pages.select(

@@ -179,7 +179,8 @@ def train(
 
     ``categories`` are 0/1 columns of ``labels`` that come before ``toxic`` in the chain; without any
     they are ``kinds`` clusters.  Null flags and ids are left out (a null category counts as 0), of
-    repeated labels the largest counts.
+    repeated labels the largest counts, and of documents with one id one text, that of the smallest
+    hash: the sample has at most ``max_labelled`` rows, whatever the tables repeat.
     """
     flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"is_{k}") for k, c in enumerate(categories)]
     names = [f"is_{k}" for k in range(len(categories))]
@@ -191,11 +192,14 @@ def train(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    # The ids are at most ``max_labelled``: small enough to broadcast, so no text is shuffled.
+    # The ids are at most ``max_labelled``: small enough to broadcast, so only their texts are shuffled, one an id and task.
+    flags = F.array(*names).cast("array<int>")
     sample = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(known), "doc_id")
-        .select("doc_id", "toxic", "text", F.array(*names).cast("array<int>").alias("flags")),
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"), F.max(flags).alias("flags"), F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+        .select("doc_id", "toxic", F.col("one.text").alias("text"), "flags"),
         "labelled",
     )
     features = chosen_features(sample, max_features)

@@ -208,6 +208,41 @@ def test_sites_without_names(spark):
     assert all(text_of(html) != got[i] for i, _, html, _ in rows)
 
 
+def test_repeated_rows_are_one_page_of_the_tree(spark):
+    """A motto that 12 pages share goes, however often one of them is repeated, with whatever ids."""
+    rnd = random.Random(5)
+    rows = [(i, f"http://a.org/{i}", f"<body><div class=x>A motto for all of us</div><div class=y><p>{words(rnd, 20)}</p></div></body>") for i in range(12)]
+    want = {html: text_of(html).split("\n")[1] for _, _, html in rows}
+    for ids in ([0] * 40, [None] * 40, range(100, 140)):
+        got = html_extract.extract(pages(spark, rows + [(i, *rows[0][1:]) for i in ids])).collect()
+        assert len(got) == 52 and sorted(r.text for r in got) == sorted([*want.values(), *[want[rows[0][2]]] * 40])
+    got = html_extract.extract(pages(spark, [(None, *r[1:]) for r in rows])).collect()
+    assert sorted(r.text for r in got) == sorted(want.values())
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class=story><p>The real text</p></div><article class=teaser>Other story</article>", "The real text\nOther story"),
+        ("<main><h1>Title</h1></main><div><p>Body</p></div>", "Title\nBody"),
+        ("<article><p>A long text of the article</p></article><div>Beside it</div>", "A long text of the article"),
+        ("<article><p>Text of the article</p><div class='user-comment'>x</div><div class=reader-remarks>y</div><div class=notice>z</div><div class=advertisement-x>w</div></article>", "Text of the article"),
+        ("<article><h1>Only a title</h1></article><div></div>", "Only a title"),
+    ],
+)
+def test_an_article_weighs_what_it_holds(html, text):
+    assert text_of(html) == text
+
+
+def test_articles_that_are_teasers(spark):
+    """The site's tree outweighs the element's name where it holds little of the text."""
+    rnd = random.Random(6)
+    teasers = "".join(f"<article class=teaser><p>{words(rnd, 3)}</p></article>" for _ in range(3))
+    rows = [(i, f"http://t.org/{i}", f"<body><div class=story><p>{words(rnd, 40)}</p><p>{words(rnd, 30)}</p></div>{teasers}</body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: "\n".join(text_of(html).split("\n")[:2]) for i, _, html in rows}
+
+
 def by_definition(site):
     """Text of each page of one site: importance, evidence and choice written out as recursions over all pages."""
     trees = [html_extract.parsed(h) for h in sorted(set(site))]
@@ -249,14 +284,20 @@ def by_definition(site):
 
     def chosen(html):
         root = html_extract.parsed(html)
-        marked = any(n.marked and any(o is n for o, _ in html_extract.blocks(root)) for n, _ in html_extract.nodes(root))
+        own = [(n, t) for n, t in html_extract.blocks(root) if not n.cut]
+        body = [(n, t) for n, t in own if n.name not in html_extract.HEADINGS] or own
+        share = sum(len(t) for n, t in body if n.marked) / max(1, sum(len(t) for _, t in body))
+        ramp = 0.0 if share < 0.25 else 1.0 if share > 0.5 else (share - 0.25) * 4
+        marked = share > 0.5
 
         def noisy(n):
             if n.cut:
                 return True
             kids = [p for p in n.parts if not isinstance(p, str)]
             texts = [t for o, t in html_extract.blocks(n) if o is n]
-            prior = 3.0 if n.name in ("#page", "html", "body") or (n.marked and n.name in ("article", "main")) else 2.0 if n.marked and n.name in html_extract.FLOW else 0.5
+            prior = 3.0 if n.name in ("#page", "html", "body") else 0.5
+            if n.marked and n.name in ("article", "main") or n.marked and n.name in html_extract.FLOW:
+                prior = 0.5 + ramp * (2.5 if n.name in ("article", "main") else 1.5)
             silent = not texts and all(noisy(p) for p in kids)
             return silent or (prior + min(0.0, says[n.path]) <= 0 and all(noisy(p) for p in kids))
 

@@ -194,6 +194,25 @@ def test_toxicity_with_named_categories(spark):
     assert all((said[i].p_insult > 0.5) == ("idiot" in t) and said[i].rejected == bool(y) for i, t, y in rows if i % 3)
 
 
+def test_the_labelled_sample_has_its_bound(spark, monkeypatch):
+    """Repeated rows and ids don't make it larger, nor its chain another."""
+    seen = []
+    keep = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    rows = [(i, f"word{i % 7} " + ("idiot scum " * 3 if i % 5 == 0 else "kind fine"), int(i % 5 == 0)) for i in range(200)]
+    schema = "doc_id long, text string"
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = [(i, t) for i, t, _ in rows]
+    once = toxicity.train(spark.createDataFrame(docs, schema), labels)
+    again = toxicity.train(spark.createDataFrame(docs + docs[:1] * 3000 + docs[1:50] * 3, schema).repartition(7), labels)
+    few = toxicity.train(spark.createDataFrame([(i, t) for i, t in docs] + docs[:1] * 3000, schema), labels, max_labelled=10)
+    assert [s.count() for s in seen] == [200, 200, 10] and once.features == again.features and few.names == once.names
+    assert all(np.allclose(a, b) for a, b in zip(once.weights, again.weights, strict=True))
+    two = spark.createDataFrame([(1, "b"), (1, "a"), (1, None)], schema)
+    toxicity.train(two, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert seen[-1].count() == 1
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
