@@ -164,14 +164,56 @@ def after_first(df: DataFrame, marks: DataFrame, keys: Sequence[str], us: str, t
     return df.join(right, list(keys)).where(later & (F.col(us) - F.col(at) <= within_us)).drop(*names)
 
 
-def followed_by(df: DataFrame, after: DataFrame, keys: Sequence[str], within_us: int, name: str) -> DataFrame:
-    """Rows of ``df`` with a row of ``after`` later than they and at most ``within_us`` later: column ``next`` is the first one's ``name``.
-
-    Time is cut into slabs of that length, so a row meets only those of its own and the next.
+def as_of(
+    df: DataFrame,
+    marks: DataFrame,
+    keys: Sequence[str],
+    within_us: int,
+    value: str,
+    name: str,
+    forward: bool = True,
+    outer: bool = False,
+    us: str = "us",
+    slab_us: int = HOUR,
+) -> DataFrame:
+    """As-of join: adds the ``value`` (as ``name``) and time (``name_us``) of the nearest mark of the row's keys that is
+    later (``forward``) or earlier than the row, by at most ``within_us``; of marks at one time that of the smallest value.
+
+    Both sides are put into one table and sorted once by key, slab and time; on the way through a
+    slab the nearest mark so far is kept.  Where a slab's marks don't reach, the first mark of each
+    of the next slabs does: one row a marked slab, copied to the slabs within ``within_us`` of it.  Rows
+    without a mark, a key or a time are left out, or kept with nulls if ``outer``.  Columns of
+    ``marks`` other than the keys, ``us`` and ``value`` are ignored.
     """
-    slab = F.floor(F.col("us") / within_us).cast("bigint")
-    left = df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).withColumn("__slab", F.explode(F.array(slab, slab + 1)))
-    right = after.select(*keys, F.col("us").alias("__us"), F.col(name).alias("__name"), slab.alias("__slab"))
-    near = left.join(right, [*keys, "__slab"]).where((F.col("__us") > F.col("us")) & (F.col("__us") - F.col("us") <= within_us))
-    first = near.groupBy(*keys, "__id").agg(F.min_by("__name", F.struct("__us", "__name")).alias("next"))
-    return df.withColumn("__id", F.struct("us", *[c for c in ("src_file", "line_no") if c in df.columns])).join(first, [*keys, "__id"]).drop("__id")
+    size = min(within_us, slab_us)
+    steps = -(-within_us // size)
+    sign = 1 if forward else -1
+    at = F.col(us).cast("bigint") * sign
+    own_keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    part = [*(f"__k{i}" for i in range(len(keys))), "__slab"]
+    known = F.col(us).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    slab = F.floor(F.col("__at") / size).cast("bigint")
+    mark = F.struct(F.col("__at").alias("at"), F.col("__value").alias("value"))
+    # rows: 0 before marks at the same time, which don't count for them
+    rows = df.where(known).select(*own_keys, at.alias("__at"), F.struct("*").alias("__row")).withColumns({"__slab": slab, "__kind": F.lit(0)})
+    seen = marks.where(known).select(*own_keys, at.alias("__at"), F.col(value).alias("__value")).withColumns({"__slab": slab, "__kind": F.lit(1)})
+    seen = seen.select(*part, "__kind", "__at", mark.alias("__mark"))
+    firsts = seen.groupBy(*part).agg(F.min("__mark").alias("__mark"))
+    back = F.explode(F.sequence(F.col("__slab") - steps, F.col("__slab") - 1))
+    firsts = firsts.withColumn("__slab", back).select(*part, F.lit(1).alias("__kind"), F.col("__mark.at").alias("__at"), "__mark")
+    line = rows.unionByName(seen.unionByName(firsts), allowMissingColumns=True)
+    so_far = Window.partitionBy(*part).orderBy(F.col("__at").desc(), "__kind").rowsBetween(_FIRST, _HERE)
+    nearest = line.withColumn("__near", F.min("__mark").over(so_far)).where("__kind = 0")
+    near = F.when(F.col("__near.at") - F.col("__at") <= within_us, F.col("__near"))
+    out = nearest.withColumn("__near", near)
+    out = out.select("__row.*", F.col("__near.value").alias(name), (F.col("__near.at") * sign).alias(f"{name}_us"))
+    if not outer:
+        return out.where(F.col(f"{name}_us").isNotNull())
+    return out.unionByName(df.where(~F.coalesce(known, F.lit(False))), allowMissingColumns=True)
+
+
+def followed_by(df: DataFrame, after: DataFrame, keys: Sequence[str], within_us: int, name: str) -> DataFrame:
+    """Rows of ``df`` with a row of ``after`` later than they and at most ``within_us`` later: column ``next`` is the first one's ``name``."""
+    return as_of(df, after, keys, within_us, name, "next").drop("next_us")

@@ -134,39 +134,57 @@ def _files(spark, sf, path: str, body: str):
 
 
 _WORD = "concat('tool', p_partkey % 40)"
-_EVENT_RULE = f"""concat('title: t', p_partkey, chr(10), 'logsource: {{category: process_creation}}', chr(10), 'level: ', CASE p_partkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END, chr(10),
- 'detection:', chr(10), '  selection:', chr(10), '    CommandLine|contains: ', {_WORD}, chr(10), '    Image|endswith: /x', p_size, chr(10), '  condition: selection', chr(10))"""
+# Every category, a condition of each kind and a list of false alarms; ids are the published ones of the telemetry.
+_CATEGORIES = ("process_creation", "file_event", "registry_set", "registry_add", "registry_event", "network_connection", "image_load", "process_access", "dns_query")
+_CATEGORY = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CATEGORIES)) + " END"
+_EVENT_RULE = f"""concat('title: t', p_partkey, chr(10), 'logsource: {{category: ', {_CATEGORY}, '}}', chr(10), 'level: ', CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'high' END, chr(10),
+ 'falsepositives: [', CASE p_partkey % 2 WHEN 0 THEN 'a, b, c' ELSE '' END, ']', chr(10),
+ 'detection:', chr(10), '  selection:', chr(10), '    CommandLine|contains: ', {_WORD}, chr(10), '    Image|endswith: /x', p_size, chr(10),
+ '  condition: ', CASE p_partkey % 5 WHEN 0 THEN 'selection' WHEN 1 THEN 'selection and not filter_a' WHEN 2 THEN 'selection and not 1 of filter_b' WHEN 3 THEN 'selection or other' ELSE 'selection and not filter_a filter_b 1 of filter_c' END, chr(10))"""
 
 
 @query(
     "rules_from_events",
-    f"""WITH r AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_partkey % 3 < 2)
-    SELECT concat('t', p_partkey) AS description, 'CommandLine' AS field, {_WORD} AS pattern, severity FROM r UNION ALL SELECT concat('t', p_partkey), 'Image', concat('/x', p_size, '$'), severity FROM r""",
+    f"""WITH r AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'high' ELSE 'medium' END AS severity, [1, 11, 13, 12, 13, 3, 7, 10][p_partkey % 9 + 1] AS event_id,
+      CASE p_partkey % 2 WHEN 0 THEN 'a, b' ELSE 'see the rule''s own list' END AS false_positive FROM part WHERE p_partkey % 4 <> 2 AND p_partkey % 9 < 8 AND p_partkey % 5 <> 3)
+    SELECT concat('t', p_partkey) AS description, event_id, 'CommandLine' AS field, {_WORD} AS pattern, severity, false_positive FROM r
+    UNION ALL SELECT concat('t', p_partkey), event_id, 'Image', concat('/x', p_size, '$'), severity, false_positive FROM r""",
 )
 def rules_from_events(spark, sf):
-    return rule_compile.from_sigma(_files(spark, sf, "concat('/r/', p_partkey, '.yml')", _EVENT_RULE)).select("description", "field", "pattern", "severity")
+    files = _files(spark, sf, "concat('/r/', p_partkey, '.yml')", _EVENT_RULE)
+    return rule_compile.from_sigma(files).select("description", "event_id", "field", "pattern", "severity", "false_positive")
 
 
 _NET_RULE = f"""concat('alert http any any -> any any (msg:"m', p_partkey, '; x"; ', CASE p_partkey % 4 WHEN 0 THEN concat('http.uri; content:"/', {_WORD}, '"; ') WHEN 1 THEN concat('pcre:"/', {_WORD}, '/i"; ')
  WHEN 2 THEN concat('content:"', {_WORD}, '"; ') ELSE concat('content:"|00|', {_WORD}, '"; ') END, 'sid:', p_partkey, ';)')"""
+_NET_SETS = ("web_server", "user_agents", "coinminer", "exploit_kit", "current_events", "web_specific_apps", "malware")
+_NET_SET = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_NET_SETS)) + " END"
 
 
 @query(
     "rules_from_network",
-    f"""SELECT concat('m', p_partkey, '; x') AS description, CASE p_partkey % 4 WHEN 0 THEN 'uri' ELSE 'request_line_excerpt' END AS field,
-    concat(CASE p_partkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '(?i)' ELSE '' END, {_WORD}) AS pattern FROM part WHERE p_partkey % 4 < 3""",
+    f"""SELECT concat('m', p_partkey, '; x') AS description, ['rce', 'scanner', 'c2', 'c2', 'c2'][p_partkey % 7 + 1] AS category, CASE p_partkey % 7 WHEN 1 THEN 'medium' ELSE 'high' END AS severity,
+    concat('et-open-', {_NET_SET}) AS tool, CASE p_partkey % 4 WHEN 0 THEN 'uri' ELSE 'request_line_excerpt' END AS field,
+    concat(CASE p_partkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '(?i)' ELSE '' END, {_WORD}) AS pattern FROM part WHERE p_partkey % 4 < 3 AND p_partkey % 7 < 5""",
 )
 def rules_from_network(spark, sf):
-    return rule_compile.from_suricata(_files(spark, sf, "'/r/emerging-malware.rules'", _NET_RULE)).select("description", "field", "pattern")
+    files = _files(spark, sf, f"concat('/r/emerging-', {_NET_SET}, '.rules')", _NET_RULE)
+    return rule_compile.from_suricata(files).select("description", "category", "severity", "tool", "field", "pattern")
 
 
 _CORE_RULE = f"""concat('# a comment', chr(10), 'SecRule ARGS "@rx ', {_WORD}, '=[0-9]+" ', chr(92), chr(10), '  "id:', p_partkey, '"', chr(10), 'SecRule ARGS "@pm a b" "id:1"', chr(10))"""
+_CORE_SETS = ("930-APPLICATION-ATTACK-LFI", "931-APPLICATION-ATTACK-RFI", "932-APPLICATION-ATTACK-RCE", "933-APPLICATION-ATTACK-PHP", "941-APPLICATION-ATTACK-XSS", "942-APPLICATION-ATTACK-SQLI", "913-SCANNER-DETECTION", "944-APPLICATION-ATTACK-JAVA")
+_CORE_SET = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_CORE_SETS)) + " END"
 
 
-@query("rules_from_core_sets", f"SELECT concat({_WORD}, '=[0-9]+') AS pattern, CASE p_partkey % 2 WHEN 0 THEN 'sqli' ELSE 'xss' END AS category, count(*) AS n FROM part GROUP BY ALL")
+@query(
+    "rules_from_core_sets",
+    f"""SELECT concat({_WORD}, '=[0-9]+') AS pattern, ['lfi', 'rfi', 'rce', 'rce', 'xss', 'sqli'][p_partkey % 8 + 1] AS category, 'request_line_excerpt' AS field,
+    CASE p_partkey % 8 WHEN 4 THEN 'medium' ELSE 'high' END AS severity, concat('owasp-crs-', substr({_CORE_SET}, 1, 3)) AS tool, count(*) AS n FROM part WHERE p_partkey % 8 < 6 GROUP BY ALL""",
+)
 def rules_from_core_sets(spark, sf):
-    path = "CASE p_partkey % 2 WHEN 0 THEN '/r/REQUEST-942-A.conf' ELSE '/r/REQUEST-941-B.conf' END"
-    return rule_compile.from_crs(_files(spark, sf, path, _CORE_RULE)).groupBy("pattern", "category").agg(F.count(F.lit(1)).alias("n"))
+    files = _files(spark, sf, f"concat('/r/REQUEST-', {_CORE_SET}, '.conf')", _CORE_RULE)
+    return rule_compile.from_crs(files).groupBy("pattern", "category", "field", "severity", "tool").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CONTENT_RULE = f"""concat('rule r', p_partkey, ' {{ meta: description = "', CASE p_partkey % 2 WHEN 0 THEN 'a webshell' ELSE 'a game' END, '" strings: $a = /', {_WORD}, 'x+/ nocase $b = "plain" condition: any of them }}')"""

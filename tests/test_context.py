@@ -196,6 +196,22 @@ detection: {selection: {Image: x}, condition: selection}
     assert rc.value_pattern("a.b", "") == r"^a\.b$" and rc.value_pattern("(", "re") is None and rc.value_pattern(5, "") is None
 
 
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [("selection", True), ("selection and not filter_a", True), ("selection  and not filter_a filter_b", True), ("selection and not 1 of filter_b", True), ("selection and not filter_a 1 of filter_b", True),
+     ("selection and not", False), ("selection and not 1 of filter_*", False), ("selection or x", False), ("selection and filter_a", False), ("1 of selection", False), ("selection and not filter_", False), ("selections", False)],
+)
+def test_plain_conditions(text, plain):
+    assert rc.plain_condition(text) is plain
+
+
+def test_event_categories(spark):
+    rule = lambda c: f"title: t\nlogsource: {{category: {c}}}\nlevel: high\nfalsepositives: [one, two, three]\ndetection: {{selection: {{Image: x}}, condition: selection}}\n"
+    got = {c: [tuple(r) for r in rc.from_sigma(sources(spark, "a.yml", rule(c))).select("event_id", "severity", "false_positive").collect()] for c in ("registry_add", "registry_set", "dns_query")}
+    assert got == {"registry_add": [(12, "medium", "one, two")], "registry_set": [(13, "medium", "one, two")], "dns_query": []}
+    assert [r.event_id for r in rc.from_sigma(sources(spark, "a.yml", rule("dns_query")), events={"dns_query": 22}).collect()] == [22]
+
+
 def test_suricata(spark):
     text = "\n".join(
         [
@@ -207,9 +223,13 @@ def test_suricata(spark):
             'alert tcp any any -> any any (msg:"tcp"; content:"marker"; sid:6;)',
         ]
     )
-    got = rc.from_suricata(sources(spark, "/r/emerging-malware.rules", text)).collect()
+    got = rc.from_suricata(sources(spark, "/r/emerging-coinminer.rules", text)).collect()
     assert [(r.field, r.pattern, r.category) for r in got] == [("uri", r"/x\.php", "c2"), ("request_line_excerpt", "(?i)ab+c", "c2"), ("request_line_excerpt", "marker", "c2")]
-    assert rc.from_suricata(sources(spark, "/r/other.rules", text)).count() == 0
+    assert {(r.tool, r.severity) for r in got} == {("et-open-coinminer", "high")}
+    for left_out in ("emerging-malware.rules", "emerging-web_specific_apps.rules", "other.rules"):
+        assert rc.from_suricata(sources(spark, f"/r/{left_out}", text)).count() == 0
+    own = rc.from_suricata(sources(spark, "/r/own.rules", text), {"own.rules": "webshell"}).collect()
+    assert {(r.category, r.tool, r.severity) for r in own} == {("webshell", "et-open-own", "medium")}
 
 
 def test_options_of_network_rules():
@@ -232,7 +252,11 @@ def test_words_of_directives_and_content_rules():
 def test_crs_and_yara(spark):
     conf = 'SecRule ARGS "@rx union\\s+\\"x\\" \\\n   select" \\\n "id:1"\nSecRule ARGS "@rx ab" "id:2"\nSecRule ARGS "@rx (bad" "id:3"'
     got = rc.from_crs(sources(spark, "/c/REQUEST-942-APPLICATION-ATTACK-SQLI.conf", conf)).collect()
-    assert [(r.pattern, r.category, r.field) for r in got] == [('union\\s+"x"  select', "sqli", "uri")]
+    assert [(r.pattern, r.category, r.field) for r in got] == [('union\\s+"x"  select', "sqli", "request_line_excerpt")]
+    kinds = {n: rc.from_crs(sources(spark, f"/c/{n}", conf)).select("category", "severity", "tool").distinct().collect() for n in [*rc.CRS_FILES, "REQUEST-913-SCANNER-DETECTION.conf", "REQUEST-944-APPLICATION-ATTACK-JAVA.conf"]}
+    assert [tuple(x[0]) if x else None for x in kinds.values()] == [
+        ("lfi", "high", "owasp-crs-930"), ("rfi", "high", "owasp-crs-931"), ("rce", "high", "owasp-crs-932"), ("rce", "high", "owasp-crs-933"), ("xss", "medium", "owasp-crs-941"), ("sqli", "high", "owasp-crs-942"), None, None,
+    ]
     yar = 'rule a { meta: description = "PHP webshell" strings: $a = /eval\\(/ nocase\n $b = "text" condition: any of them }\nrule b { meta: author = "x" strings: $a = /y+/ condition: $a }'
     got = rc.from_yara(sources(spark, "x.yar", yar)).collect()
     assert [(r.pattern, r.description) for r in got] == [("(?i)eval\\(", "PHP webshell")]

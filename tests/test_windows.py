@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict, deque
 
 import pytest
@@ -211,3 +212,40 @@ def test_rewriting_texts_that_have_the_mark(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(rewritten(F.col("t"), "[0-9]+", lambda m: F.when(m != "3", F.concat(F.lit("<"), m, F.lit(">"))))).collect()]
     assert got == ["a<1>b<22>c", "\x01a<1>\x01b<22>", "none", "", None, "<1>", "<12> "]
+
+
+def as_of_by_hand(left, right, within, forward):
+    out = []
+    for k, us, i in left:
+        ahead = [(abs(t - us), v, t) for kk, t, v in right if kk == k and k is not None and None not in (us, t) and 0 < (t - us if forward else us - t) <= within]
+        near = min(ahead, default=(0, None, None))
+        out.append((k, us, i, near[1], near[2]))
+    return out
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("within", [1, 7, 40, 10_000])
+def test_as_of_against_all_pairs(spark, forward, within):
+    rnd = random.Random(within)
+    rows = lambda n: [(rnd.choice(["a", "a", "a", "b", "c", None]), rnd.choice([None, *range(-60, 60)]), rnd.randrange(1000)) for _ in range(n)]
+    left, right = rows(150), rows(40)
+    df = spark.createDataFrame([(*r, "x") for r in left], "k string, us long, i long, value string").repartition(3)
+    marks = spark.createDataFrame([(*r, 1) for r in right], "k string, us long, v long, i int").repartition(3)
+    want = as_of_by_hand(left, right, within, forward)
+    for slab in (3, W.HOUR):
+        got = W.as_of(df, marks, ["k"], within, "v", "near", forward, True, slab_us=slab)
+        assert got.columns == ["k", "us", "i", "value", "near", "near_us"]
+        assert sorted(map(tuple, got.drop("value").collect()), key=repr) == sorted(want, key=repr)
+        inner = W.as_of(df, marks, ["k"], within, "v", "near", forward, slab_us=slab)
+        assert sorted(map(tuple, inner.drop("value").collect()), key=repr) == sorted((w for w in want if w[3] is not None), key=repr)
+    assert W.as_of(df.limit(0), marks, ["k"], within, "v", "near").count() == 0
+
+
+def test_as_of_takes_time_in_proportion(spark):
+    """A million rows a side of one key in half an hour: all pairs would be 10^12."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") * 1800).alias("us"), F.col("id").alias("line_no"))
+    began = time.monotonic()
+    got = W.as_of(rows, rows.select("k", (F.col("us") + 5).alias("us"), "line_no"), ["k"], W.HOUR, "line_no", "next")
+    assert tuple(got.agg(F.count("*"), F.sum((F.col("next") == F.col("line_no")).cast("int"))).first()) == (n, n)
+    assert time.monotonic() - began < 90
