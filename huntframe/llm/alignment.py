@@ -100,6 +100,8 @@ class Aligner:
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if set(token) <= alphabet.keys() else token.encode()
         self.bytes_b = [self._bytes_of(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        # every id with the sign behind it: a comma, or what ends its side of a group
+        self.signed = [b"%d" % i + sign for n, end in ((len(self.bytes_a), b"|"), (len(self.bytes_b), b";")) for i in range(n) for sign in (b",", end)]
         # a piece with a space behind another character could cross a cut
         self.cut = CUT if not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())) else None
         self.known: dict[str, int] = {}
@@ -109,16 +111,27 @@ class Aligner:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _covered(self, want: list[bytes], ids_a: list, ids_b: list, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which texts both tokenizers' tokens give back byte by byte: all at once, and one by one only if not."""
+        whole, sizes = b"".join(want), np.fromiter(map(len, want), np.int64, len(want))
+
+        def all_right(of: list[bytes], size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> bool:
+            total = np.concatenate([[0], np.cumsum(size[ids])])
+            ends = np.cumsum(n)
+            return bool((total[ends] - total[ends - n] == sizes).all()) and b"".join(map(of.__getitem__, ids.tolist())) == whole
+
+        if all_right(self.bytes_a, self.size_a, a, n_a) and all_right(self.bytes_b, self.size_b, b, n_b):
+            return np.ones(len(want), bool)
+        right = (b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y)) for w, x, y in zip(want, ids_a, ids_b, strict=True))
+        return np.fromiter(right, bool, len(want))
+
     def align(self, texts: list[str]) -> Aligned:
         """Each text with a space before it; none is empty."""
         ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(texts)) for ids in (ids_a, ids_b))
-        fine = np.zeros(len(texts), bool)
-        for k, (t, x, y) in enumerate(zip(texts, ids_a, ids_b, strict=True)):
-            want = (" " + t).encode("utf-8", "replace")
-            fine[k] = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
+        fine = self._covered([(" " + t).encode("utf-8", "replace") for t in texts], ids_a, ids_b, a, b, n_a, n_b)
         if not fine.all():  # only what covers its bytes goes on the line
             a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
             n_a, n_b = n_a * fine, n_b * fine
@@ -126,16 +139,17 @@ class Aligner:
             return nothing(len(texts))
         of_a, of_b = groups(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
         in_a, in_b = np.bincount(of_a), np.bincount(of_b)
-        ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
-        owner = np.repeat(np.arange(len(texts)), n_a)[ends_a - 1]  # of each group
+        owner = np.repeat(np.arange(len(texts)), n_a)[np.cumsum(in_a) - 1]  # of each group
         pairs, links, of_pair = linked(a, b, in_a, in_b, owner)
         each = np.arange(1, len(texts) + 1)
-        ends = np.searchsorted(owner, each)
         numbers = np.stack([n_a, n_b, np.bincount(owner, minlength=len(texts)), np.bincount(owner, in_a * in_b, len(texts)).astype(np.int64), fine], axis=1)
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spans = zip((ends_a - in_a).tolist(), ends_a.tolist(), (ends_b - in_b).tolist(), ends_b.tolist(), strict=True)
-        written = [",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m]) for i, j, k, m in spans]
-        of_text = [";".join(written[i:j]).encode() for i, j in pairwise([0, *ends.tolist()])]
+        # one text after the other, group by group: A's ids, then B's, each with the sign behind it
+        last = np.concatenate([of_a[1:] != of_a[:-1], [True], of_b[1:] != of_b[:-1], [True]])
+        code = np.concatenate([a, len(self.size_a) + b]) * 2 + last
+        code = code[np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")].tolist()
+        stops = np.cumsum(n_a + n_b).tolist()
+        sign = self.signed.__getitem__
+        of_text = [b"".join(map(sign, code[i:j]))[:-1] for i, j in pairwise([0, *stops])]
         return Aligned(numbers, of_text, np.searchsorted(of_pair, each), pairs, links)
 
     def learn(self, pieces: set[str]) -> None:
@@ -152,10 +166,10 @@ class Aligner:
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text its numbers and groups' text; and all distinct pairs: ``pairs, links, owner``."""
-        split = [self.cut.split(t) if self.cut and t else [t] for t in texts]
-        self.learn({p for parts in split for p in parts if p})
-        n = np.fromiter(map(len, split), np.int64, len(split)) * np.fromiter(map(bool, texts), bool, len(split))
-        ids = np.fromiter((self.known[p] for p in chain.from_iterable(split) if p), np.int64)
+        split = [(self.cut.split(t) if self.cut else [t]) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
         owner = np.repeat(np.arange(len(texts)), n)
         fine = np.bincount(owner, self.pieces.numbers[ids, 4] == 0, len(texts)) == 0
         ids, owner = ids[fine[owner]], owner[fine[owner]]
