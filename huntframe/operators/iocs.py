@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from huntframe.functions.net import host_of_uri, ip6_bits, ip_number
 from huntframe.functions.text import all_matches, blank, first_match
+from huntframe.operators.signatures import matching, valid
 from huntframe.operators.windows import ranked
 from huntframe.rules.libraries import IOCS
 
@@ -29,6 +30,8 @@ SNIPPET, CUT, SAMPLES = 240, 200, 5
 FIELDS = ("type", "value", "confidence", "tag")
 HASHES = ("hash:md5", "hash:sha1", "hash:sha256")
 
+#: Up to so many patterns are branches of one expression, without Python.
+FEW = 100
 IOC = "struct<ordinal:int,type:string,value:string,confidence:string,tag:string>"
 
 
@@ -166,7 +169,43 @@ def tool_indicators(ua: Column, uri: Column, iocs: list[dict]) -> Column:
     return all_matches(choices) if choices else F.array().cast(f"array<{IOC}>")
 
 
-def matched(records: DataFrame, iocs: list[dict], extended: bool = False) -> DataFrame:
+def with_patterns(records: DataFrame, iocs: list[dict], few: int = FEW) -> tuple[DataFrame, Column, Column, Column]:
+    """``records`` and, of each, the first path or URL indicator, the first agent indicator and all tools.
+
+    Few patterns are branches of one expression; more than ``few`` are looked for by one automaton
+    over all of them, and the numbers that it finds are looked up among the indicators.
+    """
+    uri, ua = F.col("uri"), F.col("ua")
+    kinds = ("path", "url", "ua", "tool")
+    mine = sorted((i for i in iocs if i["type"] in kinds), key=lambda i: kinds.index(i["type"]))  # paths before URLs
+    if len(mine) <= few:
+        first = F.when(blank(uri) != "", uri_indicator(uri, iocs)), F.when(blank(ua) != "", agent_indicator(ua, iocs))
+        return records, *first, tool_indicators(ua, uri, iocs)
+    asked = []
+    for n, i in enumerate(mine):
+        if i["type"] == "tool":
+            asked += [(n, f, i[p]) for f, p in (("ua", "ua_pattern"), ("uri", "uri_pattern")) if i.get(p)]
+        else:
+            asked.append((n, "ua" if i["type"] == "ua" else "uri", _pattern(i)))
+    numbered = [(n, *_values(i), kinds.index(i["type"])) for n, i in enumerate(mine)]
+    table = records.sparkSession.createDataFrame(numbered, "n int, ordinal int, type string, value string, confidence string, tag string, kind int")
+    held = F.array_sort(F.collect_list(F.struct("n", "kind", F.struct("ordinal", *FIELDS).alias("ioc"))))
+    # one row: the list of the patterns that were read from rule files
+    known = table.agg(held.alias("__known"))
+    found = records.withColumn("__n", F.array_distinct(matching({"ua": ua, "uri": uri}, valid_patterns(asked), records.sparkSession)))
+    found = found.join(F.broadcast(known)).withColumn("__n", F.transform("__n", lambda n: F.get("__known", n))).drop("__known")
+
+    def of(*which: int) -> Column:
+        return F.transform(F.filter("__n", lambda x: x["kind"].isin(*which)), lambda x: x["ioc"])
+
+    return found, F.get(of(0, 1), F.lit(0)), F.get(of(2), F.lit(0)), of(3)
+
+
+def valid_patterns(asked: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
+    return [tuple(r) for r in valid(asked)]
+
+
+def matched(records: DataFrame, iocs: list[dict], extended: bool = False, few: int = FEW) -> DataFrame:
     """Records of LOG with ``iocs``, an array of the indicators they hit: address, domain, path, agent, tools.
 
     ``extended`` also looks at ``dst_ip`` and, where the records have them, ``sni``, ``hash`` and ``email``.
@@ -184,9 +223,9 @@ def matched(records: DataFrame, iocs: list[dict], extended: bool = False) -> Dat
         if "sni" in records.columns:
             out = match_domains(out, iocs, F.col("sni"), "sni_ioc")
             names.append("sni_ioc")
-    uri, ua = F.col("uri"), F.col("ua")
-    single = F.array(*map(F.col, names), F.when(blank(uri) != "", uri_indicator(uri, iocs)), F.when(blank(ua) != "", agent_indicator(ua, iocs)))
-    return out.withColumn("iocs", F.concat(F.array_compact(single), tool_indicators(ua, uri, iocs))).drop(*names)
+    out, uri, ua, tools = with_patterns(out, iocs, few)
+    single = F.array(*map(F.col, names), uri, ua)
+    return out.withColumn("iocs", F.concat(F.array_compact(single), tools)).drop(*names, "__n")
 
 
 def hits(matches: DataFrame) -> DataFrame:

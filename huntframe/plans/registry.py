@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.plans import auth, chains, context, grading, playbook, streams, traffic, web, win
+from huntframe.plans import auth, chains, context, grading, playbook, streams, tables, traffic, web, win
 from huntframe.plans.base import QUERIES, SQL, Query
 
-MODULES = (web, auth, win, traffic, context, grading, playbook, chains, streams)
+MODULES = (web, auth, win, traffic, context, grading, playbook, chains, streams, tables)
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,8 @@ operators of ``operators.windows``.  Signature tables join by (view, field).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ from huntframe.functions import text as T
 from huntframe.functions.text import blank, has_any, truncated
 from huntframe.functions.time import parsed
 from huntframe.operators.findings import Branch, as_findings, hits, ioc, one_rule
+from huntframe.operators.signatures import matching, valid
 from huntframe.operators.windows import HOUR, MINUTE, burst, distinct_over, first_over, looking_back, nth_rows, numbered, running, trailing
+from huntframe.rules.catalog import RULES
 from huntframe.rules.ngx import TIES, timed
 
 # Patterns, tables, ports and thresholds.
@@ -180,17 +183,42 @@ def signature_rule(view: str, category: str, tool: str) -> str | None:
 def signature_branches(view: str, signatures: Sequence[tuple] = SIGNATURES) -> list[Branch]:
     """One branch a signature of this view."""
     out = []
-    for sig_id, category, its_view, field, pattern, tool, _ in signatures:
-        rule = signature_rule(view, category, tool) if its_view == view else None
-        if rule is None:
-            continue
-        value = F.col("dst_port").cast("string") if field == "dst_port" else raw(field).cast("string")
-        value = query_type() if field == "qtype" else F.lower(value) if field in ("ja3", "ja3s") else value
+    for rule, sig_id, field, pattern, tool in signatures_of(view, signatures):
+        value = signature_value(field)
         extra = {"sig_id": F.lit(sig_id), "tool": F.lit(tool), "matched_field": F.lit(field)}
         out.append(Branch(rule, (blank(value) != "") & value.rlike(pattern), extra))
     return out
 
 
+def signatures_of(view: str, signatures: Sequence[tuple]) -> list[tuple[str, str, str, str, str]]:
+    """(rule, id, field, pattern, tool) of the signatures of a view that a rule reports."""
+    mine = ((signature_rule(view, category, tool), sig_id, field, pattern, tool) for sig_id, category, its_view, field, pattern, tool, _ in signatures if its_view == view)
+    return [s for s in mine if s[0] is not None]
+
+
+def signature_value(field: str) -> Column:
+    """What a signature on a field looks at."""
+    value = F.col("dst_port").cast("string") if field == "dst_port" else raw(field).cast("string")
+    return query_type() if field == "qtype" else F.lower(value) if field in ("ja3", "ja3s") else value
+
+
+#: Places of the signatures among the branches of their view.
+SIGNATURE_PLACES = {"http": 1, "dns": 0, "tls": 0, "flow": 6}
+#: Up to so many signatures of a view are branches, without Python; the rows are the same either way.
+FEW = 100
+
+
+def signature_hits(flows: DataFrame, view: str, signatures: Sequence[tuple]) -> DataFrame:
+    """What ``signature_branches`` report of the records of a view, from one automaton: for signature sets of any size."""
+    mine = signatures_of(view, [s for s in signatures if valid([(s[0], s[3], s[4])])])
+    rows = [(n, rule, RULES[rule].severity, json.dumps({"sig_id": sig_id, "tool": tool, "matched_field": field}, ensure_ascii=False, separators=(",", ":"))) for n, (rule, sig_id, field, _, tool) in enumerate(mine)]
+    table = flows.sparkSession.createDataFrame(rows, "ordinal int, rule_id string, severity string, extra string")
+    fields = {f: signature_value(f) for f in {m[2] for m in mine}}
+    seen = flows.where(F.col("view") == view).withColumn("ordinal", F.explode(matching(fields, [(n, m[2], m[3]) for n, m in enumerate(mine)], flows.sparkSession)))
+    seen = seen.join(F.broadcast(table), "ordinal")
+    return seen.withColumn("ordinal", F.col("ordinal") + SIGNATURE_PLACES[view])
+
+
 def http_branches(signatures: Sequence[tuple] = SIGNATURES) -> list[Branch]:
     uri, agent, line = blank(raw("uri")), blank(raw("ua")), blank(raw("request_line_excerpt"))
     return [
@@ -400,21 +428,29 @@ def desktop_fan_in(flows: DataFrame, at_least: int = 5) -> DataFrame:
 # All of them ----------------------------------------------------------------------------
 
 
-def detect(flows: DataFrame, signatures: Sequence[tuple] = SIGNATURES) -> DataFrame:
+def _plain(flows: DataFrame, view: str, branches: Callable[[Sequence[tuple]], list[Branch]], signatures: Sequence[tuple], few: int) -> list[DataFrame]:
+    """Rules of one record of a view, with few signatures as branches among them, with many beside them."""
+    mine = signatures_of(view, signatures) if view in SIGNATURE_PLACES else []
+    if len(mine) <= few:
+        return [hits(flows.where(F.col("view") == view), branches(signatures))]
+    others = hits(flows.where(F.col("view") == view), branches([]))
+    shifted = F.when(F.col("ordinal") >= SIGNATURE_PLACES[view], F.col("ordinal") + len(mine)).otherwise(F.col("ordinal"))
+    return [others.withColumn("ordinal", shifted), signature_hits(flows, view, signatures)]
+
+
+def detect(flows: DataFrame, signatures: Sequence[tuple] = SIGNATURES, few: int = FEW) -> DataFrame:
     """Records of FLOWREC to (record, ``ordinal, rule_id, severity, extra``), without R-TRAF-999.
 
-    Flows have no time of their own; rules with a memory then go by file and line.
+    Views with more than ``few`` signatures get them from one automaton.  Flows have no time of their own; rules with a memory then go by file and line.
     """
     flows = timed(flows)
     flows = flows.withColumn("us", F.when(F.col("view") == "flow", F.coalesce("us", (F.coalesce(raw("rel_start"), F.lit(0.0)) * 1e6).cast("bigint"))).otherwise(F.col("us")))
     names = [*flows.columns, "ordinal", "rule_id", "severity", "extra"]
     plain = [
-        hits(flows.where(F.col("view") == view), branches).withColumn("ordinal", F.col("ordinal") + 20)
-        for view, branches in (
-            ("http", http_branches(signatures)), ("dns", dns_branches(signatures)), ("tls", tls_branches(signatures)),
-            ("flow", flow_branches(signatures)), ("creds", creds_branches()),
-        )
-    ]
+        part.withColumn("ordinal", F.col("ordinal") + 20)
+        for view, branches in (("http", http_branches), ("dns", dns_branches), ("tls", tls_branches), ("flow", flow_branches), ("creds", lambda _: creds_branches()))
+        for part in _plain(flows, view, branches, signatures, few)
+    ]
     memory = [
         one_rule(generated_names(flows), "R-TRAF-005", 0, {"digit_ratio": F.format_string("%.2f", "ratio")}),
         one_rule(tunnel_names(flows), "R-TRAF-006", 1, {"qname_len": F.length(raw("qname")), "txt_count_1h": F.col("n")}),
