@@ -47,7 +47,9 @@ def _sorted(rows: DataFrame, hot: DataFrame, limit: int, *ties: Column) -> DataF
     Comparing a row with its neighbour alone says where a run of equal texts begins (``starts``).
     """
     parts = F.ceil(F.col("n") / F.lit(limit)).cast("long")
-    salt = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), parts))
+    # Not by id alone: a hot text's rows may all have one id, or none.
+    nth = F.xxhash64("doc_id", F.lit(7)) % F.lit(1 << 31) + F.monotonically_increasing_id() % F.lit(1 << 31)
+    salt = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(nth, parts))
     ranged = (
         rows.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
@@ -78,6 +80,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         light.select(
             "doc_id",
             "hot",
+            "salt",
             "kept",
             F.max("sha").over(run).alias("sha"),
             F.min("doc_id").over(run).alias("keep_id"),
@@ -86,14 +89,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "dedup-members",
     )
 
-    # The parts of a hot text meet as one row each.  Equal ids, null among them, are in one part, so one row stays.
-    parted = members.where("hot AND kept").groupBy("sha").agg(F.min("keep_id").alias("least"), F.sum("group_size").alias("all"))
+    # The parts of a hot text meet as one row each; of parts with the same smallest id the first has the row that stays.
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), "keep_id", "salt")).alias("first")
+    parted = members.where("hot AND kept").groupBy("sha").agg(first, F.sum("group_size").alias("all"))
     whole = members.where("NOT hot").select("doc_id", "keep_id", "group_size", "kept", "sha")
     split = members.where("hot").join(F.broadcast(parted), "sha").select(
         "doc_id",
-        F.col("least").alias("keep_id"),
+        F.col("first.keep_id").alias("keep_id"),
         F.col("all").alias("group_size"),
-        (F.col("kept") & F.col("keep_id").eqNullSafe(F.col("least"))).alias("kept"),
+        (F.col("kept") & (F.col("salt") == F.col("first.salt"))).alias("kept"),
         "sha",
     )
     return whole.unionByName(split).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
@@ -103,15 +107,16 @@ def distinct(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with their columns as they were.
 
     Rows are sorted once and stay where they are.  Of rows with one id and equal texts that of
-    the smallest hash of the text stays.  The smallest id of a hot text is found beforehand: one
-    row a hot text, which is what is broadcast.
+    the smallest hash of the text stays.  Rows of a hot text aren't sorted at all: each task
+    keeps the first of its own, and one row a hot text and task meets.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"), own)
     hot, limit = _hot_texts(rows.select("norm"))
-    sha = F.sha2("norm", 256).alias("sha")
-    crowded = rows.select("doc_id", "norm", F.xxhash64("norm").alias("h")).join(F.broadcast(hot.select("h")), "h")
-    least = crowded.select("doc_id", sha).groupBy("sha").agg(F.min("doc_id").alias("least"))
-    firsts = _sorted(rows, hot, limit, F.xxhash64("row.text")).where("starts").withColumn("sha", F.when(F.col("hot"), F.sha2("norm", 256)))
-    kept = firsts.join(F.broadcast(least), "sha", "left").where(~F.col("hot") | F.col("doc_id").eqNullSafe(F.col("least")))
-    return kept.select("row.*")
+    known = F.broadcast(hot.select("h"))
+    hashed = rows.withColumn("h", F.xxhash64("norm"))
+    others = hashed.join(known, "h", "left_anti").drop("h")
+    kept = _sorted(others, hot, limit, F.xxhash64("row.text")).where("starts").select("row.*")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("row.text").alias("text"))
+    first = hashed.join(known, "h", "left_semi").groupBy(F.sha2("norm", 256)).agg(F.min_by("row", place).alias("row"))
+    return kept.unionByName(first.select("row.*"))

@@ -72,6 +72,42 @@ def test_sql(spark, sf, name):
     oracle.check(spark, oracle.connect(sf), name, queries.queries()[name], queries.oracle_sql()[name], sf)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_rows_of_one_id_and_text_are_split(spark, monkeypatch, doc_id):
+    """Every part of the hot text has a share of the rows, and one row stays."""
+    n = 20_000
+    hot = spark.range(n).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("same  text").alias("text"), F.lit("s").alias("source"))
+    few = spark.createDataFrame([(3, "a", "s"), (None, "a", "s"), (9, "same text", "t")], "doc_id long, text string, source string")
+    df = hot.unionByName(few).repartition(6)
+    seen = {}
+    keep = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda x, name: seen.setdefault(name, keep(x, name)))
+    got = exact_dedup.exact_groups(df)
+    want = groups_by_hand([(doc_id, "same text", "")] * n + [(3, "a", ""), (None, "a", ""), (9, "same text", "")])
+    assert tuples(got) == want
+    parts = [r["count"] for r in seen["dedup-members"].where("hot").groupBy("salt").count().collect()]
+    assert len(parts) > 3 and max(parts) < 2 * n / len(parts)
+    assert sorted(map(tuple, exact_dedup.distinct(df).select("doc_id", F.trim("source").alias("s")).collect()), key=repr) == sorted([(3, "s"), (doc_id or 9, "s" if doc_id else "t")], key=repr)
+
+
+def test_crowded_cells_are_cut_finer(spark, monkeypatch):
+    """10^5 rows of one id and text: the same multiset as systematic sampling in order, in many chunks."""
+    n = 100_000
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    df = df.unionByName(spark.createDataFrame([(i, "x " * (i % 40), "t" if i % 3 else "s") for i in range(3000)], "doc_id long, text string, source string")).repartition(7)
+    seen = {}
+    keep = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda x, name: seen.update({name: keep(x, name)}) or seen[name])
+    got = mixing.mix_sizes(df).collect()
+    parts = [r["count"] for r in seen["mix-crowded"].groupBy("cell", "size", "doc_id", "chunk").count().collect()]
+    assert max(parts) <= 1 << mixing.CHUNK_BITS and sum(parts) >= n
+    assert len(got) == n + 3000
+    monkeypatch.setattr(mixing, "CROWDED", 10**9)
+    seen.clear()
+    plain = mixing.mix_sizes(df).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, plain))
+
+
 def targets_by_hand(sizes, most=3):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
