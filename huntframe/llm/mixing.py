@@ -5,7 +5,8 @@ plus one random offset a source, is taken; a document is emitted once for each i
 sum crosses at it.  The order goes by cells of about ``CELL_ROWS`` documents (by a hash of
 the id), and by size inside a cell: ranks inside the cells are counted in parallel, and a
 running sum over the cells' counts - a few rows a source - makes them ranks of the source.
-A source with a third of all rows is therefore many cells.
+A source with a third of all rows is therefore many cells.  Rows repeated with one id, or without
+one, would be one cell: such cells are found by their counts and cut finer, in the same order.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from huntframe.llm.store import written
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Fixed, not taken from the cluster's settings: reruns agree on any cluster.
 CELL_ROWS, MOST_CELLS = 500, 65536
+#: A cell with so many times the rows it should have holds repeated ids; its rows are dealt by size, id and chunks of 2 ** CHUNK_BITS rows.
+CROWDED, CHUNK_BITS = 8, 13
 SEED = 20240
 #: A table of sources is broadcast up to this many rows, of some 100 bytes each.
 BROADCAST_SOURCES = 100_000
@@ -116,7 +119,7 @@ def _copies(sized: DataFrame, seed: int) -> DataFrame:
         .withColumn("key", key)
         .withColumn("n_cells", n_cells)
         .withColumn("offset", _random(F.concat(F.lit(f"{seed}:"), F.col("key"))) / F.lit(4294967296.0))
-        .drop("source", "n_docs"),
+        .drop("source"),
         "mix-sources",
     )
     few = sources.count() <= BROADCAST_SOURCES
@@ -130,16 +133,36 @@ def _copies(sized: DataFrame, seed: int) -> DataFrame:
     def in_cells(df: DataFrame) -> DataFrame:
         return with_source(df, "n_cells").withColumn("cell", F.pmod(spread, F.col("n_cells"))).drop("n_cells")
 
-    cells = in_cells(sized.select("key", "doc_id")).groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
-    so_far = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    rows = in_cells(sized).drop("source")
+    counted = written(in_cells(sized.select("key", "doc_id")).groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    crowded = with_source(counted, "n_docs", "n_cells").where(F.col("n") > CROWDED * F.greatest(F.lit(CELL_ROWS), F.col("n_docs") / F.col("n_cells"))).select("key", "cell")
+    n_crowded = crowded.count()
+    whole = {"at_size": F.lit(-1), "no_id": F.lit(False), "at_id": F.lit(0).cast("long"), "chunk": F.lit(0).cast("long")}
+    cells = counted.withColumns(whole)
+    if n_crowded:
+        crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_SOURCES else crowded.hint("merge")
+        finer = {"at_size": F.col("size"), "no_id": F.col("doc_id").isNull(), "at_id": F.coalesce("doc_id", F.lit(0)), "chunk": F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)}
+        # written, so that a chunk has the same rows when they are counted and when they are dealt
+        split = written(rows.join(crowded, ["key", "cell"], "left_semi").withColumns(finer), "mix-crowded")
+        rows = rows.join(crowded, ["key", "cell"], "left_anti")
+        counts = split.groupBy("key", "cell", *whole).agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.join(crowded, ["key", "cell"], "left_anti").unionByName(counts)
+    so_far = Window.partitionBy("key").orderBy("cell", *whole).rowsBetween(Window.unboundedPreceding, -1)
     cells = with_source(
         cells.withColumn("start", F.coalesce(F.sum("n").over(so_far), F.lit(0))), "source_size", "target", "copies_each", "offset"
     ).drop("n")
-    inside = Window.partitionBy("key", "cell").orderBy("size", F.col("doc_id").asc_nulls_last())
-    dealt = in_cells(sized).drop("source").repartition(F.col("key"), F.col("cell"))
-    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1)
     at = F.col("start") + F.col("rank")
-    return ranked.join(cells, ["key", "cell"]).withColumn(
-        "copies",
-        F.floor((at + 1) * F.col("copies_each") + F.col("offset")) - F.floor(at * F.col("copies_each") + F.col("offset")),
-    )
+
+    def dealt(part: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+        inside = Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last())
+        ranked = part.repartition(*map(F.col, keys)).withColumn("rank", F.row_number().over(inside) - 1)
+        return ranked.join(starts, keys).withColumn(
+            "copies",
+            F.floor((at + 1) * F.col("copies_each") + F.col("offset")) - F.floor(at * F.col("copies_each") + F.col("offset")),
+        )
+
+    if not n_crowded:
+        return dealt(rows, cells.drop(*whole), ["key", "cell"])
+    cells = written(cells, "mix-starts")
+    normal = dealt(rows, cells.where("at_size < 0").drop(*whole), ["key", "cell"])
+    return normal.unionByName(dealt(split, cells.where("at_size >= 0"), ["key", "cell", *whole]).drop(*whole))
