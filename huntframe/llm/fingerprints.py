@@ -170,6 +170,10 @@ def likeness(a: str, b: str) -> float:
     return max(min(same, min(na, nb)) / max(na, nb), moved)
 
 
+#: Equal rows beyond this number are walked as one.
+REPEATED = 1000
+#: Counters of ids and texts, rows a task makes of one at a time, and rows that are broadcast at most.
+BUCKETS, CHUNK, BROADCAST_ROWS = 1 << 20, 10_000, 100_000
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, front_edited long, front_next long"
 _NAMES = [f.split(" ")[0] for f in FIELDS.split(", ")]
 
@@ -186,23 +190,29 @@ def compare(text: str, here: Prefixes, after: str, there: Prefixes) -> tuple:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order: each is compared with the next.  kind 0: done; 1 and 2: the first and last text of partition ``part``."""
-    schema = pa.schema([*[pa.field(n, t) for n, t in zip(_NAMES, _TYPES, strict=True)], ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+    """Rows in order: each is compared with the next.  kind 0: done; 1 and 2: the first and last text of partition ``part``.
+
+    A row of ``n`` equal documents is compared with itself once, for ``times`` = n - 1 of them.
+    """
+    schema = pa.schema([*[pa.field(n, t) for n, t in zip(_NAMES, _TYPES, strict=True)], ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()), ("times", pa.int64())])
     last, part, blank = None, TaskContext.get().partitionId(), [None] * (len(_NAMES) - 1)
     rows: list[tuple] = []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text, n in zip(*batch.columns, strict=True):  # one text at a time as a Python string
+            doc_id, text, n = doc_id.as_py(), text.as_py(), n.as_py()
             arrays = Prefixes(text)
             if last is None:
-                rows.append((doc_id, *blank, 1, part, text))
+                rows.append((doc_id, *blank, 1, part, text, 1))
             else:
-                rows.append((last[0], *compare(last[1], last[2], text, arrays), 0, part, None))
+                rows.append((last[0], *compare(last[1], last[2], text, arrays), 0, part, None, 1))
+            if n > 1:
+                rows.append((doc_id, *compare(text, arrays, text, arrays), 0, part, None, n - 1))
             last = (doc_id, text, arrays)
             if len(rows) >= 500:
                 yield _batch(rows, schema)
                 rows = []
     if last is not None:
-        rows.append((last[0], *blank, 2, part, last[1]))
+        rows.append((last[0], *blank, 2, part, last[1], 1))
     if rows:
         yield _batch(rows, schema)
 
@@ -239,11 +249,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text").desc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    same = _repeated(rows)
+    counted = rows.withColumn("n", F.lit(1).cast("long"))
+    if same is not None:
+        once = rows.join(same, ["doc_key", "h"], "left_semi").groupBy("doc_key", "doc_id", "h", "text").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.join(same, ["doc_key", "h"], "left_anti").unionByName(once)
     walked = written(
-        rows.repartitionByRange(partitions(spark), *order[:2])
+        counted.repartitionByRange(partitions(spark), *order[:2])
         .sortWithinPartitions(*order)
-        .select("doc_id", "text")
-        .mapInArrow(_walk, f"{FIELDS}, kind int, part int, text string"),
+        .select("doc_id", "text", "n")
+        .mapInArrow(_walk, f"{FIELDS}, kind int, part int, text string, times long"),
         "fingerprints",
     )
     lasts, firsts = (walked.where(F.col("kind") == k).select("doc_id", "part", "text") for k in (2, 1))
@@ -252,4 +268,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     follows = lasts.select("part", F.coalesce(F.lead("part").over(line), F.first("part").over(whole)).alias("next"))
     after = firsts.select(F.col("part").alias("next"), F.col("text").alias("after"))
     pairs = lasts.join(follows, "part").join(after, "next").select("doc_id", "text", "after")
-    return walked.where("kind = 0").select(*_NAMES).union(pairs.mapInArrow(_ends, FIELDS))
+    done = walked.where("kind = 0")
+    if same is not None:
+        done = done.where("times = 1").unionByName(_spread(done.where("times > 1"), partitions(spark)))
+    return done.select(*_NAMES).union(pairs.mapInArrow(_ends, FIELDS))
+
+
+def _repeated(rows: DataFrame) -> DataFrame | None:
+    """(doc_key, h) of documents that are repeated more than ``REPEATED`` times with id and text; None if there are none.
+
+    Counts by a few bits of the hash come first, so that where nothing is repeated only these are shuffled.
+    """
+    bucket = F.pmod(F.xxhash64("doc_key", "h"), F.lit(BUCKETS))
+    buckets = written(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "id-buckets")
+    mean = (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    full = buckets.where(F.col("n") > REPEATED + 2 * mean).select("bucket")
+    if full.isEmpty():
+        return None
+    suspect = rows.withColumn("bucket", bucket).join(F.broadcast(full), "bucket")
+    same = written(suspect.groupBy("doc_key", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPEATED).select("doc_key", "h"), "same-rows")
+    n = same.count()
+    return None if not n else F.broadcast(same) if n <= BROADCAST_ROWS else same.hint("merge")
+
+
+def _spread(copies: DataFrame, n_tasks: int) -> DataFrame:
+    """Each row ``times`` times, made by all tasks."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK).cast("long")))
+    dealt = copies.withColumn("chunk", chunk).repartition(n_tasks)
+    return dealt.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("times") - F.col("chunk") * CHUNK)))).drop("chunk", "nth")

@@ -449,6 +449,21 @@ def test_many_documents_without_an_id(spark):
     assert Counter(r.fingerprint for r in got.collect()) == want
 
 
+def test_many_equal_rows_are_walked_once(spark, monkeypatch):
+    """Rows repeated with one id and text, or without an id, are one row of the walk, and the result has them all."""
+    rows = [(5, "the same text")] * 900 + [(None, "no id")] * 800 + [(i, f"text {i}") for i in range(12)] + [(None, "another")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = sorted(map(tuple, fingerprints.with_next(df).collect()), key=repr)
+    walked = []
+    keep = fingerprints.written
+    monkeypatch.setattr(fingerprints, "REPEATED", 100)
+    monkeypatch.setattr(fingerprints, "CHUNK", 70)
+    monkeypatch.setattr(fingerprints, "written", lambda x, name: walked.append((name, keep(x, name))) or walked[-1][1])
+    got = sorted(map(tuple, fingerprints.with_next(df).collect()), key=repr)
+    assert got == plain and len(got) == len(rows)
+    assert dict(walked)["fingerprints"].where("kind = 0").count() < 30 and dict(walked)["same-rows"].count() == 2
+
+
 def test_one_document_and_none(spark):
     one = fingerprints.with_next(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == sha256(b"abab").hexdigest()
