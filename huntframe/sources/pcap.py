@@ -1,17 +1,18 @@
-"""Packet captures (classic pcap, Ethernet or raw IPv4) to packets, and packets to conn, dns and flow views.
-
-A file is decoded where Spark has it, packet by packet, into a table of packet headers;
-everything above that - conversations, directions, first payloads - is grouping in Spark.  A
-capture is one task, so long captures should be cut into files, as capture tools do.  Captures
-of other link types, IPv6 and fragments after the first give no rows; ``unread`` names the files
-that give none for that reason.
+"""Packet captures to packets, and packets to conn, dns and flow views.
+
+``read_packets`` decodes classic captures where Spark has them, a file a task and up to the 2 GB
+that a binary cell holds; ``captures.read_packets`` reads files of any size, also next-generation
+ones, in byte ranges.  Everything above the table of packet headers - conversations, directions,
+first payloads - is grouping in Spark; ``reassembly`` puts the payloads together.  Links of other
+types than ``LINKS`` and fragments after the first give no rows; ``unread`` names the files that
+give none for that reason.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from socket import inet_ntoa
+from socket import AF_INET6, inet_ntoa, inet_ntop
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ from huntframe.sources.views import dns_view, flow_record, raw_struct
 
 # Fixed values of the file and protocol formats.
 MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\x3c\x4d": (">", 1e-9), b"\x4d\x3c\xb2\xa1": ("<", 1e-9)}
-ETHERNET, RAW_IP, IPV4, VLAN, TCP, UDP, DNS_PORT = 1, 101, 0x0800, 0x8100, 6, 17, 53
+ETHERNET, RAW_IP, IPV4, IPV6, VLAN, TCP, UDP, DNS_PORT = 1, 101, 0x0800, 0x86DD, (0x8100, 0x88A8), 6, 17, 53
+COOKED, COOKED_2, ONLY_4, ONLY_6 = 113, 276, 228, 229
+LINKS = (ETHERNET, RAW_IP, COOKED, COOKED_2, ONLY_4, ONLY_6)
+EXTENSIONS, FRAGMENT, AUTHENTICATION = (0, 43, 60), 44, 51
 HEAD = 16  # bytes of payload that are kept
 
 PACKET = (
@@ -33,7 +37,7 @@ _FIELDS = [tuple(f.split(" ")) for f in PACKET.split(", ")]
 
 
 def frames(data: bytes) -> Iterator[tuple[float, bytes]]:
-    """(time, IPv4 packet) of a capture, whatever its byte order; a cut last packet is left out."""
+    """(time, IP packet) of a classic capture, whatever its byte order; a cut last packet is left out."""
     order, unit = MAGIC.get(data[:4], ("", 0.0))
     if not order or len(data) < 24:
         return
@@ -43,12 +47,27 @@ def frames(data: bytes) -> Iterator[tuple[float, bytes]]:
         frame, at = data[at + 16 : at + 16 + size], at + 16 + size
         if len(frame) < size:
             return
-        if link == ETHERNET and len(frame) >= 14:
-            start = 18 if frame[12:14] == VLAN.to_bytes(2, "big") else 14
-            if frame[start - 2 : start] == IPV4.to_bytes(2, "big"):
-                yield seconds + fraction * unit, frame[start:]
-        elif link == RAW_IP and frame[:1] and frame[0] >> 4 == 4:
-            yield seconds + fraction * unit, frame
+        ip = ip_of(link, frame)
+        if ip is not None:
+            yield seconds + fraction * unit, ip
+
+
+def ip_of(link: int, frame: bytes) -> bytes | None:
+    """The IP packet in a frame of a known link type; None for others."""
+    if link == ETHERNET:
+        start = 14
+        while start <= 22 and int.from_bytes(frame[start - 2 : start], "big") in VLAN:
+            start += 4
+        kind = int.from_bytes(frame[start - 2 : start], "big")
+    elif link == COOKED:
+        start, kind = 16, int.from_bytes(frame[14:16], "big")
+    elif link == COOKED_2:
+        start, kind = 20, int.from_bytes(frame[:2], "big")
+    elif link in (RAW_IP, ONLY_4, ONLY_6):
+        start, kind = 0, {4: IPV4, 6: IPV6}.get(frame[0] >> 4 if frame else 0, 0)
+    else:
+        return None
+    return frame[start:] if kind in (IPV4, IPV6) and len(frame) > start else None
 
 
 def _name(data: bytes, at: int) -> tuple[str, int]:
@@ -80,7 +99,7 @@ def dns_fields(data: bytes) -> dict:
     name, at = _name(data, 12)
     out = {"qname": name, "qtype": str(int.from_bytes(data[at : at + 2], "big")), "rcode": flags & 0xF}
     at += 4
-    for _ in range(min(answers, 32)):
+    for _ in range(answers):
         _, at = _name(data, at)
         if at + 10 > len(data):
             break
@@ -91,12 +110,33 @@ def dns_fields(data: bytes) -> dict:
     return out
 
 
-def packet(ip: bytes) -> dict | None:
-    """The header fields of one IPv4 packet; None for anything but TCP and UDP."""
-    if len(ip) < 20 or int.from_bytes(ip[6:8], "big") & 0x1FFF:
+def _network(ip: bytes) -> tuple[str, str, int, bytes] | None:
+    """(source, destination, protocol, body) of an IP packet; None for later fragments and what is cut in its header."""
+    if len(ip) < 20:
+        return None
+    if ip[0] >> 4 == 4:
+        if int.from_bytes(ip[6:8], "big") & 0x1FFF:
+            return None
+        head, size = (ip[0] & 0xF) * 4, int.from_bytes(ip[2:4], "big")
+        return inet_ntoa(ip[12:16]), inet_ntoa(ip[16:20]), ip[9], ip[head : size or len(ip)]
+    if ip[0] >> 4 != 6 or len(ip) < 40:
+        return None
+    kind, at, end = ip[6], 40, 40 + int.from_bytes(ip[4:6], "big")
+    end = end if end > 40 else len(ip)
+    while kind in (*EXTENSIONS, FRAGMENT, AUTHENTICATION) and at + 8 <= len(ip):
+        if kind == FRAGMENT and int.from_bytes(ip[at + 2 : at + 4], "big") >> 3:
+            return None
+        size = 8 if kind == FRAGMENT else 4 * (ip[at + 1] + 2) if kind == AUTHENTICATION else 8 * (ip[at + 1] + 1)
+        kind, at = ip[at], at + size
+    return inet_ntop(AF_INET6, ip[8:24]), inet_ntop(AF_INET6, ip[24:40]), kind, ip[at:end]
+
+
+def packet(ip: bytes, whole: bool = False) -> dict | None:
+    """The header fields of one IP packet, and its payload as ``data`` if ``whole``; None for anything but TCP and UDP."""
+    network = _network(ip)
+    if network is None:
         return None
-    head, size, kind = (ip[0] & 0xF) * 4, int.from_bytes(ip[2:4], "big"), ip[9]
-    body = ip[head : size or len(ip)]
+    source, destination, kind, body = network
     if kind == TCP and len(body) >= 20:
         ports = struct.unpack(">HHII", body[:12])
         data = body[(body[12] >> 4) * 4 :]
@@ -107,7 +147,8 @@ def packet(ip: bytes) -> dict | None:
             row |= dns_fields(data)
     else:
         return None
-    return row | {"src_ip": inet_ntoa(ip[12:16]), "dst_ip": inet_ntoa(ip[16:20]), "src_port": ports[0], "dst_port": ports[1], "length": len(ip), "payload": data[:HEAD].hex() or None}
+    row |= {"src_ip": source, "dst_ip": destination, "src_port": ports[0], "dst_port": ports[1], "length": len(ip), "payload": data[:HEAD].hex() or None}
+    return row | {"data": data} if whole else row
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +181,7 @@ def unread(files: DataFrame) -> DataFrame:
     digits = F.hex(F.substring("content", 21, 4))
     turned = F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
     link = F.conv(F.when(big, digits).otherwise(turned), 16, 10).cast("bigint")
-    reason = F.when(~known | (F.length("content") < 24), F.lit("no classic capture")).when(~link.isin(ETHERNET, RAW_IP), F.concat(F.lit("link type "), link.cast("string")))
+    reason = F.when(~known | (F.length("content") < 24), F.lit("no classic capture")).when(~link.isin(*LINKS), F.concat(F.lit("link type "), link.cast("string")))
     return files.select("path", reason.alias("reason")).where("reason IS NOT NULL")
 
 

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a name that Spark reads: ``s3a``, ``s3n``, ``abfss`` and ``dbfs`` names are translated."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"/dbfs/{rest.lstrip('/')}"
+    return pafs.FileSystem.from_uri(uri)
+
+
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     """``df`` written to the shared folder and read again.
 

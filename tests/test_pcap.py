@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import struct
-from socket import inet_aton
+from socket import AF_INET6, inet_aton, inet_pton
 
 import pytest
 
@@ -77,7 +78,111 @@ def test_views(spark, tmp_path):
 
 def test_files_that_give_no_packets(spark):
     head = lambda order, magic, link: struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, link)
-    files = [("a", head("<", 0xA1B2C3D4, 1)), ("b", head(">", 0xA1B23C4D, 101)), ("c", head("<", 0xA1B2C3D4, 113)), ("d", head(">", 0xA1B2C3D4, 276)), ("e", b"\x0a\x0d\x0d\x0a" + bytes(40)), ("f", b"")]
+    files = [("a", head("<", 0xA1B2C3D4, 1)), ("b", head(">", 0xA1B23C4D, 101)), ("c", head("<", 0xA1B2C3D4, 147)), ("d", head(">", 0xA1B2C3D4, 189)), ("e", b"\x0a\x0d\x0d\x0a" + bytes(40)), ("f", b"")]
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
     got = {r.path: r.reason for r in pcap.unread(df).collect()}
-    assert got == {"c": "link type 113", "d": "link type 276", "e": "no classic capture", "f": "no classic capture"}
+    assert got == {"c": "link type 147", "d": "link type 189", "e": "no classic capture", "f": "no classic capture"}
+
+
+def ip6(src, dst, kind, body, extra=b""):
+    return struct.pack(">IHBB", 6 << 28, len(extra) + len(body), kind, 64) + inet_pton(AF_INET6, src) + inet_pton(AF_INET6, dst) + extra + body
+
+
+def tcp_body(sport, dport, data=b"", seq=1):
+    return struct.pack(">HHIIHHHH", sport, dport, seq, 2, 0x5018, 100, 0, 0) + data
+
+
+def blocks(packets, order="<", link=1, unit=None, late=None):
+    """A next-generation capture; ``late`` describes a second interface before that packet and sends the rest through it."""
+    block = lambda kind, body: struct.pack(order + "II", kind, 12 + len(body)) + body + struct.pack(order + "I", 12 + len(body))
+    pad = lambda b: b + bytes(-len(b) % 4)
+    option = struct.pack(order + "HH", 9, 1) + bytes([unit, 0, 0, 0]) + bytes(4) if unit is not None else b""
+    out = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(order + "HHI", link, 0, 0) + option)
+    for n, (t, data) in enumerate(packets):
+        if n == late:
+            out += block(1, struct.pack(order + "HHI", 101, 0, 0))
+        second = late is not None and n >= late
+        frame = data if second or link == 101 else b"\0" * 12 + (b"\x86\xdd" if data[0] >> 4 == 6 else b"\x08\x00") + data
+        ticks = round(t * (10**unit if unit is not None and not second else 10**6))
+        out += block(6, struct.pack(order + "IIIII", int(second), ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame)) + pad(frame))
+        if n % 7 == 3:
+            out += block(5, bytes(8))  # statistics
+    return out
+
+
+def test_ipv6():
+    body = tcp_body(5000, 80, b"hello")
+    plain = pcap.packet(ip6("2001:db8::1", "2001:db8::2", 6, body))
+    assert (plain["src_ip"], plain["dst_ip"], plain["dst_port"], plain["payload"]) == ("2001:db8::1", "2001:db8::2", 80, b"hello".hex())
+    hop = bytes([43, 0]) + bytes(6) + bytes([6, 1]) + bytes(14)
+    assert pcap.packet(ip6("::1", "::2", 0, body, hop))["src_port"] == 5000
+    first, later = (bytes([6, 0]) + struct.pack(">HI", offset, 7) for offset in (1, 8 << 3 | 1))
+    assert pcap.packet(ip6("::1", "::2", 44, body, first))["proto"] == "tcp" and pcap.packet(ip6("::1", "::2", 44, body, later)) is None
+    assert pcap.packet(ip6("::1", "::2", 6, body)[:50]) is None and pcap.packet(b"\x60" * 30) is None
+    for link, frame in ((1, b"\0" * 12 + b"\x81\0\0\1\x86\xdd"), (113, b"\0" * 14 + b"\x86\xdd"), (276, b"\x86\xdd" + b"\0" * 18), (229, b"")):
+        assert pcap.packet(pcap.ip_of(link, frame + ip6("::1", "::2", 6, body)))["dst_port"] == 80
+    assert pcap.ip_of(147, b"x" * 60) is None and pcap.ip_of(1, b"") is None
+
+
+def test_dns_answers_have_no_cap():
+    labels = b"\x01a\0"
+    aliases = b"".join(b"\xc0\x0c" + struct.pack(">HHIH", 5, 1, 60, 2) + b"\xc0\x0c" for _ in range(50))
+    message = struct.pack(">HHHHHH", 7, 0x8180, 1, 51, 0, 0) + labels + struct.pack(">HH", 1, 1) + aliases + b"\xc0\x0c" + struct.pack(">HHIH", 1, 1, 60, 4) + inet_aton("9.9.9.9")
+    assert pcap.dns_fields(message)["response_ip"] == "9.9.9.9"
+
+
+def long_capture(make, n=900, seed=1):
+    """Packets of all sizes, some of which hold captures themselves."""
+    rnd = random.Random(seed)
+    inner = make([(5.0, tcp("1.1.1.1", 1, "2.2.2.2", 2, bytes(20))) for _ in range(12)])
+    packets = []
+    for i in range(n):
+        data = rnd.choice([b"", rnd.randbytes(rnd.randint(1, 1400)), inner[: rnd.randint(0, len(inner))], inner * 3, bytes(rnd.randint(0, 3000))])
+        kind = rnd.random()
+        ip_packet = tcp(f"10.0.{i % 7}.1", 5000 + i % 5, "10.9.9.9", 80, data, i) if kind < 0.6 else ip6("2001:db8::1", "2001:db8::2", 6, tcp_body(1, 2, data, i)) if kind < 0.9 else ip("1.1.1.1", "2.2.2.2", 1, b"ping")
+        packets.append((100.0 + i, ip_packet))
+    return packets
+
+
+def tuples(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("size", [16_000, 100_000])
+def test_ranges_give_the_rows_of_one_pass(spark, tmp_path, size):
+    from huntframe.sources import captures
+
+    classic = lambda order: lambda packets: capture([(t, d) for t, d in packets], order, 101)
+    files = {
+        "a.pcap": classic("<")(long_capture(classic("<"), 250)), "b.pcap": classic(">")(long_capture(classic(">"), 150, 2))[:-9], "c.pcapng": blocks(long_capture(blocks, 250, 3)),
+        "d.pcapng": blocks(long_capture(blocks, 120, 4), ">", unit=9), "late.pcapng": blocks(long_capture(blocks, 90, 5), late=40), "empty.pcap": b"", "none.pcap": b"no capture at all", "head.pcap": classic("<")([]),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    whole = captures.read_packets(spark, str(tmp_path), size=1 << 30, whole=True)
+    got = captures.read_packets(spark, str(tmp_path), size=size, whole=True)
+    assert tuples(got) == tuples(whole)
+    per_file = {r.src_file.rsplit("/", 1)[-1]: r["count"] for r in whole.groupBy("src_file").count().collect()}
+    assert set(per_file) == {"a.pcap", "b.pcap", "c.pcapng", "d.pcapng", "late.pcapng"} and per_file["late.pcapng"] > 70
+    assert captures.ranges(spark, str(tmp_path), size=size).count() > len(files)
+    plain = pcap.read_packets(spark, str(tmp_path), "*.pcap")
+    assert tuples(plain) == tuples(whole.where("src_file LIKE '%.pcap'").select(*plain.columns))
+
+
+def test_a_range_inside_a_capture_in_a_packet_is_not_misled(tmp_path):
+    from huntframe.sources import captures
+
+    inner = capture([(5.0, tcp("1.1.1.1", 1, "2.2.2.2", 2, bytes(20))) for _ in range(700)], link=101)
+    data = capture([(9.0, tcp("10.0.0.1", 1, "10.0.0.2", 2, inner))] + [(10.0 + i, tcp("10.0.0.1", 1, "10.0.0.2", 2, b"x" * 900)) for i in range(400)], link=101)
+    read = captures.Bytes(lambda at, n: data[at : at + n], len(data))
+    head = captures.head_of(read)
+    first_end = captures.step(read, head, 24)
+    assert all(captures.border(read, head, at) == first_end for at in range(25, first_end, 997))
+
+
+def test_names_of_stores():
+    from huntframe.sources.store import file_system
+
+    fs, path = file_system("s3a://bucket/a/b.pcap")
+    assert fs.type_name == "s3" and path == "bucket/a/b.pcap"
+    assert file_system("file:///tmp/x")[1] == "/tmp/x" and file_system("dbfs:/a/b")[1] == "/dbfs/a/b"
