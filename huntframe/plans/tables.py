@@ -1,4 +1,4 @@
-"""Large tables of rules beside the records: signatures from a table, and as-of joins with SQL of their own."""
+"""Large tables of rules beside the records, as-of joins, and packets made of the tables' rows, with SQL of their own."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from huntframe.operators import signatures
 from huntframe.operators.windows import DAY, as_of
 from huntframe.plans.base import Rendered, query, table
+from huntframe.sources import pcap, reassembly
 
 #: Orders as requests: an agent that names one of the parts' tools, an address that names a part's script.
 REQUESTS = Rendered(
@@ -59,3 +60,41 @@ def as_of_next(spark, sf):
 def as_of_last(spark, sf):
     """Each purchase with its user's last error within three days before, or none."""
     return _near_errors(spark, sf, False)
+
+
+#: Orders as requests: their text, the address that sends it, and its place in the connection's stream.
+WIRE = Rendered(
+    "orders",
+    {
+        "text": """concat('GET /o/', o_orderkey, ' HTTP/1.1', chr(13), chr(10), 'Host: c', o_custkey % 50, '.example', chr(13), chr(10),
+            'User-Agent: agent-', o_custkey % 7, chr(13), chr(10), chr(13), chr(10))""",
+        "cut": "CAST(20 + o_orderkey % 30 AS INT)",
+    },
+)
+
+
+def packets_of_orders(spark, sf):
+    """Each order is a connection: a SYN, then two segments, the second sent first, and the first one twice, with a byte of the second."""
+    rows = WIRE.spark(spark, sf).withColumn("isn", F.pmod(F.xxhash64("o_orderkey"), F.lit(1 << 32)))
+    after = lambda n: F.pmod(F.col("isn") + 1 + n, F.lit(1 << 32))
+    part = lambda at, seq, flags, data: F.struct(F.lit(at).alias("at"), seq.alias("seq"), F.lit(flags).alias("flags"), data.cast("binary").alias("data"))
+    first, second = F.substring("text", F.lit(1), F.col("cut")), F.substring("text", F.col("cut") + 1, F.length("text"))
+    more = F.substring("text", F.lit(1), F.col("cut") + 1)
+    sent = F.array(part(0.0, F.col("isn"), "0x0002", F.lit("")), part(0.2, after(F.col("cut")), "0x0018", second), part(0.3, after(F.lit(0)), "0x0018", first), part(0.4, after(F.lit(0)), "0x0018", more))
+    rows = rows.withColumn("p", F.explode(sent)).select(
+        F.lit("orders").alias("src_file"), (F.col("o_orderkey") * 4 + F.round(F.col("p.at") * 10).cast("bigint")).alias("line_no"), (F.lit(1.7e9) + F.col("o_orderkey") + F.col("p.at")).alias("t"),
+        F.concat(F.lit("10."), (F.col("o_orderkey") / 62500).cast("int"), F.lit("."), (F.col("o_orderkey") / 250).cast("int") % 250, F.lit("."), F.col("o_orderkey") % 250).alias("src_ip"), F.lit("10.255.0.1").alias("dst_ip"),
+        (F.lit(1024) + F.col("o_custkey") % 60000).cast("int").alias("src_port"), F.lit(80).alias("dst_port"), F.lit("tcp").alias("proto"), "p.seq", F.lit(0).cast("bigint").alias("ack"), "p.flags", F.lit(40).alias("length"), "p.data",
+    )
+    none = {n: F.lit(None).cast(k) for n, k in (f.split(" ") for f in pcap.PACKET.split(", ")) if n not in rows.columns}
+    return rows.withColumns(none)
+
+
+@query(
+    "packets_to_http",
+    "SELECT concat('/o/', o_orderkey) AS uri, concat('c', o_custkey % 50, '.example') AS host, concat('agent-', o_custkey % 7) AS ua FROM orders",
+)
+def packets_to_http(spark, sf):
+    """The http view of packets that are out of order, repeated and overlapping: one record a request."""
+    found = reassembly.http(reassembly.messages(packets_of_orders(spark, sf)))
+    return found.select("raw.uri", "raw.host", "raw.ua")
