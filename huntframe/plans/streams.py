@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from huntframe.operators.windows import DAY
 from huntframe.plans.base import query, table
 from huntframe.sources.store import new_folder
-from huntframe.streaming import detect
+from huntframe.streaming import detect, state
 
 LATE = "2 days"
+#: Of the streams over the driver's tables; a stream of its own size sets its own.
+PARTITIONS = 4
 
 
 def _own(spark: SparkSession) -> tuple[SparkSession, str]:
     """A session and a folder of a stream's own: a stream's checkpoint fixes the number of shuffle partitions for its life."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", "4")
+    own.conf.set("spark.sql.shuffle.partitions", PARTITIONS)
     return own, new_folder(spark, "stream")
 
 
@@ -66,3 +68,49 @@ def stream_first_sights(spark, sf):
     own, folder = _own(spark)
     firsts = detect.first_sights(_events(own, sf, folder).where("user_id >= 0"), ("user_id",), "400 days")
     return _run(spark, firsts.select("user_id"), folder)
+
+
+@query(
+    "stream_sessions",
+    """WITH d AS (SELECT user_id, ts, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 43200000000 AS INT), 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM d)
+    SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 43200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, nth""",
+)
+def stream_sessions(spark, sf):
+    own, folder = _own(spark)
+    made = _run(spark, detect.sessions(_events(own, sf, folder), "12 hours", LATE, ("user_id",)), folder)
+    return made.where("user_id >= 0").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+_RULES = state.Rules(last=6, at_least=4, cv_under=0.5, mean_over=5.0, more_values_than=9)
+
+
+@query(
+    "stream_key_rules",
+    f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_id % 40 AS v FROM events), d AS (SELECT *, (us - lag(us) OVER w) / 1e6 AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    c AS (SELECT *, count(gap) OVER f AS n, avg(gap) OVER f AS mean, stddev_pop(gap) OVER f AS sd FROM d WINDOW f AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN {_RULES.last - 1} PRECEDING AND CURRENT ROW)),
+    b AS (SELECT * FROM c WHERE n >= {_RULES.at_least} AND mean > {_RULES.mean_over} AND sd / mean < {_RULES.cv_under} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) = 1),
+    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, v ORDER BY us, event_id) = 1),
+    g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) = {_RULES.more_values_than + 1})
+    SELECT CAST(user_id AS VARCHAR) AS key, 'beacon' AS rule, us, event_id FROM b UNION ALL SELECT CAST(user_id AS VARCHAR), 'values', us, event_id FROM g""",
+)
+def stream_key_rules(spark, sf):
+    """Two rules with timers on one key's state: even intervals, and many different values."""
+    own, folder = _own(spark)
+    value = F.col("event_id") % 40
+    made = state.key_rules(_events(state.with_timers(own), sf, folder), F.col("user_id"), F.lit(None), value, F.col("event_id"), LATE, _RULES)
+    return _run(spark, made, folder).where("key <> '-1'").select("key", "rule", "us", F.col("nth").alias("event_id"))
+
+
+@query(
+    "stream_follow_ups",
+    f"""SELECT a.event_id, b.event_id AS other_id FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) <= epoch_us(a.ts) + {DAY}
+    WHERE a.event_type = 'error'""",
+)
+def stream_follow_ups(spark, sf):
+    """Each error with its user's purchases of the next day, from two streams; errors that none follow come out when their day has passed."""
+    own, folder = _own(spark)
+    rows = _events(own, sf, folder)
+    again = own.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    made = state.within(rows.where("event_type IN ('error', 'end')"), again.where("event_type IN ('purchase', 'end')"), "user_id", "1 DAY", LATE)
+    return _run(spark, made, folder).where("event_type = 'error'").select("event_id", F.col("other_event_id").alias("other_id"))
