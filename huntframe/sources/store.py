@@ -38,14 +38,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system and path for a name that Spark reads: ``s3a``, ``s3n``, ``abfss`` and ``dbfs`` names are translated."""
+def translated(uri: str) -> str:
+    """A name that Spark reads as Arrow's file systems name it: ``s3a`` and ``s3n`` are ``s3``, ``dbfs`` is a mounted folder."""
     scheme, _, rest = uri.partition(":")
-    if scheme in ("s3a", "s3n"):
-        uri = f"s3:{rest}"
-    elif scheme == "dbfs":
-        uri = f"/dbfs/{rest.lstrip('/')}"
-    return pafs.FileSystem.from_uri(uri)
+    return f"s3:{rest}" if scheme in ("s3a", "s3n") else f"/dbfs/{rest.lstrip('/')}" if scheme == "dbfs" else uri
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a name that Spark reads."""
+    return pafs.FileSystem.from_uri(translated(uri))
 
 
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -181,8 +181,8 @@ def test_a_range_inside_a_capture_in_a_packet_is_not_misled(tmp_path):
 
 
 def test_names_of_stores():
-    from huntframe.sources.store import file_system
+    from huntframe.sources.store import file_system, translated
 
-    fs, path = file_system("s3a://bucket/a/b.pcap")
-    assert fs.type_name == "s3" and path == "bucket/a/b.pcap"
-    assert file_system("file:///tmp/x")[1] == "/tmp/x" and file_system("dbfs:/a/b")[1] == "/dbfs/a/b"
+    assert translated("s3a://bucket/a/b.pcap") == "s3://bucket/a/b.pcap" and translated("s3n://b/a") == "s3://b/a"
+    assert translated("dbfs:/a/b") == "/dbfs/a/b" and translated("hdfs://n:1/a") == "hdfs://n:1/a"
+    assert file_system("file:///tmp/x")[1] == "/tmp/x"
