@@ -6,11 +6,18 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from huntframe.sources.store import file_system
+
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Settings of a session that a session of its own takes over.
+CARRIED = (
+    "spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes",
+)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +62,7 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
         if folder.split(":", 1)[-1].lstrip("/").startswith(top):
             try:
-                fs, at = pafs.FileSystem.from_uri(folder)
+                fs, at = file_system(folder)
             except (pa.ArrowInvalid, OSError):
                 continue
             fs.delete_dir(at)
@@ -65,7 +72,9 @@ def letting_go(spark: SparkSession) -> SparkSession:
     """A session in which the shuffle files of a finished query are deleted at once; the given one stays as it is."""
     own = spark.newSession()
     own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in CARRIED:
+        if (value := spark.conf.get(name, None)) is not None:
+            own.conf.set(name, value)
     return own
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.llm.store import new_dir, partitions, written
+from huntframe.sources.store import file_system
 
 FILE_BYTES = 1 << 30
 BLOCK_LINES = 1000
@@ -39,7 +40,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The store of a name that Spark reads, such as ``s3a://bucket/...``."""
+    return file_system(path)
 
 
 def _gzip(data: bytes) -> bytes:

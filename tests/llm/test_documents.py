@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huntframe.llm import fingerprints, html_extract, queries, warc
+from huntframe.sources.store import translated
 from tests import oracle
 from tests.test_windows import final_plan, splitting
 
@@ -39,6 +40,14 @@ def test_round_trip(spark):
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == winner else ("revisit", winner))
 
 
+def test_archives_may_lie_where_spark_names_them(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc, "file_system", lambda uri: asked.append(translated(uri)))
+    for name in ("s3a://bucket/shared/x.warc.gz", "dbfs:/shared/x", "file:///tmp/x", "abfss://c@a.dfs.example/x"):
+        warc._open(name)
+    assert asked == ["s3://bucket/shared/x.warc.gz", "/dbfs/shared/x", "file:///tmp/x", "abfss://c@a.dfs.example/x"]
+
+
 def test_small_payloads_are_all_responses(spark):
     rows = warc.with_record_types(pages(spark, PAGE_ROWS), min_bytes=10).collect()
     assert {r.page_id for r in rows if r.record_type == "revisit"} == {1, 2}
