@@ -97,17 +97,17 @@ def stages_in_order(found: DataFrame, keys: Sequence[str], stage: str, stages: S
     For the second and later stages this needs the first row after a time that another
     aggregate finds, so it is one join a stage; each side has one row a key.
     """
-    at = found.where(F.col(stage) == stages[0]).groupBy(*keys).agg(F.min(us).alias(f"{stages[0]}_us"))
+    at = settled(found.where(F.col(stage) == stages[0]).groupBy(*keys).agg(F.min(us).alias(f"{stages[0]}_us")), "stages")
     for last, s in zip(stages, stages[1:], strict=False):
         later = found.where(F.col(stage) == s).select(*keys, F.col(us).alias("__us")).join(at, list(keys)).where(F.col("__us") > F.col(f"{last}_us"))
         names = [f"{x}_us" for x in stages[: stages.index(s)]]
-        at = later.groupBy(*keys).agg(F.min("__us").alias(f"{s}_us"), *[F.first(n).alias(n) for n in names])
+        at = settled(later.groupBy(*keys).agg(F.min("__us").alias(f"{s}_us"), *[F.first(n).alias(n) for n in names]), "stages")
     return at
 
 
 def unescalated(found: DataFrame, whitelist: DataFrame, first_hour: int, last_hour: int) -> DataFrame:
     """Findings of whitelisted scanners (column ``src_ip``) within their hours become P3."""
-    mine = whitelist.select("src_ip", F.lit(True).alias("__known")).distinct()
+    mine = settled(whitelist.select("src_ip", F.lit(True).alias("__known")).distinct(), "whitelist")
     hour = F.hour(F.timestamp_micros("us"))
     due = F.col("__known") & hour.between(first_hour, last_hour)
     return found.join(mine, "src_ip", "left").withColumn("lowered", F.when(due, F.lit("P3")).otherwise(F.col("severity"))).drop("__known")
@@ -115,7 +115,7 @@ def unescalated(found: DataFrame, whitelist: DataFrame, first_hour: int, last_ho
 
 def known_bad(found: DataFrame, history: DataFrame) -> DataFrame:
     """P3 findings of addresses in ``history`` (column ``src_ip``) become P2."""
-    mine = history.select("src_ip", F.lit(True).alias("__known")).distinct()
+    mine = settled(history.select("src_ip", F.lit(True).alias("__known")).distinct(), "history")
     due = F.col("__known") & (F.col("severity") == "P3")
     return found.join(mine, "src_ip", "left").withColumn("raised", F.when(due, F.lit("P2")).otherwise(F.col("severity"))).drop("__known")
 

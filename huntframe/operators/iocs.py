@@ -21,6 +21,7 @@ from huntframe.functions.text import all_matches, blank, first_match
 from huntframe.operators.signatures import matching, valid
 from huntframe.operators.windows import ranked
 from huntframe.rules.libraries import IOCS
+from huntframe.sources.store import settled
 
 # Fixed values.
 LEVELS = {"high": "P1", "medium": "P2", "low": "P3"}
@@ -107,7 +108,7 @@ def match_addresses(records: DataFrame, iocs: list[dict], column: str = "src_ip"
         probe = four
     asked = asked.select("__ip", F.explode(probe).alias("__probe")).select("__ip", "__probe.*")
     held = asked.join(table, ["__version", "__length", "__block"])
-    first = held.groupBy("__ip").agg(F.min("__ioc").alias("__in"))
+    first = settled(held.groupBy("__ip").agg(F.min("__ioc").alias("__in")), "addresses-in-blocks")
     out = out.join(first, out[column] == first["__ip"], "left")
     return out.withColumn(name, F.coalesce("__exact", "__in")).drop("__exact", "__in", "__ip")
 
@@ -127,7 +128,7 @@ def match_domains(records: DataFrame, iocs: list[dict], host: Column, name: str
     table = _table(spark, rows, "__suffix string, __wild boolean")
     held = asked.join(table, "__suffix").where((F.col("__at") > 0) == F.col("__wild"))
     # Exact before wild, then the order of the list.
-    best = held.groupBy("__h").agg(F.min(F.struct("__wild", "__ioc")).alias("__in")).select("__h", F.col("__in.__ioc").alias(name))
+    best = settled(held.groupBy("__h").agg(F.min(F.struct("__wild", "__ioc")).alias("__in")).select("__h", F.col("__in.__ioc").alias(name)), "hosts-of-indicators")
     return records.join(best, F.col("__host") == F.col("__h"), "left").drop("__host", "__h")
 
 

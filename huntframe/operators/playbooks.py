@@ -11,6 +11,7 @@ from huntframe.functions.net import is_internal
 from huntframe.functions.text import all_matches, blank
 from huntframe.operators.grading import distinct_trailing
 from huntframe.operators.windows import HOUR, MINUTE, first_over, followed_by, looking_back
+from huntframe.sources.store import settled
 
 # What a playbook rule looks for, as (rule, field, pattern).
 PATTERNS = (
@@ -131,7 +132,7 @@ def double_encoded(uri: Column, words: str = r"(?i)\b(union|select|insert|sleep)
 def outsized(log: DataFrame, path: Column, size: Column, times: float = 10.0) -> DataFrame:
     """PLB-SQ-013: responses more than ``times`` the mean of their endpoint; the means are one row an endpoint."""
     rows = log.withColumns({"path": path, "size": size})
-    means = rows.groupBy("path").agg(F.avg("size").alias("mean"))
+    means = settled(rows.groupBy("path").agg(F.avg("size").alias("mean")), "means")
     return rows.join(means, "path").where(F.col("size") > times * F.col("mean"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from huntframe.operators import signatures
+from huntframe.operators import indicator_table, signatures
 from huntframe.operators.windows import DAY, as_of
 from huntframe.plans.base import Rendered, query, table
 from huntframe.sources import pcap, reassembly
@@ -98,3 +98,24 @@ def packets_to_http(spark, sf):
     """The http view of packets that are out of order, repeated and overlapping: one record a request."""
     found = reassembly.http(reassembly.messages(packets_of_orders(spark, sf)))
     return found.select("raw.uri", "raw.host", "raw.ua")
+
+
+#: Orders as requests of addresses to hosts.
+HOSTS = Rendered("orders", {"src_ip": "concat('10.0.', o_custkey % 200, '.', o_orderkey % 100)", "host": "concat('W', o_orderkey % 3, '.c', o_custkey, '.example.org')"})
+
+
+@query(
+    "indicator_table",
+    f"""WITH {HOSTS.sql('h')}, i AS (SELECT 'ip' AS kind, concat('10.0.', c_custkey % 200, '.', c_custkey % 7) AS value FROM customer UNION SELECT 'domain', concat('*.c', c_custkey, '.example.org') FROM customer WHERE c_custkey % 3 = 0
+      UNION SELECT 'domain', concat('w1.c', c_custkey, '.example.org') FROM customer WHERE c_custkey % 3 = 1)
+    SELECT kind, value, count(*) AS n FROM h JOIN i ON (kind = 'ip' AND src_ip = value) OR (kind = 'domain' AND (lower(host) = value OR (starts_with(value, '*.') AND ends_with(lower(host), substr(value, 2))))) GROUP BY ALL""",
+)
+def indicator_hits(spark, sf):
+    """As many indicators as there are customers, none of them on the driver."""
+    customer = table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    domain = F.concat(F.when(key % 3 == 0, F.lit("*.c")).otherwise(F.lit("w1.c")), key, F.lit(".example.org"))
+    rows = customer.select(F.lit("ip").alias("type"), F.concat(F.lit("10.0."), key % 200, F.lit("."), key % 7).alias("value"))
+    rows = rows.unionByName(customer.where(key % 3 < 2).select(F.lit("domain").alias("type"), domain.alias("value"))).withColumns({"confidence": F.lit("high"), "tag": F.lit("t")})
+    found = indicator_table.hits(HOSTS.spark(spark, sf).select("o_orderkey", "src_ip", "host"), {"ip": F.col("src_ip"), "domain": F.col("host")}, rows)
+    return found.groupBy(F.col("ioc.type").alias("kind"), F.col("ioc.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))

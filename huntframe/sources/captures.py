@@ -2,10 +2,10 @@
 
 A capture has no marks between its packets, so a range looks for its first one: the first place
 from which a chain of plausible packet headers leads further than the longest packet is long.  A
-capture inside a packet (a download of one, say) can't do that, since the outer packet's header
-cuts its chain.  Each range reads on to the first packet that begins behind its end, and that must
-be the next range's first one: where it isn't, the range is read again from there.  So the rows
-are those of one pass over the file.
+capture inside a packet (a download of one, say) mostly can't do that, since the outer packet's
+header cuts its chain; one that ends with its packet can.  So each range reads on to the first
+packet that begins behind its end, and that must be the next range's first one: where it isn't,
+the range is read again from there.  The rows are those of one pass over the file.
 
 Files are opened with Arrow's file systems; where these can't, ``pcap.read_packets`` reads whole
 files with Spark.

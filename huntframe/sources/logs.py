@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from huntframe import schemas
 from huntframe.functions.text import blank
 from huntframe.functions.time import access_time, syslog_time
+from huntframe.sources.store import settled
 
 # Line formats, aliases and wrapper keys.
 ACCESS_LINE = (
@@ -40,6 +41,8 @@ ACCESS_ALIASES = {
 }
 WRAPPERS = ("alerts", "data", "events", "results", "items", "records", "logs")
 LINE_CUT, TEXT_CUT = 2000, 500
+#: Tables of files' pieces, and of files, are broadcast up to this many rows.
+MOST_PIECES = 100_000
 
 _FIELDS = [f.split(" ")[0] for f in schemas.LOG.split(", ")]
 _KINDS = dict(f.split(" ") for f in schemas.LOG.split(", "))
@@ -49,8 +52,9 @@ MAP = "map<string,string>"
 def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Lines of a file or of all files below a folder: ``src_file, line_no, value``.
 
-    ``.gz`` is read as it is.  Lines are numbered from 1 in each file.  A large file is read in
-    pieces, whose line counts are added up, so no file goes through one task.
+    ``.gz`` is read as it is, by one task a file, since it can't be cut.  Lines are numbered from 1 in
+    each file.  Other large files are read in pieces; only a row a piece (its first line's place and
+    its number of lines) is shuffled, never a line.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
@@ -61,12 +65,15 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None
         F.col("_metadata.file_block_start").alias("__piece"),
         F.monotonically_increasing_id().alias("__at"),
     )
-    counts = lines.groupBy("src_file", "__piece").count()
+    # A piece is one task's, in order: a line's number in it is its place less that of the piece's first.
+    pieces = lines.groupBy("src_file", "__piece").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("src_file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("src_file", "__piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("src_file", "__piece").orderBy("__at")
-    numbered = lines.withColumn("__nth", F.row_number().over(inside)).join(starts, ["src_file", "__piece"])
-    return numbered.select("src_file", (F.col("__nth") + F.col("__start")).alias("line_no"), "value")
+    starts = pieces.select("src_file", "__piece", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__start"))
+    starts = settled(starts, "pieces")
+    starts = F.broadcast(starts) if starts.count() <= MOST_PIECES else starts
+    # Both readings cut files in the same way, or this fails: a cluster that changes its default parallelism meanwhile should set spark.sql.files.minPartitionNum.
+    start = F.coalesce("__start", F.raise_error(F.lit("files were cut into other pieces than those that were counted")).cast("bigint"))
+    return lines.join(starts, ["src_file", "__piece"], "left").select("src_file", (F.col("__at") + start).alias("line_no"), "value")
 
 
 def log_type(src_file: Column, first_line: Column) -> Column:
@@ -88,9 +95,10 @@ def log_type(src_file: Column, first_line: Column) -> Column:
 
 
 def with_log_type(lines: DataFrame) -> DataFrame:
-    """Adds ``log_type`` to lines, by their files' first lines."""
+    """Adds ``log_type`` to lines, by their files' first lines; only those are shuffled."""
     firsts = lines.groupBy("src_file").agg(F.min_by("value", "line_no").alias("__first"))
-    return lines.join(firsts.select("src_file", log_type(F.col("src_file"), F.col("__first")).alias("log_type")), "src_file")
+    types = settled(firsts.select("src_file", log_type(F.col("src_file"), F.col("__first")).alias("log_type")), "log-types")
+    return lines.join(F.broadcast(types) if types.count() <= MOST_PIECES else types, "src_file")
 
 
 def _record(**fields: Column) -> Column:

@@ -7,6 +7,7 @@ import struct
 from socket import AF_INET6, inet_aton, inet_pton
 
 import pytest
+from pyspark.sql import functions as F
 
 from huntframe.rules import traffic
 from huntframe.sources import pcap
@@ -169,15 +170,23 @@ def test_ranges_give_the_rows_of_one_pass(spark, tmp_path, size):
     assert tuples(plain) == tuples(whole.where("src_file LIKE '%.pcap'").select(*plain.columns))
 
 
-def test_a_range_inside_a_capture_in_a_packet_is_not_misled(tmp_path):
+def test_a_range_inside_a_capture_in_a_packet_is_not_misled(spark, tmp_path):
+    """A capture in a packet: its chain is cut by the outer header, or, if it ends with the packet, found out by the range before."""
     from huntframe.sources import captures
 
     inner = capture([(5.0, tcp("1.1.1.1", 1, "2.2.2.2", 2, bytes(20))) for _ in range(700)], link=101)
-    data = capture([(9.0, tcp("10.0.0.1", 1, "10.0.0.2", 2, inner))] + [(10.0 + i, tcp("10.0.0.1", 1, "10.0.0.2", 2, b"x" * 900)) for i in range(400)], link=101)
+    rest = [(10.0 + i, tcp("10.0.0.1", 1, "10.0.0.2", 2, b"x" * 900)) for i in range(200)]
+    data = capture([(9.0, tcp("10.0.0.1", 1, "10.0.0.2", 2, inner + b"tail")), *rest], link=101)
     read = captures.Bytes(lambda at, n: data[at : at + n], len(data))
     head = captures.head_of(read)
     first_end = captures.step(read, head, 24)
     assert all(captures.border(read, head, at) == first_end for at in range(25, first_end, 997))
+    ending = capture([(9.0, tcp("10.0.0.1", 1, "10.0.0.2", 2, inner)), *rest], link=101)
+    read = captures.Bytes(lambda at, n: ending[at : at + n], len(ending))
+    assert captures.border(read, head, 20_000) < captures.step(read, head, 24)
+    (tmp_path / "x.pcap").write_bytes(ending)
+    got = captures.read_packets(spark, str(tmp_path), size=20_000)
+    assert got.count() == 201 and got.where("src_ip = '1.1.1.1'").count() == 0 and got.agg(F.max("line_no")).first()[0] == 201
 
 
 def test_names_of_stores():

@@ -51,6 +51,16 @@ def test_line_numbers_of_a_file_in_pieces(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_lines_are_numbered_and_typed_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(f"line {i}" for i in range(1, 3000)))
+    (tmp_path / "access.log").write_text("x\n")
+    typed = logs.with_log_type(logs.read_lines(spark, str(tmp_path)))
+    typed.collect()
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "BroadcastExchange" in plan
+    assert typed.count() == 3000
+
+
 @pytest.mark.parametrize(
     "text,n",
     [('[{"a": "1"}, {"a": "2"}]', 2), ('{"data": [{"a": "1"}], "x": 1}', 1), ('{"a": "1"}', 1), ("﻿[{}]", 1), ("nothing", 0), ("", 0), ("[]", 0)],
