@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from huntframe.operators import indicator_table, signatures
+from huntframe.operators import indicator_table, ranges, signatures
 from huntframe.operators.windows import DAY, as_of
 from huntframe.plans.base import Rendered, query, table
 from huntframe.sources import pcap, reassembly
@@ -119,3 +119,46 @@ def indicator_hits(spark, sf):
     rows = rows.unionByName(customer.where(key % 3 < 2).select(F.lit("domain").alias("type"), domain.alias("value"))).withColumns({"confidence": F.lit("high"), "tag": F.lit("t")})
     found = indicator_table.hits(HOSTS.spark(spark, sf).select("o_orderkey", "src_ip", "host"), {"ip": F.col("src_ip"), "domain": F.col("host")}, rows)
     return found.groupBy(F.col("ioc.type").alias("kind"), F.col("ioc.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Events as log-ins from addresses of all nations; a nation's range begins and ends anywhere.
+LOG_INS = Rendered(
+    "events",
+    {
+        "us": "{us}",
+        "line_no": "event_id",
+        "src_file": "'events'",
+        "user": "concat('u', user_id)",
+        "src_ip": "concat('10.', event_id * 7 % 27, '.', event_id % 250, '.', user_id % 256)",
+    },
+)
+_PLACES = (
+    "concat('10.', n_nationkey, '.0.', n_nationkey + 3) AS first_ip",
+    "concat('10.', n_nationkey, '.', 200 + n_nationkey, '.77') AS last_ip",
+    "CAST(n_nationkey * 3 - 40 AS DOUBLE) AS lat",
+    "CAST(n_nationkey * 12 - 150 AS DOUBLE) AS lon",
+)
+
+
+@query(
+    "plb_impossible_travel",
+    f"""WITH {LOG_INS.sql('e')}, n AS (SELECT n_nationkey, CAST(n_nationkey * 3 - 40 AS DOUBLE) AS lat, CAST(n_nationkey * 12 - 150 AS DOUBLE) AS lon FROM nation),
+    p AS (SELECT "user", us, line_no, lat, lon FROM e JOIN n ON n_nationkey = line_no * 7 % 27
+      AND (line_no % 250) * 256 + user_id % 256 BETWEEN n_nationkey + 3 AND (200 + n_nationkey) * 256 + 77),
+    q AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(us) OVER w AS us0 FROM p WINDOW w AS (PARTITION BY "user" ORDER BY us, line_no)),
+    k AS (SELECT *, 2 * {ranges.EARTH_KM} * asin(least(1.0, sqrt(sin((radians(lat) - radians(lat0)) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat)) * sin((radians(lon) - radians(lon0)) / 2) ** 2))) AS km FROM q)
+    SELECT line_no, round(km, 3) AS km, round(km / greatest((us - us0) / 3.6e9, 1.0 / 3600), 3) AS kmh FROM k WHERE us0 IS NOT NULL AND km >= 100 AND km / greatest((us - us0) / 3.6e9, 1.0 / 3600) > 900""",
+)
+def plb_impossible_travel(spark, sf):
+    places = table(spark, sf, "nation").selectExpr(*_PLACES)
+    found = ranges.impossible_travel(LOG_INS.spark(spark, sf).select("us", "line_no", "src_file", "user", "src_ip"), places)
+    return found.select("line_no", F.round("km", 3).alias("km"), F.round("kmh", 3).alias("kmh"))
+
+
+@query(
+    "plb_leaked_accounts",
+    f"""WITH {LOG_INS.sql('e')} SELECT "user", count(DISTINCT src_ip) AS sources, count(*) AS tries FROM e WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY "user" HAVING count(DISTINCT src_ip) >= 5""",
+)
+def plb_leaked_accounts(spark, sf):
+    leaked = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("u"), "c_custkey").alias("user"))
+    return ranges.leaked_accounts(LOG_INS.spark(spark, sf), leaked)
