@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from huntframe.operators import indicator_table, ranges, signatures
+from huntframe.operators import indicator_table, ranges, signatures, sketches
 from huntframe.operators.windows import DAY, as_of
 from huntframe.plans.base import Rendered, query, table
 from huntframe.sources import pcap, reassembly
+from huntframe.sources.store import settled
 
 #: Orders as requests: an agent that names one of the parts' tools, an address that names a part's script.
 REQUESTS = Rendered(
@@ -162,3 +163,17 @@ def plb_impossible_travel(spark, sf):
 def plb_leaked_accounts(spark, sf):
     leaked = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("u"), "c_custkey").alias("user"))
     return ranges.leaked_accounts(LOG_INS.spark(spark, sf), leaked)
+
+
+@query(
+    "sketch_windows",
+    """WITH e AS (SELECT event_type, user_id % 60 AS v, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS slab FROM events), s AS (SELECT min(slab) AS low FROM e)
+    SELECT event_type, count(*) AS n, count(DISTINCT v) AS users FROM e, s WHERE slab BETWEEN low + 3 AND low + 9 GROUP BY event_type""",
+)
+def sketch_windows(spark, sf):
+    """Different users (of 60 groups, which a sketch still counts exactly) in a window of seven days, from sketches a day."""
+    rows = table(spark, sf, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("user_id") % 60).alias("v"))
+    made = settled(sketches.per_slab(rows, ["event_type"], F.col("v"), slab_us=DAY), "sketches")
+    low = made.agg(F.min("slab")).first()[0]
+    found = sketches.estimates(sketches.merged(made, ["event_type"], F.lit(low + 3), F.lit(low + 9)), ["event_type"])
+    return found.select("event_type", "n", F.col("distinct").alias("users"))

@@ -20,6 +20,8 @@ _STAMP = r"(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 SSH_FAILED = _STAMP + r".*sshd\[\d+\]:\s+Failed (password|publickey)\s+for\s+(?:invalid user\s+)?(\S+)\s+from\s+(\S+)\s+port\s+\d+"
 SSH_ACCEPTED = _STAMP + r".*sshd\[\d+\]:\s+Accepted (password|publickey)\s+for\s+(\S+)\s+from\s+(\S+)\s+port\s+\d+"
 SYSLOG_LINE = "^" + _STAMP + r"\s+(\S+)\s+([^:]+):\s*(.*)$"
+#: What a first line has by which its file's type is told.
+ACCESS_SIGN, LOG_IN_SIGN = r'\] "(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH) ', r"sshd\[\d+\]:"
 SUDO_ACTOR = r"^\s*(\S+)\s+:\s"
 ALIASES = {
     "ts": ("ts", "time", "@timestamp", "timestamp", "event_time", "createTime", "create_time"),
@@ -88,8 +90,8 @@ def log_type(src_file: Column, first_line: Column) -> Column:
         .when(name.contains("access"), F.lit("nginx-access"))
         .when(name.contains("apache"), F.lit("apache-access"))
         .when(name.contains("syslog") | name.contains("messages"), F.lit("syslog"))
-        .when(start.rlike(r'\] "(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH) '), F.lit("nginx-access"))
-        .when(start.rlike(r"sshd\[\d+\]:"), F.lit("linux-auth"))
+        .when(start.rlike(ACCESS_SIGN), F.lit("nginx-access"))
+        .when(start.rlike(LOG_IN_SIGN), F.lit("linux-auth"))
         .otherwise(F.lit("syslog"))
     )
 
