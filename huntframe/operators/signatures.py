@@ -68,16 +68,15 @@ def literals(pattern: str) -> frozenset[str] | None:
 
 
 class Matcher:
-    """The signatures of one field: ``(number, pattern)`` each."""
+    """The signatures of one field: ``(number, pattern, literals)`` each; a pattern is compiled when it is first tried."""
 
-    def __init__(self, signatures: Sequence[tuple[int, str]]):
+    def __init__(self, signatures: Sequence[tuple[int, str, frozenset[str] | None]]):
         import ahocorasick
 
-        self.patterns = {n: re.compile(p, re.ASCII) for n, p in signatures}
+        self.patterns: dict[int, str | re.Pattern] = {n: p for n, p, _ in signatures}
         holders: dict[str, list[int]] = {}
         self.always = []
-        for n, p in signatures:
-            texts = literals(p)
+        for n, _, texts in signatures:
             for t in texts or ():
                 holders.setdefault(t, []).append(n)
             if not texts:
@@ -89,6 +88,12 @@ class Matcher:
         self.any = bool(holders)
         self.tried = 0
 
+    def _pattern(self, n: int) -> re.Pattern:
+        found = self.patterns[n]
+        if isinstance(found, str):
+            found = self.patterns[n] = re.compile(found, re.ASCII)
+        return found
+
     def __call__(self, value: str) -> list[int]:
         """Numbers of the signatures that an (unempty) value matches, in order."""
         asked = set(self.always)
@@ -96,16 +101,16 @@ class Matcher:
             for _, numbers in self.automaton.iter(value.lower()):
                 asked.update(numbers)
         self.tried += len(asked)
-        return sorted(n for n in asked if self.patterns[n].search(value))
+        return sorted(n for n in asked if self._pattern(n).search(value))
 
 
 class Matchers:
     """One ``Matcher`` a field, and the hits of the values met last."""
 
-    def __init__(self, signatures: Sequence[tuple[int, str, str]]):
-        by_field: dict[str, list[tuple[int, str]]] = {}
-        for n, field, pattern in signatures:
-            by_field.setdefault(field, []).append((n, pattern))
+    def __init__(self, signatures: Sequence[tuple[int, str, str, frozenset[str] | None]]):
+        by_field: dict[str, list[tuple[int, str, frozenset[str] | None]]] = {}
+        for n, field, pattern, texts in signatures:
+            by_field.setdefault(field, []).append((n, pattern, texts))
         self.of = {f: Matcher(s) for f, s in by_field.items()}
         self.known: dict[tuple[str, str], list[int]] = {}
         self.chars = 0
@@ -158,7 +163,8 @@ def matching(fields: Mapping[str, Column], signatures: Sequence[tuple[int, str,
     names = [f for f in fields if f in {s[1] for s in signatures}]
     if not names:
         return F.array().cast("array<int>")
-    sent = spark.sparkContext.broadcast(tuple(signatures))
+    # literals are read off the patterns once, here
+    sent = spark.sparkContext.broadcast(tuple((n, f, p, literals(p)) for n, f, p in signatures))
 
     @F.pandas_udf("array<int>")
     def found(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
