@@ -5,9 +5,9 @@ them, in lower case).  One automaton for each field finds the literals of all si
 walk over a value; the pattern is tried only then.  Patterns without a literal are always tried.
 So a record's cost follows the literals it has, not the number of signatures.
 
-Signatures are a table: ``sig_id, field, pattern`` and whatever else they say.  It comes from rule
-files, so it doesn't grow with the records, and each Python worker holds it once.  Patterns are
-Python's, with ASCII classes and cases.
+Signatures are a table: ``sig_id, field, pattern`` and whatever else they say.  Up to ``MOST_HELD``
+of them each Python worker holds once; a larger table stays one, and its literals are joined with
+the parts of the different values (``joined``).  Patterns are Python's, with ASCII classes and cases.
 """
 
 from __future__ import annotations
@@ -19,15 +19,25 @@ from re import _constants as C
 from re import _parser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huntframe.operators.bloom import Bloom
+from huntframe.sources.store import dealt, settled
+
 #: Shorter literals are in too many values to tell anything.
 LEAST_LITERAL = 3
 #: Characters of values whose hits a worker remembers.
 CHARS_KEPT = 4_000_000
-#: Signatures that a worker holds at most; more are an error, none are left out.
+#: Signatures that ``collected`` takes at most; more are an error, none are left out.
 MOST_SIGNATURES = 2_000_000
+#: Signatures that ``hits`` gives to a worker; more are joined.
+MOST_HELD = 100_000
+#: Characters of a literal that are joined on; the rest is compared after.
+KEY_CHARS = 32
+#: Patterns without a literal that are broadcast to all values; more are dealt over tasks.
+MOST_ALWAYS = 10_000
 
 
 def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
@@ -176,12 +186,87 @@ def matching(fields: Mapping[str, Column], signatures: Sequence[tuple[int, str,
     return found(*[fields[f].cast("string") for f in names])
 
 
-def hits(records: DataFrame, fields: Mapping[str, Column], table: DataFrame) -> DataFrame:
+def keyed(table: DataFrame) -> DataFrame:
+    """``field, pattern, text, key``: a row for each literal of each different pattern, with its first ``KEY_CHARS`` characters; empty ones where a pattern has none.
+
+    Null, empty and broken patterns are left out, as ``valid`` does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str, str]] = []
+            for field, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    texts = literals(pattern)
+                    if "(?<" in pattern:  # what parsing alone doesn't refuse
+                        re.compile(pattern, re.ASCII)
+                except re.error:
+                    continue
+                out += [(field, pattern, t) for t in texts or ("",)]
+            yield pa.record_batch([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["field", "pattern", "text"])
+
+    # few bytes, much work: a table of one small file is dealt to all tasks, and Spark doesn't put them together again
+    some = dealt(table.where("field IS NOT NULL AND pattern <> ''").select("field", "pattern"), "field", "pattern").distinct()
+    return some.mapInArrow(run, "field string, pattern string, text string").withColumn("key", F.substring("text", 1, KEY_CHARS))
+
+
+def tried(candidates: DataFrame) -> DataFrame:
+    """Those of ``field, value, pattern`` whose pattern matches, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield batch.filter(pa.array([re.compile(p, re.ASCII).search(v) is not None for p, v in pairs], pa.bool_()))
+
+    return candidates.select("field", "value", "pattern").mapInArrow(run, "field string, value string, pattern string").distinct()
+
+
+def joined(records: DataFrame, fields: Mapping[str, Column], table: DataFrame) -> DataFrame:
+    """``hits`` for tables of any size, none of which comes to the driver.
+
+    The different values' parts, of the lengths that the literals have, are joined with the literals;
+    a Bloom filter of bounded size drops most of them before.  Values and signatures that meet
+    become a table of their own, which the records are joined with.
+    """
+    asked = table.where(F.col("field").isin(*fields))
+    known = settled(keyed(asked), "literals")
+    pair = F.explode(F.array(*[F.struct(F.lit(f).alias("__field"), c.cast("string").alias("__value")) for f, c in fields.items()]))
+    rows = records.withColumn("__pair", pair).withColumns({"__field": F.col("__pair.__field"), "__value": F.col("__pair.__value")}).drop("__pair").where("__value <> ''")
+    values = settled(rows.select(F.col("__field").alias("field"), F.col("__value").alias("value")).distinct(), "values")
+    keys = known.where("key <> ''")
+    # at most KEY_CHARS lengths a field
+    sizes = keys.select("field", F.length("key").alias("size")).distinct().collect()
+    found = None
+    if sizes:
+        by_field = {f: sorted(r.size for r in sizes if r.field == f) for f in {r.field for r in sizes}}
+        lengths = F.lit(None).cast("array<int>")
+        for f, own in by_field.items():
+            lengths = F.when(F.col("field") == f, F.array(*map(F.lit, own))).otherwise(lengths)
+        cut = values.withColumn("low", F.lower("value")).withColumn("size", F.explode(lengths)).where(F.length("low") >= F.col("size"))
+        places = F.sequence(F.lit(1), F.length("low") - F.col("size") + 1)
+        parts = cut.select("field", "value", "low", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("low"), i, F.col("size"))))).alias("key"))
+        bloom = Bloom.of(keys.select("key").distinct(), "key")
+        if bloom is not None:
+            parts = parts.where(bloom.may_hold(records, F.col("key")))
+        found = parts.join(keys, ["field", "key"]).where(F.contains("low", "text")).select("field", "value", "pattern")
+    always = known.where("key = ''").select("field", "pattern")
+    n = always.count()
+    if n or found is None:
+        every = values.join(F.broadcast(always) if n <= MOST_ALWAYS else always.hint("shuffle_replicate_nl"), "field").select("field", "value", "pattern")
+        found = every if found is None else found.unionByName(every)
+    named = asked.select("sig_id", "field", "pattern").join(settled(tried(found), "matching"), ["field", "pattern"])
+    met = settled(named.select(F.col("field").alias("__field"), F.col("value").alias("__value"), "sig_id", "field", "pattern"), "met")
+    return rows.join(met, ["__field", "__value"]).drop("__field", "__value")
+
+
+def hits(records: DataFrame, fields: Mapping[str, Column], table: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
     """A row for each record and signature it matches: the record's columns, ``sig_id, field, pattern``.
 
     Rows of ``table`` with null or broken patterns match nothing; repeated signatures match each time;
-    fields that aren't among ``fields`` are never looked at.
+    fields that aren't among ``fields`` are never looked at.  More than ``most_held`` signatures are ``joined``.
     """
+    if table.select(F.lit(1)).limit(most_held + 1).count() > most_held:
+        return joined(records, fields, table)
     rows = collected(table)
     spark = records.sparkSession
     named = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "__n int, sig_id string, field string, pattern string")

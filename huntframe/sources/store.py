@@ -61,6 +61,17 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as there are shuffle partitions, or cores if these are more; adaptive execution leaves the number as it is.
+
+    For rows of few bytes and much work: a table of one small file would be one task, and after a
+    shuffle that Spark counts itself, few.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def write_records(df: DataFrame, path: str, keys: Sequence[str] = LOG_KEYS, ts: str = "ts", mode: str = "append") -> None:
     """Append records in folders by ``keys``; ``day`` is the date of ``ts``, and records without one have none.
 

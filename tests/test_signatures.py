@@ -104,3 +104,33 @@ def test_indicator_patterns_by_automaton(spark):
     ])
     by_branch, by_automaton = (sorted(map(repr, iocs.matched(log, mine, few=few).select("line_no", "iocs").collect())) for few in (1000, 0))
     assert by_branch == by_automaton and "t2" in str(by_branch)
+
+
+def test_joined_signatures_as_held_ones(spark, monkeypatch):
+    """Of tables that no worker holds: literals longer than their key, none, several; patterns that only compiling refuses."""
+    monkeypatch.setattr(S, "KEY_CHARS", 5)
+    signatures = [
+        *planted(300), ("dup", "ua", "abc"), ("dup", "ua", "abc"), ("twin", "ua", "abc"), ("short", "uri", "^/.$"), ("any", "ua", r"\d{2}$"), ("other", "nowhere", "."), ("behind", "ua", "(?<=a+)bcdef"),
+        ("null", "ua", None), ("broken", "ua", "("), ("empty", "ua", ""),
+    ]
+    rnd = random.Random(5)
+    texts = [None, "", "/z", "abc", "abcab", "x10", *values(planted(300), 300)]
+    df = spark.createDataFrame([(i, rnd.choice(texts), rnd.choice(texts)) for i in range(500)], "id int, ua string, uri string")
+    table = spark.createDataFrame(signatures, "sig_id string, field string, pattern string")
+    fields = {"ua": F.col("ua"), "uri": F.col("uri")}
+    held = sorted(map(tuple, S.hits(df, fields, table).collect()), key=repr)
+    assert len(held) > 200 and {"short", "any", "dup", "twin"} <= {r[3] for r in held}
+    for always in (S.MOST_ALWAYS, 0):
+        monkeypatch.setattr(S, "MOST_ALWAYS", always)
+        got = S.hits(df, fields, table, most_held=10)
+        assert got.columns == S.hits(df, fields, table).columns
+        assert sorted(map(tuple, got.collect()), key=repr) == held
+    assert S.hits(df, fields, table.where("field = 'nowhere'"), most_held=0).count() == 0
+
+
+def test_more_signatures_than_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SIGNATURES", 50)
+    monkeypatch.setattr(S, "MOST_HELD", 50)
+    table = spark.range(60).select(F.col("id").cast("string").alias("sig_id"), F.lit("ua").alias("field"), F.concat(F.lit("tool"), F.col("id") + 100, F.lit("$")).alias("pattern"))
+    df = spark.createDataFrame([("x tool123",), ("tool1234",)], "ua string")
+    assert [r.sig_id for r in S.hits(df, {"ua": F.col("ua")}, table, S.MOST_HELD).collect()] == ["23"]
