@@ -184,8 +184,9 @@ def audit_mutating(audit: DataFrame, day: str) -> DataFrame:
     return audit.where((tier() == 3) & F.col("ts").startswith(day))
 
 
-def audit_rejected(audit: DataFrame) -> DataFrame:
-    return audit.where(F.col("action").isin("validation_failed", "authorization_denied")).select("ts", "cmd_id", "error_hint")
+def audit_rejected(audit: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Calls that were refused, with the columns in ``keep`` too."""
+    return audit.where(F.col("action").isin("validation_failed", "authorization_denied")).select(*keep, "ts", "cmd_id", "error_hint")
 
 
 def audit_sequence(audit: DataFrame, target: str) -> DataFrame:

@@ -331,8 +331,7 @@ def audit_totals(spark, sf):
 
 @query("audit_rejected", f"WITH a AS ({_AUDIT}) SELECT event_id, cmd_id, error_hint FROM a WHERE action <> 'executed'")
 def audit_rejected(spark, sf):
-    found = recipes.audit_rejected(_audit(spark, sf))
-    return found.join(_audit(spark, sf).select("ts", "event_id"), "ts").select("event_id", "cmd_id", "error_hint")
+    return recipes.audit_rejected(_audit(spark, sf), ["event_id"]).select("event_id", "cmd_id", "error_hint")
 
 
 @query("audit_mutating", f"WITH a AS ({_AUDIT}) SELECT event_id FROM a WHERE cmd_tier = 3 AND starts_with(ts, '2024-01-09')")
