@@ -147,7 +147,8 @@ def iso_window_filter(spark, sf):
 # Masking ----------------------------------------------------------------------------------
 
 _CUSTOMER, _INTERNAL = "ACME", "*.example.com"
-_SOURCE_TEXT = "concat(text, ' Failed password for user', doc_id, ' from 10.0.', doc_id % 250, '.9 port 22, user=alice', doc_id, ' /home/bob', doc_id, '/x aa:bb:cc:dd:ee:0', doc_id % 10, ' mail eve', doc_id, '@h.example.com ACME')"
+# The mark ends what the document's last words begin: "by" and "user:" name no user across it.
+_SOURCE_TEXT = "concat(coalesce(text, ''), ' # Failed password for user', doc_id, ' from 10.0.', doc_id % 250, '.9 port 22, user=alice', doc_id, ' /home/bob', doc_id, '/x aa:bb:cc:dd:ee:0', doc_id % 10, ' mail eve', doc_id, '@h.example.com ACME')"
 
 
 def _documents(spark, sf):

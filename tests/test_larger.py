@@ -46,3 +46,12 @@ def test_roots_from_outside_of_users_beyond_the_addresses(spark, sf, changed):
     events = spark.read.parquet(f"{sf}/events.parquet")
     more = events.withColumns({"event_id": F.col("event_id") + 1_000_000, "user_id": F.col("user_id") + 9000})
     assert as_sql(spark, changed(events=events.unionByName(more)), "auth_outside_roots") > 0
+
+
+@pytest.mark.parametrize("name", ["desensitize_keep_public", "desensitize_relaxed", "desensitize_strict"])
+def test_lines_behind_documents_that_end_in_a_phrase(spark, sf, changed, name):
+    """What the text's last words begin ends with the text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    ends = ["made by", "user:", "User =", "username: ", "for", "for invalid user", "by  ", "see /home/", "mail a@b.co", "", None]
+    more = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(ends)], "doc_id long, text string")
+    assert as_sql(spark, changed(documents=docs.unionByName(more, allowMissingColumns=True)), name) == 20 + len(ends)
