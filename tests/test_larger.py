@@ -55,3 +55,11 @@ def test_lines_behind_documents_that_end_in_a_phrase(spark, sf, changed, name):
     ends = ["made by", "user:", "User =", "username: ", "for", "for invalid user", "by  ", "see /home/", "mail a@b.co", "", None]
     more = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(ends)], "doc_id long, text string")
     assert as_sql(spark, changed(documents=docs.unionByName(more, allowMissingColumns=True)), name) == 20 + len(ends)
+
+
+def test_rule_files_of_one_small_table_are_read_by_all_tasks(spark):
+    from huntframe.rules import compile as rule_compile
+
+    files = spark.range(200).coalesce(1).select(F.concat(F.lit("/r/"), "id").alias("path"), F.concat(F.lit("title: t"), "id", F.lit("\nlogsource: {category: dns_query}")).alias("value"))
+    parts = rule_compile.from_sigma(files).rdd.getNumPartitions()
+    assert parts >= spark.sparkContext.defaultParallelism
