@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huntframe.sources.store import dealt
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -65,7 +67,8 @@ class Rendered:
         self.source, self.steps, self.where = source, steps, where
 
     def spark(self, spark: SparkSession, sf: str) -> DataFrame:
-        df = table(spark, sf, self.source)
+        # few bytes a row and much to do with it: the tables' files alone would make few tasks
+        df = dealt(table(spark, sf, self.source))
         if self.where:
             df = df.where(self.where)
         for step in self.steps:

@@ -11,6 +11,7 @@ from huntframe.rules import ngx
 from huntframe.rules.catalog import RULES
 from huntframe.rules.libraries import UA_SIGNATURES
 from huntframe.sources import logs
+from huntframe.sources.store import dealt
 
 #: Events are sparse: a burst here is three client errors within a day.
 WINDOW, ROWS = DAY, 3
@@ -181,7 +182,7 @@ def accesslog_night_shares(spark, sf):
 def accesslog_json_status(spark, sf):
     status = F.expr("CASE event_type WHEN 'error' THEN '404' WHEN 'view' THEN '500' ELSE '200' END")
     value = F.to_json(F.struct(status.alias("status"), F.lit("1.1.1.1").alias("client_ip")))
-    lines = table(spark, sf, "events").select(F.lit("a").alias("src_file"), F.col("event_id").alias("line_no"), value.alias("value"), F.lit("nginx-access").alias("log_type"))
+    lines = dealt(table(spark, sf, "events")).select(F.lit("a").alias("src_file"), F.col("event_id").alias("line_no"), value.alias("value"), F.lit("nginx-access").alias("log_type"))
     return recipes.status_histogram(recipes.errors(logs.parse_lines(lines, 2024)))
 
 

@@ -118,15 +118,15 @@ def first_of(record: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(record, F.lit(k)), F.lit("")) for k in keys])
 
 
-def access_record(line: Column, kind: str = "nginx-access") -> Column:
-    """A combined-format line, or a JSON line, as a struct of LOG; null if it is neither."""
+def access_record(line: Column, kind: str = "nginx-access", obj: Column | None = None) -> Column:
+    """A combined-format line, or a JSON line, as a struct of LOG; null if it is neither.  ``obj`` is the JSON line's map, where the caller has it."""
     part = lambda k: _group(line, ACCESS_LINE, k)
     user = F.when(~part(2).isin("-", ""), part(2))
     combined = _record(
         ts=access_time(part(3)), log_type=F.lit(kind), src_ip=part(1), user=user, method=part(4), uri=part(5),
         status=part(6).try_cast("int"), ua=part(9), msg=F.concat_ws(" ", part(4), part(5), part(6)),
     )
-    obj = F.from_json(line, MAP)
+    obj = F.from_json(line, MAP) if obj is None else obj
     found = {n: first_of(obj, keys) for n, keys in ACCESS_ALIASES.items()}
     status = F.nullif(F.try_element_at(obj, F.lit("status")).try_cast("int"), F.lit(0))
     told = F.to_json(F.struct(found["method"].alias("method"), found["uri"].alias("uri"), status.alias("status")), {"ignoreNullFields": "false"})
@@ -177,22 +177,26 @@ def alert_record(obj: Column, kind: str = "json-alert") -> Column:
 
 
 def _as_log(rows: DataFrame, record: Column, raw_line: Column) -> DataFrame:
-    found = rows.withColumn("__r", record).where("__r IS NOT NULL")
+    # exploded, the record is made once a row: a filter on a plain column is pushed down and makes it a second time
+    found = rows.withColumn("__r", F.explode(F.array(record))).where("__r IS NOT NULL")
     rest = {"raw_line": F.substring(raw_line, 1, LINE_CUT), "line_no": F.col("line_no").cast("bigint"), "src_file": F.col("src_file")}
     return found.select(*[rest[n].alias(n) if n in rest else F.col(f"__r.{n}").alias(n) for n in _FIELDS])
 
 
 def parse_lines(lines: DataFrame, year: int) -> DataFrame:
     """Lines with ``log_type`` to LOG.  Blank lines and lines that don't parse are dropped; ``year`` is that of syslog times."""
-    value, kind = F.col("value"), F.col("log_type")
+    value, kind, obj = F.col("value"), F.col("log_type"), F.col("__obj")
+    may_be_json = (kind == "json-alert") | (kind.isin("nginx-access", "apache-access") & F.ltrim("value").startswith("{"))
     record = (
-        F.when(kind == "nginx-access", access_record(value))
-        .when(kind == "apache-access", access_record(value, "apache-access"))
+        F.when(kind == "nginx-access", access_record(value, obj=obj))
+        .when(kind == "apache-access", access_record(value, "apache-access", obj))
         .when(kind == "linux-auth", auth_record(value, year))
         .when(kind == "syslog", syslog_record(value, year))
-        .when(kind == "json-alert", alert_record(F.from_json(value, MAP)))
+        .when(kind == "json-alert", alert_record(obj))
     )
-    return _as_log(lines.where(F.trim("value") != ""), record, value)
+    # exploded too: JSON is read once a line, not for each of its fields
+    told = lines.where(F.trim("value") != "").withColumn("__obj", F.explode(F.array(F.when(may_be_json, F.from_json("value", MAP)))))
+    return _as_log(told, record, value)
 
 
 def read_json_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*.json", wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
