@@ -34,6 +34,8 @@ LEAST_LETTERS, LEAST_N, TIMES = 6, 5, 5
 TYPO_EVERY = 199
 #: Different words that a task counts before it passes them on.
 COUNTED = 200_000
+#: Tables grow with the vocabulary: joined by sorting, none is sent through the driver, however small its compressed files look.
+BY_MERGE = "merge"
 PRIME = (1 << 31) - 1
 #: Bases of the polynomial hashes.
 BASES = (911_382_323, 972_663_749, 1_315_423_911, 1_803_455_867)
@@ -165,7 +167,7 @@ def near(words: DataFrame) -> DataFrame:
     uses = F.filter(
         F.array(F.when(cut & exchange, F.col("place")), F.when(other & F.col("first"), F.lit(-1))), lambda p: p.isNotNull()
     )
-    kept = rows.join(meeting, "key").select("key", "h1", "h2", F.explode(uses).alias("at"), "rank", (~cut).alias("is_whole"))
+    kept = rows.join(meeting.hint(BY_MERGE), "key").select("key", "h1", "h2", F.explode(uses).alias("at"), "rank", (~cut).alias("is_whole"))
     group = Window.partitionBy("key", "h1", "h2", "at").orderBy("rank")
     all_of = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = kept.withColumns(
@@ -192,7 +194,7 @@ def roots(links: DataFrame, steps: int) -> DataFrame:
     links = store.written(links.select("rank", F.col("form").alias("root")), "roots")
     for _ in range(math.ceil(math.log2(max(1, steps)))):
         further = links.select(F.col("rank").alias("root"), F.col("root").alias("further"))
-        before, links = links, store.written(links.join(further, "root", "left").select("rank", F.coalesce("further", "root").alias("root")), "roots")
+        before, links = links, store.written(links.join(further.hint(BY_MERGE), "root", "left").select("rank", F.coalesce("further", "root").alias("root")), "roots")
         store.drop(links.sparkSession, before)
     return links
 
@@ -207,12 +209,13 @@ def variants(docs: DataFrame) -> DataFrame:
     counted = ranked(vocabulary(docs).select("word", "n", (-F.col("n")).alias("minus_n")), ["minus_n", "word"], "rank")
     words = store.written(counted.select("word", "n", "rank"), "words")
     other = words.select(F.col("rank").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    found = words.join(near(words), "rank", "left").join(other, "best", "left")
+    found = words.join(near(words).hint(BY_MERGE), "rank", "left").join(other.hint(BY_MERGE), "best", "left")
     taken = F.col("form_n") >= TIMES * F.col("n")
     table = store.written(found.select("word", "n", "rank", F.coalesce("n_near", F.lit(0)).alias("n_near"), *(F.when(taken, F.col(c)).alias(c) for c in ("best", "form", "form_n"))), "near")
     # each step multiplies the occurrences by TIMES at least
     most = table.agg(F.max("n")).first()[0] or LEAST_N
     ends = roots(table.where(F.col("best").isNotNull()).select("rank", F.col("best").alias("form")), int(math.log(most / LEAST_N, TIMES)) + 1)
     last = words.select(F.col("rank").alias("root"), F.col("word").alias("last"))
-    out = table.join(ends.join(last, "root").select("rank", "last"), "rank", "left")
+    ends = ends.hint(BY_MERGE).join(last.hint(BY_MERGE), "root").select("rank", "last")
+    out = table.join(ends.hint(BY_MERGE), "rank", "left")
     return out.select("word", "form", F.coalesce("last", "word").alias("root"), "n", "n_near", "form_n")

@@ -109,3 +109,21 @@ def test_pruning_leaves_few_rows_and_groups_are_small(spark, sf):
 
 def test_query_gives_the_rows_of_its_sql(spark, sf):
     assert oracle.check(spark, oracle.connect(sf), "op12_spelling_variants", queries.op12_spelling_variants, queries.OP12_SQL, sf) > 100
+
+
+def test_no_table_of_words_goes_through_the_driver(spark, monkeypatch):
+    """However small their files look: all of them grow with the vocabulary."""
+    plans = {}
+    written = variants.store.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(variants.store, "written", noted)
+    docs = spark.createDataFrame(random_docs(7), "doc_id long, text string")
+    plans["out"] = variants.variants(docs)._jdf.queryExecution().executedPlan().toString()
+    assert {"words", "near", "roots", "out"} <= set(plans)
+    # the numbers of the sorted ranges are all that is broadcast
+    assert [n for n, p in plans.items() if "BroadcastHashJoin" in p] in ([], ["words"])
+    assert all("SortMergeJoin" in plans[n] for n in ("near", "roots", "out"))
