@@ -66,9 +66,11 @@ class Rendered:
     def __init__(self, source: str, *steps: dict[str, str], where: str | None = None):
         self.source, self.steps, self.where = source, steps, where
 
-    def spark(self, spark: SparkSession, sf: str) -> DataFrame:
-        # few bytes a row and much to do with it: the tables' files alone would make few tasks
-        df = dealt(table(spark, sf, self.source))
+    def spark(self, spark: SparkSession, sf: str, deal: bool = False) -> DataFrame:
+        """``deal``: few bytes a row and much to do with it, of which the table's files alone would make few tasks."""
+        df = table(spark, sf, self.source)
+        if deal:
+            df = dealt(df)
         if self.where:
             df = df.where(self.where)
         for step in self.steps:
@@ -139,8 +141,8 @@ AUTH = Rendered(
 )
 
 
-def web(spark: SparkSession, sf: str) -> DataFrame:
-    return WEB.spark(spark, sf)
+def web(spark: SparkSession, sf: str, deal: bool = False) -> DataFrame:
+    return WEB.spark(spark, sf, deal)
 
 
 def auth(spark: SparkSession, sf: str) -> DataFrame:

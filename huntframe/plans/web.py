@@ -78,7 +78,7 @@ def ngx_001_ua_signature(spark, sf):
     f"""WITH {WEB.sql('web')} SELECT line_no, concat(ts, '+00:00') AS ts, src_ip, user, method, uri, CAST(status AS INTEGER) AS status, ua, msg FROM web""",
 )
 def ngx_parse_combined(spark, sf):
-    lines = web(spark, sf).select("src_file", "line_no", F.col("raw_line").alias("value"), F.lit("nginx-access").alias("log_type"))
+    lines = web(spark, sf, deal=True).select("src_file", "line_no", F.col("raw_line").alias("value"), F.lit("nginx-access").alias("log_type"))
     return logs.parse_lines(lines, 2024).select("line_no", "ts", "src_ip", "user", "method", "uri", "status", "ua", "msg")
 
 

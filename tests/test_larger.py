@@ -69,7 +69,7 @@ def test_lines_are_parsed_once_and_by_all_tasks(spark, sf):
     from huntframe.plans import base
     from huntframe.sources import logs
 
-    assert base.web(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert base.web(spark, sf, deal=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     lines = spark.range(3).select(F.lit("a").alias("src_file"), F.col("id").alias("line_no"), F.concat(F.lit('{"status": "'), "id", F.lit('"}')).alias("value"), F.lit("nginx-access").alias("log_type"))
     plan = logs.parse_lines(lines, 2024)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
