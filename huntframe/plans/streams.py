@@ -11,7 +11,7 @@ from huntframe.sources.store import new_folder
 from huntframe.streaming import detect, state
 
 LATE = "2 days"
-#: Of the streams over the driver's tables; a stream of its own size sets its own.
+#: Of the streams over the driver's tables, at least; the cores if these are more.  A stream of its own size sets its own.
 PARTITIONS = 4
 
 
@@ -19,7 +19,7 @@ def _own(spark: SparkSession) -> tuple[SparkSession, str]:
     """A session and a folder of a stream's own: a stream's checkpoint fixes the number of shuffle partitions for its life."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", PARTITIONS)
+    own.conf.set("spark.sql.shuffle.partitions", max(PARTITIONS, spark.sparkContext.defaultParallelism))
     return own, new_folder(spark, "stream")
 
 

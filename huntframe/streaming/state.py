@@ -4,7 +4,9 @@
 the order of their times: late records within the lateness allowed change nothing, and the rows
 are those of a batch over the whole table, however the records were dealt over triggers.  A timer
 wakes a key when its next record is final, and once more when it has been quiet for ``idle_us``:
-then its state goes, and a later record begins afresh.
+then its state goes, and a later record begins afresh.  Records come and go as rows, since a data
+frame a key costs more than its rules; what goes to the store is encoded entry by entry, so a
+key's records of one trigger are one entry, and there are few calls a key however many they are.
 """
 
 from __future__ import annotations
@@ -13,17 +15,19 @@ import math
 from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 OUT = "key string, rule string, us bigint, nth bigint, value double"
-_BUFFER = "us bigint, nth bigint, kind string, value string"
-_KEPT = "times array<bigint>, beaconed boolean, fails array<bigint>, armed_us bigint, dead boolean, n_values bigint, seen_us bigint"
+#: So many records, at most, are one entry of a key's buffer: each entry is encoded on its own, at more than a record's rules cost.
+APPENDED = 10_000
+_BUFFER = "us array<bigint>, nth array<bigint>, kind array<string>, value array<string>"
+_KEPT = "times array<bigint>, beaconed boolean, fails array<bigint>, armed_us bigint, dead boolean, n_values bigint, vals array<string>, seen_us bigint"
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,11 @@ class Rules:
     idle_us: int = 30 * 86_400_000_000
 
 
+def _entry(records: list[tuple]) -> tuple[list, ...]:
+    """Records as one entry of a buffer: a list a column."""
+    return tuple(list(column) for column in zip(*records, strict=True))
+
+
 class KeyRules(StatefulProcessor):
     """One key's rules: ``beacon`` (once), ``values`` (once), ``armed`` and ``won`` (any number of times)."""
 
@@ -51,14 +60,12 @@ class KeyRules(StatefulProcessor):
         self.handle = handle
         self.buffer = handle.getListState("buffer", _BUFFER)
         self.kept = handle.getValueState("kept", _KEPT)
-        self.values = handle.getMapState("values", "value string", "seen boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         due = None
-        for batch in rows:
-            batch = batch[["us", "nth", "kind", "value"]]
-            self.buffer.appendList([(int(u), int(n), None if k is None else str(k), None if v is None else str(v)) for u, n, k, v in batch.itertuples(index=False)])
-            first = int(batch["us"].min())
+        while part := [(r.us, r.nth, r.kind, r.value) for r in islice(rows, APPENDED)]:
+            self.buffer.appendValue(_entry(part))
+            first = min(r[0] for r in part)
             due = first if due is None else min(due, first)
         if due is not None:
             self._wake(due, timerValues)
@@ -68,33 +75,30 @@ class KeyRules(StatefulProcessor):
         """When the watermark has passed a record's time."""
         self.handle.registerTimer(max(us // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.buffer.get()) if self.buffer.exists() else []
+        rows = sorted((r for entry in self.buffer.get() for r in zip(*entry, strict=True)), key=lambda r: r[:2])
         final, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
         if later:
-            self.buffer.put(later)
+            self.buffer.put([_entry(later[i : i + APPENDED]) for i in range(0, len(later), APPENDED)])
             self._wake(later[0][0], timerValues)
         elif rows:
             self.buffer.clear()
-        kept = list(self.kept.get()) if self.kept.exists() else [[], False, [], None, False, 0, None]
+        kept = list(self.kept.get() or ([], False, [], None, False, 0, [], None))
         if not final:
-            if not later and kept[6] is not None and until - kept[6] > self.rules.idle_us:
+            if not later and kept[-1] is not None and until - kept[-1] > self.rules.idle_us:
                 self.kept.clear()
-                self.values.clear()
             return
-        out = []
         for us, nth, kind, value in final:
-            out += [(key[0], rule, us, nth, x) for rule, x in self._seen(kept, us, kind, value)]
-        kept[6] = final[-1][0]
+            for rule, x in self._seen(kept, us, kind, value):
+                yield Row(key=key[0], rule=rule, us=us, nth=nth, value=x)
+        kept[-1] = final[-1][0]
         self.kept.update(tuple(kept))
-        self.handle.registerTimer(max((kept[6] + self.rules.idle_us) // 1000 + 2, timerValues.getCurrentWatermarkInMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "rule", "us", "nth", "value"])
+        self.handle.registerTimer(max((kept[-1] + self.rules.idle_us) // 1000 + 2, timerValues.getCurrentWatermarkInMs() + 1))
 
     def _seen(self, kept: list, us: int, kind: str | None, value: str | None) -> Iterator[tuple[str, float]]:
         rules = self.rules
-        times, beaconed, fails, armed_us, dead, n_values, _ = kept
+        times, beaconed, fails, armed_us, dead, n_values, values, _ = kept
         times = [*times, us][-(rules.last + 1) :]
         if not beaconed:
             gaps = [(b - a) / 1e6 for a, b in zip(times, times[1:], strict=False)]
@@ -103,10 +107,11 @@ class KeyRules(StatefulProcessor):
                 if cv < rules.cv_under:
                     beaconed = True
                     yield "beacon", cv
-        if value is not None and n_values <= rules.more_values_than and not self.values.containsKey((value,)):
-            self.values.updateValue((value,), (True,))
+        if value is not None and n_values <= rules.more_values_than and value not in values:
+            values = [*values, value]
             n_values += 1
             if n_values > rules.more_values_than:
+                values = []
                 yield "values", float(n_values)
         if kind == "fail" and not dead:
             fails = list(fails)
@@ -121,7 +126,7 @@ class KeyRules(StatefulProcessor):
                 armed_us = None
             else:  # too late: it stays armed for good
                 dead = True
-        kept[:6] = [times, beaconed, fails, armed_us, dead, n_values]
+        kept[:7] = [times, beaconed, fails, armed_us, dead, n_values, values]
 
     def close(self) -> None:
         pass
@@ -135,7 +140,7 @@ def key_rules(stream: DataFrame, key: Column, kind: Column, value: Column, nth:
     """
     timed = stream.withWatermark(ts, late).select(key.cast("string").alias("key"), ts, F.unix_micros(ts).alias("us"), nth.cast("bigint").alias("nth"), kind.cast("string").alias("kind"), value.cast("string").alias("value"))
     rows = timed.where("key IS NOT NULL AND us IS NOT NULL")
-    return rows.groupBy("key").transformWithStateInPandas(KeyRules(rules), OUT, "Append", "EventTime")
+    return rows.groupBy("key").transformWithState(KeyRules(rules), OUT, "Append", "EventTime")
 
 
 def with_timers(spark: SparkSession) -> SparkSession:

@@ -144,3 +144,44 @@ def test_follow_ups_of_two_streams(spark, parts, tmp_path):
     want = a.join(b, F.expr("a.k = b.k AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 MINUTES"), "left").where("a.k <> 'end'").selectExpr("a.i", "b.i AS other")
     assert sorted(map(repr, got.where("k <> 'end'").selectExpr("i", "other_i AS other").collect())) == sorted(map(repr, want.collect()))
     assert got.where("other_i IS NULL").count() > 0
+
+
+def test_calls_to_the_store_do_not_grow_with_a_keys_records():
+    """Each call is a round trip and each entry is encoded on its own: as many for 500 records of a key as for one."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    def calls(n):
+        made = state.KeyRules(state.Rules(more_values_than=1000))
+        made.init(MagicMock())
+        entries = []
+        made.buffer.appendValue.side_effect = entries.append
+        made.buffer.get.side_effect = lambda: iter(entries)
+        made.kept.get.return_value = None
+        timers = MagicMock()
+        timers.getCurrentWatermarkInMs.return_value = 10**9
+        list(made.handleInputRows(("a",), iter([Row(key="a", us=i * 10**6, nth=i, kind=None, value=str(i)) for i in range(n)]), timers))
+        list(made.handleExpiredTimer(("a",), timers, MagicMock()))
+        assert made.kept.update.call_args[0][0][-3] == n and len(entries) == 1  # that many different values
+        return sum(len(store.method_calls) for store in (made.handle, made.buffer, made.kept))
+
+    assert calls(500) == calls(1)
+
+
+def test_streams_use_all_cores(spark):
+    from huntframe.plans import streams
+
+    own, _ = streams._own(spark)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) >= spark.sparkContext.defaultParallelism
+    assert streams._own(MagicSession(spark, 12))[0].conf.get("spark.sql.shuffle.partitions") == "12"
+
+
+class MagicSession:
+    """A session on a cluster of so many cores."""
+
+    def __init__(self, spark, cores):
+        self.spark, self.sparkContext = spark, type("Context", (), {"defaultParallelism": cores})
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
