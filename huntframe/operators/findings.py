@@ -43,10 +43,13 @@ def hits(df: DataFrame, branches: Sequence[Branch]) -> DataFrame:
     """A row for each rule that reports a record: the record with ``ordinal, rule_id, severity, extra``.
 
     All rules are one array column, so the input is scanned once however many rules there are.
+    The array is a column before it is exploded, and what doesn't report goes after that: as the
+    argument of a filter by a lambda, the rules would be interpreted and read no field in common.
+    ``explode_outer``, since ``explode`` also asks for the array's size, in a filter of its own that runs all rules once more.
     """
-    found = F.filter(F.array(*[_hit(i, b) for i, b in enumerate(branches)]), lambda x: x.isNotNull())
     names = [c for c in df.columns if c not in ("ordinal", "rule_id", "severity", "extra")]
-    return df.withColumn("__hit", F.explode(found)).select(*names, "__hit.*")
+    each = df.withColumn("__hits", F.array(*[_hit(i, b) for i, b in enumerate(branches)]))
+    return each.select(*names, F.explode_outer("__hits").alias("__hit")).where("__hit IS NOT NULL").select(*names, "__hit.*")
 
 
 def one_rule(df: DataFrame, rule_id: str, ordinal: int, extra: Mapping[str, Column] | None = None) -> DataFrame:

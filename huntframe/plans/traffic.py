@@ -391,7 +391,7 @@ r AS (SELECT h.src_ip, x.rule_id FROM ({_union('h', _HTTP)}) x JOIN h USING (lin
 def correlate_multi_rule(spark, sf):
     parts = None
     for view, rendered, branches in (("http", HTTP, rules.http_branches()), ("tls", TLS, rules.tls_branches()), ("dns", DNS, rules.dns_branches())):
-        p = hits(flows(rendered.spark(spark, sf), view), branches)
+        p = hits(flows(rendered.spark(spark, sf, deal=True), view), branches)
         parts = p if parts is None else parts.unionByName(p)
     return rules.correlated(parts).select("src_ip", F.size("rules").cast("bigint").alias("n"), "apt_suspect")
 
