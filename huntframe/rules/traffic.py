@@ -21,6 +21,7 @@ from huntframe.operators.signatures import matching, valid
 from huntframe.operators.windows import HOUR, MINUTE, burst, distinct_over, first_over, looking_back, nth_rows, numbered, running, trailing
 from huntframe.rules.catalog import RULES
 from huntframe.rules.ngx import TIES, timed
+from huntframe.sources.store import settled
 
 # Patterns, tables, ports and thresholds.
 SCANNER_AGENT = (
@@ -238,9 +239,9 @@ def marker_text() -> Column:
 
 def marker_branches(view: str) -> list[Branch]:
     """Marks of tools; all but AntSword's count in every view that has them."""
-    out = []
+    out, text = [], marker_text()
     for rule, tool, pattern in MARKERS:
-        found = marker_text().rlike(pattern)
+        found = T.rlike_with_words(text, F.lower(text), pattern)
         if rule == "R-TRAF-089":
             found = found | has_any(raw("sni"), ["viper"])
         if rule != "R-TRAF-087" or view == "http":
@@ -496,8 +497,9 @@ def correlated(found: DataFrame, at_least: int = 3, compat: str = "strict") -> D
 
 def findings(flows: DataFrame, signatures: Sequence[tuple] = SIGNATURES, compat: str = "strict") -> DataFrame:
     """The same as findings ``TRAF-001``, ``TRAF-002``, ...; correlated sources come last."""
-    found = detect(flows, signatures)
-    cluster = correlated(found, compat=compat)
+    # All rules run once: correlation, the ranges of the ids and the ids read what they gave.
+    found = settled(detect(flows, signatures), "traffic-hits")
+    cluster = settled(correlated(found, compat=compat), "traffic-sources")
     columns = ["ts", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "view", "src_file", "line_no", "us", "ordinal", "rule_id", "severity", "extra"]
     group = one_rule(cluster, "R-TRAF-999", 0, {"distinct_rules": F.col("rules"), "cluster_hits": F.col("clusters"), "tag": F.when(F.col("apt_suspect"), F.lit("apt-suspect"))})
     group = group.withColumns({"ts": F.col("first_ts"), "view": F.lit("correlation"), "src_file": F.col("src_ip")})

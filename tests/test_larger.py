@@ -73,3 +73,20 @@ def test_lines_are_parsed_once_and_by_all_tasks(spark, sf):
     lines = spark.range(3).select(F.lit("a").alias("src_file"), F.col("id").alias("line_no"), F.concat(F.lit('{"status": "'), "id", F.lit('"}')).alias("value"), F.lit("nginx-access").alias("log_type"))
     plan = logs.parse_lines(lines, 2024)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_rules_of_a_record_run_once_and_are_compiled(spark, sf):
+    """Neither as a lambda's argument, which is interpreted, nor once more in a filter on the array's size."""
+    from huntframe.plans import traffic
+
+    plan = traffic.hits(traffic.flows(traffic.HTTP.spark(spark, sf), "http"), traffic.rules.http_branches())._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "size(array(" not in plan and "filter(array(" not in plan
+
+
+def test_correlated_sources_and_ids_read_hits_that_are_written(spark, sf):
+    from huntframe.plans import traffic
+
+    plan = traffic.rules.findings(traffic._all(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
+    correlate = traffic.correlate_multi_rule(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert correlate.count("Repartition ") == 3
