@@ -66,8 +66,21 @@ def is_global(ip: Column) -> Column:
     return F.coalesce(~in_blocks(number, NOT_GLOBAL), F.lit(False))
 
 
+def _beginning(cidr: str) -> str:
+    """What the dotted quads of an IPv4 block of at most 24 bits begin with, as a pattern."""
+    net = ipaddress.ip_network(cidr)
+    whole, rest = divmod(net.prefixlen, 8)
+    octets = str(net.network_address).split(".")
+    parts = octets[:whole]
+    if rest:
+        parts.append("(?:" + "|".join(str(int(octets[whole]) + i) for i in range(1 << (8 - rest))) + ")")
+    return "\\.".join(parts) + "\\."
+
+
 def is_internal(ip: Column) -> Column:
-    return F.coalesce(in_blocks(ip_number(ip), INTERNAL), F.lit(False))
+    """Whether a valid IPv4 address is in ``INTERNAL``: by its beginning, as its number would be made anew for each block."""
+    begins = "^(?:" + "|".join(map(_beginning, INTERNAL)) + ")"
+    return F.coalesce(ip.rlike(begins) & ip.rlike(IPV4), F.lit(False))
 
 
 def subnet24(ip: Column) -> Column:

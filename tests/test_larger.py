@@ -90,3 +90,16 @@ def test_correlated_sources_and_ids_read_hits_that_are_written(spark, sf):
     assert "RLIKE" not in plan
     correlate = traffic.correlate_multi_rule(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert correlate.count("Repartition ") == 3
+
+
+def test_internal_addresses_by_their_beginning(spark):
+    """The same as by their number, of which none is made."""
+    from huntframe.functions import net
+
+    ips = ["0.1.2.3", "10.0.0.0", "10.255.255.255", "100.0.0.1", "11.0.0.1", "127.0.0.1", "169.254.1.1", "169.253.1.1", "172.15.0.1", "172.16.0.0", "172.31.255.255", "172.32.0.0", "172.160.0.1"]
+    ips += ["192.168.0.1", "192.169.0.1", "1.10.0.1", "10.1", "10.0.0.256", "010.0.0.1", "10.0.0.1x", "10.0.0.1.2", "", "::1", None]
+    rows = spark.createDataFrame([(ip,) for ip in ips], "ip string")
+    by_number = F.coalesce(net.in_blocks(net.ip_number(F.col("ip")), net.INTERNAL), F.lit(False))
+    made = rows.select("ip", net.is_internal(F.col("ip")).alias("got"), by_number.alias("want"))
+    assert [r for r in made.collect() if r.got != r.want] == [] and made.where("got").count() == 8
+    assert "split(" not in rows.select(net.is_internal(F.col("ip")))._jdf.queryExecution().optimizedPlan().toString()
