@@ -180,8 +180,8 @@ def as_of(
     later (``forward``) or earlier than the row, by at most ``within_us``; of marks at one time that of the smallest value.
 
     Both sides are put into one table and sorted once by key, slab and time; on the way through a
-    slab the nearest mark so far is kept.  Where a slab's marks don't reach, the first mark of each
-    of the next slabs does: one row a marked slab, copied to the slabs within ``within_us`` of it.  Rows
+    slab the nearest mark so far is kept.  Where a slab's marks don't reach, the first mark of the
+    next marked slab does: it is carried to the slabs that have rows, over one row a key and slab.  Rows
     without a mark, a key or a time are left out, or kept with nulls if ``outer``.  Columns of
     ``marks`` other than the keys, ``us`` and ``value`` are ignored.
     """
@@ -200,9 +200,12 @@ def as_of(
     rows = df.where(known).select(*own_keys, at.alias("__at"), F.struct("*").alias("__row")).withColumns({"__slab": slab, "__kind": F.lit(0)})
     seen = marks.where(known).select(*own_keys, at.alias("__at"), F.col(value).alias("__value")).withColumns({"__slab": slab, "__kind": F.lit(1)})
     seen = seen.select(*part, "__kind", "__at", mark.alias("__mark"))
-    firsts = seen.groupBy(*part).agg(F.min("__mark").alias("__mark"))
-    back = F.explode(F.sequence(F.col("__slab") - steps, F.col("__slab") - 1))
-    firsts = firsts.withColumn("__slab", back).select(*part, F.lit(1).alias("__kind"), F.col("__mark.at").alias("__at"), "__mark")
+    held = rows.select(*part, F.lit(True).alias("__rows")).unionByName(seen.select(*part, "__mark"), allowMissingColumns=True)
+    slabs = held.groupBy(*part).agg(F.max("__rows").alias("__rows"), F.min(F.when(F.col("__mark").isNotNull(), F.struct("__slab", "__mark"))).alias("__first"))
+    after = Window.partitionBy(*part[:-1]).orderBy(F.col("__slab").desc()).rowsBetween(_FIRST, -1)
+    carried = slabs.withColumn("__next", F.last("__first", ignorenulls=True).over(after))
+    carried = carried.where(F.col("__rows") & (F.col("__next.__slab") - F.col("__slab") <= steps))
+    firsts = carried.select(*part, F.lit(1).alias("__kind"), F.col("__next.__mark.at").alias("__at"), F.col("__next.__mark").alias("__mark"))
     line = rows.unionByName(seen.unionByName(firsts), allowMissingColumns=True)
     so_far = Window.partitionBy(*part).orderBy(F.col("__at").desc(), "__kind").rowsBetween(_FIRST, _HERE)
     nearest = line.withColumn("__near", F.min("__mark").over(so_far)).where("__kind = 0")

@@ -20,6 +20,7 @@ from base64 import b64decode
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -224,12 +225,20 @@ def common_name(body: bytes) -> str | None:
     return names[min(1, len(names) - 1)].decode("utf-8", "replace") if names else None
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[tuple]]]:
+    """Blocks and their segments, column by column: a dictionary a segment costs more than reading it."""
+    lists = batch.column("parts")
+    flat = lists.flatten()
+    parts = zip(*[flat.field(n).to_pylist() for n in ("rel", "us", "line_no", "data")], strict=True)
+    for row, size in zip(batch.drop_columns(["parts"]).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+        yield row, list(islice(parts, size))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string())}[k]) for n, k in (f.split(" ") for f in MESSAGE.split(", "))])
     for batch in batches:
         out = []
-        for row in batch.to_pylist() if batch.num_rows < 100 else (r for i in range(0, batch.num_rows, 100) for r in batch.slice(i, 100).to_pylist()):
-            parts = [(p["rel"], p["us"], p["line_no"], p["data"]) for p in row["parts"]]
+        for row, parts in (r for i in range(0, batch.num_rows, 100) for r in _rows(batch.slice(i, 100))):
             for us, line, kind, fields in found(parts, row["block"], row["src_port"], row["dst_port"]):
                 said = [(k, v) for k, v in fields.items() if v is not None]
                 out.append((row["src_file"], line, f"{us // 10**6}.{us % 10**6:06d}", row["src_ip"], row["src_port"], row["dst_ip"], row["dst_port"], row["stream_id"], kind, said))

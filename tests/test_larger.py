@@ -103,3 +103,16 @@ def test_internal_addresses_by_their_beginning(spark):
     made = rows.select("ip", net.is_internal(F.col("ip")).alias("got"), by_number.alias("want"))
     assert [r for r in made.collect() if r.got != r.want] == [] and made.where("got").count() == 8
     assert "split(" not in rows.select(net.is_internal(F.col("ip")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_are_carried_to_slabs_that_have_rows_only(spark):
+    """A mark a day ahead makes one row of a slab with rows, not one of each slab between."""
+    from huntframe.operators.windows import DAY, HOUR, as_of
+
+    rows = spark.createDataFrame([("a", 0), ("a", 3 * HOUR), ("a", 30 * HOUR), ("b", 5), (None, 1)], "k string, us long")
+    marks = spark.createDataFrame([("a", 24 * HOUR, 1), ("a", 24 * HOUR, 2), ("a", 40 * HOUR, 3), ("b", 5 + DAY, 4)], "k string, us long, v int")
+    found = as_of(rows, marks, ["k"], DAY, "v", "near")
+    assert sorted((r.k, r.us, r.near) for r in found.collect()) == [("a", 0, 1), ("a", 3 * HOUR, 1), ("a", 30 * HOUR, 3), ("b", 5, 4)]
+    before = as_of(rows, marks, ["k"], DAY, "v", "near", forward=False)
+    assert [(r.k, r.us, r.near) for r in before.collect()] == [("a", 30 * HOUR, 1)]
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
